@@ -26,14 +26,26 @@ from graphloom.llm.common import materialize, whole_texts
 SEQUENCE = 2048
 END_ID = 1
 #: Words kept per worker; a full cache is dropped, which costs time only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: A word that the sentinel can stand beside without changing the split: pre-tokens never span a space.
 SENTINEL = "|"
+#: After a letter or digit each of these is a pre-token of its own at a word's end.
+CLOSING = ".,;:!?"
 
 STREAM = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def lowered(text: str) -> str:
+    """Lower case where that can't change the normaliser's own result: in Latin-1 texts."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordEncoder:
     """ids of a text by its blank-separated words; a word's ids never depend on its neighbours.
 
@@ -53,7 +65,18 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        """Encode unseen words; one closing mark is taken off first, as a word and the same with a mark share their ids."""
+        known = self.known
+        closed = [w for w in words if w[-1] in CLOSING and w[-2:-1].isalnum()]
+        words = words.difference(closed)
+        words.update(w[:-1] for w in closed if w[:-1] not in known)
+        words.update(w[-1] for w in closed if w[-1] not in known)
+        self._encode(list(words))
+        for w in closed:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def _encode(self, words: list[str]) -> None:
         plain = [w for w in words if SENTINEL not in w]
         for w in words:
             if SENTINEL in w:
@@ -74,11 +97,11 @@ class WordEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         fresh = {w for words in split for w in words if w not in known}
         if fresh:
-            self._learn(list(fresh))
+            self._learn(fresh)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
