@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, packing, quality, repeats, simhash
+from graphloom.llm import byte_bpe, html_text, packing, pii, quality, repeats, simhash
 from graphloom.llm.common import load
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -27,12 +32,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(load(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality, op6_suffix_array, op7_simhash, op8_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op2_pii, op3_quality, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
