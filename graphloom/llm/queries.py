@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, html_text, packing, pii, quality, repeats, simhash
+from graphloom.llm import ann, byte_bpe, html_text, packing, pii, quality, repeats, simhash, vector_dedup
 from graphloom.llm.common import load
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return pii.digest(pii.find(docs, pii.fit(docs)))
@@ -19,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(load(spark, sf_dir, "documents"))
 
@@ -41,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_quality, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_pii, op3_quality, op4_vector_dedup, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
