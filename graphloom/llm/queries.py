@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, byte_bpe, html_text, packing, pii, quality, repeats, simhash, vector_dedup
+from graphloom.llm import ann, byte_bpe, html_text, packing, pii, quality, repeats, simhash, suffix_lm, vector_dedup
 from graphloom.llm.common import load
 
 
@@ -28,6 +28,10 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(load(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats_digest(load(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ann, op2_pii, op3_quality, op4_vector_dedup, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
+    return {f.__name__: f for f in (op1_ann, op2_pii, op3_quality, op4_vector_dedup, op5_suffix_tree_lm, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
