@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import hash_sample, materialize
 from graphloom.llm.vectors import doubles, hyperplanes, matrix
 
 K = 10
@@ -147,10 +147,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows = doubles(vectors)
     w = Window.partitionBy("embedding").orderBy("vec_id")
     points = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1 ids
-    sizes = {r.dim: r["count"] for r in rows.groupBy(F.size("embedding").alias("dim")).count().collect()}  # a row per vector length
+    sizes = {r.dim: r["count"] for r in points.groupBy(F.size("embedding").alias("dim")).count().collect()}  # a row per vector length
     trees: dict[int, Tree] = {}
     for dim, n in sizes.items():
-        sample = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("embedding"), "vec_id").limit(SAMPLE).select("embedding").collect()
+        sample = hash_sample(points.where(F.size("embedding") == dim).select("embedding"), SAMPLE, n, "embedding").collect()
         depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1.0, n / CELL_ROWS))))))
         trees[dim] = Tree(np.unique(np.array([r[0] for r in sample]), axis=0) @ hyperplanes(dim, PROJECTIONS, SEED), depth)
     shared = spark.sparkContext.broadcast(trees)

@@ -41,13 +41,24 @@ def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
+def hash_sample(df: DataFrame, rows: int, n: int, *columns: str) -> DataFrame:
+    """At most ``rows`` of about n rows, those with the smallest hashes of the columns: the same whatever the partitions.
+
+    A cut of the hash range comes before the sort, so tasks don't each send ``rows`` rows to one.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(*columns))
+    if n > 4 * rows:
+        hashed = hashed.where(F.col("_h") < int(-(1 << 63) + (1 << 64) * (2 * rows / n)))
+    return hashed.orderBy("_h", *columns).limit(rows).drop("_h")
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
 
     The number of chunks follows the input's bytes, so a chunk fits in one Python worker at any scale
     and a frequent item has at most one entry per chunk in whatever the chunks exchange.
     """
-    texts = whole_texts(docs)
+    texts = whole_texts(docs, *keep)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(max(least, -(-total // chunk_bytes)))
     return texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")), n

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import whole_texts
+from graphloom.llm.common import hash_sample, whole_texts
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -118,7 +118,7 @@ def held_out(folds: int):
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled documents outside the held-out fold."""
     y = labels.where("doc_id is not null and quality is not null").where(~held_out(folds)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    y = hash_sample(y, train_rows, y.count(), "doc_id")
     picked = whole_texts(docs).join(F.broadcast(y), "doc_id")  # at most train_rows pairs of numbers
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,14 +309,14 @@ def finish(chunk: Chunk, back: pa.Table, window: int) -> pa.Table:
     return table(KEPT, rows)
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, finisher: Callable[[pa.Table], pa.Table] | None = None, schema: str = ddl(KEPT)) -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, finisher: Callable[[pa.Table, pa.Table], pa.Table] | None = None, schema: str = ddl(KEPT), keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept bytes, the input's length, and the removed spans' starts and ends, a row for each row of docs.
 
-    finisher turns that table into another one with the given schema where the result is made, so that
-    digests needn't carry the bytes.
+    finisher turns that table and the chunk's rows (with the columns to keep) into one with the given schema
+    where the result is made, so that digests needn't carry the bytes.
     """
-    texts, n = chunked(docs, chunk_bytes)
-    texts = texts.select("chunk", "doc_id", "text")
+    texts, n = chunked(docs, chunk_bytes, keep=keep)
+    texts = texts.select("chunk", "doc_id", "text", *keep)
     buckets = n // 4 + 64
     by_chunk = texts.groupBy("chunk")
 
@@ -329,11 +329,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_
         return send_contexts(Chunk(rows, buckets, window, gram), rows.column("chunk")[0].as_py(), back, window)
 
     def last(rows: pa.Table, back: pa.Table) -> pa.Table:
-        if rows.num_rows:
-            out = finish(Chunk(rows, buckets, window, gram), back, window)
-        else:
-            out = KEPT.empty_table()
-        return finisher(out) if finisher else out
+        out = finish(Chunk(rows, buckets, window, gram), back, window) if rows.num_rows else KEPT.empty_table()
+        return finisher(out, rows) if finisher else out
 
     sent = by_chunk.applyInArrow(first, ddl(SENT))
     contexts = sent.groupBy("bucket").applyInArrow(settle_contexts, ddl(BACK))
@@ -345,7 +342,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def digest(kept: pa.Table) -> pa.Table:
+def digest(kept: pa.Table, rows: pa.Table) -> pa.Table:
     text = kept.column("text").to_pylist()
     size = kept.column("n_bytes").to_pylist()
     return table(DIGEST, [(i, n, n - len(t), len(s), hashlib.sha256(t).hexdigest()) for i, n, t, s in zip(kept.column("doc_id").to_pylist(), size, text, kept.column("starts").to_pylist(), strict=True)])
@@ -353,3 +350,27 @@ def digest(kept: pa.Table) -> pa.Table:
 
 def repeats_digest(docs: DataFrame, **options) -> DataFrame:
     return find_repeats(docs, finisher=digest, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **options)
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with repeated windows cut out of text; characters that lose a byte go whole. n_chars follows the text."""
+    names, text_type = docs.columns, docs.schema["text"].dataType
+    keep = tuple(c for c in names if c not in ("doc_id", "text"))
+    id_type = docs.schema["doc_id"].dataType
+
+    def rewrite(kept: pa.Table, rows: pa.Table) -> pa.Table:
+        text = [t.decode(errors="ignore") for t in kept.column("text").to_pylist()]
+        cut = [len(s) > 0 for s in kept.column("starts").to_pylist()]
+        columns = []
+        for name in names:
+            if name == "text":
+                columns.append(pa.array(text, pa.string()))
+            elif name == "n_chars":
+                old = rows.column(name).to_pylist()
+                columns.append(pa.array([len(t) if c else n for t, c, n in zip(text, cut, old, strict=True)], rows.column(name).type))
+            else:
+                columns.append(rows.column(name))
+        return pa.Table.from_arrays(columns, names=list(names))
+
+    assert text_type.simpleString() == "string" and id_type.simpleString() in ("bigint", "int")
+    return find_repeats(docs, finisher=rewrite, schema=docs.schema, keep=keep, **options)

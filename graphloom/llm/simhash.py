@@ -24,10 +24,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, whole_texts
+from graphloom.llm.common import hash_sample, materialize, whole_texts
 from graphloom.llm.components import components, forest
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -180,7 +180,7 @@ def hamming_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(u, v): links that join all distinct fingerprints within the radius into the right components."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(FIT_ROWS).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(distinct.select("fingerprint"), FIT_ROWS, n, "fingerprint").collect()], np.int64).view(np.uint64)
     plan = allocate(sample, n, radius)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -218,3 +218,176 @@ def simhash_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     return simhash_components(fingerprints(docs, words), radius)
+
+
+# --- similarity mode: links are pairs of texts whose shingle sets have a Jaccard similarity of at least a bound ---
+
+#: Odds of missing a pair at the similarity bound.
+MISS = 0.01
+#: A bucket of up to so many rows has all its pairs verified; a longer one is verified along stars and chains.
+ALL_PAIRS = 64
+CHAIN_EVERY = 8
+#: Ids that may be broadcast to pick out rows: at most this many 8-byte numbers.
+BROADCAST_IDS = 1_000_000
+CHECK_SLACK = 3.0
+
+
+def agreement(similarity: float) -> float:
+    """Chance that one bit of two fingerprints agrees, for sets of one size with that Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi)
+
+
+def layout(n: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits in a part, parts): every part has threshold 0, and parts are added until a miss is as rare as asked."""
+    bits = int(min(24, max(12, np.ceil(np.log2(max(2, n))) - 2)))
+    return bits, int(np.ceil(np.log(miss) / np.log(1 - agreement(similarity) ** bits)))
+
+
+def wide_prints(hashes: list[list[int]], count: int) -> np.ndarray:
+    """rows x count fingerprints; the first is the plain one, the others come from remixed shingle hashes."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros((len(hashes), count), np.uint64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum()))
+    starts = (np.cumsum(sizes) - sizes)[full]
+    for k in range(count):
+        x = flat
+        if k:
+            x = (flat ^ np.uint64(0xA0761D6478BD642F * k & (1 << 64) - 1)) * np.uint64(0xE7037ED1A0B428DB)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0x8EBC6AF09C88C6E3)
+            x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[full, k] = np.packbits(counts * 2 > sizes[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of nodes that share a bucket and whose check fingerprints differ in at most ``most`` bits."""
+    order = np.lexsort((node, key, part))
+    part, key, node, check = part[order], key[order], node[order], check[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    size = np.diff(np.append(new, len(key)))
+    group = np.repeat(np.arange(len(new)), size)
+    a, b = [], []
+    live = np.flatnonzero(size[group] > 1)
+    for d in range(1, ALL_PAIRS):
+        live = live[live + d < len(key)]
+        live = live[(group[live] == group[live + d]) & ((size[group[live]] <= ALL_PAIRS) | (d == 1) & (part[live] % CHAIN_EVERY == 0))]
+        if not len(live):
+            break
+        hit = live[np.bitwise_count(check[live] ^ check[live + d]) <= most]
+        a.append(node[hit])
+        b.append(node[hit + d])
+    for g in np.flatnonzero(size > ALL_PAIRS):
+        left = np.arange(new[g], new[g] + size[g])
+        while len(left) > 1:  # stars around the smallest node, then around what it doesn't reach
+            near = np.bitwise_count(check[left] ^ check[left[0]]) <= most
+            a.append(np.full(int(near.sum()) - 1, node[left[0]]))
+            b.append(node[left[1:][near[1:]]])
+            left = left[~near]
+    if not a:
+        return node[:0], node[:0]
+    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    both = both[both[:, 0] != both[:, 1]]
+    return both[:, 0], both[:, 1]
+
+
+def jaccard(a: str, b: str, words: int) -> float:
+    x, y = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def picked(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Rows of df with (left_semi) or without (left_anti) their column in ids, broadcast only if ids are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, column, how)
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, node, component_id): documents linked by word-shingle sets with at least that Jaccard similarity.
+
+    Fingerprints of several remixed hashes are cut into parts of correlated bits; parts have threshold 0 and are as many as
+    recall asks for. Candidates pass a check of a fingerprint of their own and then the exact similarity of whole texts.
+    node stands for one distinct text; equal texts are one node. A bucket above ``ALL_PAIRS`` rows, as a large group of near
+    copies makes it, is verified along stars and chains of its candidates, which join the group without all its pairs.
+    """
+    spark = docs.sparkSession
+    texts = whole_texts(docs).withColumn("node", F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)))
+    nodes = materialize(texts.groupBy("node").agg(F.min("doc_id").alias("least")))
+    n = nodes.count()
+    bits, parts = layout(n, similarity)
+    per_word = 64 // bits
+    prints = -(-parts // per_word) + 1
+    p = agreement(similarity)
+    most = int(64 * (1 - p) + CHECK_SLACK * np.sqrt(64 * p * (1 - p)))
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                own = batch.slice(low, 64)
+                found = wide_prints([shingle_hashes(t, words) for t in own.column(1).to_pylist()], prints)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "prints"])
+
+    rows = materialize(texts.select("node", "text").mapInArrow(wide, "node long, prints binary").dropDuplicates(["node"]))
+    sample = [np.frombuffer(r.prints, np.uint64) for r in hash_sample(rows, FIT_ROWS // 10, n, "node").collect()]
+    layouts = [bit_parts(np.array([x[k] for x in sample], np.uint64), per_word) for k in range(1, prints)]
+    plan = [(k, part[:bits]) for k, of in enumerate(layouts, 1) for part in of][:parts]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2000):
+                own = batch.slice(low, 2000)
+                found = np.frombuffer(b"".join(own.column(1).to_pylist()), np.uint64).reshape(-1, prints)
+                check = pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64))
+                for i, (k, part) in enumerate(plan):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(values(found[:, k], part).astype(np.int32)), own.column(0), check], names=["part", "key", "node", "chk"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        if got:
+            part, key, node, check = (np.concatenate(c) for c in zip(*got, strict=True))
+            a, b = candidate_pairs(part, key, node, check.view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+
+    dealt = rows.mapInArrow(keys, "part int, key int, node long, chk long").repartition(shuffles, "part", "key")
+    pairs = materialize(dealt.mapInArrow(match, "u long, v long").distinct())
+    ends = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+    whole = materialize(picked(texts.select("node", "text"), ends, "node", "left_semi").dropDuplicates(["node"]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, x, y = (batch.column(c).to_pylist() for c in ("u", "v", "x", "y"))
+            keep = [i for i in range(len(u)) if jaccard(x[i], y[i], words) >= similarity]
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
+
+    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+    links = materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+    classes = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = classes.join(least, "component").select("node", "component_id", "least")
+    return texts.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", "least")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row kept of each group of near-duplicates: that with the smallest doc_id (null ids come last)."""
+    last = (1 << 63) - 1
+    order = F.coalesce("doc_id", F.lit(last))
+    hashed = docs.withColumn("_node", F.xxhash64(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    named = similar_documents(docs, words, similarity)
+    rows = materialize(named.select(order.alias("id"), "node", F.coalesce("component_id", F.lit(last)).alias("first")))
+    # where one doc_id has several texts of its group, the smallest node stays
+    stays = rows.where("id = first").groupBy("first").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    kept = materialize(stays.select(F.col("first").alias("id"), "node", "n"))
+    goes = rows.select("id", "node").distinct().join(kept, ["id", "node"], "left_anti").select(F.struct("id", "node").alias("_key"))
+    out = picked(hashed.withColumn("_key", F.struct(order.alias("id"), F.col("_node").alias("node"))), materialize(goes), "_key", "left_anti")
+    again = materialize(kept.where("n > 1").select(F.struct("id", "node").alias("_key")))
+    if again.isEmpty():
+        return out.select(*docs.columns)
+    once = picked(out, again, "_key", "left_anti")
+    repeated = picked(out, again, "_key", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != "text"]))).where("_k = 1")
+    return once.select(*docs.columns).union(repeated.select(*docs.columns))
