@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import whole_texts
+from graphloom.llm.common import hash_sample, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 3000
@@ -234,7 +234,9 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
     """Weights from pseudo-likelihood on a bounded sample of documents with candidates."""
-    sample = whole_texts(docs).where("doc_id is not null and text rlike '@|[0-9]{3}'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+    able = whole_texts(docs).where("doc_id is not null and text rlike '@|[0-9]{3}'")
+    picked = hash_sample(able.select("doc_id").distinct(), fit_docs, able.count(), "doc_id")
+    sample = able.join(F.broadcast(picked), "doc_id").select("doc_id", "text")  # at most fit_docs ids
 
     def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
