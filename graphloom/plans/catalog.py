@@ -1,11 +1,18 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""All queries of the engine and their SQL oracles."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.plans import q_core, q_graph, q_links, q_search  # noqa: F401  they register their queries
+from graphloom.plans.registry import ORACLES, QUERIES
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
