@@ -73,7 +73,7 @@ def connected(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame
     return _spread(pairs, nodes.select("id").distinct().withColumn("label", F.col("id")), most).withColumnRenamed("label", "component")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 24) -> DataFrame:
     """(id, community): synchronous local moving on weighted undirected edges (from_id, to_id, weight).
 
     Half of the nodes move in a round (by a hash of id and round), each to the neighbouring community with the highest modularity gain,
@@ -83,7 +83,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
     und = settled(und.union(und.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "w")).groupBy("from_id", "to_id").agg(F.sum("w").alias("w")))
     degree = settled(nodes.select("id").distinct().join(und.groupBy(F.col("from_id").alias("id")).agg(F.sum("w").alias("k")), "id", "left").fillna(0.0))
     two_m = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = settled(degree.select("id", F.col("id").alias("community"), "k"))
+    label, still = settled(degree.select("id", F.col("id").alias("community"), "k")), 0
     for r in range(rounds):
         total = label.groupBy("community").agg(F.sum("k").alias("total"))
         to = und.join(label.select(F.col("id").alias("to_id"), "community"), "to_id").groupBy(F.col("from_id").alias("id"), "community").agg(F.sum("w").alias("inside"))
@@ -93,9 +93,9 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
         pick = gain.groupBy("id").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("mine"), -F.xxhash64("community"))).alias("to"), F.max("gain").alias("best"), stay.alias("stay"))
         moves = pick.where((F.col("best") > F.coalesce("stay", F.lit(0.0))) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)).select("id", "to")
         nxt = settled(label.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")))
-        still = nxt.where("moved").isEmpty()
+        still = still + 1 if nxt.where("moved").isEmpty() else 0
         label = nxt.select("id", "community", "k")
-        if still and r % 2:
+        if still == 4:  # every node has very likely had its turn
             break
     name = label.groupBy("community").agg(F.min("id").alias("name"))
     return label.join(name, "community").select("id", F.col("name").alias("community"))

@@ -19,9 +19,10 @@ def neighbors_in(t: Tables) -> DataFrame:
     return traverse.neighbors(t.rel, "region:1", "in").union(traverse.neighbors(t.rel, "nation:3", "in")).union(traverse.neighbors(t.rel, "part:7", "in")).distinct()
 
 
-@query("callers", "SELECT DISTINCT from_id AS id FROM calls WHERE to_id = 'f7'")
+@query("callers", "SELECT DISTINCT from_id AS id FROM calls WHERE to_id IN ('f10', 'f100')")
 def callers(t: Tables) -> DataFrame:
-    return traverse.neighbors(t.edges.where("kind = 'CALLS'"), "f7", "in").select("id")
+    calls = t.edges.where("kind = 'CALLS'")
+    return traverse.neighbors(calls, "f10", "in").union(traverse.neighbors(calls, "f100", "in")).select("id").distinct()
 
 
 @query("callees", "SELECT DISTINCT to_id AS id FROM calls WHERE from_id = 'f7'")

@@ -208,9 +208,9 @@ def communities_list(t: Tables) -> DataFrame:
     return t.fn.groupBy("module").agg(F.count(F.lit(1)).alias("size")).where("size >= 20").join(top, "module").orderBy(F.desc("size"), "module")
 
 
-@query("articulation_points", ", e AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module AND a.key % 16 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u), r(cut, id, c) AS (SELECT x.id, n.id, n.id FROM n x JOIN n ON n.id <> x.id UNION SELECT cut, u.b, c FROM r JOIN u ON u.a = r.id WHERE u.b <> cut AND c < u.b), whole(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, c FROM whole JOIN u ON u.a = whole.id WHERE c < u.b), k AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM whole GROUP BY id) q) SELECT cut AS id FROM (SELECT cut, count(DISTINCT c) AS n FROM (SELECT cut, id, min(c) AS c FROM r GROUP BY 1, 2) z GROUP BY 1) v WHERE n > (SELECT n FROM k)")
+@query("articulation_points", ", e AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module AND a.key < 30), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u), r(cut, id, c) AS (SELECT x.id, n.id, n.id FROM n x JOIN n ON n.id <> x.id UNION SELECT cut, u.b, c FROM r JOIN u ON u.a = r.id WHERE u.b <> cut AND c < u.b), whole(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, c FROM whole JOIN u ON u.a = whole.id WHERE c < u.b), k AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM whole GROUP BY id) q) SELECT cut AS id FROM (SELECT cut, count(DISTINCT c) AS n FROM (SELECT cut, id, min(c) AS c FROM r GROUP BY 1, 2) z GROUP BY 1) v WHERE n > (SELECT n FROM k)")
 def articulation_points(t: Tables) -> DataFrame:
-    e = relational.module_edges(t.imports.join(t.fn.where("key % 16 = 0").select(F.col("id").alias("from_id")), "from_id", "left_semi"), t.fn.select("id", "module"))
+    e = relational.module_edges(t.imports.join(t.fn.where("key < 30").select(F.col("id").alias("from_id")), "from_id", "left_semi"), t.fn.select("id", "module"))
     pairs = e.select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id"))
     return groups.articulation_points(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")), pairs)
 

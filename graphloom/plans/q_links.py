@@ -63,7 +63,7 @@ def http_link(t: Tables) -> DataFrame:
     return link.http_links(calls, routes)
 
 
-_PUB = "SELECT DISTINCT event_type || (user_id % 4) AS topic, 'r' || (user_id % 6) AS repo FROM events WHERE value > 60"
+_PUB = "SELECT DISTINCT event_type || (user_id % 7) AS topic, 'r' || (user_id % 6) AS repo FROM events WHERE value > 60 AND event_type <> 'signup'"
 _SUB = "SELECT DISTINCT event_type || (user_id % 5) AS topic, 'r' || (user_id % 7) AS repo FROM events WHERE value < 20"
 
 
@@ -186,9 +186,9 @@ def label_link(t: Tables) -> DataFrame:
     return both.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), F.round(link.label_score(F.round(1.0 / F.col("d") + 0.3, 6)), 6).alias("score"))
 
 
-@query("string_link", """, x AS (SELECT DISTINCT regexp_extract(text, '[a-z]+\\.[0-9]+@mail[0-9]\\.example\\.com') AS lit, source AS repo FROM documents), y AS (SELECT lit, repo FROM x WHERE lit <> '') SELECT a.lit, a.repo AS source_repo, b.repo AS target_repo, 0.55 AS confidence FROM y a JOIN y b ON a.lit = b.lit AND a.repo < b.repo""")
+@query("string_link", """, x AS (SELECT DISTINCT regexp_extract(text, 'Licen[sc]e[a-z]*') AS lit, source AS repo FROM documents), y AS (SELECT lit, repo FROM x WHERE lit <> '') SELECT a.lit, a.repo AS source_repo, b.repo AS target_repo, 0.55 AS confidence FROM y a JOIN y b ON a.lit = b.lit AND a.repo < b.repo""")
 def string_link(t: Tables) -> DataFrame:
-    y = t.documents.select(F.regexp_extract("text", r"[a-z]+\.[0-9]+@mail[0-9]\.example\.com", 0).alias("lit"), F.col("source").alias("repo")).where("lit <> ''").distinct()
+    y = t.documents.select(F.regexp_extract("text", r"Licen[sc]e[a-z]*", 0).alias("lit"), F.col("source").alias("repo")).where("lit <> ''").distinct()
     return y.alias("a").join(y.alias("b"), "lit").where("a.repo < b.repo").select("lit", F.col("a.repo").alias("source_repo"), F.col("b.repo").alias("target_repo"), F.lit(0.55).alias("confidence"))
 
 
