@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import whole_texts
+from graphloom.llm.common import only_cache, small_slices, tidied, whole_texts
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -87,10 +87,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("byte_bpe", _CODERS.clear)
         enc, pat = coder(ranks.value, pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for part in small_slices(batch, most_bytes=4 << 20):
                 n, first, second = [], [], []
                 for text in part.column(1).to_pylist():
                     ids = encode_text(enc, pat, text, chunk, overlap)
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
                 else:
                     yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
+    return whole_texts(docs).mapInArrow(tidied(run), "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -13,7 +13,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Caches that operators keep in a Python worker, by operator; workers outlive stages.
+_CACHES: dict[str, object] = {}
+
+
+def only_cache(operator: str, clear) -> None:
+    """Called where a task of the operator begins: the other operators' caches in this worker are dropped."""
+    for name in [n for n in _CACHES if n != operator]:
+        _CACHES.pop(name)()
+    _CACHES[operator] = clear
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: idle workers keep what they hold, and an executor has several."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(f):
+    """The function of a map over batches, which gives its memory back when its task ends."""
+
+    def run(batches):
+        yield from f(batches)
+        tidy()
+
+    return run
+
+
+def small_slices(batch, column: int = 1, most_rows: int = 256, most_bytes: int = 1 << 20):
+    """A record batch in slices of bounded rows and bytes of one text column; a longer text is a slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = size[low - 1] if low else 0
+        high = max(low + 1, min(low + most_rows, int(np.searchsorted(size, before + most_bytes, "right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+#: Rows of an Arrow batch between Spark and Python: texts are long, so far fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -38,6 +99,7 @@ def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id and text (null: empty), plus the named columns; every other column is left behind."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 

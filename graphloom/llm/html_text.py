@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import bounded_batches, materialize, tidied
 
 #: Hosts whose winning paths may be broadcast: at most this many short rows.
 BROADCAST_HOSTS = 20_000
@@ -174,7 +174,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     sums[host, path] = sums.get((host, path), 0.0) + share
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    return pages.select("url", "html").mapInArrow(tidied(run), "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
 
 
 def winners(counted: DataFrame) -> DataFrame:
@@ -185,6 +185,7 @@ def winners(counted: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, a row for each row of pages."""
+    bounded_batches(pages.sparkSession)
     paths = materialize(winners(votes(pages)))
     rows = pages.select("page_id", "url", "html")
     spark = pages.sparkSession
@@ -205,4 +206,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 text = [extract(h or "", p) for h, p in zip(part.column(2).to_pylist(), path, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dealt.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, whole_texts
+from graphloom.llm.common import materialize, only_cache, small_slices, tidied, whole_texts
 
 SEQUENCE = 2048
 END_ID = 1
 #: Words kept per worker; a full cache is dropped, which costs time only.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: A word that the sentinel can stand beside without changing the split: pre-tokens never span a space.
 SENTINEL = "|"
 #: After a letter or digit each of these is a pre-token of its own at a word's end.
@@ -123,19 +123,19 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("packing", _ENCODERS.clear)
         enc, part, at = encoder(model.value), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         width = enc.dtype.itemsize
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                piece = batch.slice(low, 256)
+            for piece in small_slices(batch):
                 ids = [x + end for x in enc.encode_all(piece.column(1).to_pylist())]
                 tokens = np.array([len(x) // width for x in ids], np.int64)
                 starts = at + np.cumsum(tokens) - tokens
                 at += int(tokens.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), piece.column(0).cast(pa.int64()), pa.array(starts), pa.array(tokens), pa.array(ids, pa.binary())], names=["part", "doc_id", "local_start", "doc_tokens", "ids"])
 
-    return materialize(whole_texts(docs).mapInArrow(encode, STREAM))
+    return materialize(whole_texts(docs).mapInArrow(tidied(encode), STREAM))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -148,6 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
         at += totals[part]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("cutting", list)
         for batch in batches:
             part, doc_id, local, tokens, blob = (batch.column(i).to_pylist() for i in range(5))
             rows: list[tuple] = []
@@ -166,4 +167,4 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), types, strict=True)], names=names)
 
     schema = PIECES + (", ids binary" if with_ids else "")
-    return stream.mapInArrow(cut, schema)
+    return stream.mapInArrow(tidied(cut), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, whole_texts
+from graphloom.llm.common import bounded_batches, hash_sample, tidied, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 3000
@@ -293,7 +293,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 cols = [pa.array([[{"kind": k, "start": s, "stop": e} for s, e, k in f[i]] for f in found], span) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *cols], names=["doc_id", "base", "spans"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, base array<struct<kind: string, start: long, stop: long>>, spans array<struct<kind: string, start: long, stop: long>>")
+    return whole_texts(docs).mapInArrow(tidied(run), "doc_id long, base array<struct<kind: string, start: long, stop: long>>, spans array<struct<kind: string, start: long, stop: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -309,6 +309,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans become one. n_chars follows the text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     where, names = docs.columns.index("text"), docs.columns
     size = names.index("n_chars") if "n_chars" in names else -1
@@ -334,4 +335,4 @@ def redact(docs: DataFrame, field: Field) -> DataFrame:
                     columns[size] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, kept, strict=True)], columns[size].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, whole_texts
+from graphloom.llm.common import bounded_batches, hash_sample, only_cache, small_slices, tidied, whole_texts
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -48,7 +48,7 @@ class Hashes(dict):
     """token -> crc32 and shape, packed in one number; dropped when large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 400_000:
             self.clear()
         self[token] = found = zlib.crc32(token.encode()) | shape(token) << 32
         return found
@@ -123,8 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TR
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
+            for part in small_slices(batch, 1, 64):
                 doc, index, value = features(part.column(1).to_pylist(), bits)
                 key, inverse = np.unique(doc << bits | index, return_inverse=True)
                 total = np.bincount(inverse, value, len(key)).astype(np.float32)
@@ -132,13 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TR
                 ids = (key & ((1 << bits) - 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "y", "ids", "vals"])
 
-    rows = picked.select("doc_id", "text", "y").mapInArrow(sparse, "doc_id long, y int, ids binary, vals binary").dropDuplicates(["doc_id"]).collect()  # at most train_rows sparse rows
+    rows = picked.select("doc_id", "text", "y").mapInArrow(tidied(sparse), "doc_id long, y int, ids binary, vals binary").dropDuplicates(["doc_id"]).collect()  # at most train_rows sparse rows
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return train([(np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.vals, np.float32).astype(float), r.y) for r in rows], bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, bits: int = BITS) -> DataFrame:
     """doc_id, the named columns, and score: the chance that a document is of good quality."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), *keep)
     kept = docs.select("doc_id", *keep)
@@ -147,16 +147,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, bits: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
+        only_cache("quality", _SEEN.clear)
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                part = batch.slice(low, 128)
+            for part in small_slices(batch, 1, 128):
                 doc, index, value = features(part.column(1).to_pylist(), bits)
                 margin = bias + np.bincount(doc, weights[index] * value, part.num_rows)
                 found = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(found)], names=names)
 
     schema = kept.schema.add("score", "double")
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *keep: str, folds: int = 5) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from graphloom.llm.common import chunked
+from graphloom.llm.common import chunked, only_cache, tidy
 
 WINDOW, GRAM = 50, 16
 CHUNK_BYTES = 4 << 20
@@ -120,6 +120,7 @@ class Chunk:
     """A chunk's documents, its anchors and its distinct entries (bucket, anchor, context), in a fixed order."""
 
     def __init__(self, table: pa.Table, buckets: int, window: int, gram: int):
+        only_cache("repeats", _POWERS.clear)
         data = table.column("text").cast(pa.large_binary()).combine_chunks()
         self.raw = b"".join(data.to_pylist())
         self.ids = table.column("doc_id").to_pylist()
@@ -321,15 +322,20 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, chunk_
     by_chunk = texts.groupBy("chunk")
 
     def first(rows: pa.Table) -> pa.Table:
-        return send_entries(Chunk(rows, buckets, window, gram), rows.column("chunk")[0].as_py())
+        out = send_entries(Chunk(rows, buckets, window, gram), rows.column("chunk")[0].as_py())
+        tidy()
+        return out
 
     def third(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return SENT.empty_table()
-        return send_contexts(Chunk(rows, buckets, window, gram), rows.column("chunk")[0].as_py(), back, window)
+        out = send_contexts(Chunk(rows, buckets, window, gram), rows.column("chunk")[0].as_py(), back, window)
+        tidy()
+        return out
 
     def last(rows: pa.Table, back: pa.Table) -> pa.Table:
         out = finish(Chunk(rows, buckets, window, gram), back, window) if rows.num_rows else KEPT.empty_table()
+        tidy()
         return finisher(out, rows) if finisher else out
 
     sent = by_chunk.applyInArrow(first, ddl(SENT))

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, materialize, whole_texts
-from graphloom.llm.components import components, forest
+from graphloom.llm.common import hash_sample, materialize, only_cache, small_slices, tidied, tidy, whole_texts
+from graphloom.llm.components import components, forest, local_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
 FIT_ROWS = 20_000
@@ -69,12 +69,11 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
+            for part in small_slices(batch, 1, 64):
                 found = majority([shingle_hashes(t, words, seed) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"])
 
-    return whole_texts(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    return whole_texts(docs).mapInArrow(tidied(run), "doc_id long, fingerprint long")
 
 
 def bit_parts(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -201,8 +200,8 @@ def hamming_links(distinct: DataFrame, radius: int) -> DataFrame:
             a, b = links_within(part, key.view(np.uint64), fps.view(np.uint64), probe.astype(bool), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
-    dealt = distinct.select("fingerprint").mapInArrow(keys, "part int, key long, fingerprint long, probe boolean").repartition(shuffles, "part", "key")
-    return dealt.mapInArrow(match, "u long, v long")
+    dealt = distinct.select("fingerprint").mapInArrow(tidied(keys), "part int, key long, fingerprint long, probe boolean").repartition(shuffles, "part", "key")
+    return dealt.mapInArrow(tidied(match), "u long, v long")
 
 
 def simhash_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -224,12 +223,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 #: Odds of missing a pair at the similarity bound.
 MISS = 0.01
-#: A bucket of up to so many rows has all its pairs verified; a longer one is verified along stars and chains.
+#: A bucket of up to so many rows is compared by shifts, a longer one block by block.
 ALL_PAIRS = 64
-CHAIN_EVERY = 8
 #: Ids that may be broadcast to pick out rows: at most this many 8-byte numbers.
 BROADCAST_IDS = 1_000_000
-CHECK_SLACK = 3.0
+#: Bytes of distinct texts in a block that verifies links.
+BLOCK_BYTES = 4 << 20
+#: Fingerprints that check a pair before its texts, and standard deviations around their expected distance at the bound.
+CHECKS = 4
+LOOSE, STRICT = 2.5, -1.5
 
 
 def agreement(similarity: float) -> float:
@@ -265,40 +267,152 @@ def wide_prints(hashes: list[list[int]], count: int) -> np.ndarray:
     return out
 
 
-def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of nodes that share a bucket and whose check fingerprints differ in at most ``most`` bits."""
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of links a-b that connect what all of them connect, with no link to spare (every part picks one, then they merge)."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    label, chosen = np.arange(len(nodes)), []
+    while True:
+        open_ = np.flatnonzero(label[x] != label[y])
+        if not len(open_):
+            return np.unique(np.concatenate(chosen)) if chosen else open_
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, label[x[open_]], open_)
+        np.minimum.at(best, label[y[open_]], open_)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        roots, low = local_labels(label[x[pick]], label[y[pick]])
+        merge = np.arange(len(nodes))
+        merge[roots] = low
+        label = merge[label]
+
+
+def bit_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
+
+
+def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, strict: int, loose: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that share a bucket, by the distance of their check fingerprints (rows x words).
+
+    All pairs are compared. Of those within strict, which are near-duplicates for all but certain, only links that connect
+    them stay; those within loose stay where strict ones don't connect their ends already.
+    """
     order = np.lexsort((node, key, part))
     part, key, node, check = part[order], key[order], node[order], check[order]
     new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
     size = np.diff(np.append(new, len(key)))
     group = np.repeat(np.arange(len(new)), size)
-    a, b = [], []
-    live = np.flatnonzero(size[group] > 1)
+    none = np.empty(0, np.int64)
+    near_a, near_b, far_a, far_b = [none], [none], [none], [none]
+
+    def add(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        s, r = d <= strict, (d > strict) & (d <= loose)
+        near_a.append(node[i[s]])
+        near_b.append(node[j[s]])
+        far_a.append(node[i[r]])
+        far_b.append(node[j[r]])
+        if sum(map(len, near_a)) > 500_000:
+            x, y = np.concatenate(near_a), np.concatenate(near_b)
+            keep = spanning(x, y)
+            near_a[:], near_b[:] = [x[keep]], [y[keep]]
+
+    live = np.flatnonzero((size[group] > 1) & (size[group] <= ALL_PAIRS))
     for d in range(1, ALL_PAIRS):
         live = live[live + d < len(key)]
-        live = live[(group[live] == group[live + d]) & ((size[group[live]] <= ALL_PAIRS) | (d == 1) & (part[live] % CHAIN_EVERY == 0))]
+        live = live[group[live] == group[live + d]]
         if not len(live):
             break
-        hit = live[np.bitwise_count(check[live] ^ check[live + d]) <= most]
-        a.append(node[hit])
-        b.append(node[hit + d])
+        add(live, live + d, bit_distance(check[live], check[live + d]))
     for g in np.flatnonzero(size > ALL_PAIRS):
-        left = np.arange(new[g], new[g] + size[g])
-        while len(left) > 1:  # stars around the smallest node, then around what it doesn't reach
-            near = np.bitwise_count(check[left] ^ check[left[0]]) <= most
-            a.append(np.full(int(near.sum()) - 1, node[left[0]]))
-            b.append(node[left[1:][near[1:]]])
-            left = left[~near]
-    if not a:
-        return node[:0], node[:0]
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-    both = both[both[:, 0] != both[:, 1]]
-    return both[:, 0], both[:, 1]
-
-
-def jaccard(a: str, b: str, words: int) -> float:
-    x, y = set(shingle_hashes(a, words)), set(shingle_hashes(b, words))
-    return len(x & y) / len(x | y) if x or y else 1.0
+        rows = np.arange(new[g], new[g] + size[g])
+        for i in range(0, len(rows), BLOCK // 2):
+            x = rows[i : i + BLOCK // 2]
+            for j in range(i, len(rows), BLOCK // 2):
+                y = rows[j : j + BLOCK // 2]
+                d = bit_distance(check[x][:, None, :], check[y][None, :, :])
+                p, q = np.nonzero(d <= loose)
+                ahead = y[q] > x[p]
+                p, q = p[ahead], q[ahead]
+                add(x[p], y[q], d[p, q])
+    a, b = np.concatenate(near_a), np.concatenate(near_b)
+    keep = spanning(a, b)
+    c, d = np.concatenate(far_a), np.concatenate(far_b)
+    if len(keep) and len(c):
+        roots, low = local_labels(a[keep], b[keep])
+        name = lambda z: np.where(roots[np.minimum(np.searchsorted(roots, z), len(roots) - 1)] == z, low[np.minimum(np.searchsorted(roots, z), len(roots) - 1)], z)
+        apart = name(c) != name(d)
+        c, d = c[apart], d[apart]
+    pairs = np.stack([np.concatenate([a[keep], c]), np.concatenate([b[keep], d])], 1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def by_block(a: np.ndarray, b: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block of a, ends a, ends b) of links, packed by block: what travels is a row per block, not per link."""
+    block = a.view(np.uint64) % np.uint64(blocks)
+    order = np.argsort(block, kind="stable")
+    cuts = np.searchsorted(block[order], np.arange(blocks + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[k] : cuts[k + 1]]
+        yield k, a[at], b[at]
+
+
+def unpacked(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(rows.column(n).to_pylist()), np.int64) for n in names]
+
+
+def verified_links(packs: DataFrame, texts: DataFrame, blocks: int, words: int, similarity: float) -> DataFrame:
+    """(u, v): links of packs(block, us, vs) whose texts(block, node, text) are similar enough, as far as they connect.
+
+    A block of texts sends each text once to every other block that asks for it, whatever the number of its links there.
+    """
+    sent = pa.schema([("block", pa.int32()), ("us", pa.binary()), ("vs", pa.binary()), ("nodes", pa.binary()), ("texts", pa.list_(pa.string()))])
+    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def send(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return sent.empty_table()
+        u, v = np.unique(np.stack(unpacked(asked, "us", "vs"), 1), axis=0).T
+        text = dict(zip(own.column("node").to_pylist(), own.column("text").to_pylist(), strict=True))
+        rows = []
+        for k, b, a in by_block(np.ascontiguousarray(v), np.ascontiguousarray(u), blocks):
+            need = np.unique(a)
+            rows.append((k, a.tobytes(), b.tobytes(), need.tobytes(), [text[n] for n in need.tolist()]))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(sent)], schema=sent)
+
+    def check(came: pa.Table, own: pa.Table) -> pa.Table:
+        text = dict(zip(own.column("node").to_pylist(), own.column("text").to_pylist(), strict=True))
+        sets: dict[int, frozenset] = {}
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        out = []
+        for row in range(came.num_rows):
+            us, vs, nodes = (np.frombuffer(came.column(c)[row].as_py(), np.int64).tolist() for c in ("us", "vs", "nodes"))
+            theirs = {n: frozenset(shingle_hashes(t, words)) for n, t in zip(nodes, came.column("texts")[row].as_py(), strict=True)}
+            for u, v in zip(us, vs, strict=True):
+                a, b = find(u), find(v)
+                if a == b:
+                    continue
+                if v not in sets:
+                    sets[v] = frozenset(shingle_hashes(text[v], words))
+                x, y = theirs[u], sets[v]
+                both = len(x & y)
+                if not x and not y or both >= similarity * (len(x) + len(y) - both):
+                    root[a] = b
+                    out.append((u, v))
+        del sets, text
+        tidy()
+        return pa.Table.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], schema=links)
+
+    dealt = texts.groupBy("block")
+    asked = packs.groupBy("block").cogroup(dealt).applyInArrow(send, "block int, us binary, vs binary, nodes binary, texts array<string>")
+    return asked.groupBy("block").cogroup(dealt).applyInArrow(check, "u long, v long")
 
 
 def picked(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
@@ -311,62 +425,60 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """(doc_id, node, component_id): documents linked by word-shingle sets with at least that Jaccard similarity.
 
     Fingerprints of several remixed hashes are cut into parts of correlated bits; parts have threshold 0 and are as many as
-    recall asks for. Candidates pass a check of a fingerprint of their own and then the exact similarity of whole texts.
-    node stands for one distinct text; equal texts are one node. A bucket above ``ALL_PAIRS`` rows, as a large group of near
-    copies makes it, is verified along stars and chains of its candidates, which join the group without all its pairs.
+    recall asks for. Candidates pass a check of fingerprints of their own and then the exact similarity of whole texts.
+    node stands for one distinct text; equal texts are one node. Near copies beyond doubt are verified along links that
+    connect them, not in all pairs (see candidate_pairs).
     """
     spark = docs.sparkSession
     texts = whole_texts(docs).withColumn("node", F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)))
-    nodes = materialize(texts.groupBy("node").agg(F.min("doc_id").alias("least")))
+    nodes = materialize(texts.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("bytes")))
     n = nodes.count()
+    blocks = int(max(64, -(-(nodes.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES)))
     bits, parts = layout(n, similarity)
     per_word = 64 // bits
-    prints = -(-parts // per_word) + 1
+    prints = -(-parts // per_word) + CHECKS
     p = agreement(similarity)
-    most = int(64 * (1 - p) + CHECK_SLACK * np.sqrt(64 * p * (1 - p)))
+    strict, loose = (int(64 * CHECKS * (1 - p) + x * np.sqrt(64 * CHECKS * p * (1 - p))) for x in (STRICT, LOOSE))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("simhash", list)
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                own = batch.slice(low, 64)
+            for own in small_slices(batch, 1, 64):
                 found = wide_prints([shingle_hashes(t, words) for t in own.column(1).to_pylist()], prints)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "prints"])
 
-    rows = materialize(texts.select("node", "text").mapInArrow(wide, "node long, prints binary").dropDuplicates(["node"]))
+    rows = materialize(texts.select("node", "text").mapInArrow(tidied(wide), "node long, prints binary").dropDuplicates(["node"]))
     sample = [np.frombuffer(r.prints, np.uint64) for r in hash_sample(rows, FIT_ROWS // 10, n, "node").collect()]
-    layouts = [bit_parts(np.array([x[k] for x in sample], np.uint64), per_word) for k in range(1, prints)]
-    plan = [(k, part[:bits]) for k, of in enumerate(layouts, 1) for part in of][:parts]
+    layouts = [bit_parts(np.array([x[k] for x in sample], np.uint64), per_word) for k in range(CHECKS, prints)]
+    plan = [(k, part[:bits]) for k, of in enumerate(layouts, CHECKS) for part in of][:parts]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 own = batch.slice(low, 2000)
                 found = np.frombuffer(b"".join(own.column(1).to_pylist()), np.uint64).reshape(-1, prints)
-                check = pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64))
+                check = pa.array([x.tobytes() for x in found[:, :CHECKS]], pa.binary())
                 for i, (k, part) in enumerate(plan):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(values(found[:, k], part).astype(np.int32)), own.column(0), check], names=["part", "key", "node", "chk"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
+        got = [(*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
         if got:
             part, key, node, check = (np.concatenate(c) for c in zip(*got, strict=True))
-            a, b = candidate_pairs(part, key, node, check.view(np.uint64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
-
-    dealt = rows.mapInArrow(keys, "part int, key int, node long, chk long").repartition(shuffles, "part", "key")
-    pairs = materialize(dealt.mapInArrow(match, "u long, v long").distinct())
-    ends = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
-    whole = materialize(picked(texts.select("node", "text"), ends, "node", "left_semi").dropDuplicates(["node"]))
+            packs = list(by_block(*candidate_pairs(part, key, node, check, strict, loose), blocks))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in packs], pa.int32()), pa.array([u.tobytes() for _, u, _ in packs], pa.binary()), pa.array([v.tobytes() for _, _, v in packs], pa.binary())], names=["block", "us", "vs"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, x, y = (batch.column(c).to_pylist() for c in ("u", "v", "x", "y"))
-            keep = [i for i in range(len(u)) if jaccard(x[i], y[i], words) >= similarity]
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], names=["u", "v"])
-
-    both = pairs.join(whole.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(whole.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-    links = materialize(both.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(unpacked(pa.Table.from_batches([batch]), "us", "vs"))))], names=["node"])
+
+    dealt = rows.mapInArrow(tidied(keys), "part int, key int, node long, chk binary").repartition(shuffles, "part", "key")
+    packs = materialize(dealt.mapInArrow(tidied(match), "block int, us binary, vs binary"))
+    linked = materialize(packs.mapInArrow(ends, "node long").distinct())
+    whole = picked(texts.select("node", "text"), linked, "node", "left_semi").dropDuplicates(["node"])
+    block = F.expr(f"cast(mod(cast(node as decimal(20,0)) + if(node < 0, 18446744073709551616, 0), {blocks}) as int)")
+    links = materialize(verified_links(packs, whole.select(block.alias("block"), "node", "text"), blocks, words, similarity))
     classes = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id", "least")

@@ -69,13 +69,24 @@ def test_near_dedup_stage_against_brute_force(spark):
     assert len(got) <= len(want) + 1, (set(got) - set(want))
 
 
-def test_candidates_of_long_buckets_stay_connected():
+def test_candidate_pairs_lose_no_link():
     import numpy as np
 
-    node = np.arange(500)
-    check = np.zeros(500, np.uint64)
-    a, b = simhash.candidate_pairs(np.zeros(500, np.int32), np.zeros(500, np.int32), node, check, 3)
-    assert len(a) < 5 * 500 and set(a) | set(b) == set(node.tolist())
+    from graphloom.llm.components import local_labels
+
+    rng = np.random.default_rng(1)
+    check = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)[rng.integers(0, 12, 700)]
+    for row in check:
+        for bit in rng.integers(0, 256, rng.integers(0, 30)):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    node = rng.permutation(700).astype(np.int64)
+    key = np.where(np.arange(700) < 400, 0, rng.integers(1, 20, 700))
+    a, b = simhash.candidate_pairs(np.zeros(700, np.int32), key, node, check, 20, 50)
+    want = [(node[i], node[j]) for i in range(700) for j in range(i) if key[i] == key[j] and simhash.bit_distance(check[i], check[j]) <= 50]
+    x, y = local_labels(*map(np.array, zip(*want, strict=True)))
+    p, q = local_labels(a, b)
+    assert (x == p).all() and (y == q).all(), "the pairs kept connect what all pairs connect"
+    assert len(a) < len(want) / 2 and {tuple(sorted(w)) for w in zip(a, b, strict=True)} <= {tuple(sorted(w)) for w in want}
 
 
 @pytest.fixture(scope="module")
