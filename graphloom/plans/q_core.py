@@ -89,7 +89,7 @@ def context_filter(t: Tables) -> DataFrame:
     return relational.of_edge_kinds(t.rel, ["IN_REGION", "IN_NATION"]).select("from_id", "to_id", "kind")
 
 
-@query("confidence_filter", "SELECT id, round(CASE WHEN confidence = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, confidence)) END, 6) AS c FROM ent WHERE CASE WHEN confidence = 0 THEN 1.0 ELSE confidence END >= 0.75")
+@query("confidence_filter", "SELECT id, round((CASE WHEN confidence = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, confidence)) END)::DOUBLE, 6) AS c FROM ent WHERE CASE WHEN confidence = 0 THEN 1.0 ELSE confidence END >= 0.75")
 def confidence_filter(t: Tables) -> DataFrame:
     return relational.confident(t.ent, 0.75).select("id", F.round(effective_confidence(F.col("confidence")), 6).alias("c"))
 

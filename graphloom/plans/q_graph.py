@@ -52,7 +52,7 @@ def shortest_path(t: Tables) -> DataFrame:
     return traverse.cheapest(e, "f7", 6).select("id", F.round("cost", 6).alias("cost"))
 
 
-@query("path_confidence", ", e AS (SELECT c.from_id, c.to_id, 0.5 + 0.1 * (b.size % 5) AS w FROM calls c JOIN fn b ON b.id = c.to_id) SELECT a.to_id AS mid, b.to_id AS id, round(least(a.w, b.w), 6) AS min_hop_confidence, round(greatest(a.w, b.w), 6) AS reference_conf FROM e a JOIN e b ON b.from_id = a.to_id WHERE a.from_id = 'f7'")
+@query("path_confidence", ", e AS (SELECT c.from_id, c.to_id, (0.5 + 0.1 * (b.size % 5))::DOUBLE AS w FROM calls c JOIN fn b ON b.id = c.to_id) SELECT a.to_id AS mid, b.to_id AS id, round(least(a.w, b.w), 6) AS min_hop_confidence, round(greatest(a.w, b.w), 6) AS reference_conf FROM e a JOIN e b ON b.from_id = a.to_id WHERE a.from_id = 'f7'")
 def path_confidence(t: Tables) -> DataFrame:
     e = t.calls.join(t.fn.select(F.col("id").alias("to_id"), "size"), "to_id").select("from_id", "to_id", (0.5 + 0.1 * (F.col("size") % 5)).alias("w"))
     both = e.where("from_id = 'f7'").alias("a").join(e.alias("b"), F.col("a.to_id") == F.col("b.from_id"))

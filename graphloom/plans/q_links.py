@@ -28,7 +28,7 @@ def grpc_link(t: Tables) -> DataFrame:
     return link.by_key(_client(t), _server(t))
 
 
-@query("import_link", "SELECT DISTINCT a.repo AS source_repo, b.repo AS target_repo, i.from_id, i.to_id, 1.0 AS confidence FROM imports i JOIN fn a ON a.id = i.from_id JOIN fn b ON b.id = i.to_id WHERE a.repo <> b.repo")
+@query("import_link", "SELECT DISTINCT a.repo AS source_repo, b.repo AS target_repo, i.from_id, i.to_id, 1.0::DOUBLE AS confidence FROM imports i JOIN fn a ON a.id = i.from_id JOIN fn b ON b.id = i.to_id WHERE a.repo <> b.repo")
 def import_link(t: Tables) -> DataFrame:
     r = t.fn.select("id", "repo")
     both = t.imports.join(r.select(F.col("id").alias("from_id"), F.col("repo").alias("source_repo")), "from_id").join(r.select(F.col("id").alias("to_id"), F.col("repo").alias("target_repo")), "to_id")
@@ -186,7 +186,7 @@ def label_link(t: Tables) -> DataFrame:
     return both.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), F.round(link.label_score(F.round(1.0 / F.col("d") + 0.3, 6)), 6).alias("score"))
 
 
-@query("string_link", """, x AS (SELECT DISTINCT regexp_extract(text, 'Licen[sc]e[a-z]*') AS lit, source AS repo FROM documents), y AS (SELECT lit, repo FROM x WHERE lit <> '') SELECT a.lit, a.repo AS source_repo, b.repo AS target_repo, 0.55 AS confidence FROM y a JOIN y b ON a.lit = b.lit AND a.repo < b.repo""")
+@query("string_link", """, x AS (SELECT DISTINCT regexp_extract(text, 'Licen[sc]e[a-z]*') AS lit, source AS repo FROM documents), y AS (SELECT lit, repo FROM x WHERE lit <> '') SELECT a.lit, a.repo AS source_repo, b.repo AS target_repo, 0.55::DOUBLE AS confidence FROM y a JOIN y b ON a.lit = b.lit AND a.repo < b.repo""")
 def string_link(t: Tables) -> DataFrame:
     y = t.documents.select(F.regexp_extract("text", r"Licen[sc]e[a-z]*", 0).alias("lit"), F.col("source").alias("repo")).where("lit <> ''").distinct()
     return y.alias("a").join(y.alias("b"), "lit").where("a.repo < b.repo").select("lit", F.col("a.repo").alias("source_repo"), F.col("b.repo").alias("target_repo"), F.lit(0.55).alias("confidence"))

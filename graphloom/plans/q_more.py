@@ -70,7 +70,7 @@ def endpoint_effects(t: Tables) -> DataFrame:
     return every.groupBy("endpoint").agg(F.count(F.when(F.col("key") % 3 == 0, 1)).alias("effectful"), F.count(F.lit(1)).alias("reached"))
 
 
-@query("candidate_confidence", "SELECT id, round(greatest(0.45, least(1.0, 0.6 - CASE WHEN start_line = 0 THEN 0.2 ELSE 0 END + CASE WHEN source_file <> '' THEN 0.1 ELSE 0 END - CASE WHEN subtype IN ('file', 'module') THEN 0.3 ELSE 0 END)), 6) AS score FROM ent WHERE kind <> 'SCOPE.Pattern'")
+@query("candidate_confidence", "SELECT id, round(greatest(0.45::DOUBLE, least(1.0, 0.6 - CASE WHEN start_line = 0 THEN 0.2 ELSE 0 END + CASE WHEN source_file <> '' THEN 0.1 ELSE 0 END - CASE WHEN subtype IN ('file', 'module') THEN 0.3 ELSE 0 END)), 6) AS score FROM ent WHERE kind <> 'SCOPE.Pattern'")
 def candidate_confidence(t: Tables) -> DataFrame:
     part = lambda c, v: F.when(c, v).otherwise(0.0)
     raw = 0.6 - part(F.col("start_line") == 0, 0.2) + part(F.col("source_file") != "", 0.1) - part(F.col("subtype").isin("file", "module"), 0.3)
