@@ -7,6 +7,9 @@ Buckets emit link counts per vector and a spanning forest, never all pairs. The
 the logarithm of the rows and the number of tables is chosen so that a pair at the threshold is missed with odds of
 at most ``MISS``. Buckets over ``BUCKET`` rows are dealt as a grid of block pairs over several tasks.
 
+Before vectors travel, longer sign signatures do: only vectors with a partner in some bucket within ``SLACK`` standard
+deviations of the expected distance at the threshold go on, which leaves out nearly all and loses practically none.
+
 Equal vectors are one row with a count. Defined results: vectors that are null, zero or hold null or non-finite
 components link with nothing and are kept; lengths that differ never link; repeated rows count as links of each other; an
 empty table gives an empty result; columns other than vec_id and embedding are ignored.
@@ -31,8 +34,13 @@ MISS = 0.005
 BUCKET = 4096
 BLOCK = 1024
 SEED = 29
+#: Bits of the longer signature, and how far beyond the expected distance at the threshold a partner may be.
+CHECK_BITS = 256
+SLACK = 6.0
 #: Known heavy buckets that may be broadcast, as a list of small numbers.
 HEAVY_ROWS = 10_000
+#: Ids of vectors with partners that may be broadcast: at most this many 8-byte numbers.
+BROADCAST_IDS = 1_000_000
 
 
 def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -48,6 +56,36 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs << np.arange(bits)).sum(2).astype(np.uint16)
 
 
+def with_partner(t: np.ndarray, key: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have another of their bucket (t, key) within that many bits."""
+    order = np.lexsort((key, t))
+    t, key, check = t[order], key[order], check[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (t[1:] != t[:-1])]))
+    size = np.diff(np.append(new, len(key)))
+    group = np.repeat(np.arange(len(new)), size)
+    hit = np.zeros(len(key), bool)
+    distance = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
+    live = np.flatnonzero((size[group] > 1) & (size[group] <= 64))
+    for d in range(1, 64):
+        live = live[live + d < len(key)]
+        live = live[group[live] == group[live + d]]
+        if not len(live):
+            break
+        near = live[distance(check[live], check[live + d]) <= most]
+        hit[near] = hit[near + d] = True
+    for g in np.flatnonzero(size > 64):
+        rows = np.arange(new[g], new[g] + size[g])
+        for i in range(0, len(rows), 256):
+            for j in range(i, len(rows), BLOCK):
+                x, y = rows[i : i + 256], rows[j : j + BLOCK]
+                p, q = np.nonzero(distance(check[x][:, None, :], check[y][None, :, :]) <= most)
+                p, q = p[x[p] != y[q]], q[x[p] != y[q]]
+                hit[x[p]] = hit[y[q]] = True
+    out = np.empty(len(key), bool)
+    out[order] = hit
+    return out
+
+
 class Links:
     """Link counts and a forest of the links of one partition's buckets."""
 
@@ -101,30 +139,57 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
     bits, tables = layout(distinct.count(), threshold)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
+    raw = np.dtype("<f4" if single else "<f8")  # a float's double goes back without change
+    most = int(CHECK_BITS * acos(threshold) / pi + SLACK * (CHECK_BITS * acos(threshold) / pi * (1 - acos(threshold) / pi)) ** 0.5)
+
+    def by_length(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                dims = np.array([len(x) for x in part.column(2)], np.int64)
+                dims = np.array([len(x) for x in part.column(column)], np.int64)
                 for dim in np.unique(dims).tolist():
-                    at = pa.array(np.flatnonzero(dims == dim))
-                    own = part.take(at)
-                    x = matrix(own.column(2))
-                    sig = signatures(x, bits, tables)
-                    raw = pa.array([r.tobytes() for r in x / np.linalg.norm(x, axis=1)[:, None]], pa.binary())
-                    sigs = pa.array([r.tobytes() for r in sig], pa.binary())
-                    for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array((dim << 16) + sig[:, t].astype(np.int64)), own.column(0), own.column(1), raw, sigs], names=["t", "key", "uid", "n", "unit", "sigs"])
-
-    entries = distinct.select("uid", "n", "embedding").mapInArrow(hashed, "t int, key long, uid long, n long, unit binary, sigs binary")
-    counts = distinct.select("uid", "n", "embedding").mapInArrow(lambda it: (b.select(["t", "key"]) for b in hashed(it)), "t int, key long")
-    heavy = materialize(counts.groupBy("t", "key").count().where(F.col("count") > bucket).select("t", "key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")))
+                    own = part.take(pa.array(np.flatnonzero(dims == dim)))
+                    yield dim, own, matrix(own.column(column))
+
+    def keys(dim: int, sig: np.ndarray, t: int) -> pa.Array:
+        return pa.array((dim << 16) + sig[:, t].astype(np.int64))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, own, x in by_length(batches, 1):
+            sig = signatures(x, bits, tables)
+            check = pa.array([r.tobytes() for r in np.packbits(x @ hyperplanes(dim, CHECK_BITS, SEED + 1) >= 0, axis=1)], pa.binary())
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), keys(dim, sig, t), own.column(0), check], names=["t", "key", "uid", "chk"])
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got)
+            check = np.frombuffer(b"".join(t.column("chk").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+            hit = with_partner(t.column("t").to_numpy(), t.column("key").to_numpy(), check, most)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("uid").to_numpy()[hit]))], names=["uid"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, own, x in by_length(batches, 2):
+            sig = signatures(x, bits, tables)
+            data = pa.array([r.tobytes() for r in x.astype(raw)], pa.binary())
+            sigs = pa.array([r.tobytes() for r in sig], pa.binary())
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), keys(dim, sig, t), own.column(0), own.column(1), data, sigs], names=["t", "key", "uid", "n", "data", "sigs"])
+
+    met = distinct.select("uid", "embedding").mapInArrow(sketched, "t int, key long, uid long, chk binary").repartition(shuffles, "t", "key")
+    near = materialize(met.mapInArrow(partners, "uid long").distinct())
+    few = near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rest = distinct.join(F.broadcast(near) if few else near, "uid", "left_semi").select("uid", "n", "embedding")
+    entries = rest.mapInArrow(hashed, "t int, key long, uid long, n long, data binary, sigs binary")
+    heavy = materialize(entries.groupBy("t", "key").count().where(F.col("count") > bucket).select("t", "key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")))
     many = heavy.count()
     if many:
         entries = entries.join(F.broadcast(heavy) if many <= HEAVY_ROWS else heavy, ["t", "key"], "left")
         own = F.pmod(F.col("uid"), F.coalesce("blocks", F.lit(1))).cast("int")
         entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        entries = entries.select("t", "key", "uid", "n", "unit", "sigs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        entries = entries.select("t", "key", "uid", "n", "data", "sigs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     else:
         entries = entries.select("*", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
 
@@ -134,7 +199,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
             return
         t = pa.Table.from_batches(got)
         num = {c: t.column(c).to_numpy() for c in ("t", "key", "uid", "n", "own", "i", "j")}
-        unit, sigs = t.column("unit").combine_chunks(), t.column("sigs").combine_chunks()
+        data, sigs = t.column("data").combine_chunks(), t.column("sigs").combine_chunks()
         order = np.lexsort((num["uid"], num["own"], num["j"], num["i"], num["key"], num["t"]))
         heads = np.ones(len(order), bool)
         heads[1:] = np.any([num[c][order][1:] != num[c][order][:-1] for c in ("t", "key", "i", "j")], axis=0)
@@ -145,7 +210,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
                 continue
             rows = order[s:e]
             at = pa.array(rows)
-            x = np.frombuffer(b"".join(unit.take(at).to_pylist()), np.float64).reshape(len(rows), -1)
+            x = np.frombuffer(b"".join(data.take(at).to_pylist()), raw).reshape(len(rows), -1).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1)[:, None]
             sig = np.frombuffer(b"".join(sigs.take(at).to_pylist()), np.uint16).reshape(len(rows), -1)
             uid, n, own = num["uid"][rows], num["n"][rows], num["own"][rows]
             table, i, j = int(num["t"][rows[0]]), int(num["i"][rows[0]]), int(num["j"][rows[0]])
