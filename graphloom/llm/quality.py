@@ -101,7 +101,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoc
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             index, value, y = rows[k]
-            i, x = np.append(index, size), np.append(value, 1.0)
+            i, x = np.append(index.astype(np.int64), size), np.append(value.astype(np.float64), 1.0)
             w = weight(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TR
 
     rows = picked.select("doc_id", "text", "y").mapInArrow(tidied(sparse), "doc_id long, y int, ids binary, vals binary").dropDuplicates(["doc_id"]).collect()  # at most train_rows sparse rows
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    return train([(np.frombuffer(r.ids, np.int32).astype(np.int64), np.frombuffer(r.vals, np.float32).astype(float), r.y) for r in rows], bits)
+    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in rows], bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, bits: int = BITS) -> DataFrame:
