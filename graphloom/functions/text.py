@@ -117,3 +117,36 @@ def cosine(a: Column, b: Column) -> Column:
 def similar(a: Column, b: Column) -> Column:
     """One minus edit distance over the longer length."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+#: License names as they are written, and their SPDX identifiers.
+SPDX = {"apache 2": "Apache-2.0", "apache 2.0": "Apache-2.0", "apache license 2.0": "Apache-2.0", "apache-2.0": "Apache-2.0", "bsd": "BSD-3-Clause", "bsd-3-clause": "BSD-3-Clause", "bsd-2-clause": "BSD-2-Clause", "gpl": "GPL-3.0", "gpl-3.0": "GPL-3.0", "gplv3": "GPL-3.0", "gplv2": "GPL-2.0", "isc": "ISC", "lgpl": "LGPL-3.0", "mit": "MIT", "mit license": "MIT", "mpl-2.0": "MPL-2.0"}
+
+
+def spdx(c: Column) -> Column:
+    """SPDX identifier of a license name; null where it is unknown."""
+    table = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    return F.try_element_at(table, F.lower(F.trim(c)))
+
+
+def license_severity(c: Column) -> Column:
+    """What a dependency's SPDX license means for a permissive project."""
+    return F.when(c.rlike("^A?GPL"), "error").when(c.rlike("^(LGPL|MPL|EPL)"), "warn").when(c.isNotNull(), "info").otherwise("unknown")
+
+
+def migration_version(c: Column) -> Column:
+    """Sequence key of a migration's file name: timestamp_, V1.2__, 0001_ and 000001_x.up.sql styles; null for others."""
+    stamp, flyway, number = F.regexp_extract(c, r"^([0-9]{14})_", 1), F.regexp_extract(c, r"^V([0-9]+(?:[._][0-9]+)*)__", 1), F.regexp_extract(c, r"^([0-9]{3,6})_", 1)
+    return F.when(stamp != "", stamp).when(flyway != "", F.replace(flyway, F.lit("_"), F.lit("."))).when(number != "", number)
+
+
+def humanised(seconds: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago."""
+    ago = lambda n, unit: F.concat(F.floor(seconds / n).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, ago(60, "m ago")).when(seconds < 86400, ago(3600, "h ago")).otherwise(ago(86400, "d ago"))
+
+
+def muted(ts: Column, start_hour: int, end_hour: int) -> Column:
+    """Whether a time lies in a daily window, which may pass midnight."""
+    h = F.hour(ts)
+    return (h >= start_hour) & (h < end_hour) if start_hour <= end_hour else (h >= start_hour) | (h < end_hour)

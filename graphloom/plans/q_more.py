@@ -81,3 +81,46 @@ def candidate_confidence(t: Tables) -> DataFrame:
 def repair_verification(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     return t.orders.select(k.alias("id"), F.when(k % 13 == 0, "R7").when(k % 11 == 0, "R6").when((k % 3 == 0) & (k % 2 == 1), "R2").when(F.col("o_custkey") % 5 == 0, "R3").otherwise("ok").alias("rule"))
+
+
+@query("spdx_normalise", "SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'GPL-3.0' WHEN 3 THEN 'MPL-2.0' END AS spdx, CASE p_size % 5 WHEN 0 THEN 'info' WHEN 1 THEN 'info' WHEN 2 THEN 'error' WHEN 3 THEN 'warn' ELSE 'unknown' END AS severity FROM part")
+def spdx_normalise(t: Tables) -> DataFrame:
+    from graphloom.functions import text
+
+    name = F.element_at(F.array(*[F.lit(x) for x in ("MIT License", " apache 2.0", "GPLv3", "MPL-2.0", "Own")]), (F.col("p_size") % 5 + 1).cast("int"))
+    found = text.spdx(name)
+    return t.part.select(F.col("p_partkey").alias("id"), found.alias("spdx"), text.license_severity(found).alias("severity"))
+
+
+@query("migration_names", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '202401010000' || lpad((p_partkey % 60)::VARCHAR, 2, '0') WHEN 1 THEN (p_partkey % 9)::VARCHAR || '.' || (p_size % 7) WHEN 2 THEN lpad((p_partkey % 1000)::VARCHAR, 4, '0') END AS version FROM part")
+def migration_names(t: Tables) -> DataFrame:
+    from graphloom.functions import text
+
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    name = F.when(s % 4 == 0, F.concat(F.lit("202401010000"), pad(k % 60, 2), F.lit("_add.rb"))).when(s % 4 == 1, F.concat(F.lit("V"), (k % 9).cast("string"), F.lit("_"), (s % 7).cast("string"), F.lit("__x.sql"))).when(s % 4 == 2, F.concat(pad(k % 1000, 4), F.lit("_auto.py"))).otherwise("readme.md")
+    return t.part.select(k.alias("id"), text.migration_version(name).alias("version"))
+
+
+@query("humanised_age", ", a AS (SELECT event_id, floor(epoch(TIMESTAMP '2024-01-31 00:00:00' - ts))::BIGINT AS s, extract('hour' FROM ts) AS h FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age, h >= 22 OR h < 6 AS muted FROM a")
+def humanised_age(t: Tables) -> DataFrame:
+    from graphloom.functions import text
+
+    s = F.floor((F.unix_micros(F.lit("2024-01-31").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6)
+    return t.events.select("event_id", text.humanised(s).alias("age"), text.muted(F.col("ts"), 22, 6).alias("muted"))
+
+
+@query("significant_figures", "SELECT o_orderkey AS id, CASE WHEN x = 0 THEN 0.0 ELSE round(x / 10 ^ floor(log10(abs(x))), 2) * 10 ^ floor(log10(abs(x))) END AS value FROM (SELECT o_orderkey, o_totalprice / 1e7 AS x FROM orders) y")
+def significant_figures(t: Tables) -> DataFrame:
+    from graphloom.operators import rank
+
+    return t.orders.select(F.col("o_orderkey").alias("id"), rank.significant(F.col("o_totalprice") / 1e7, 3).alias("value"))
+
+
+@query("health_history", "SELECT day, round(100 - 20.0 * e / n, 6) AS health, round(100 - 20.0 * e / n - lag(100 - 20.0 * e / n) OVER (ORDER BY day), 6) AS delta FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1) x ORDER BY day DESC LIMIT 30")
+def health_history(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    daily = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))  # a row per day
+    h = 100 - 20.0 * F.col("e") / F.col("n")
+    return daily.select("day", F.round(h, 6).alias("health"), F.round(h - F.lag(h).over(Window.orderBy("day")), 6).alias("delta")).orderBy(F.desc("day")).limit(30)
