@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in names.
-STOP_WORDS = ("the", "and", "for", "with", "get", "set", "test", "tests", "spec", "specs", "index", "main", "init", "util", "utils", "src", "lib", "id")
+STOP_WORDS = ("", "a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with", "go", "py", "js", "ts", "tsx", "jsx", "java", "rb", "src", "lib", "pkg", "main", "init", "new", "impl", "util", "utils", "test", "tests", "spec", "specs", "id", "py_")
+
+#: Architectural layers by words in a path, in order.
+LAYERS = (("controller", "controller|handler|rest|api|resource"), ("service", "service|business|logic|usecase|application"), ("repository", "repository|repo|dao|store|persistence"), ("domain", "domain|model|entity|aggregate|valueobject"), ("infrastructure", "infra|infrastructure|adapter|config|configuration"))
 
 
 def name_tokens(c: Column) -> Column:
@@ -150,3 +153,12 @@ def muted(ts: Column, start_hour: int, end_hour: int) -> Column:
     """Whether a time lies in a daily window, which may pass midnight."""
     h = F.hour(ts)
     return (h >= start_hour) & (h < end_hour) if start_hour <= end_hour else (h >= start_hour) | (h < end_hour)
+
+
+def layer(path: Column) -> Column:
+    """Architectural layer of a path: the first of LAYERS that has a word in it, else unknown."""
+    low = F.lower(path)
+    out = F.lit("unknown")
+    for name, words in reversed(LAYERS):
+        out = F.when(low.rlike(words), name).otherwise(out)
+    return out

@@ -37,10 +37,12 @@ def code_patterns(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", "role", n(F.lower("text"), r"\b(join|select|from|where)\b").alias("sql_words"), n("text", r"\b(TODO|FIXME|HACK)\b").alias("markers"), n("text", "https?://[^ ]+").alias("urls"))
 
 
-@query("layer_classifier", "SELECT layer, count(*) AS n FROM (SELECT CASE WHEN is_test THEN 'test' WHEN kind = 'http_endpoint_definition' THEN 'api' WHEN kind = 'SCOPE.Component' THEN 'domain' WHEN contains(source_file, 'economy') THEN 'data' ELSE 'service' END AS layer FROM fn) x GROUP BY 1")
+@query("layer_classifier", "SELECT layer, count(*) AS n FROM (SELECT CASE p_size % 6 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'repository' WHEN 3 THEN 'domain' WHEN 4 THEN 'infrastructure' ELSE 'unknown' END AS layer FROM part) x GROUP BY 1")
 def layer_classifier(t: Tables) -> DataFrame:
-    layer = F.when(F.col("is_test"), "test").when(F.col("kind") == "http_endpoint_definition", "api").when(F.col("kind") == "SCOPE.Component", "domain").when(F.col("source_file").contains("economy"), "data").otherwise("service")
-    return t.fn.groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+    from graphloom.functions import text
+
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("src/Handlers/x.py", "src/usecase/x.py", "lib/dao/x.py", "src/Model/x.py", "src/adapters/x.py", "src/other/x.py")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return t.part.groupBy(text.layer(folder).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("bounded_context", "SELECT split_part(source_file, '/', 1) || ':' || module AS context, count(*) AS entities, count(DISTINCT repo) AS repos FROM fn GROUP BY 1")
