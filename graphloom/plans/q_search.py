@@ -30,7 +30,7 @@ def split_camel(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.array_join(text.split_camel(_camel()), "|").alias("words"))
 
 
-@query("tokenize", f"SELECT p_partkey AS id, array_to_string(list_filter(string_split(lower({_SPLIT}), '_'), lambda x: length(x) > 1), '|') AS tokens FROM part")
+@query("tokenize", f"SELECT p_partkey AS id, array_to_string(list_filter(string_split(lower({_SPLIT}), '_'), lambda x: length(x) > 1 AND x NOT IN ('new', 'test', 'main', 'id')), '|') AS tokens FROM part")
 def tokenize(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.array_join(text.name_tokens(_camel()), "|").alias("tokens"))
 
@@ -153,7 +153,7 @@ def prefix_search(t: Tables) -> DataFrame:
 
 
 @query("community_names", """, b AS (SELECT module AS community, unnest(string_split_regex(lower(regexp_replace(name || '_' || replace(qualified_name, '.', '_') || '_' || regexp_extract(source_file, '([^/]*)$', 1), '([A-Za-z])([0-9])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS token FROM fn),
-f AS (SELECT community, token, count(*) AS tf FROM b WHERE length(token) > 1 AND token NOT IN ('the', 'and', 'for', 'with', 'py', 'test', 'tests', 'spec', 'specs', 'main', 'init', 'util', 'utils', 'src', 'lib', 'id') GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT community) AS n FROM f),
+f AS (SELECT community, token, count(*) AS tf FROM b WHERE length(token) > 1 AND token NOT IN ('the', 'and', 'for', 'with', 'new', 'py', 'test', 'tests', 'spec', 'specs', 'main', 'init', 'util', 'utils', 'src', 'lib', 'id') GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(DISTINCT community) AS n FROM f),
 s AS (SELECT community, token, row_number() OVER (PARTITION BY community ORDER BY round(tf * (ln((n + 1) / (df + 1)) + 1), 9) DESC, token) AS r FROM f JOIN d USING (token), n) SELECT community, string_agg(token, '-' ORDER BY r) AS name FROM s WHERE r <= 3 GROUP BY 1""")
 def community_names(t: Tables) -> DataFrame:
     return search.community_names(t.fn.select(F.col("module").alias("community"), "name", "qualified_name", "source_file"))
