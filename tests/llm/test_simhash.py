@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from graphloom.llm import simhash
