@@ -54,16 +54,20 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        # for words that the normaliser leaves alone and the pattern doesn't split: no normaliser, no pattern
+        self.plain = Tokenizer.from_str(tokenizer_json)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.bar = self._ids(SENTINEL)
         self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
+        return np.array((self.plain if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, words: set[str]) -> None:
         """Encode unseen words; one closing mark is taken off first, as a word and the same with a mark share their ids."""
@@ -77,20 +81,26 @@ class WordEncoder:
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if SENTINEL not in w]
+        letters = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "ÿ")]
+        done = set(letters)
+        self._encode_joined(letters, True)
+        self._encode_joined([w for w in words if w not in done and SENTINEL not in w], False)
         for w in words:
             if SENTINEL in w:
                 self.known[w] = self._ids(w).tobytes()
-        if not plain:
+
+    def _encode_joined(self, words: list[str], plain: bool) -> None:
+        """Many words by one call, with the sentinel between them."""
+        if not words:
             return
-        ids = self._ids(f" {SENTINEL} ".join(plain))
+        ids = self._ids(f" {SENTINEL} ".join(words), plain)
         cuts = np.flatnonzero(ids == self.bar[0]) if len(self.bar) == 1 else []
-        if len(cuts) != len(plain) - 1:
-            for w in plain:
+        if len(cuts) != len(words) - 1:
+            for w in words:
                 self.known[w] = self._ids(w).tobytes()
             return
         start = 0
-        for w, end in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
+        for w, end in zip(words, [*cuts.tolist(), len(ids)], strict=True):
             self.known[w] = ids[start:end].tobytes()
             start = end + 1
 
