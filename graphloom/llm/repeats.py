@@ -28,6 +28,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import chunked, only_cache, tidy
 
@@ -360,23 +361,21 @@ def repeats_digest(docs: DataFrame, **options) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated windows cut out of text; characters that lose a byte go whole. n_chars follows the text."""
-    names, text_type = docs.columns, docs.schema["text"].dataType
-    keep = tuple(c for c in names if c not in ("doc_id", "text"))
-    id_type = docs.schema["doc_id"].dataType
+    names = docs.columns
+    packed = docs.select("doc_id", "text", F.struct("*").alias("_row"))  # whatever the other columns are called
 
     def rewrite(kept: pa.Table, rows: pa.Table) -> pa.Table:
         text = [t.decode(errors="ignore") for t in kept.column("text").to_pylist()]
         cut = [len(s) > 0 for s in kept.column("starts").to_pylist()]
-        columns = []
+        columns, own = [], rows.column("_row").combine_chunks()
         for name in names:
             if name == "text":
                 columns.append(pa.array(text, pa.string()))
             elif name == "n_chars":
-                old = rows.column(name).to_pylist()
-                columns.append(pa.array([len(t) if c else n for t, c, n in zip(text, cut, old, strict=True)], rows.column(name).type))
+                old = own.field(name)
+                columns.append(pa.array([len(t) if c else n for t, c, n in zip(text, cut, old.to_pylist(), strict=True)], old.type))
             else:
-                columns.append(rows.column(name))
+                columns.append(own.field(name))
         return pa.Table.from_arrays(columns, names=list(names))
 
-    assert text_type.simpleString() == "string" and id_type.simpleString() in ("bigint", "int")
-    return find_repeats(docs, finisher=rewrite, schema=docs.schema, keep=keep, **options)
+    return find_repeats(packed, finisher=rewrite, schema=docs.schema, keep=("_row",), **options)

@@ -488,18 +488,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row kept of each group of near-duplicates: that with the smallest doc_id (null ids come last)."""
     last = (1 << 63) - 1
-    order = F.coalesce("doc_id", F.lit(last))
-    hashed = docs.withColumn("_node", F.xxhash64(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    order = F.coalesce("doc_id", F.lit(last)).alias("id")
+    node = F.xxhash64(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("node")
+    packed = docs.select(F.struct(order, node).alias("key"), F.struct("*").alias("row"))  # whatever the columns are called
     named = similar_documents(docs, words, similarity)
-    rows = materialize(named.select(order.alias("id"), "node", F.coalesce("component_id", F.lit(last)).alias("first")))
+    rows = materialize(named.select(order, "node", F.coalesce("component_id", F.lit(last)).alias("first")))
     # where one doc_id has several texts of its group, the smallest node stays
     stays = rows.where("id = first").groupBy("first").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
     kept = materialize(stays.select(F.col("first").alias("id"), "node", "n"))
-    goes = rows.select("id", "node").distinct().join(kept, ["id", "node"], "left_anti").select(F.struct("id", "node").alias("_key"))
-    out = picked(hashed.withColumn("_key", F.struct(order.alias("id"), F.col("_node").alias("node"))), materialize(goes), "_key", "left_anti")
-    again = materialize(kept.where("n > 1").select(F.struct("id", "node").alias("_key")))
+    goes = rows.select("id", "node").distinct().join(kept, ["id", "node"], "left_anti").select(F.struct("id", "node").alias("key"))
+    out = picked(packed, materialize(goes), "key", "left_anti")
+    again = materialize(kept.where("n > 1").select(F.struct("id", "node").alias("key")))
     if again.isEmpty():
-        return out.select(*docs.columns)
-    once = picked(out, again, "_key", "left_anti")
-    repeated = picked(out, again, "_key", "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != "text"]))).where("_k = 1")
-    return once.select(*docs.columns).union(repeated.select(*docs.columns))
+        return out.select("row.*")
+    w = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    one = picked(out, again, "key", "left_semi").withColumn("k", F.row_number().over(w)).where("k = 1")
+    return picked(out, again, "key", "left_anti").select("row.*").union(one.select("row.*"))

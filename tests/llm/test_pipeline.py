@@ -134,3 +134,13 @@ def test_empty_documents(spark, table_dir, tmp_path):
     docs = spark.read.parquet(f"{table_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, table_dir).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, table_dir):
+    clash = ("score", "row", "key", "node", "chunk", "bucket", "_row", "_text", "id", "first", "prints", "k", "n", "block", "u", "v")
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet").where("doc_id < 60").selectExpr("*", *[f"doc_id + {i} as {c}" for i, c in enumerate(clash)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, table_dir)
+        rows = docs.collect()
+        assert rows and all(r[c] == r.doc_id + i for r in rows for i, c in enumerate(clash))
+    assert corpus_pipeline.pack(spark, docs, table_dir).count() >= len(rows)

@@ -70,3 +70,20 @@ def test_shuffled_text_is_read_again_not_shuffled_again(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 2
+
+
+def test_very_long_documents(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2_600_000))
+    part = long[500_000:1_500_000]
+    rows = [(1, long, 0, 0), (2, "0" * 30 + part + "1" * 30, 0, 0), (3, "2" + part[10:400_000] + "3", 0, 0)]
+    got = {r.doc_id: r for r in repeats.repeats_digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 1_000_000, 399_990]
+    assert got[2].kept_sha256 == hashlib.sha256(b"0" * 30 + b"1" * 30).hexdigest() and got[3].n_spans == 1
+
+
+def test_text_rewriting_keeps_columns_and_characters(spark):
+    passage = "é" * 40 + "shared passage of sufficient length to repeat"
+    rows = [(1, passage, 5, 6), (2, "ü" + passage + "ö", None, 8), (3, None, 9, 9)]
+    out = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[1].text == passage and out[2].text == "üö" and out[3].text == "" and (out[2].chunk, out[2].bucket) == (None, 8)
