@@ -20,8 +20,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of at least quality.THRESHOLD)."""
     model = quality.fit(docs, load(spark, sf_dir, "labels"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.score(docs, model, *rest).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))  # whatever the other columns are called
+    return quality.score(rows, model, "row").where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
