@@ -57,5 +57,16 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_ann, op2_pii, op3_quality, op4_vector_dedup, op5_suffix_tree_lm, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)}
 
 
+#: All pairs and a closure: fit for the smallest tables only, and exact there.
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT k, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+p AS (SELECT a.k AS x, b.k AS y, a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.k <> b.k AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.id WHERE r.c < p.b),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), n AS (SELECT a, x, count(*) AS n_links FROM p GROUP BY 1, 2), l AS (SELECT a, max(n_links) AS n_links FROM n GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM embeddings LEFT JOIN l ON a = vec_id LEFT JOIN m ON id = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_vector_dedup": OP4_SQL}
