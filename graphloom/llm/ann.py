@@ -146,7 +146,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     rows = doubles(vectors)
     w = Window.partitionBy("embedding").orderBy("vec_id")
-    points = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most k + 1 ids
+    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    points = materialize(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))  # at most k + 1 ids
     sizes = {r.dim: r["count"] for r in points.groupBy(F.size("embedding").alias("dim")).count().collect()}  # a row per vector length
     trees: dict[int, Tree] = {}
     for dim, n in sizes.items():
