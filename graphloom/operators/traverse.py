@@ -92,3 +92,25 @@ def only_tests_inbound(nodes: DataFrame, edges: DataFrame, is_test: DataFrame) -
     inbound = edges.join(test, "from_id", "left").groupBy(F.col("to_id").alias("id")).agg(F.sum(F.when(F.col("t").isNull() & (F.col("kind") != "TESTS"), 1).otherwise(0)).alias("production"), F.count(F.lit(1)).alias("n"))
     out = nodes.select("id").join(inbound, "id", "left")
     return out.where(F.coalesce("production", F.lit(0)) == 0).select("id", F.when(F.col("n").isNull(), "isolated").otherwise("test_only_referenced").alias("reason"))
+
+
+def with_reversed(edges: DataFrame, kind: str) -> DataFrame:
+    """Edges, and those of one kind backwards as KIND_REVERSED, so that walks may go from an interface to what implements it."""
+    back = edges.where(F.col("kind") == kind).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit(f"{kind}_REVERSED").alias("kind"))
+    return edges.select("from_id", "to_id", "kind").union(back)
+
+
+def crosses(paths: DataFrame, repos: DataFrame) -> DataFrame:
+    """paths(path, hops) with the number of repos(id, repo) on them and whether that is more than one."""
+    steps = paths.withColumn("id", F.explode("path")).join(repos.select("id", "repo"), "id", "left")
+    return steps.groupBy("path", "hops").agg(F.count_distinct("repo").alias("repos")).withColumn("crosses_repos", F.col("repos") > 1)
+
+
+def import_aware(references: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
+    """(file, name, id, how): references(file, name) by the file's alias(file, alias, target), else by qualified name, else by a bare name that only one entity has."""
+    q = entities.select(F.col("qualified_name").alias("key"), F.col("id").alias("by_qualified"))
+    alias = aliases.select("file", F.col("alias").alias("name"), F.col("target").alias("key")).join(q, "key", "left").select("file", "name", F.col("by_qualified").alias("by_alias"))
+    bare = entities.groupBy(F.col("name")).agg(F.min("id").alias("by_name"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
+    out = references.join(alias, ["file", "name"], "left").join(q.withColumnRenamed("key", "name"), "name", "left").join(bare, "name", "left")
+    how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_qualified").isNotNull(), "qualified").when(F.col("by_name").isNotNull(), "bare").otherwise("unresolved")
+    return out.select("file", "name", F.coalesce("by_alias", "by_qualified", "by_name").alias("id"), how.alias("how"))

@@ -315,3 +315,38 @@ def migration_order(t: Tables) -> DataFrame:
     name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("_change.rb"))
     files = t.orders.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), name.alias("name"))
     return files.select("id", F.regexp_extract("name", r"^([0-9]{14})_", 1).alias("version"), F.lag("id").over(Window.orderBy("name")).alias("precedes"))
+
+
+@query("find_paths_cross_repo", ", e AS (SELECT from_id, to_id FROM calls UNION SELECT to_id, from_id FROM imports), s AS (SELECT from_id AS a FROM e WHERE from_id <> to_id ORDER BY from_id LIMIT 1), z AS (SELECT max(to_id) AS b FROM e WHERE from_id = (SELECT a FROM s) AND to_id <> from_id), r(path, last) AS (SELECT [a], a FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN e ON from_id = last WHERE len(path) < 4 AND NOT list_contains(path, to_id) AND last <> (SELECT b FROM z)) SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops, (SELECT count(DISTINCT repo) FROM fn WHERE list_contains(path, id)) > 1 AS crosses_repos FROM r WHERE last = (SELECT b FROM z)")
+def find_paths_cross_repo(t: Tables) -> DataFrame:
+    e = t.calls.withColumn("kind", F.lit("CALLS")).union(t.imports.distinct().withColumn("kind", F.lit("IMPLEMENTS")))
+    both = settled(traverse.with_reversed(e, "IMPLEMENTS").where("kind <> 'IMPLEMENTS'"))
+    start = both.where("from_id <> to_id").select("from_id").orderBy("from_id").first()[0]
+    end = both.where((F.col("from_id") == start) & (F.col("to_id") != start)).agg(F.max("to_id")).first()[0]
+    paths = traverse.simple_paths(both, start, end, 3)
+    return traverse.crosses(paths, t.fn).select(F.array_join("path", ">").alias("path"), "hops", "crosses_repos")
+
+
+@query("flow_list", ", s AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition' AND key % 100 = 0), r(path, last) AS (SELECT [id], id FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN calls ON from_id = last WHERE len(path) < 5 AND NOT list_contains(path, to_id)), w AS (SELECT path, len(path)::INT AS steps, path[1] || ' → ' || path[-1] AS label, (SELECT count(DISTINCT repo) FROM fn WHERE list_contains(path, id)) > 2 AS cross_stack FROM r WHERE len(path) = 5 OR NOT EXISTS (SELECT 1 FROM calls WHERE from_id = last AND NOT list_contains(path, to_id))) SELECT array_to_string(path, '>') AS path, steps, label, cross_stack, steps = 5 AS truncated FROM w WHERE steps >= 4 OR cross_stack ORDER BY steps DESC, label, path LIMIT 200")
+def flow_list(t: Tables) -> DataFrame:
+    flows = flow.chains(t.fn.where("kind = 'http_endpoint_definition' and key % 100 = 0"), t.calls, 5, 1)
+    counted = traverse.crosses(flows.withColumnRenamed("steps", "hops"), t.fn).withColumn("cross_stack", F.col("repos") > 2)
+    label = F.concat(F.element_at("path", 1), F.lit(" → "), F.element_at("path", -1)).alias("label")
+    shown = counted.where("hops >= 4 or cross_stack").select(F.array_join("path", ">").alias("path"), F.col("hops").alias("steps"), label, "cross_stack", (F.col("hops") == 5).alias("truncated"))
+    return shown.orderBy(F.desc("steps"), "label", "path").limit(200)
+
+
+@query("reachability_summary", "SELECT CASE WHEN count(*) FILTER (size % 7 <> 0) = 0 THEN 'not computed' ELSE 'computed' END AS state, count(*) FILTER (size % 7 <> 0 AND id IN (SELECT to_id FROM tests)) AS tested, count(*) FILTER (size % 7 <> 0 AND id NOT IN (SELECT to_id FROM tests)) AS orphan FROM fn WHERE kind = 'http_endpoint_definition'")
+def reachability_summary(t: Tables) -> DataFrame:
+    hit = t.tests.select(F.col("to_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    rows = t.fn.where("kind = 'http_endpoint_definition'").join(hit, "id", "left").select(F.when(F.col("size") % 7 != 0, F.coalesce("hit", F.lit(False))).alias("reachable"))
+    return rows.agg(F.when(F.max(F.col("reachable").isNotNull()), "computed").otherwise("not computed").alias("state"), F.count_if(F.col("reachable")).alias("tested"), F.count_if(~F.col("reachable")).alias("orphan"))
+
+
+@query("import_aware_resolution", ", a AS (SELECT source_file AS file, min('al' || (key % 9)) AS alias, min(qualified_name) AS target FROM fn WHERE key % 4 = 0 GROUP BY 1), x AS (SELECT DISTINCT source_file AS file, CASE key % 3 WHEN 0 THEN 'al' || (key % 9) WHEN 1 THEN qualified_name ELSE name END AS name FROM fn), b AS (SELECT name, min(id) AS id FROM fn GROUP BY name HAVING count(DISTINCT id) = 1) SELECT x.file, x.name, coalesce(f.id, q.id, b.id) AS id, CASE WHEN f.id IS NOT NULL THEN 'alias' WHEN q.id IS NOT NULL THEN 'qualified' WHEN b.id IS NOT NULL THEN 'bare' ELSE 'unresolved' END AS how FROM x LEFT JOIN a ON a.file = x.file AND a.alias = x.name LEFT JOIN fn f ON f.qualified_name = a.target LEFT JOIN fn q ON q.qualified_name = x.name LEFT JOIN b ON b.name = x.name")
+def import_aware_resolution(t: Tables) -> DataFrame:
+    k = F.col("key")
+    al = F.concat(F.lit("al"), (k % 9).cast("string"))
+    aliases = t.fn.where("key % 4 = 0").groupBy(F.col("source_file").alias("file")).agg(F.min(al).alias("alias"), F.min("qualified_name").alias("target"))
+    refs = t.fn.select(F.col("source_file").alias("file"), F.when(k % 3 == 0, al).when(k % 3 == 1, F.col("qualified_name")).otherwise(F.col("name")).alias("name")).distinct()
+    return traverse.import_aware(refs, aliases, t.fn)

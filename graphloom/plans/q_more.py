@@ -126,3 +126,13 @@ def health_history(t: Tables) -> DataFrame:
     daily = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))  # a row per day
     h = 100 - 20.0 * F.col("e") / F.col("n")
     return daily.select("day", F.round(h, 6).alias("health"), F.round(h - F.lag(h).over(Window.orderBy("day")), 6).alias("delta")).orderBy(F.desc("day")).limit(30)
+
+
+@query("overlay_staleness", "SELECT 'r' || user_id AS repo FROM events WHERE user_id % 3 <> 0 GROUP BY user_id HAVING max(event_id) <> max(CASE WHEN value < 60 THEN event_id END) OR count(*) FILTER (value < 60) = 0")
+def overlay_staleness(t: Tables) -> DataFrame:
+    from graphloom.streaming import incremental
+
+    repo = F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("repo")
+    stored = t.events.where("user_id % 3 <> 0").groupBy(repo).agg(F.max("event_id").alias("version"))
+    current = t.events.where("value < 60").groupBy(repo).agg(F.max("event_id").alias("version"))
+    return incremental.stale(stored, current)

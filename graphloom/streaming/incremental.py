@@ -46,3 +46,8 @@ def upsert_method(existing: DataFrame, incoming: DataFrame, rejected: DataFrame,
     key = ["source", "target", "method"]
     fresh = incoming.join(rejected.select(*key), key, "left_anti").dropDuplicates(["id"])
     return existing.where(F.col("method") != method).select(*incoming.columns).union(fresh.select(*incoming.columns))
+
+
+def stale(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """Repos whose inputs(repo, version) are gone or changed since an overlay was stored; a repo that is only new isn't among them."""
+    return stored.join(current, ["repo", "version"], "left_anti").select("repo")
