@@ -362,7 +362,8 @@ def repeats_digest(docs: DataFrame, **options) -> DataFrame:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with repeated windows cut out of text; characters that lose a byte go whole. n_chars follows the text."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct("*").alias("_row"))  # whatever the other columns are called
+    rest = [F.col(c) for c in names if c != "text"]
+    packed = docs.select("doc_id", "text", F.struct(*rest).alias("_row"))  # whatever the other columns are called
 
     def rewrite(kept: pa.Table, rows: pa.Table) -> pa.Table:
         text = [t.decode(errors="ignore") for t in kept.column("text").to_pylist()]
