@@ -424,7 +424,7 @@ def picked(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, component_id): documents linked by word-shingle sets with at least that Jaccard similarity.
 
-    Fingerprints of several remixed hashes are cut into parts of correlated bits; parts have threshold 0 and are as many as
+    Fingerprints of several remixed hashes, of each text's distinct shingles, are cut into parts of correlated bits; parts have threshold 0 and are as many as
     recall asks for. Candidates pass a check of fingerprints of their own and then the exact similarity of whole texts.
     node stands for one distinct text; equal texts are one node. Near copies beyond doubt are verified along links that
     connect them, not in all pairs (see candidate_pairs).
@@ -445,7 +445,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         only_cache("simhash", list)
         for batch in batches:
             for own in small_slices(batch, 1, 64):
-                found = wide_prints([shingle_hashes(t, words) for t in own.column(1).to_pylist()], prints)
+                found = wide_prints([list(set(shingle_hashes(t, words))) for t in own.column(1).to_pylist()], prints)  # similarity is of sets
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "prints"])
 
     rows = materialize(texts.select("node", "text").mapInArrow(tidied(wide), "node long, prints binary").dropDuplicates(["node"]))

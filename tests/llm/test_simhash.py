@@ -84,3 +84,14 @@ def test_components_and_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     one = spark.createDataFrame([(None, "a b c", "", 0), (4, "a b c", "", 0)], DOCS)
     assert {r.component_id for r in simhash.near_duplicates(one).collect()} == {4}
+
+
+def test_similarity_ignores_repeated_lines(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(20):
+        lines = [" ".join(word() for _ in range(10)) for _ in range(10)]
+        rows += [(2 * i, "\n".join(lines)), (2 * i + 1, "\n".join(lines[:5] + lines[5:6] * 31 + lines[6:]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
