@@ -291,11 +291,12 @@ def bit_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
 
 
-def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, strict: int, loose: int) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, strict: int, loose: int, held: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes that share a bucket, by the distance of their check fingerprints (rows x words).
 
-    All pairs are compared. Of those within strict, which are near-duplicates for all but certain, only links that connect
-    them stay; those within loose stay where strict ones don't connect their ends already.
+    All pairs are compared. Of those within strict, which are likely near-duplicates, only links that connect them come
+    first; those within loose come where strict ones don't connect their ends already. Every other pair lies inside one of the
+    groups of nodes that strict links connect; ``held`` gets these, for pairs_across() to offer what verification leaves apart.
     """
     order = np.lexsort((node, key, part))
     part, key, node, check = part[order], key[order], node[order], check[order]
@@ -337,8 +338,11 @@ def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check:
     a, b = np.concatenate(near_a), np.concatenate(near_b)
     keep = spanning(a, b)
     c, d = np.concatenate(far_a), np.concatenate(far_b)
+    roots, low = local_labels(a[keep], b[keep])
+    if held is not None:
+        by = np.argsort(low, kind="stable")
+        held += [g for g in np.split(roots[by], np.flatnonzero(np.diff(low[by])) + 1) if len(g) > 2]  # two nodes have one pair, offered
     if len(keep) and len(c):
-        roots, low = local_labels(a[keep], b[keep])
         name = lambda z: np.where(roots[np.minimum(np.searchsorted(roots, z), len(roots) - 1)] == z, low[np.minimum(np.searchsorted(roots, z), len(roots) - 1)], z)
         apart = name(c) != name(d)
         c, d = c[apart], d[apart]
@@ -347,6 +351,28 @@ def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check:
     return pairs[:, 0], pairs[:, 1]
 
 
+def pairs_across(node: np.ndarray, label: np.ndarray, check: np.ndarray, loose: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one group's nodes within loose whose labels differ, smaller node first, in lots of about ``most``."""
+    order = np.lexsort((node, label))
+    node, label, check = node[order], label[order], check[order]
+    a, b, n = [], [], 0
+    for i in range(0, len(node), BLOCK // 2):
+        x = slice(i, i + BLOCK // 2)
+        for j in range(i, len(node), BLOCK // 2):
+            y = slice(j, j + BLOCK // 2)
+            if label[x][0] == label[y][-1]:  # sorted: one label throughout
+                continue
+            p, q = np.nonzero((label[x][:, None] < label[y][None, :]) & (bit_distance(check[x][:, None, :], check[y][None, :, :]) <= loose))
+            a.append(np.minimum(node[x][p], node[y][q]))
+            b.append(np.maximum(node[x][p], node[y][q]))
+            n += len(p)
+            if n > most:
+                yield np.concatenate(a), np.concatenate(b)
+                a, b, n = [], [], 0
+    if n:
+        yield np.concatenate(a), np.concatenate(b)
+
+
 def by_block(a: np.ndarray, b: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(block of a, ends a, ends b) of links, packed by block: what travels is a row per block, not per link."""
     block = a.view(np.uint64) % np.uint64(blocks)
@@ -426,8 +452,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     Fingerprints of several remixed hashes, of each text's distinct shingles, are cut into parts of correlated bits; parts have threshold 0 and are as many as
     recall asks for. Candidates pass a check of fingerprints of their own and then the exact similarity of whole texts.
-    node stands for one distinct text; equal texts are one node. Near copies beyond doubt are verified along links that
-    connect them, not in all pairs (see candidate_pairs).
+    node stands for one distinct text; equal texts are one node. Likely near copies are verified along links that connect
+    them (see candidate_pairs); what stays apart then is verified in all its pairs, so no candidate is lost.
     """
     spark = docs.sparkSession
     texts = whole_texts(docs).withColumn("node", F.xxhash64(F.sha2(F.col("text").cast("binary"), 256)))
@@ -466,20 +492,55 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         got = [(*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
         if got:
             part, key, node, check = (np.concatenate(c) for c in zip(*got, strict=True))
-            packs = list(by_block(*candidate_pairs(part, key, node, check, strict, loose), blocks))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in packs], pa.int32()), pa.array([u.tobytes() for _, u, _ in packs], pa.binary()), pa.array([v.tobytes() for _, _, v in packs], pa.binary())], names=["block", "us", "vs"])
+            held: list[np.ndarray] = []
+            yield packed(*candidate_pairs(part, key, node, check, strict, loose, held))
+            for low in range(0, len(held), 1000):
+                own = [g.tobytes() for g in held[low : low + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary()), pa.array(own, pa.binary())], names=["block", "us", "vs", "held"])
+
+    def packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        packs = list(by_block(a, b, blocks))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in packs], pa.int32()), pa.array([u.tobytes() for _, u, _ in packs], pa.binary()), pa.array([v.tobytes() for _, _, v in packs], pa.binary()), pa.nulls(len(packs), pa.binary())], names=["block", "us", "vs", "held"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group)), pa.array(own)], names=["group", "node"])
+
+    def rematch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), np.frombuffer(b"".join(x[: 8 * CHECKS] for x in b.column(3).to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
+        if got:
+            group, node, label, check = (np.concatenate(c) for c in zip(*got, strict=True))
+            order = np.argsort(group, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                for a, b in pairs_across(node[at], label[at], check[at], loose):
+                    yield packed(a, b)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(unpacked(pa.Table.from_batches([batch]), "us", "vs"))))], names=["node"])
 
     dealt = rows.mapInArrow(tidied(keys), "part int, key int, node long, chk binary").repartition(shuffles, "part", "key")
-    packs = materialize(dealt.mapInArrow(tidied(match), "block int, us binary, vs binary"))
-    linked = materialize(packs.mapInArrow(ends, "node long").distinct())
-    whole = picked(texts.select("node", "text"), linked, "node", "left_semi").dropDuplicates(["node"])
+    found = materialize(dealt.mapInArrow(tidied(match), "block int, us binary, vs binary, held binary"))
     block = F.expr(f"cast(mod(cast(node as decimal(20,0)) + if(node < 0, 18446744073709551616, 0), {blocks}) as int)")
-    links = materialize(verified_links(packs, whole.select(block.alias("block"), "node", "text"), blocks, words, similarity))
-    classes = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def verify(packs: DataFrame) -> DataFrame:
+        linked = materialize(packs.mapInArrow(ends, "node long").distinct())
+        whole = picked(texts.select("node", "text"), linked, "node", "left_semi").dropDuplicates(["node"])
+        return materialize(verified_links(packs, whole.select(block.alias("block"), "node", "text"), blocks, words, similarity))
+
+    links = verify(found.where("block is not null").select("block", "us", "vs"))
+    joined = materialize(components(links))
+    # the pairs that candidate_pairs held back, where the links in their stead turned out too weak
+    held = found.where("held is not null").select(F.xxhash64("held").alias("group"), "held").dropDuplicates(["group"])
+    named = materialize(held.mapInArrow(members, "group long, node long").join(joined, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")))
+    split = named.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
+    again = named.join(split, "group", "left_semi").join(rows, "node").select("group", "node", "label", "prints")
+    packs = materialize(again.repartition(shuffles, "group").mapInArrow(tidied(rematch), "block int, us binary, vs binary, held binary").select("block", "us", "vs"))
+    if not packs.isEmpty():
+        joined = components(verify(packs).union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id", "least")
     return texts.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", "least")

@@ -95,3 +95,35 @@ def test_similarity_ignores_repeated_lines(spark):
         rows += [(2 * i, "\n".join(lines)), (2 * i + 1, "\n".join(lines[:5] + lines[5:6] * 31 + lines[6:]))]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(40)}
+
+
+def test_rejected_links_hide_no_true_pair(spark, monkeypatch):
+    """Variants of one text at a Jaccard similarity of about 0.77, each with one partner at about 0.87."""
+    monkeypatch.setattr(simhash, "STRICT", simhash.LOOSE)  # so that few texts show it: most strict links are false
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(2000)], []
+    for i in range(240):
+        if i % 2 == 0:
+            spots = rng.sample(range(5, 1990, 6), 27)
+        text = list(base)
+        for at in spots:
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: find(i) for i in range(len(rows))}
+    assert len(set(want.values())) > 50
+    assert sum(got[i] != want[i] for i in want) == 0
