@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     return rank.select("id", F.col("pr").alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, most_depth: int = 60) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, most_depth: int | None = None) -> DataFrame:
     """(id, betweenness): Brandes over all sources, or scaled over pivots (the smallest hashes of ids). Directed, unweighted.
 
-    State is one row per (source, node), aggregated each level; path counts are doubles, which don't overflow.
+    Paths of any length count unless the caller gives most_depth. State is one row per (source, node), aggregated each level; path counts are doubles, which don't overflow.
     """
     ids = settled(nodes.select("id").distinct())
     n = ids.count()
@@ -37,7 +39,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, m
     sources = ids if pivots is None or pivots >= n else ids.orderBy(F.xxhash64("id"), "id").limit(pivots)
     seen = settled(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
     deepest = 0
-    for depth in range(1, most_depth + 1):
+    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
         front = seen.where(F.col("depth") == depth - 1)
         new = front.join(pairs, front.id == pairs.from_id).groupBy("s", "to_id").agg(F.sum("paths").alias("paths")).withColumnRenamed("to_id", "id")
         new = new.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(depth).alias("depth"), "paths")

@@ -6,6 +6,8 @@ hub adds one row per neighbour and never a row per path, except where paths them
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct()
 
 
-def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int = 200) -> DataFrame:
-    """(id, depth) of all nodes within hops of sources(id); hops None runs until nothing new is found."""
+def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int | None = None) -> DataFrame:
+    """(id, depth) of all nodes within hops of sources(id); hops None runs until nothing new is found, and raises beyond most_rounds."""
     pairs = {"out": edges.select("from_id", "to_id"), "in": edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), "both": undirected(edges)}[direction]
     pairs = settled(pairs.distinct())
     seen = settled(sources.select("id").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, (hops if hops is not None else most_rounds) + 1):
+    for depth in count(1) if hops is None else range(1, hops + 1):
         front = seen.where(F.col("depth") == depth - 1)
         new = pairs.join(front, pairs.from_id == front.id, "left_semi").select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti")
         grown = settled(seen.union(new.withColumn("depth", F.lit(depth))))
         if hops is None and grown.where(F.col("depth") == depth).isEmpty():
             return grown
+        if hops is None and depth == most_rounds:
+            raise RuntimeError("reachability did not settle")
         seen = grown
     return seen
 

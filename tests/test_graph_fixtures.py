@@ -133,3 +133,10 @@ def test_results_do_not_depend_on_partitions(spark, n):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     kept = test_results_do_not_depend_on_partitions.__dict__.setdefault("kept", got)
     assert got == kept
+
+
+def test_unbounded_search_never_stops_short(spark):
+    chain = edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
+    assert traverse.bfs(chain, ids(spark, "n0"), None).count() == 7
+    with pytest.raises(RuntimeError):
+        traverse.bfs(chain, ids(spark, "n0"), None, most_rounds=3)
