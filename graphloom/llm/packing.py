@@ -12,6 +12,7 @@ an empty table gives no pieces; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,11 @@ END_ID = 1
 CACHE_WORDS = 800_000
 #: A word that the sentinel can stand beside without changing the split: pre-tokens never span a space.
 SENTINEL = "|"
-#: After a letter or digit each of these is a pre-token of its own at a word's end.
+#: After a Latin-1 letter or digit each of these is a pre-token of its own at a word's end.
 CLOSING = ".,;:!?"
+#: The normaliser and the split under which a word's ids don't depend on its neighbours.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 STREAM = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,11 +50,25 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+def by_words(tokenizer_json: str) -> bool:
+    """Whether the tokenizer normalises and splits as the word encoder takes it to."""
+    rules = json.loads(tokenizer_json)
+    normal, split = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    first, rest = split[0], [{k: v for k, v in x.items() if k != "trim_offsets"} for x in split[1:]]
+    return (
+        normal.get("normalizers") == NORMALIZERS
+        and first == {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        and rest == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+        and not any(rules.get(k) for k in ("truncation", "padding"))
+    )
+
+
 class WordEncoder:
     """ids of a text by its blank-separated words; a word's ids never depend on its neighbours.
 
     The pre-tokeniser never matches across white space and normalisation never composes across it, so
-    distinct words are encoded once by the tokenizers library and looked up afterwards.
+    distinct words are encoded once by the tokenizers library and looked up afterwards. A tokenizer with other
+    rules than NORMALIZERS and SPLIT encodes every text whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -58,6 +76,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        self.by_words = by_words(tokenizer_json)
         # for words that the normaliser leaves alone and the pattern doesn't split: no normaliser, no pattern
         self.plain = Tokenizer.from_str(tokenizer_json)
         self.plain.normalizer = None
@@ -72,7 +91,7 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Encode unseen words; one closing mark is taken off first, as a word and the same with a mark share their ids."""
         known = self.known
-        closed = [w for w in words if w[-1] in CLOSING and w[-2:-1].isalnum()]
+        closed = [w for w in words if w[-1] in CLOSING and w[-2:-1].isalnum() and w[-2] <= "ÿ"]
         words = words.difference(closed)
         words.update(w[:-1] for w in closed if w[:-1] not in known)
         words.update(w[-1] for w in closed if w[-1] not in known)
@@ -105,6 +124,8 @@ class WordEncoder:
             start = end + 1
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
