@@ -26,14 +26,69 @@ def docs(spark):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
-def test_pieces_are_true_boundaries():
+def spaced_texts():
+    """Every run of two or three white-space characters before a word, where a chunk may begin."""
+    blanks = [" ", "\xa0", "\x85", "\u2003", "\u2028", "\t", "\n", "\x1c"]
+    runs = [a + b for a in blanks for b in blanks] + [a + b + c for a in blanks[:5] for b in blanks[:5] for c in blanks[:5]]
+    return ["ab cd." * 15 + run + "word " + "xy z" * 20 for run in runs]
+
+
+def test_a_stitch_is_a_true_boundary_and_follows_no_white_space():
     pattern = regex.compile(P.PATTERN)
-    for text in filter(None, odd_texts()):
-        want = {m.start() for m in pattern.finditer(text)} | {len(text)}
+    for text in [t for t in odd_texts() if t] + spaced_texts():
+        want = {m.start() for m in pattern.finditer(text)}
         for chunk, overlap in ((64, 16), (200, 40), (1000, 300)):
-            got = byte_bpe.pieces(text, pattern, chunk, overlap)
-            assert "".join(got) == text
-            assert set(np.cumsum([len(x) for x in got]).tolist()) <= want
+            spans = byte_bpe.chunk_spans(len(text), chunk, overlap)
+            assert spans[0][0] == 0 and spans[-1][1] == len(text)
+            assert all(a[1] - b[0] >= overlap and b[1] > a[1] for a, b in zip(spans, spans[1:], strict=False))
+            found = [byte_bpe.marks(pattern, text[s:e], s, overlap) for s, e in spans]
+            for (_, last), (first, _) in zip(found, found[1:], strict=False):
+                if meet := sorted(set(first) & set(last)):
+                    assert not text[meet[0] - 1].isspace()
+            if all(set(a[1]) & set(b[0]) for a, b in zip(found, found[1:], strict=False)):
+                assert {min(set(a[1]) & set(b[0])) for a, b in zip(found, found[1:], strict=False)} <= want
+
+
+def fuzzed_texts(n: int):
+    rng = random.Random(19)
+    bits = ["ab", " ", "  ", "\n", "\xa0", "\x85", "\u2003", "é", "ß", "42", "'s", "'LL", "!!", "\t", "中文", "e\u0301", "İ", "İ.", "x\u0307,", "ǅ?", "ﬁ!", "Σ.", "|", "😀", "K;", "½:", "Ⅷ."]
+    return ["".join(rng.choices(bits, k=rng.randint(1, 60))) for _ in range(n)]
+
+
+def test_ten_thousand_fuzzed_texts_encode_as_the_libraries_do(spark):
+    texts = fuzzed_texts(10_000) + spaced_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    enc = byte_bpe.encoding(open(P.path(RANKS), "rb").read(), P.PATTERN)
+    for r in byte_bpe.encode(docs, P.path(RANKS), P.PATTERN, chunk=64, overlap=16).collect():
+        assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id]), repr(texts[r.doc_id])
+    raw = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    own, tok = packing.WordEncoder(raw), Tokenizer.from_str(raw)
+    tok.encode_special_tokens = True
+    assert own.by_words
+    for text, got in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(got, own.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_chunks_of_production_size(spark):
+    """A word after white space just where a chunk begins, in a text of several chunks; copies share the work."""
+    at = byte_bpe.CHUNK - byte_bpe.OVERLAP
+    head = ("lorem ipsum " * at)[: at - 2]
+    texts = [head + gap + "word " * 20_000 for gap in (" \xa0", " \x85", "\u2003 ")] + ["a" * 100_000, " " * 70_000, head + " \xa0" + "word " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    enc = byte_bpe.encoding(open(P.path(RANKS), "rb").read(), P.PATTERN)
+    rows = {r.doc_id: r for r in byte_bpe.encode(docs, P.path(RANKS), P.PATTERN, digest=True).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        assert rows[i].ids_sha256 == hashlib.sha256(np.array(enc.encode_ordinary(text), "<u4").tobytes()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_other_tokenizers_encode_whole_texts():
+    raw = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    own, tok = packing.WordEncoder(raw), Tokenizer.from_str(raw)
+    assert not own.by_words
+    texts = ["two  words here.", "", "é \n x"]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_encode_equals_the_library_and_round_trips(docs):
