@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from graphloom.llm import html_text
 
 PAGES = "page_id long, url string, html string, text string, path int"
@@ -37,3 +42,42 @@ def test_hosts_agree_and_odd_rows(spark):
     finally:
         html_text.BROADCAST_HOSTS = kept
     assert html_text.main_text(pages.limit(0)).count() == 0
+
+
+KEPT_NAMES = ["related-work", "notice-period", "comments-on-law", "menu-theory", "social-history", "header-files", "lead", ""]
+JUNK_NAMES = ["ad", "comments", "related-posts", "share-buttons", "cookie_banner", "newsletter-signup", "sidebar left", "comments-list-2"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages_give_back_their_article(seed):
+    """Brute force: the article's blocks are known, with names that hold listed words; junk lies between and around them."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choices(["alpha", "beta,", "gamma", "délta", "x &amp; y", "eta."], k=n))
+    blocks, want = [], []
+    for _ in range(rng.randint(3, 9)):
+        text = words(rng.randint(4, 30))
+        want.append(text.replace("&amp;", "&"))
+        name = rng.choice(KEPT_NAMES)
+        mark = f' {rng.choice(["class", "id"])}="{name}"' if name else ""
+        tag = rng.choice(["p", "section", "h2", "div"])
+        blocks.append(f"<{tag}{mark}>{text}</{tag}>")
+        if rng.random() < 0.5:
+            blocks.append(f'<div class="{rng.choice(JUNK_NAMES)}"><p>{words(9)}</p></div>')
+        if rng.random() < 0.3:
+            blocks.append(rng.choice(["<svg><path d='1'>", "<object data=x>", "<iframe src=y>", "<select><option>a", "<template>z", '<svg a="b>c">t</svg>', "<!-- x -->", "<script>var a='<p>';</script>"]))
+    body = "<article>" + "".join(blocks) + "</article>"
+    assert html_text.extract(page(body, f'<div class="sidebar">{words(40)}</div>'), None) == " ".join(" ".join(want).split())
+
+
+@pytest.mark.parametrize("unit", ['<a "', '<a ">"', "<a '\">", "<svg>", "<svg><p>", "<!", "<!--", "<a<a", "<div></section>", "</p>", "<div class='a", '<p class=" x="', "<script", "<title><", "< <a b=c d", "&amp"])
+def test_a_malformed_megabyte_is_read_in_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))  # a megabyte
+    began = time.process_time()
+    html_text.parse(text)
+    assert time.process_time() - began < 3, "quadratic time would be minutes"
+
+
+def test_deep_paths_stay_apart():
+    deep = "<div class=abcdefgh>" * 200
+    boxes, _ = html_text.parse(deep + "<p>One text, in a box of its own, here it is.</p></div><div class=other><p>Another, text.</p>")
+    assert len({b.path for b in boxes}) == len(boxes) and max(len(b.path) for b in boxes) <= html_text.MAX_PATH
