@@ -7,9 +7,12 @@ digits or last digits, equal local part of an address) are joined to it by skip
 that recurs a thousand times costs a thousand edges. Loopy sum-product passing spreads labels along both: a phone
 number written once with its country code makes its other spellings phone numbers too. Base spans are observed nodes.
 
-Weights are learned by pseudo-likelihood on at most ``FIT_DOCS`` documents that have candidates (smallest hashes of
-doc_id), with base spans as labels; half the nodes hide their formatting features, so that edges carry weight.
-A span is added where a label's marginal reaches ``SURE`` and no base span overlaps.
+All weights, those of edges included, are learned by pseudo-likelihood on at most ``FIT_DOCS`` documents that have candidates
+(smallest hashes of doc_id), and on at most ``FIT_NODES`` nodes of each (smallest hashes of position; their neighbours' labels come
+from the whole document). Labels are base spans and, for looser candidates, none; a candidate that resembles a base span is
+what the field is to decide, so it is neither a target nor a neighbour. Half the nodes hide their formatting features, so that edges
+carry weight. The field runs on every document that has looser candidates, and a span is added where a label's marginal
+reaches ``SURE`` and no base span overlaps.
 
 Defined results: null texts are empty and have no spans; repeated rows give a row each; an empty table gives an
 empty result; columns other than doc_id and text are ignored unless asked for; offsets are code points, ends exclusive.
@@ -30,6 +33,9 @@ from graphloom.llm.common import bounded_batches, hash_sample, tidied, whole_tex
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS = 3000
+FIT_NODES = 400
+#: Means of the Gaussian priors on the weights of chain and skip edges, which hold where a corpus says nothing about them.
+PRIOR = (0.0, 4.0)
 SURE = 0.9
 ROUNDS = 12
 
@@ -111,7 +117,7 @@ N_FORMAT, N_CONTEXT = 18, 16
 
 def node_features(text: str, s: int, e: int) -> np.ndarray:
     """Formatting features, then hashed context features and a constant."""
-    t = text[s : min(e, s + 200)]
+    t = text[s:e]
     digits = DIGITS.findall(t)
     n = len(digits)
     x = np.zeros(N_FORMAT + N_CONTEXT + 1)
@@ -138,10 +144,10 @@ def node_features(text: str, s: int, e: int) -> np.ndarray:
 
 def likeness(t: str) -> list[str]:
     """Keys under which a node resembles others."""
-    keys = ["t:" + t.lower()[:200]]
+    keys = ["t:" + t.lower()]
     if "@" in t:
-        keys.append("m:" + t.split("@")[0].lower()[:200])
-    digits = "".join(DIGITS.findall(t[:200]))
+        keys.append("m:" + t.split("@")[0].lower())
+    digits = "".join(DIGITS.findall(t))
     if len(digits) >= 7:
         keys += ["d:" + digits, "s:" + digits[-10:]]
     return keys
@@ -214,7 +220,7 @@ def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int]], np.ndarra
 
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     nodes, fixed, links = graph(text, base)
-    if not nodes or not base:
+    if not nodes:
         return []
     p = field.marginals(np.array([node_features(text, *n) for n in nodes]), fixed, links)
     best = p.argmax(1)
@@ -228,7 +234,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans by start, then kind)."""
     base = base_spans(text)
-    extra = added_spans(text, base, field) if base else []
+    extra = added_spans(text, base, field)
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -243,19 +249,24 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = base_spans(text)
-                every = sorted([(s, e, KINDS.index(k) + 1) for s, e, k in base] + [(s, e, 0) for s, e in candidates(text, base)])[:400]
+                every = sorted([(s, e, KINDS.index(k) + 1) for s, e, k in base] + [(s, e, 0) for s, e in candidates(text, base)])
                 if every:
-                    spans = [(s, e) for s, e, _ in every]
+                    spans, y = [(s, e) for s, e, _ in every], np.array([k for _, _, k in every], "<i4")
+                    known = {key for s, e, _ in base for key in likeness(text[s:e])}
+                    y[[k == 0 and not known.isdisjoint(likeness(text[s:e])) for s, e, k in every]] = -1  # the field's to decide
                     near = np.zeros((len(every), 2, len(KINDS) + 1))
                     for i, j, t in edges(text, spans):
-                        near[i, t, every[j][2]] += 1
-                        near[j, t, every[i][2]] += 1
-                    rows.append((doc, np.array([k for _, _, k in every], "<i4").tobytes(), np.array([node_features(text, s, e) for s, e in spans], "<f4").tobytes(), np.minimum(near, 3).astype("<f4").tobytes()))
+                        if y[i] >= 0 <= y[j]:
+                            near[i, t, y[j]] += 1
+                            near[j, t, y[i]] += 1
+                    at = np.flatnonzero(y >= 0)
+                    at = at[np.sort(np.argsort((at * 2654435761) & 0xFFFFFFFF, kind="stable")[:FIT_NODES])]
+                    rows.append((doc, y[at].tobytes(), np.array([node_features(text, *spans[i]) for i in at.tolist()], "<f4").tobytes(), np.minimum(near[at], 3).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)], names=["doc_id", "y", "x", "near"])
 
     rows = sorted(sample.mapInArrow(nodes_of, "doc_id long, y binary, x binary, near binary").collect(), key=lambda r: (r.doc_id, r.y))
     k, f = len(KINDS) + 1, N_FORMAT + N_CONTEXT + 1
-    theta, pair = np.zeros((k, f)), np.zeros(2)
+    theta, pair = np.zeros((k, f)), np.array(PRIOR)
     if rows:
         y = np.concatenate([np.frombuffer(r.y, "<i4") for r in rows])
         x = np.concatenate([np.frombuffer(r.x, "<f4").reshape(-1, f) for r in rows]).astype(float)
@@ -271,9 +282,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Field:
             d = (hot - p) / len(y)
             rate = 4.0 / (1 + step / 200)
             theta += rate * (d.T @ x - 1e-4 * theta)
-            pair += rate * (np.einsum("nk,ntk->t", d, near) - 1e-4 * pair)
-    # the prior on skips: nodes that resemble each other agree unless a document says otherwise
-    return Field(theta, float(np.clip(pair[0], -1, 0.5)), float(np.clip(pair[1], 4.0, 6.0)))
+            pair += rate * (np.einsum("nk,ntk->t", d, near) - 1e-4 * (pair - PRIOR))
+    return Field(theta, float(pair[0]), float(pair[1]))
 
 
 def joined(spans: list[Span]) -> str:

@@ -59,6 +59,7 @@ def test_field_adds_what_resembles_and_keeps_base(spark):
     assert "4251234567" not in [texts[1000][int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[1000].split(",")]
     assert got[1001] == got[1002] == got[1003] == ""
     masked = {r.doc_id: r.text for r in pii.redact(docs, field).collect()}
+    assert field.pair[1] > 2, "that alike nodes agree is learned, not set"
     assert masked[1000] == "call [PHONE] today, or [PHONE] tomorrow; 4251234567 parts" and masked[1001] is None
 
 
@@ -81,6 +82,21 @@ def test_message_passing_is_exact_on_a_tree():
     assert np.allclose(field.marginals(x, fixed, links), p / p.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_whole_strings_and_whole_documents_count(spark):
+    import numpy as np
+
+    long = "1" * 300
+    assert not set(pii.likeness(long + "2")) & set(pii.likeness(long + "3")) - {k for k in pii.likeness(long + "2") if k[0] == "s"}
+    # the field runs where no base span is: what it is sure of there comes out
+    theta = np.zeros((5, pii.N_FORMAT + pii.N_CONTEXT + 1))
+    theta[4, -1] = 9.0
+    assert pii.added_spans("call 425 555 9684", [], pii.Field(theta, 0.0, 0.0)) == [(5, 17, "phone")]
+    # late nodes of a document with more than FIT_NODES teach the weights too: they alone have base spans here
+    text = " ".join(f"x{i} {1000000 + i}" for i in range(600)) + " mail " + " ".join(f"u{i}@m{i}.example.com" for i in range(600))
+    field = pii.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert field.theta[1].max() > 0.5
+
+
 def test_empty(spark):
     docs = documents(spark).limit(0)
     assert pii.find(docs, pii.fit(docs)).count() == 0
