@@ -37,7 +37,7 @@ def documents(spark):
     for i in range(200):
         phone = f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
         mail = f"user{i}@mail.example.com"
-        rows.append((i, f"words call {phone} now or write {mail} and 10.0.{i % 250}.1 then {rng.randint(10**11, 10**12)} items", "c", 0))
+        rows.append((i, f"words call {phone} now or write {mail} and 10.0.{i % 250}.1 then {rng.randint(10**11, 10**12)} items" + f", or {phone} {mail}" * (i % 2), "c", 0))  # half repeat theirs: what skip edges learn from
     rows += [(1000, "call +1 (425) 555-9684 today, or (425) 555-9684 tomorrow; 4251234567 parts", "c", 0), (1001, None, "c", 0), (1002, "", "c", 0), (1003, "nothing here at all", "c", 0), (1003, "nothing here at all", "c", 0), (1004, "x " * 100_000 + "a@b.co", "c", 0), (1005, "1" * 50_000 + " @ " * 1000, "c", 0)]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
