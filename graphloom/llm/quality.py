@@ -1,13 +1,16 @@
 """Quality classifier (operator 3): hashed word n-gram logistic regression, trained with FTRL, scored as sparse dot products.
 
 Tokens are runs of word characters or of other visible characters; features are hashed token unigrams and
-bigrams, and hashed bigrams of token shapes with a mark for tokens that recur at once, each weighted by its share of the document. Training uses at
+bigrams, and hashed class bigrams, in which each token is replaced by its class (case of its letters, digits, or the
+punctuation itself) with a mark for tokens that recur at once; each is weighted by its share of the document. Training uses at
 most ``TRAIN_ROWS`` labelled documents (the smallest hashes of doc_id; repeated labels of a document are
-averaged, 0.5 and more is 1), visits them in a fixed order and updates one document at a time. Scoring reads
-every whole text once where it lies, with the weights (a fixed ``1 << BITS`` floats) broadcast. No shuffle.
+averaged, 0.5 and more is 1) and of these, in that order, as many as ``TRAIN_BYTES`` of sparse features hold. It visits them in a
+fixed order and updates one document at a time. Scoring reads every whole text once where it lies, with the weights (a fixed
+``1 << BITS`` floats) broadcast. No shuffle.
 
 Defined results: null and blank texts have no features and get the bias's score; without labels of both
-kinds every weight is zero and the score 0.5; repeated rows are scored each; an empty table gives an empty
+kinds every weight is zero and the score 0.5; repeated rows are scored each; of rows that share a labelled doc_id the one with
+the smallest feature vector is learned from; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
 """
 
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, hash_sample, only_cache, small_slices, tidied, whole_texts
+from graphloom.llm.common import bounded_batches, hash_sample, materialize, only_cache, small_slices, tidied, whole_texts
 
 BITS = 20
 TRAIN_ROWS = 12_000
+TRAIN_BYTES = 256 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
@@ -41,7 +45,7 @@ def shape(token: str) -> int:
         return 1 if token.islower() else 2 if token.istitle() else 3 if token.isupper() else 4
     if token.isdigit():
         return 5
-    return 6 if token.isalnum() else 16 + zlib.crc32(token[:3].encode()) % 4096
+    return 6 if token.isalnum() else 16 + zlib.crc32(token.encode()) % 4096
 
 
 class Hashes(dict):
@@ -115,7 +119,7 @@ def held_out(folds: int):
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled documents outside the held-out fold."""
     y = labels.where("doc_id is not null and quality is not null").where(~held_out(folds)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     y = hash_sample(y, train_rows, y.count(), "doc_id")
@@ -131,9 +135,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TR
                 ids = (key & ((1 << bits) - 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "y", "ids", "vals"])
 
-    rows = picked.select("doc_id", "text", "y").mapInArrow(tidied(sparse), "doc_id long, y int, ids binary, vals binary").dropDuplicates(["doc_id"]).collect()  # at most train_rows sparse rows
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in rows], bits)
+    sparse_rows = picked.select("doc_id", "text", "y").mapInArrow(tidied(sparse), "doc_id long, y int, ids binary, vals binary")
+    rows = materialize(sparse_rows.groupBy("doc_id", "y").agg(F.min(F.struct("ids", "vals")).alias("x")).select("doc_id", "y", "x.ids", "x.vals"))
+    order = lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)
+    sizes = sorted(rows.select("doc_id", F.octet_length("ids").alias("n")).collect(), key=order)  # at most train_rows pairs of numbers
+    fits = int(np.searchsorted(np.cumsum([2 * r.n for r in sizes]), train_bytes, "right"))
+    if fits < len(sizes):
+        rows = rows.where(F.col("doc_id").isin([r.doc_id for r in sizes[:fits]]))
+    found = sorted(rows.collect(), key=order)  # at most train_rows sparse rows and train_bytes
+    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in found], bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, bits: int = BITS) -> DataFrame:
