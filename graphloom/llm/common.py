@@ -114,6 +114,51 @@ def hash_sample(df: DataFrame, rows: int, n: int, *columns: str) -> DataFrame:
     return hashed.orderBy("_h", *columns).limit(rows).drop("_h")
 
 
+#: Known heavy buckets that may be broadcast, as a list of small rows.
+HEAVY_ROWS = 10_000
+#: Rows that one task of a comparison gets, about.
+TASK_ROWS = 250_000
+
+
+def dealt_in_blocks(entries: DataFrame, keys: tuple[str, ...], node: str, most: int) -> DataFrame:
+    """entries with own, i and j, dealt over tasks: all rows of a bucket (equal keys) meet, two by two.
+
+    A bucket of over ``most`` rows is cut into blocks by a hash of ``node``, and each pair of blocks (i, j) is a group of its own;
+    a row goes once to every pair that has its block (own). Other buckets are the pair (0, 0). Buckets are counted first, with
+    partial aggregation. Tasks are as many as the rows ask for.
+    """
+    spark = entries.sparkSession
+    counts = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    heavy = materialize(counts.groupBy((F.col("rows") > most).alias("heavy"), *(F.when(F.col("rows") > most, F.col(k)).alias(k) for k in keys)).agg(F.sum("rows").alias("rows")))
+    total = heavy.agg(F.sum("rows")).first()[0] or 0
+    heavy = heavy.where("heavy").select(*keys, F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
+    many = heavy.count()
+    if many:
+        entries = entries.join(F.broadcast(heavy) if many <= HEAVY_ROWS else heavy, list(keys), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        entries = entries.withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        entries = entries.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    else:
+        entries = entries.withColumns({c: F.lit(0) for c in ("own", "i", "j")})
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_ROWS))
+    return entries.repartition(tasks, *keys, "i", "j")
+
+
+def buckets_of(*keys):
+    """(order, group number of each row in that order, size of each group) of rows with equal keys; the first key sorts last."""
+    import numpy as np
+
+    order = np.lexsort(keys)
+    n = len(order)
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, n))
+    return order, starts, np.repeat(np.arange(len(starts)), size), size
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
 

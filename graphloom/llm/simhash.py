@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, materialize, only_cache, small_slices, tidied, tidy, whole_texts
+from graphloom.llm.common import buckets_of, dealt_in_blocks, hash_sample, materialize, only_cache, small_slices, tidied, tidy, whole_texts
 from graphloom.llm.components import components, forest, local_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
 FIT_ROWS = 20_000
 #: Rows of a bucket that are compared with each other at a time.
 BLOCK = 1024
+#: A bucket of more rows is dealt over several tasks, as pairs of blocks of about so many rows.
+BUCKET = 4096
 
 
 def shingle_hashes(text: str, words: int, seed: int = SEED) -> list[int]:
@@ -49,18 +51,24 @@ def shingle_hashes(text: str, words: int, seed: int = SEED) -> list[int]:
     return [xxh64_intdigest(joined[s:e], seed) for s, e in zip(first, ends[words - 1 :].tolist(), strict=True)]
 
 
+def bit_majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One fingerprint for each run of values (sizes > 0): a bit is set where over half of the run has it."""
+    pieces = -(-sizes // 255)  # at most 255 values are added up in a byte
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(int(pieces.sum())) - np.repeat(first, pieces))
+    lanes = np.unpackbits(np.ascontiguousarray(flat).view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)  # a byte per bit
+    sums = np.add.reduceat(lanes, at, axis=0).view(np.uint8)
+    counts = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def majority(hashes: list[list[int]]) -> np.ndarray:
-    """One fingerprint per list: bit set where over half of the list's values have it."""
+    """One fingerprint per list: bit set where over half of the list's values have it; zero for an empty list."""
     sizes = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros(len(hashes), np.uint64)
     full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum()))
-    starts = (np.cumsum(sizes) - sizes)[full]
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    out[full] = np.packbits(counts * 2 > sizes[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    if len(full):
+        out[full] = bit_majority(np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum())), sizes[full])
     return out
 
 
@@ -134,54 +142,44 @@ def allocate(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], i
     return best[1]
 
 
-def verified(fps: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one bucket, as a forest. probe: rows that only probe; at least one end of a pair is indexed."""
-    index, rest = fps[~probe], fps[probe]
+def links_within(part: np.ndarray, key: np.ndarray, fps: np.ndarray, probe: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of all buckets (part, key, i, j) at once, as a forest: short ones by shifted comparison, long ones block by block.
+
+    probe: rows that only probe; at least one end of a link is indexed. A pair of different blocks has its ends in both.
+    """
+    order, starts, group, size = buckets_of(j, i, key, part)
+    fps, probe, own, across = fps[order], probe[order], own[order], (i != j)[order]
     a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    for other in (index, rest):
-        for i in range(0, len(index), BLOCK):
-            x = index[i : i + BLOCK]
-            for j in range(i if other is index else 0, len(other), BLOCK):
-                y = other[j : j + BLOCK]
-                p, q = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-                keep = x[p] != y[q]
-                if keep.any():
-                    a, b = forest(np.concatenate([a, x[p[keep]]]), np.concatenate([b, y[q[keep]]]))
+    for x, y in paired(starts, group, size):
+        hit = (np.bitwise_count(fps[x] ^ fps[y]) <= radius) & (fps[x] != fps[y]) & ~(probe[x] & probe[y]) & ~(across[x] & (own[x] == own[y]))
+        if hit.any():
+            a, b = forest(np.concatenate([a, fps[x[hit]]]), np.concatenate([b, fps[y[hit]]]))
     return a, b
 
 
-def links_within(part: np.ndarray, key: np.ndarray, fps: np.ndarray, probe: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all buckets (part, key) at once: short buckets by shifted comparison, long ones block by block."""
-    order = np.lexsort((probe, key, part))
-    part, key, fps, probe = part[order], key[order], fps[order], probe[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-    size = np.diff(np.append(new, len(key)))
-    group = np.repeat(np.arange(len(new)), size)
-    outs: list[tuple[np.ndarray, np.ndarray]] = []
-    live = np.flatnonzero((size[group] <= 64) & (size[group] > 1))
-    for d in range(1, 64):
-        live = live[live + d < len(key)]
+def paired(starts: np.ndarray, group: np.ndarray, size: np.ndarray, short: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y), x < y, of all pairs inside each bucket, in lots of bounded size."""
+    live = np.flatnonzero((size[group] <= short) & (size[group] > 1))
+    for d in range(1, short):
+        live = live[live + d < len(group)]
         live = live[group[live] == group[live + d]]
         if not len(live):
             break
-        x, y = fps[live], fps[live + d]
-        hit = (np.bitwise_count(x ^ y) <= radius) & (x != y) & ~(probe[live] & probe[live + d])
-        outs.append((x[hit], y[hit]))
-    for g in np.flatnonzero(size > 64):
-        s = slice(new[g], new[g] + size[g])
-        outs.append(verified(fps[s], probe[s], radius))
-    if not outs:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return forest(np.concatenate([x for x, _ in outs]), np.concatenate([y for _, y in outs]))
+        yield live, live + d
+    for g in np.flatnonzero(size > short).tolist():
+        low, high = int(starts[g]), int(starts[g] + size[g])
+        for r in range(low, high, BLOCK // 2):
+            for c in range(r, high, BLOCK // 2):
+                x, y = np.meshgrid(np.arange(r, min(r + BLOCK // 2, high)), np.arange(c, min(c + BLOCK // 2, high)), indexing="ij")
+                ahead = (y > x).ravel() if r == c else slice(None)
+                yield x.ravel()[ahead], y.ravel()[ahead]
 
 
 def hamming_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(u, v): links that join all distinct fingerprints within the radius into the right components."""
-    spark = distinct.sparkSession
     n = distinct.count()
     sample = np.array([r[0] for r in hash_sample(distinct.select("fingerprint"), FIT_ROWS, n, "fingerprint").collect()], np.int64).view(np.uint64)
     plan = allocate(sample, n, radius)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         balls = [masks(len(p), t) for p, t in plan]
@@ -196,12 +194,13 @@ def hamming_links(distinct: DataFrame, radius: int) -> DataFrame:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(c.to_numpy(zero_copy_only=False) for c in b.columns) for b in batches if b.num_rows]
         if got:
-            part, key, fps, probe = (np.concatenate(c) for c in zip(*got, strict=True))
-            a, b = links_within(part, key.view(np.uint64), fps.view(np.uint64), probe.astype(bool), radius)
+            part, key, fps, probe, own, i, j = (np.concatenate(c) for c in zip(*got, strict=True))
+            a, b = links_within(part, key, fps.view(np.uint64), probe.astype(bool), own, i, j, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
-    dealt = distinct.select("fingerprint").mapInArrow(tidied(keys), "part int, key long, fingerprint long, probe boolean").repartition(shuffles, "part", "key")
-    return dealt.mapInArrow(tidied(match), "u long, v long")
+    entries = distinct.select("fingerprint").mapInArrow(tidied(keys), "part int, key long, fingerprint long, probe boolean")
+    dealt = dealt_in_blocks(entries, ("part", "key"), "fingerprint", BUCKET)
+    return dealt.select("part", "key", "fingerprint", "probe", "own", "i", "j").mapInArrow(tidied(match), "u long, v long")
 
 
 def simhash_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -223,8 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 #: Odds of missing a pair at the similarity bound.
 MISS = 0.01
-#: A bucket of up to so many rows is compared by shifts, a longer one block by block.
-ALL_PAIRS = 64
+#: Candidate pairs that a task gathers before it thins and emits them.
+LOT = 500_000
 #: Ids that may be broadcast to pick out rows: at most this many 8-byte numbers.
 BROADCAST_IDS = 1_000_000
 #: Bytes of distinct texts in a block that verifies links.
@@ -245,25 +244,62 @@ def layout(n: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(miss) / np.log(1 - agreement(similarity) ** bits)))
 
 
-def wide_prints(hashes: list[list[int]], count: int) -> np.ndarray:
-    """rows x count fingerprints; the first is the plain one, the others come from remixed shingle hashes."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros((len(hashes), count), np.uint64)
+class WordHashes(dict):
+    """word -> XXH64; dropped when large."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = found = xxh64_intdigest(word, SEED)
+        return found
+
+
+_WORDS = WordHashes()
+
+
+def remixed(x: np.ndarray, k: int) -> np.ndarray:
+    """The values under the k-th of a family of 64-bit mixers; the 0th changes nothing."""
+    if k:
+        x = (x ^ np.uint64(0xA0761D6478BD642F * k & (1 << 64) - 1)) * np.uint64(0xE7037ED1A0B428DB)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x8EBC6AF09C88C6E3)
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct word shingles as sorted 64-bit hashes, a hash of the words' own; fewer words than a shingle are one."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    own = np.fromiter(map(_WORDS.__getitem__, parts), np.uint64, len(parts))
+    n = max(1, len(parts) - words + 1)
+    out = np.full(n, len(parts) if len(parts) < words else words, np.uint64)
+    for k in range(min(words, len(parts))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+    return np.unique(remixed(out, 1))
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity; empty sets are equal."""
+    few, many = sorted((len(x), len(y)))
+    if few < similarity * many:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (few + many - both)
+
+
+def wide_prints(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """rows x count fingerprints of the sets, each of hashes mixed in another way."""
+    sizes = np.array([len(h) for h in sets], np.int64)
+    out = np.zeros((len(sets), count), np.uint64)
     full = np.flatnonzero(sizes)
-    if not len(full):
-        return out
-    flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum()))
-    starts = (np.cumsum(sizes) - sizes)[full]
-    for k in range(count):
-        x = flat
-        if k:
-            x = (flat ^ np.uint64(0xA0761D6478BD642F * k & (1 << 64) - 1)) * np.uint64(0xE7037ED1A0B428DB)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0x8EBC6AF09C88C6E3)
-            x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full, k] = np.packbits(counts * 2 > sizes[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    if len(full):
+        flat = np.concatenate(sets)
+        for k in range(count):
+            out[full, k] = bit_majority(remixed(flat, k), sizes[full])
     return out
 
 
@@ -291,64 +327,55 @@ def bit_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
 
 
-def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, strict: int, loose: int, held: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes that share a bucket, by the distance of their check fingerprints (rows x words).
+def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, strict: int, loose: int, held: list[np.ndarray], lot: int = LOT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes that share a bucket (part, key, i, j), by the distance of their check fingerprints (rows x words), in lots.
 
-    All pairs are compared. Of those within strict, which are likely near-duplicates, only links that connect them come
-    first; those within loose come where strict ones don't connect their ends already. Every other pair lies inside one of the
-    groups of nodes that strict links connect; ``held`` gets these, for pairs_across() to offer what verification leaves apart.
+    All pairs are compared (of different blocks: those with an end in each). Of those within strict, which are likely
+    near-duplicates, only links that connect them are offered; those within loose are where strict ones found so far don't
+    connect their ends already. Every other pair lies inside one of the groups of nodes that strict links connect;
+    ``held`` gets these, for pairs_across() to offer what verification leaves apart.
     """
-    order = np.lexsort((node, key, part))
-    part, key, node, check = part[order], key[order], node[order], check[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-    size = np.diff(np.append(new, len(key)))
-    group = np.repeat(np.arange(len(new)), size)
+    order, starts, group, size = buckets_of(j, i, key, part)
+    node, check, own, across = node[order], check[order], own[order], (i != j)[order]
     none = np.empty(0, np.int64)
-    near_a, near_b, far_a, far_b = [none], [none], [none], [none]
-
-    def add(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
-        s, r = d <= strict, (d > strict) & (d <= loose)
-        near_a.append(node[i[s]])
-        near_b.append(node[j[s]])
-        far_a.append(node[i[r]])
-        far_b.append(node[j[r]])
-        if sum(map(len, near_a)) > 500_000:
-            x, y = np.concatenate(near_a), np.concatenate(near_b)
-            keep = spanning(x, y)
-            near_a[:], near_b[:] = [x[keep]], [y[keep]]
-
-    live = np.flatnonzero((size[group] > 1) & (size[group] <= ALL_PAIRS))
-    for d in range(1, ALL_PAIRS):
-        live = live[live + d < len(key)]
-        live = live[group[live] == group[live + d]]
-        if not len(live):
-            break
-        add(live, live + d, bit_distance(check[live], check[live + d]))
-    for g in np.flatnonzero(size > ALL_PAIRS):
-        rows = np.arange(new[g], new[g] + size[g])
-        for i in range(0, len(rows), BLOCK // 2):
-            x = rows[i : i + BLOCK // 2]
-            for j in range(i, len(rows), BLOCK // 2):
-                y = rows[j : j + BLOCK // 2]
-                d = bit_distance(check[x][:, None, :], check[y][None, :, :])
-                p, q = np.nonzero(d <= loose)
-                ahead = y[q] > x[p]
-                p, q = p[ahead], q[ahead]
-                add(x[p], y[q], d[p, q])
-    a, b = np.concatenate(near_a), np.concatenate(near_b)
-    keep = spanning(a, b)
-    c, d = np.concatenate(far_a), np.concatenate(far_b)
-    roots, low = local_labels(a[keep], b[keep])
-    if held is not None:
-        by = np.argsort(low, kind="stable")
-        held += [g for g in np.split(roots[by], np.flatnonzero(np.diff(low[by])) + 1) if len(g) > 2]  # two nodes have one pair, offered
-    if len(keep) and len(c):
-        name = lambda z: np.where(roots[np.minimum(np.searchsorted(roots, z), len(roots) - 1)] == z, low[np.minimum(np.searchsorted(roots, z), len(roots) - 1)], z)
-        apart = name(c) != name(d)
-        c, d = c[apart], d[apart]
-    pairs = np.stack([np.concatenate([a[keep], c]), np.concatenate([b[keep], d])], 1)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    near, far, gathered = [(none, none)], [(none, none)], 0
+
+    def thinned() -> tuple[np.ndarray, np.ndarray]:
+        """The far pairs that near ones leave apart; near ones are thinned to what connects them."""
+        nonlocal gathered
+        a, b = (np.concatenate(x) for x in zip(*near, strict=True))
+        keep = spanning(a, b)
+        near[:] = [(a[keep], b[keep])]
+        c, d = (np.concatenate(x) for x in zip(*far, strict=True))
+        far[:], gathered = [(none, none)], 0
+        if len(keep) and len(c):
+            roots, low = local_labels(a[keep], b[keep])
+
+            def name(z: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(roots, z), len(roots) - 1)
+                return np.where(roots[at] == z, low[at], z)
+
+            apart = name(c) != name(d)
+            c, d = c[apart], d[apart]
+        pairs = np.unique(np.stack([c, d], 1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    for x, y in paired(starts, group, size):
+        valid = (node[x] != node[y]) & ~(across[x] & (own[x] == own[y]))
+        x, y = x[valid], y[valid]
+        d = bit_distance(check[x], check[y])
+        for found, hit in ((near, d <= strict), (far, (d > strict) & (d <= loose))):
+            if hit.any():
+                found.append((np.minimum(node[x[hit]], node[y[hit]]), np.maximum(node[x[hit]], node[y[hit]])))
+                gathered += int(hit.sum())
+        if gathered > lot:
+            yield thinned()
+    yield thinned()
+    a, b = near[0]
+    roots, low = local_labels(a, b)
+    by = np.argsort(low, kind="stable")
+    held += [g for g in np.split(roots[by], np.flatnonzero(np.diff(low[by])) + 1) if len(g) > 2]  # two nodes have one pair, offered
+    yield a, b
 
 
 def pairs_across(node: np.ndarray, label: np.ndarray, check: np.ndarray, loose: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -408,7 +435,7 @@ def verified_links(packs: DataFrame, texts: DataFrame, blocks: int, words: int,
 
     def check(came: pa.Table, own: pa.Table) -> pa.Table:
         text = dict(zip(own.column("node").to_pylist(), own.column("text").to_pylist(), strict=True))
-        sets: dict[int, frozenset] = {}
+        sets: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -420,16 +447,14 @@ def verified_links(packs: DataFrame, texts: DataFrame, blocks: int, words: int,
         out = []
         for row in range(came.num_rows):
             us, vs, nodes = (np.frombuffer(came.column(c)[row].as_py(), np.int64).tolist() for c in ("us", "vs", "nodes"))
-            theirs = {n: frozenset(shingle_hashes(t, words)) for n, t in zip(nodes, came.column("texts")[row].as_py(), strict=True)}
+            theirs = {n: shingle_set(t, words) for n, t in zip(nodes, came.column("texts")[row].as_py(), strict=True)}
             for u, v in zip(us, vs, strict=True):
                 a, b = find(u), find(v)
                 if a == b:
                     continue
                 if v not in sets:
-                    sets[v] = frozenset(shingle_hashes(text[v], words))
-                x, y = theirs[u], sets[v]
-                both = len(x & y)
-                if not x and not y or both >= similarity * (len(x) + len(y) - both):
+                    sets[v] = shingle_set(text[v], words)
+                if similar(theirs[u], sets[v], similarity):
                     root[a] = b
                     out.append((u, v))
         del sets, text
@@ -468,10 +493,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache("simhash", list)
+        only_cache("simhash", _WORDS.clear)
         for batch in batches:
             for own in small_slices(batch, 1, 64):
-                found = wide_prints([list(set(shingle_hashes(t, words))) for t in own.column(1).to_pylist()], prints)  # similarity is of sets
+                found = wide_prints([shingle_set(t, words) for t in own.column(1).to_pylist()], prints)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "prints"])
 
     rows = materialize(texts.select("node", "text").mapInArrow(tidied(wide), "node long, prints binary").dropDuplicates(["node"]))
@@ -489,11 +514,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i, np.int32)), pa.array(values(found[:, k], part).astype(np.int32)), own.column(0), check], names=["part", "key", "node", "chk"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
+        got = [(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "key", "node")), np.frombuffer(b"".join(b.column("chk").to_pylist()), np.uint64).reshape(-1, CHECKS), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("own", "i", "j"))) for b in batches if b.num_rows]
         if got:
-            part, key, node, check = (np.concatenate(c) for c in zip(*got, strict=True))
+            columns = [np.concatenate(c) for c in zip(*got, strict=True)]
+            got.clear()
             held: list[np.ndarray] = []
-            yield packed(*candidate_pairs(part, key, node, check, strict, loose, held))
+            for a, b in candidate_pairs(*columns, strict, loose, held):
+                yield packed(a, b)
             for low in range(0, len(held), 1000):
                 own = [g.tobytes() for g in held[low : low + 1000]]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary()), pa.array(own, pa.binary())], names=["block", "us", "vs", "held"])
@@ -521,7 +548,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(unpacked(pa.Table.from_batches([batch]), "us", "vs"))))], names=["node"])
 
-    dealt = rows.mapInArrow(tidied(keys), "part int, key int, node long, chk binary").repartition(shuffles, "part", "key")
+    entries = rows.mapInArrow(tidied(keys), "part int, key int, node long, chk binary")
+    dealt = dealt_in_blocks(entries, ("part", "key"), "node", BUCKET)
     found = materialize(dealt.mapInArrow(tidied(match), "block int, us binary, vs binary, held binary"))
     block = F.expr(f"cast(mod(cast(node as decimal(20,0)) + if(node < 0, 18446744073709551616, 0), {blocks}) as int)")
 

@@ -72,8 +72,6 @@ def test_near_dedup_stage_against_brute_force(spark):
 def test_candidate_pairs_lose_no_link():
     import numpy as np
 
-    from graphloom.llm.components import local_labels
-
     rng = np.random.default_rng(1)
     check = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)[rng.integers(0, 12, 700)]
     for row in check:
@@ -81,12 +79,31 @@ def test_candidate_pairs_lose_no_link():
             row[bit // 64] ^= np.uint64(1 << int(bit % 64))
     node = rng.permutation(700).astype(np.int64)
     key = np.where(np.arange(700) < 400, 0, rng.integers(1, 20, 700))
-    a, b = simhash.candidate_pairs(np.zeros(700, np.int32), key, node, check, 20, 50)
+    none = np.zeros(700, np.int32)
+    for lot in (500_000, 50):
+        lots = list(simhash.candidate_pairs(none, key, node, check, none, none, none, 20, 50, [], lot))
+        check_pairs(lots, node, key, check, len(lots) > 2)
+    # the same rows as pairs of three blocks
+    own, rows = rng.integers(0, 3, 700), []
+    for i in range(3):
+        for j in range(i, 3):
+            rows += [(at, i, j) for at in range(700) if own[at] in (i, j)]
+    at, i, j = np.array(rows).T
+    check_pairs(list(simhash.candidate_pairs(np.zeros(len(at), np.int32), key[at], node[at], check[at], own[at], i, j, 20, 50, [])), node, key, check, False)
+
+
+def check_pairs(lots, node, key, check, cut):
+    import numpy as np
+
+    from graphloom.llm.components import local_labels
+
+    a, b = (np.concatenate(x) for x in zip(*lots, strict=True))
+    assert cut or len(lots) < 5
     want = [(node[i], node[j]) for i in range(700) for j in range(i) if key[i] == key[j] and simhash.bit_distance(check[i], check[j]) <= 50]
     x, y = local_labels(*map(np.array, zip(*want, strict=True)))
     p, q = local_labels(a, b)
     assert (x == p).all() and (y == q).all(), "the pairs kept connect what all pairs connect"
-    assert len(a) < len(want) / 2 and {tuple(sorted(w)) for w in zip(a, b, strict=True)} <= {tuple(sorted(w)) for w in want}
+    assert (cut or len(a) < len(want) / 2) and {tuple(sorted(w)) for w in zip(a, b, strict=True)} <= {tuple(sorted(w)) for w in want}
 
 
 @pytest.fixture(scope="module")

@@ -66,10 +66,39 @@ def test_pigeonhole_loses_nothing(spark, radius):
     assert {r.doc_id: r.component_id for r in out} == brute_components(prints, radius)
 
 
+def test_one_bucket_holds_all_rows(spark, monkeypatch):
+    """A third part of equal bits puts every row in one bucket, which is dealt as pairs of blocks."""
+    monkeypatch.setattr(simhash, "BUCKET", 50)
+    rng = np.random.default_rng(4)
+    prints = {i: int(x) << 44 for i, x in enumerate(rng.integers(0, 1 << 9, 400))}
+    rows = [(i, int(np.uint64(v).view(np.int64))) for i, v in prints.items()]
+    out = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, fingerprint long"), 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_components(prints, 2)
+
+
+def test_bit_majority_counts_every_bit():
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 2, 254, 255, 256, 511, 3000])
+    flat = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.int64).view(np.uint64) | np.uint64(1)
+    want = [sum(1 << b for b in range(64) if int((run >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(run)) for run in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert simhash.bit_majority(flat, sizes).tolist() == want
+
+
+def test_similarity_of_sets():
+    rng = random.Random(12)
+    for n in (0, 1, 3, 4, 5, 6, 300):
+        words = [rng.choice(["a", "B", "cc", "é", "x1"]) for _ in range(n)]
+        own = {" ".join(words[i : i + 5]).lower() for i in range(max(1, n - 4))} if n else set()
+        assert len(simhash.shingle_set(" ".join(words), 5)) == len(own)
+    x, y = simhash.shingle_set("a b c d e f g h i j k", 5), simhash.shingle_set("A B C D E F G H I J K l", 5)
+    assert simhash.similar(x, y, 0.8) and not simhash.similar(x, y, 0.9) and simhash.similar(x[:0], y[:0], 0.8) and not simhash.similar(x, y[:0], 0.8)
+
+
 def test_long_buckets_and_allocation():
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 1 << 12, 3000, dtype=np.uint64) << np.uint64(50))
-    a, b = simhash.links_within(np.zeros(len(fps), np.int32), np.zeros(len(fps), np.uint64), fps, np.zeros(len(fps), bool), 1)
+    none = np.zeros(len(fps), np.int32)
+    a, b = simhash.links_within(none, none, fps, none.astype(bool), none, none, none, 1)
     assert len(a) == len(fps) - 1  # the hypercube's neighbours are connected
     for n in (10, 10**6, 10**10):
         for radius in (0, 2, 6):
