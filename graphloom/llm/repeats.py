@@ -1,19 +1,19 @@
 """Repeated windows (operator 6): a depth-limited most-significant-digit radix sort of suffixes, in Spark.
 
-Suffixes are ordered only through ``WINDOW`` bytes, in three digits, and groups that can't matter any more
-are dropped between the passes:
+Suffixes are ordered only through ``WINDOW`` bytes. Each digit is ``DIGIT`` leading bytes; after each pass suffixes that are alone
+with what they share so far leave, and the groups that remain after the last digit are exactly the repeated windows.
+Before that, suffixes are routed, so that those that can be equal meet and few bytes travel:
 
-1. The first digit is the window's anchor: of its ``GRAM``-byte strings the one with the smallest hash. Equal
-   windows have equal anchors, neighbouring windows mostly share theirs, so suffixes travel as one entry per anchor.
-2. The second digit is the anchor's context: all bytes of the windows that share it. Entries equal on both
-   digits have all their windows equal; the smallest doc_id of such a group settles them at once.
-3. Only where one anchor has several contexts, one copy of each context is ordered window by window.
+1. A suffix goes to the bucket of its window's anchor: of the window's ``GRAM``-byte strings the one with the smallest hash. Equal
+   windows have equal anchors, and neighbouring windows mostly share theirs, so they travel as one entry per anchor.
+2. An entry first holds a hash of its context, all bytes of the windows that share the anchor. Where an anchor has one context
+   only, all its windows are equal without any sorting, and the smallest doc_id of the entries settles them.
+3. Where an anchor has several contexts, one copy of each travels, and their suffixes are radix sorted.
 
-Equal groups after the last digit are exactly the repeated windows; a byte is removed when a window over it
-also starts in a document with a smaller doc_id. Documents are dealt into chunks of bounded bytes; a chunk sends
-each distinct entry once (packed arrays per bucket), so a passage in a third of all documents costs one entry per
-chunk. What the buckets find goes back to the chunks, which read the same shuffled text again. Windows are
-compared by hash (48 + 16 bits of anchor, 48 of context, 64 of window); a false match has odds below 1e-14 per pair.
+A byte is removed when a window over it also starts in a document with a smaller doc_id. Documents are dealt into chunks of
+bounded bytes; a chunk sends each distinct entry once (packed arrays per bucket), so a passage in a third of all documents
+costs one entry per chunk. What the buckets find goes back to the chunks, which read the same shuffled text again. Sorting
+compares bytes; anchors and contexts are compared by hash (48 + 16 and 48 bits), with odds below 1e-14 of a false match per pair.
 
 Defined results: null texts are empty; texts shorter than a window keep all bytes; equal doc_ids never remove
 each other's bytes; a null doc_id counts as larger than all others; repeated rows each give a row; an empty
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import chunked, only_cache, tidy
 
 WINDOW, GRAM = 50, 16
+#: Bytes of a digit: what one machine word orders at once.
+DIGIT = 8
 CHUNK_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 LOW48 = np.uint64((1 << 48) - 1)
@@ -187,7 +189,7 @@ MANY, FIRST = 1, 2
 
 
 def settle_contexts(sent: pa.Table) -> pa.Table:
-    """Second digit: the smallest doc_id of each (anchor, context); marks for anchors with several contexts."""
+    """The smallest doc_id of each (anchor, context); marks for anchors with several contexts."""
     h, c, d, row, place = gathered(sent)
     by = np.lexsort((row, d, c, h))
     h, c, d, row, place = (x[by] for x in (h, c, d, row, place))
@@ -211,8 +213,30 @@ def settle_contexts(sent: pa.Table) -> pa.Table:
     return table(BACK, rows)
 
 
+def radix_groups(raw: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, group of each): those that share their first ``depth`` bytes and their given group with another, in order.
+
+    One most-significant-digit pass for each DIGIT bytes; suffixes that are alone in their group leave after every pass.
+    """
+    live = np.argsort(group, kind="stable")
+    group = group[live]
+    for low in range(0, depth, DIGIT):
+        width = min(DIGIT, depth - low)
+        digit = np.zeros((len(live), 8), np.uint8)
+        digit[:, :width] = np.lib.stride_tricks.sliding_window_view(raw, width)[at[live] + low] if len(live) else 0
+        digit = digit.view(">u8")[:, 0].astype(np.uint64)  # big-endian: the first byte is the most significant
+        by = np.lexsort((digit, group))
+        live, group, digit = live[by], group[by], digit[by]
+        new = np.ones(len(live), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(new) - 1
+        together = np.bincount(group)[group] > 1 if len(group) else new
+        live, group = live[together], group[together]
+    return live, group
+
+
 def settle_windows(sent: pa.Table, window: int) -> pa.Table:
-    """Third digit: for contexts of one anchor, the smallest doc_id of each window that another has earlier."""
+    """For contexts of one anchor, the smallest doc_id of each window that another has earlier, by a radix sort of their suffixes."""
     h, c, d, row, place = gathered(sent)
     lens = np.concatenate([np.frombuffer(x, "<u4") for x in sent.column("lens").to_pylist()]).astype(np.int64)
     raw = np.frombuffer(b"".join(sent.column("context").to_pylist()), np.uint8)
@@ -221,12 +245,12 @@ def settle_windows(sent: pa.Table, window: int) -> pa.Table:
     count = lens[first] - window + 1
     owner = np.repeat(np.arange(len(first)), count)
     at = (ends - lens)[first][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    w = mix(substring(prefix(raw), at, at + window)) ^ h[first][owner]
-    by = np.lexsort((d[first][owner], w))
-    new = np.concatenate([[True], w[by][1:] != w[by][:-1]]) if len(by) else np.empty(0, bool)
-    least = np.empty(len(w), np.int64)
-    least[by] = d[first][owner][by][np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else []
-    cuts = np.append(np.cumsum(count) - count, len(w))
+    least = d[first][owner]
+    live, group = radix_groups(raw, at, np.unique(h[first], return_inverse=True)[1][owner], window)
+    if len(live):
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        least[live] = np.repeat(np.minimum.reduceat(least[live], heads), np.diff(np.append(heads, len(live))))
+    cuts = np.append(np.cumsum(count) - count, len(at))
     news = np.array([bool((least[a:b] < x).any()) for a, b, x in zip(cuts[:-1], cuts[1:], d[first], strict=True)], bool)
     known = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(h[first], c[first], strict=True)) if news[i]}
     chunk, bucket = sent.column("chunk").to_pylist(), sent.column("bucket").to_pylist()
@@ -250,7 +274,7 @@ def send_entries(chunk: Chunk, key: int) -> pa.Table:
 
 
 def heard(chunk: Chunk, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest doc_id, flag) of each entry after the second digit."""
+    """(smallest doc_id, flag) of each entry once contexts are settled."""
     least, flag = chunk.least.copy(), np.zeros(len(chunk.least), np.uint8)
     for bucket, pos, ids, marks in zip(*(back.column(x).to_pylist() for x in ("bucket", "pos", "least", "flag")), strict=True):
         entry = chunk.starts[bucket] + np.frombuffer(pos, "<u4").astype(np.int64)

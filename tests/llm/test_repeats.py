@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.llm import repeats
@@ -87,3 +88,21 @@ def test_text_rewriting_keeps_columns_and_characters(spark):
     rows = [(1, passage, 5, 6), (2, "ü" + passage + "ö", None, 8), (3, None, 9, 9)]
     out = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, DOCS)).collect()}
     assert out[1].text == passage and out[2].text == "üö" and out[3].text == "" and (out[2].chunk, out[2].bucket) == (None, 8)
+
+
+def test_radix_groups_are_the_equal_prefixes():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 4000).astype(np.uint8)
+    at, group = np.sort(rng.choice(3900, 1500, False)), rng.integers(0, 3, 1500)
+    for depth in (1, 7, 8, 9, 16, 20, 50):
+        live, found = repeats.radix_groups(raw, at, group, depth)
+        want = {}
+        for i in range(1500):
+            want.setdefault((group[i], raw[at[i] : at[i] + depth].tobytes()), []).append(i)
+        want = sorted(v for v in want.values() if len(v) > 1)
+        got = {}
+        for i, g in zip(live.tolist(), found.tolist(), strict=True):
+            got.setdefault(g, []).append(i)
+        assert sorted(sorted(v) for v in got.values()) == want
+        keys = [(group[i], raw[at[i] : at[i] + depth].tobytes()) for i in live]
+        assert keys == sorted(keys), "suffixes come out in order"
