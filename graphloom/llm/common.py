@@ -159,6 +159,26 @@ def buckets_of(*keys):
     return order, starts, np.repeat(np.arange(len(starts)), size), size
 
 
+def paired(starts, group, size, short: int = 64, block: int = 512):
+    """Positions (x, y), x < y, of all pairs inside each bucket, in lots of bounded size: short buckets by shifts, long ones by blocks."""
+    import numpy as np
+
+    live = np.flatnonzero((size[group] <= short) & (size[group] > 1))
+    for d in range(1, short):
+        live = live[live + d < len(group)]
+        live = live[group[live] == group[live + d]]
+        if not len(live):
+            break
+        yield live, live + d
+    for g in np.flatnonzero(size > short).tolist():
+        low, high = int(starts[g]), int(starts[g] + size[g])
+        for r in range(low, high, block):
+            for c in range(r, high, block):
+                x, y = np.meshgrid(np.arange(r, min(r + block, high)), np.arange(c, min(c + block, high)), indexing="ij")
+                ahead = (y > x).ravel() if r == c else slice(None)
+                yield x.ravel()[ahead], y.ravel()[ahead]
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
 

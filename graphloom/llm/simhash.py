@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import buckets_of, dealt_in_blocks, hash_sample, materialize, only_cache, small_slices, tidied, tidy, whole_texts
+from graphloom.llm.common import buckets_of, dealt_in_blocks, hash_sample, materialize, only_cache, paired, small_slices, tidied, tidy, whole_texts
 from graphloom.llm.components import components, forest, local_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -157,24 +157,6 @@ def links_within(part: np.ndarray, key: np.ndarray, fps: np.ndarray, probe: np.n
     return a, b
 
 
-def paired(starts: np.ndarray, group: np.ndarray, size: np.ndarray, short: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (x, y), x < y, of all pairs inside each bucket, in lots of bounded size."""
-    live = np.flatnonzero((size[group] <= short) & (size[group] > 1))
-    for d in range(1, short):
-        live = live[live + d < len(group)]
-        live = live[group[live] == group[live + d]]
-        if not len(live):
-            break
-        yield live, live + d
-    for g in np.flatnonzero(size > short).tolist():
-        low, high = int(starts[g]), int(starts[g] + size[g])
-        for r in range(low, high, BLOCK // 2):
-            for c in range(r, high, BLOCK // 2):
-                x, y = np.meshgrid(np.arange(r, min(r + BLOCK // 2, high)), np.arange(c, min(c + BLOCK // 2, high)), indexing="ij")
-                ahead = (y > x).ravel() if r == c else slice(None)
-                yield x.ravel()[ahead], y.ravel()[ahead]
-
-
 def hamming_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(u, v): links that join all distinct fingerprints within the radius into the right components."""
     n = distinct.count()

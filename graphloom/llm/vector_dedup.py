@@ -5,7 +5,8 @@ Vectors that share a signature in some table are compared exactly, in blocks, in
 meets in an earlier table is counted there only, so link counts are those of distinct pairs without a shuffle of pairs.
 Buckets emit link counts per vector and a spanning forest, never all pairs. The number of hyperplanes grows with
 the logarithm of the rows and the number of tables is chosen so that a pair at the threshold is missed with odds of
-at most ``MISS``. Buckets over ``BUCKET`` rows are dealt as a grid of block pairs over several tasks.
+at most ``MISS``. Buckets are counted first, and those over ``BUCKET`` rows are dealt as a grid of block pairs over several tasks,
+of signatures and of vectors alike.
 
 Before vectors travel, longer sign signatures do: only vectors with a partner in some bucket within ``SLACK`` standard
 deviations of the expected distance at the threshold go on, which leaves out nearly all and loses practically none.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import buckets_of, dealt_in_blocks, materialize, paired
 from graphloom.llm.components import components, forest
 from graphloom.llm.vectors import doubles, hyperplanes, matrix, usable
 
@@ -37,8 +38,6 @@ SEED = 29
 #: Bits of the longer signature, and how far beyond the expected distance at the threshold a partner may be.
 CHECK_BITS = 256
 SLACK = 6.0
-#: Known heavy buckets that may be broadcast, as a list of small numbers.
-HEAVY_ROWS = 10_000
 #: Ids of vectors with partners that may be broadcast: at most this many 8-byte numbers.
 BROADCAST_IDS = 1_000_000
 
@@ -56,32 +55,15 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs << np.arange(bits)).sum(2).astype(np.uint16)
 
 
-def with_partner(t: np.ndarray, key: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
-    """Which rows have another of their bucket (t, key) within that many bits."""
-    order = np.lexsort((key, t))
-    t, key, check = t[order], key[order], check[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (t[1:] != t[:-1])]))
-    size = np.diff(np.append(new, len(key)))
-    group = np.repeat(np.arange(len(new)), size)
-    hit = np.zeros(len(key), bool)
-    distance = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
-    live = np.flatnonzero((size[group] > 1) & (size[group] <= 64))
-    for d in range(1, 64):
-        live = live[live + d < len(key)]
-        live = live[group[live] == group[live + d]]
-        if not len(live):
-            break
-        near = live[distance(check[live], check[live + d]) <= most]
-        hit[near] = hit[near + d] = True
-    for g in np.flatnonzero(size > 64):
-        rows = np.arange(new[g], new[g] + size[g])
-        for i in range(0, len(rows), 256):
-            for j in range(i, len(rows), BLOCK):
-                x, y = rows[i : i + 256], rows[j : j + BLOCK]
-                p, q = np.nonzero(distance(check[x][:, None, :], check[y][None, :, :]) <= most)
-                p, q = p[x[p] != y[q]], q[x[p] != y[q]]
-                hit[x[p]] = hit[y[q]] = True
-    out = np.empty(len(key), bool)
+def with_partner(t: np.ndarray, key: np.ndarray, check: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Which rows have another of their bucket (t, key, i, j) within that many bits; of different blocks, one in the other block."""
+    order, starts, group, size = buckets_of(j, i, key, t)
+    check, own, across = check[order], own[order], (i != j)[order]
+    hit = np.zeros(len(order), bool)
+    for x, y in paired(starts, group, size):
+        near = (np.bitwise_count(check[x] ^ check[y]).sum(-1, dtype=np.int32) <= most) & ~(across[x] & (own[x] == own[y]))
+        hit[x[near]] = hit[y[near]] = True
+    out = np.empty(len(order), bool)
     out[order] = hit
     return out
 
@@ -130,14 +112,12 @@ class Links:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept, a row for each row of vectors."""
-    spark = vectors.sparkSession
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", usable())
     ids = ids.withColumn("uid", F.when(F.col("ok"), F.xxhash64(F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0)))).select("vec_id", "uid")
     # x + 0.0 makes -0.0 and 0.0 one; 64-bit ids of distinct vectors stand for them from here on
     rows = doubles(vectors).withColumn("embedding", F.transform("embedding", lambda x: x + 0.0)).withColumn("uid", F.xxhash64("embedding"))
     distinct = materialize(rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding")))
     bits, tables = layout(distinct.count(), threshold)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
     raw = np.dtype("<f4" if single else "<f8")  # a float's double goes back without change
@@ -167,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
         if got:
             t = pa.Table.from_batches(got)
             check = np.frombuffer(b"".join(t.column("chk").to_pylist()), np.uint64).reshape(t.num_rows, -1)
-            hit = with_partner(t.column("t").to_numpy(), t.column("key").to_numpy(), check, most)
+            hit = with_partner(*(t.column(c).to_numpy() for c in ("t", "key")), check, *(t.column(c).to_numpy() for c in ("own", "i", "j")), most)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.column("uid").to_numpy()[hit]))], names=["uid"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +158,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), keys(dim, sig, t), own.column(0), own.column(1), data, sigs], names=["t", "key", "uid", "n", "data", "sigs"])
 
-    met = distinct.select("uid", "embedding").mapInArrow(sketched, "t int, key long, uid long, chk binary").repartition(shuffles, "t", "key")
+    met = dealt_in_blocks(distinct.select("uid", "embedding").mapInArrow(sketched, "t int, key long, uid long, chk binary"), ("t", "key"), "uid", bucket)
     near = materialize(met.mapInArrow(partners, "uid long").distinct())
     few = near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rest = distinct.join(F.broadcast(near) if few else near, "uid", "left_semi").select("uid", "n", "embedding")
     entries = rest.mapInArrow(hashed, "t int, key long, uid long, n long, data binary, sigs binary")
-    heavy = materialize(entries.groupBy("t", "key").count().where(F.col("count") > bucket).select("t", "key", F.ceil(F.col("count") / bucket).cast("int").alias("blocks")))
-    many = heavy.count()
-    if many:
-        entries = entries.join(F.broadcast(heavy) if many <= HEAVY_ROWS else heavy, ["t", "key"], "left")
-        own = F.pmod(F.col("uid"), F.coalesce("blocks", F.lit(1))).cast("int")
-        entries = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        entries = entries.select("t", "key", "uid", "n", "data", "sigs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    else:
-        entries = entries.select("*", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -224,7 +194,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
         u, v, n = links.rows()
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
 
-    found = materialize(entries.repartition(shuffles, "t", "key", "i", "j").mapInArrow(compare, "u long, v long, n long"))
+    found = materialize(dealt_in_blocks(entries, ("t", "key"), "uid", bucket).mapInArrow(compare, "u long, v long, n long"))
     linked = found.where("n > 0").groupBy(F.col("u").alias("uid")).agg(F.sum("n").alias("linked"))
     member = components(found.where("n = 0")).select(F.col("node").alias("uid"), "component")
     classes = distinct.select("uid", "n", "least").join(linked, "uid", "left").join(member, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
