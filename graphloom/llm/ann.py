@@ -3,17 +3,20 @@
 Vectors are projected on ``PROJECTIONS`` Gaussian directions, which are 2-stable: a projected squared distance over
 the true one follows a chi-square law. A kd-tree over the projections has its upper levels fitted on at most
 ``SAMPLE`` vectors (smallest hashes) and dealt out: one cell, one group of rows, holding every indexed row. Inside a cell
-the tree goes on to small leaves. A query visits leaves by projected distance, verifies true distances on the
-original vectors, and stops where the next leaf's projected squared distance exceeds the chi-square quantile ``SURE``
-times the k-th true squared distance. It first searches its own cell, then every cell that the same test leaves open.
+the tree goes on to small leaves. A query visits leaves by projected distance and verifies, on the original vectors, the points
+whose projected squared distance is within the chi-square quantile ``SURE`` times the k-th true squared distance reached; it stops
+where the next leaf's isn't. So each of the true nearest is found with a chance of at least ``SURE``. A query first searches its own
+cell, then every cell that the same test leaves open.
 
 Equal vectors are one point of the index with its k + 1 smallest ids, which is all that any result can hold, so a third of
 all rows in one vector costs one row per task in the shuffle. Queries travel to cells, in blocks; nothing is compared all
-to all. The broadcast tree has at most ``2 ** MAX_DEPTH`` cells.
+to all. The broadcast tree has at most ``2 ** MAX_DEPTH`` cells; a cell of over ``CELL_ROWS`` rows is dealt as several blocks by a
+hash, so a task holds a bounded part of the index at any size, and a query goes to each block of its cells.
 
 Defined results: unusable vectors (see vectors.usable) neither query nor answer; a query's own id is no answer; only
 vectors of the query's length are compared; fewer than k candidates give fewer rows; ties go to the smaller vec_id;
-an empty table gives an empty result; columns other than vec_id and embedding are ignored.
+a repeated query row asks once, a repeated candidate row answers as often as it occurs; an empty table gives an empty result;
+columns other than vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from graphloom.llm.common import hash_sample, materialize
 from graphloom.llm.vectors import doubles, hyperplanes, matrix
 
 K = 10
-PROJECTIONS = 8
+PROJECTIONS = 24
 SAMPLE = 8192
 CELL_ROWS = 8192
 MAX_DEPTH = 12
 LEAF = 128
-SURE = 0.995
+SURE = 0.98
 SEED = 17
 
 
@@ -99,11 +102,11 @@ class Tree:
         return (d * d).sum(1)
 
 
-def search(points: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: list[int], k: int, bounds: np.ndarray, seed: int = SEED) -> list[tuple[list[int], list[float]]]:
+def search(points: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: list[int], k: int, bounds: np.ndarray, leaf_rows: int = LEAF, seed: int = SEED) -> list[tuple[list[int], list[float]]]:
     """Per query the nearest k ids found in one cell and their distances; bounds: squared distances already reached."""
     project = hyperplanes(points.shape[1], PROJECTIONS, seed)
     low, flat = points @ project, queries @ project
-    depth = max(0, int(np.ceil(np.log2(max(1, len(points) / LEAF)))))
+    depth = max(0, int(np.ceil(np.log2(max(1, len(points) / leaf_rows)))))
     tree = Tree(low, depth)
     leaf = tree.leaf_of(low)
     order = np.argsort(leaf, kind="stable")
@@ -117,6 +120,8 @@ def search(points: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: l
             if box[j] > psi * reached:
                 break
             rows = order[edges[j] : edges[j + 1]]
+            gap = low[rows] - p
+            rows = rows[np.einsum("ij,ij->i", gap, gap) <= psi * reached]
             if not len(rows):
                 continue
             diff = points[rows] - q
@@ -139,9 +144,10 @@ def search(points: np.ndarray, ids: list[list[int]], queries: np.ndarray, own: l
 
 FOUND = pa.schema([("query_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("cell", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 FOUND_DDL = "query_id long, embedding array<double>, cell long, ids array<long>, scores array<double>"
+ASKED_DDL = "query_id long, embedding array<double>, cell long, bound double"
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = CELL_ROWS, leaf_rows: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries(vec_id, embedding) against vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = doubles(vectors)
@@ -152,7 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     trees: dict[int, Tree] = {}
     for dim, n in sizes.items():
         sample = hash_sample(points.where(F.size("embedding") == dim).select("embedding"), SAMPLE, n, "embedding").collect()
-        depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1.0, n / CELL_ROWS))))))
+        depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1.0, n / cell_rows))))))
         trees[dim] = Tree(np.unique(np.array([r[0] for r in sample]), axis=0) @ hyperplanes(dim, PROJECTIONS, SEED), depth)
     shared = spark.sparkContext.broadcast(trees)
     psi = chi_square_quantile(PROJECTIONS, SURE)
@@ -172,10 +178,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         """A row for each other cell that the chi-square test leaves open, with the distance reached so far."""
         for batch in batches:
             take, cells, bounds = [], [], []
-            for i, (vec, home, scores) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("embedding", "cell", "scores")), strict=True)):
-                tree = shared.value[len(vec)]
-                reached = scores[-1] ** 2 if len(scores) == k else np.inf
-                box = tree.boxes(np.array(vec) @ hyperplanes(len(vec), PROJECTIONS, SEED))
+            for i, (vec, home, reached) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("embedding", "cell", "bound")), strict=True)):
+                box = shared.value[len(vec)].boxes(np.array(vec) @ hyperplanes(len(vec), PROJECTIONS, SEED))
                 for c in np.flatnonzero(box <= psi * reached).tolist():
                     c += len(vec) << MAX_DEPTH
                     if c != home:
@@ -185,16 +189,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(take, pa.int64())), batch.column("embedding").take(pa.array(take, pa.int64())), pa.array(cells, pa.int64()), pa.array(bounds, pa.float64())], names=["query_id", "embedding", "cell", "bound"])
 
     def in_cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([right.column("query_id"), right.column("embedding"), right.column("cell"), pa.array([[]] * right.num_rows, pa.list_(pa.int64())), pa.array([[]] * right.num_rows, pa.list_(pa.float64()))], schema=FOUND) if right.num_rows else FOUND.empty_table()
-        found = search(matrix(left.column("embedding")), left.column("ids").to_pylist(), matrix(right.column("embedding")), right.column("query_id").to_pylist(), k, right.column("bound").to_numpy())
+        if not right.num_rows:
+            return FOUND.empty_table()
+        if left.num_rows:
+            found = search(matrix(left.column("embedding")), left.column("ids").to_pylist(), matrix(right.column("embedding")), right.column("query_id").to_pylist(), k, right.column("bound").to_numpy(), leaf_rows)
+        else:
+            found = [([], [])] * right.num_rows
         return pa.Table.from_arrays([right.column("query_id"), right.column("embedding"), right.column("cell"), pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([b for _, b in found], pa.list_(pa.float64()))], schema=FOUND)
 
-    indexed = points.select("embedding", "ids").mapInArrow(in_cells, "embedding array<double>, ids array<long>, cell long").groupBy("cell")
-    asked = doubles(queries).select("embedding", F.col("vec_id").alias("query_id")).mapInArrow(in_cells, "embedding array<double>, query_id long, cell long")
-    home = materialize(indexed.cogroup(asked.select("query_id", "embedding", "cell", F.lit(float("inf")).alias("bound")).groupBy("cell")).applyInArrow(in_cell, FOUND_DDL))
-    far = home.mapInArrow(open_cells, "query_id long, embedding array<double>, cell long, bound double")
-    rest = indexed.cogroup(far.groupBy("cell")).applyInArrow(in_cell, FOUND_DDL)
+    placed = points.select("embedding", "ids").mapInArrow(in_cells, "embedding array<double>, ids array<long>, cell long")
+    blocks = {r.cell: -(-r["count"] // cell_rows) for r in placed.groupBy("cell").count().where(F.col("count") > cell_rows).collect()}  # at most 2 ** MAX_DEPTH cells a length
+    table = spark.createDataFrame(sorted(blocks.items()) or [(-1, 1)], "cell long, blocks long")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(table), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+    indexed = dealt(placed).select("embedding", "ids", "cell", F.pmod(F.xxhash64("embedding"), "blocks").alias("block")).groupBy("cell", "block")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        to = dealt(asked).select("query_id", "embedding", "cell", "bound", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return indexed.cogroup(to.groupBy("cell", "block")).applyInArrow(in_cell, FOUND_DDL)
+
+    asked = doubles(queries).select("embedding", F.col("vec_id").alias("query_id")).dropDuplicates().mapInArrow(in_cells, "embedding array<double>, query_id long, cell long")
+    home = materialize(searched(asked.select("query_id", "embedding", "cell", F.lit(float("inf")).alias("bound"))))
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("scores"))), 1, k)  # k scores from each block of one cell
+    bound = home.groupBy("query_id", "embedding", "cell").agg(best.alias("best")).select("query_id", "embedding", "cell", F.when(F.size("best") == k, F.element_at("best", -1) * F.element_at("best", -1)).otherwise(F.lit(float("inf"))).alias("bound"))
+    rest = searched(bound.mapInArrow(open_cells, ASKED_DDL))
     pairs = home.union(rest).select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -27,13 +27,14 @@ def ok(v):
     return v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)
 
 
-def test_nearest_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL_ROWS", 200)
-    monkeypatch.setattr(ann, "LEAF", 16)
+@pytest.mark.parametrize("depth", [12, 1])
+def test_nearest_against_brute_force(spark, monkeypatch, depth):
+    """depth 1: two cells, each of which is dealt as several blocks."""
+    monkeypatch.setattr(ann, "MAX_DEPTH", depth)
     df = vectors(spark)
     rows = [(i, np.array(v)) for i, v in table(df) if ok(v)]
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), cell_rows=200, leaf_rows=16).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hits = total = 0
     for q, v in rows:
@@ -52,6 +53,14 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ties_at_the_last_rank_go_to_smaller_ids(spark):
+    """24 points at one distance from a query, each of them twice, in rows of many partitions."""
+    rows = [(100, [0.5, 0.5, 0.5, 0.5] + [0.0] * 20)] + [(i + 24 * c, [0.5, 0.5, 0.5, 0.5] + [3.0 if j == i % 20 else 0.0 for j in range(20)]) for i in range(20) for c in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    out = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id = 100"), cell_rows=8, leaf_rows=2).collect())
+    assert out == [(k + 1, i, 3.0) for k, i in enumerate(sorted(i for i, _ in rows if i != 100)[:10])]
+
+
 def test_chi_square():
     assert abs(ann.chi_square_quantile(8, 0.95) - 15.507) < 1e-3 and abs(ann.chi_square_quantile(2, 0.5) - 1.386) < 1e-3
 
