@@ -1,7 +1,7 @@
 """Helpers that every training-data operator shares: reading tables, scratch tables, chunking.
 
 Nothing here collects rows. Scratch tables go to the folder named by ``spark.checkpoint.dir``, which every
-executor of a cluster can reach; a temporary folder is used only where that setting is absent (tests).
+executor of a cluster can reach; without that setting a local master (tests) gets a temporary folder, and a cluster an error.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder: the session's setting, or a temporary one if there is none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark, "_graphloom_scratch", None)
         if not found:
             found = tempfile.mkdtemp(prefix="graphloom-")
@@ -180,7 +182,7 @@ def paired(starts, group, size, short: int = 64, block: int = 512):
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
+    """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and the text's length in bytes into chunks of about ``chunk_bytes``.
 
     The number of chunks follows the input's bytes, so a chunk fits in one Python worker at any scale
     and a frequent item has at most one entry per chunk in whatever the chunks exchange.
