@@ -3,56 +3,106 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import settled
-
-
-def _spread(pairs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(id, label): the smallest label that reaches each node along pairs, to a fixpoint."""
-    for _ in range(most):
-        low = pairs.join(labels, pairs.from_id == labels.id).groupBy("to_id").agg(F.min("label").alias("new"))
+from graphloom.operators.loops import LOCAL_EDGES, few_edges, in_one_task, settled
+
+
+def _tarjan(a: list[str], b: list[str]) -> pa.RecordBatch:
+    """(id, component = smallest member) of every end of the edges, in one pass with an explicit stack."""
+    near: dict[str, list[str]] = {}
+    for x, y in zip(a, b, strict=True):
+        near.setdefault(x, []).append(y)
+        near.setdefault(y, [])
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    inside: set[str] = set()
+    open_: list[str] = []
+    out: dict[str, str] = {}
+    for root in near:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        open_.append(root)
+        inside.add(root)
+        walk = [(root, iter(near[root]))]
+        while walk:
+            v, it = walk[-1]
+            w = next(it, None)
+            if w is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == order[v]:
+                    members = [open_.pop()]
+                    while members[-1] != v:
+                        members.append(open_.pop())
+                    inside.difference_update(members)
+                    out.update(dict.fromkeys(members, min(members)))
+            elif w not in order:
+                order[w] = low[w] = len(order)
+                open_.append(w)
+                inside.add(w)
+                walk.append((w, iter(near[w])))
+            elif w in inside:
+                low[v] = min(low[v], order[w])
+    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.string())], names=["id", "component"])
+
+
+def _reach(pairs: DataFrame, colour: DataFrame) -> DataFrame:
+    """(id, label): the smallest label(id, label) that reaches each node along pairs.
+
+    Labels travel along edges and along one shortcut from each node, which doubles in length each round: a chain of n nodes takes about log n rounds.
+    """
+    labels = colour
+    via = settled(pairs.groupBy("from_id").agg(F.min("to_id").alias("to_id")))
+    while True:
+        hops = pairs.union(via)
+        low = hops.join(labels, hops.from_id == labels.id).groupBy("to_id").agg(F.min("label").alias("new"))
         nxt = settled(labels.join(low, labels.id == low.to_id, "left").select("id", F.least("label", F.coalesce("new", "label")).alias("label"), (F.coalesce("new", "label") < F.col("label")).alias("moved")))
         labels = nxt.select("id", "label")
         if nxt.where("moved").isEmpty():
             return labels
-    raise RuntimeError("labels did not settle")
-
-
-def strong_components(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, component = smallest member): trimming, then forward colouring and backward search per colour, until all are assigned."""
-    left = settled(nodes.select("id").distinct())
-    pairs = settled(edges.select("from_id", "to_id").where("from_id <> to_id").distinct().join(left.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(left.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
-    done = left.limit(0).select("id", F.col("id").alias("component"))
-    for _ in range(most):
-        # nodes without an edge in or out are components of their own
-        inner = pairs.select(F.col("from_id").alias("id")).intersect(pairs.select(F.col("to_id").alias("id")))
-        alone = left.join(inner, "id", "left_anti")
-        if not alone.isEmpty():
-            done = settled(done.union(alone.select("id", F.col("id").alias("component"))))
-            left = settled(left.join(alone, "id", "left_anti"))
-            gone = alone
-        else:
-            colour = _spread(pairs, left.select("id", F.col("id").alias("label")), most)
-            same = pairs.join(colour.select(F.col("id").alias("from_id"), F.col("label").alias("a")), "from_id").join(colour.select(F.col("id").alias("to_id"), F.col("label").alias("b")), "to_id").where("a = b")
-            back = settled(same.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-            found = settled(colour.where("id = label").select("id", F.col("label").alias("component")))
-            while True:
-                new = back.join(found, back.from_id == found.id).select(F.col("to_id").alias("id"), "component").distinct().join(found, "id", "left_anti")
-                grown = settled(found.union(new))
-                if grown.count() == found.count():
-                    break
-                found = grown
-            done = settled(done.union(found))
-            left = settled(left.join(found, "id", "left_anti"))
-            gone = found
-        if left.isEmpty():
-            return done
-        pairs = settled(pairs.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id"))
-    raise RuntimeError("components did not settle")
+        via = settled(via.select("from_id", F.col("to_id").alias("mid")).join(via.withColumnRenamed("from_id", "mid"), "mid").select("from_id", "to_id"))
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, component = smallest member).
+
+    Nodes that lie on no cycle are trimmed from both ends; what is left is coloured forwards and searched backwards per colour, until
+    its edges are few enough (counted) for one task, which finishes by one depth-first pass.
+    """
+    every = nodes.select("id").distinct()
+    pairs = edges.select("from_id", "to_id").where("from_id <> to_id").distinct()
+    pairs = settled(pairs.join(every.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(every.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"))
+    done: list[DataFrame] = []
+    while not few_edges(pairs, local_edges):
+        heads = pairs.select(F.col("to_id").alias("from_id")).distinct()
+        tails = pairs.select(F.col("from_id").alias("to_id")).distinct()
+        inner = settled(pairs.join(heads, "from_id", "left_semi").join(tails, "to_id", "left_semi").select("from_id", "to_id"))
+        if inner.count() < 0.9 * pairs.count():  # a trimmed layer that pays for its round
+            pairs = inner
+            continue
+        ends = pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")).distinct()
+        colour = _reach(pairs, settled(ends.withColumn("label", F.col("id"))))
+        same = pairs.join(colour.select(F.col("id").alias("from_id"), F.col("label").alias("a")), "from_id").join(colour.select(F.col("id").alias("to_id"), F.col("label").alias("b")), "to_id").where("a = b")
+        back = settled(same.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+        # within a colour, what reaches the node that gave it is that node's component
+        seeds = colour.select("id", F.when(F.col("id") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
+        member = _reach(back, settled(seeds)).where("label = 0").join(colour.withColumnRenamed("label", "component"), "id").select("id", "component")
+        member = settled(member)
+        done.append(member)
+        gone = member.select(F.col("id").alias("from_id"))
+        pairs = settled(pairs.join(gone, "from_id", "left_anti").join(gone.withColumnRenamed("from_id", "to_id"), "to_id", "left_anti").select("from_id", "to_id"))
+    done.append(in_one_task(pairs, _tarjan, "id string, component string"))
+    found = reduce(DataFrame.union, done)
+    return every.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def cycles(components: DataFrame, edges: DataFrame, rank: DataFrame) -> DataFrame:
@@ -66,39 +116,78 @@ def cycles(components: DataFrame, edges: DataFrame, rank: DataFrame) -> DataFram
     return big.join(best, "component").join(weak, "component").select("component", F.array_join("members", ",").alias("members"), "size", "edges", F.col("w.from_id").alias("weak_from"), F.col("w.to_id").alias("weak_to"), "extract")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(id, component = smallest member), ignoring direction; labels jump to their label's label each round."""
-    pairs = edges.select("from_id", "to_id")
-    pairs = settled(pairs.union(pairs.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct())
-    return _spread(pairs, nodes.select("id").distinct().withColumn("label", F.col("id")), most).withColumnRenamed("label", "component")
+def _union_find(a: list[str], b: list[str]) -> pa.RecordBatch:
+    """(id, component = smallest member) of every end of the edges."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
 
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    ids = list(root)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([find(x) for x in ids], pa.string())], names=["id", "component"])
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 24) -> DataFrame:
+
+def connected(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, component = smallest member), ignoring direction.
+
+    Alternating large and small stars: each round joins a node's larger neighbours, then its smaller ones, to its smallest, so rounds
+    grow with the logarithm of the nodes. A hub's rows are aggregated before the shuffle. Few edges (counted) are one task's work.
+    """
+    pairs = edges.where("from_id <> to_id").select(F.greatest("from_id", "to_id").alias("u"), F.least("from_id", "to_id").alias("v"))
+    pairs = settled(pairs.distinct())
+    if few_edges(pairs, local_edges):
+        found = in_one_task(pairs.select(F.col("u").alias("from_id"), F.col("v").alias("to_id")), _union_find, "id string, component string")
+    else:
+        last = None
+        while True:
+            both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
+            pairs = settled(large.join(down, "u").select(ends).select("x.u", "x.v").where("u <> v").distinct())
+            state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == last:
+                break
+            last = state
+        found = pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(pairs.select("v", "v").distinct())
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def communities(nodes: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
     """(id, community): synchronous local moving on weighted undirected edges (from_id, to_id, weight).
 
-    Half of the nodes move in a round (by a hash of id and round), each to the neighbouring community with the highest modularity gain,
-    ties to the smallest label; labels start as ids. Deterministic whatever the partitions.
+    In a round some of the nodes move (by a hash of id and round; half of them, and fewer the longer it takes, so that nodes stop
+    trading places), each to the neighbouring community with the highest modularity gain, ties to the smallest label; labels start
+    as ids. Rounds go on until every node has had its turn without a move. Deterministic whatever the partitions.
+    Communities of under ``least`` members are noise and become -1.
     """
     und = edges.where("from_id <> to_id").select("from_id", "to_id", F.col("weight").cast("double").alias("w"))
     und = settled(und.union(und.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "w")).groupBy("from_id", "to_id").agg(F.sum("w").alias("w")))
     degree = settled(nodes.select("id").distinct().join(und.groupBy(F.col("from_id").alias("id")).agg(F.sum("w").alias("k")), "id", "left").fillna(0.0))
     two_m = degree.agg(F.sum("k")).first()[0] or 1.0
-    label, still = settled(degree.select("id", F.col("id").alias("community"), "k")), 0
-    for r in range(rounds):
+    label = settled(degree.select("id", F.col("id").alias("community"), "k"))
+    for r in count():
         total = label.groupBy("community").agg(F.sum("k").alias("total"))
         to = und.join(label.select(F.col("id").alias("to_id"), "community"), "to_id").groupBy(F.col("from_id").alias("id"), "community").agg(F.sum("w").alias("inside"))
         own = label.select("id", "k", F.col("community").alias("mine"))
         gain = to.join(own, "id").join(total, "community").withColumn("gain", F.round(F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0.0)) / two_m, 9))
         stay = F.max(F.when(F.col("community") == F.col("mine"), F.col("gain")))
         pick = gain.groupBy("id").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("mine"), -F.xxhash64("community"))).alias("to"), F.max("gain").alias("best"), stay.alias("stay"))
-        moves = pick.where((F.col("best") > F.coalesce("stay", F.lit(0.0))) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)).select("id", "to")
+        share = 2 + r // 8  # of two nodes that would swap, sooner or later one stays
+        wants = pick.where(F.col("best") > F.coalesce("stay", F.lit(0.0)))
+        moves = wants.where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(share)) == 0).select("id", "to")
         nxt = settled(label.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")))
-        still = still + 1 if nxt.where("moved").isEmpty() else 0
         label = nxt.select("id", "community", "k")
-        if still == 4:  # every node has very likely had its turn
+        if nxt.where("moved").isEmpty() and wants.isEmpty():  # nobody's gain asks for a move, whoever's turn it is
             break
-    name = label.groupBy("community").agg(F.min("id").alias("name"))
-    return label.join(name, "community").select("id", F.col("name").alias("community"))
+    name = label.groupBy("community").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("n"))
+    return label.join(name, "community").select("id", F.when(F.col("n") >= least, F.col("name")).otherwise("-1").alias("community"))
 
 
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,13 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: A graph of at most so many edges may be held by one task, or broadcast: ids are told apart by 64-bit numbers there.
+LOCAL_EDGES = 1_000_000
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once into the session's checkpoint folder; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
+
+
+def few_edges(pairs: DataFrame, most: int = LOCAL_EDGES) -> bool:
+    """Whether pairs has at most that many rows; counts no more of them than that."""
+    return pairs.limit(most + 1).count() <= most
+
+
+def in_one_task(pairs: DataFrame, f: Callable[[list[str], list[str]], pa.RecordBatch], schema: str) -> DataFrame:
+    """f of all from_ids and to_ids, run in one task: for pairs that few_edges has counted."""
+
+    def run(batches):
+        a: list[str] = []
+        b: list[str] = []
+        for batch in batches:
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+        yield f(a, b)
+
+    return pairs.select("from_id", "to_id").coalesce(1).mapInArrow(run, schema)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import settled
+from graphloom.operators.loops import LOCAL_EDGES, few_edges, settled
 
 DAMPING, ITERATIONS = 0.85, 20
 
@@ -28,18 +30,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     return rank.select("id", F.col("pr").alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, most_depth: int | None = None) -> DataFrame:
-    """(id, betweenness): Brandes over all sources, or scaled over pivots (the smallest hashes of ids). Directed, unweighted.
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, betweenness): Brandes over all sources, or scaled over pivots (the smallest hashes of ids). Directed, unweighted; paths of any length count.
 
-    Paths of any length count unless the caller gives most_depth. State is one row per (source, node), aggregated each level; path counts are doubles, which don't overflow.
+    Few edges (counted) are broadcast, and sources are dealt over tasks, which add up their shares. Beyond, state is one row per
+    (source, node), aggregated each level: with all sources that is the square of the nodes, so large graphs ask for pivots.
     """
     ids = settled(nodes.select("id").distinct())
     n = ids.count()
     pairs = settled(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
     sources = ids if pivots is None or pivots >= n else ids.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    scale = 1.0 if pivots is None or pivots >= n else n / pivots
+    if few_edges(pairs, local_edges):
+        parts = _broadcast_shares(sources, pairs)
+        total = parts.groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
+        return ids.join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
     seen = settled(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("paths")))
     deepest = 0
-    for depth in count(1) if most_depth is None else range(1, most_depth + 1):
+    for depth in count(1):
         front = seen.where(F.col("depth") == depth - 1)
         new = front.join(pairs, front.id == pairs.from_id).groupBy("s", "to_id").agg(F.sum("paths").alias("paths")).withColumnRenamed("to_id", "id")
         new = new.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(depth).alias("depth"), "paths")
@@ -54,11 +62,54 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, m
         back = high.join(pairs, high.id == pairs.from_id).select("s", "id", "paths", F.col("to_id").alias("w")).join(low, ["s", "w"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("pw") * (1 + F.col("delta"))).alias("delta"))
         level = high.select("s", "id").join(back, ["s", "id"], "left").select("s", "id", F.coalesce("delta", F.lit(0.0)).alias("delta"))
         credit = settled(credit.union(level))
-    scale = 1.0 if pivots is None or pivots >= n else n / pivots
     total = credit.where("s <> id").groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))
     return ids.join(total, "id", "left").select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
+def _broadcast_shares(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, delta) of sources(id), summed over a task's sources, level by level over arrays of the broadcast edges."""
+    rows = pairs.select("from_id", "to_id").toArrow()  # few_edges has counted them
+    names, flat = np.unique(np.array(rows.column(0).to_pylist() + rows.column(1).to_pylist(), object), return_inverse=True)
+    a, b = flat[: rows.num_rows], flat[rows.num_rows :]
+    by = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[by], np.arange(len(names) + 1))
+    shared = pairs.sparkSession.sparkContext.broadcast((names, first, b[by]))
+
+    def shares(first: np.ndarray, to: np.ndarray, s: int) -> np.ndarray:
+        n = len(first) - 1
+        depth, paths, delta = np.full(n, -1), np.zeros(n), np.zeros(n)
+        depth[s], paths[s] = 0, 1.0
+        front, levels = np.array([s]), []
+        while len(front):
+            size = first[front + 1] - first[front]
+            x = np.repeat(front, size)
+            y = to[np.repeat(first[front] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            depth[np.unique(y[depth[y] < 0])] = depth[front[0]] + 1
+            ahead = depth[y] == depth[front[0]] + 1
+            x, y = x[ahead], y[ahead]
+            np.add.at(paths, y, paths[x])
+            levels.append((x, y))
+            front = np.unique(y)
+        for x, y in reversed(levels):
+            np.add.at(delta, x, paths[x] / paths[y] * (1 + delta[y]))
+        delta[s] = 0.0
+        return delta
+
+    def run(batches):
+        names, first, to = shared.value
+        total = np.zeros(len(names))
+        for batch in batches:
+            ids = np.array(batch.column(0).to_pylist(), object)
+            at = np.minimum(np.searchsorted(names, ids), max(0, len(names) - 1)) if len(names) else np.empty(0, int)
+            for s in at[names[at] == ids].tolist() if len(names) else []:
+                total += shares(first, to, s)
+        keep = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names[keep].tolist(), pa.string()), pa.array(total[keep])], names=["id", "delta"])
+
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sources.select("id").repartition(tasks, "id").mapInArrow(run, "id string, delta double")
+
+
 def god_nodes(scores: DataFrame, share: float = 0.05) -> DataFrame:
     """Ids in the top share by PageRank or by betweenness; ties in total order of id."""
     n = scores.count()

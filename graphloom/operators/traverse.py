@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import settled
+from graphloom.operators.loops import LOCAL_EDGES, few_edges, in_one_task, settled
 
 
 def neighbors(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
@@ -26,11 +27,42 @@ def undirected(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct()
 
 
-def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int | None = None) -> DataFrame:
-    """(id, depth) of all nodes within hops of sources(id); hops None runs until nothing new is found, and raises beyond most_rounds."""
+def _levels(hops: int | None, most_rounds: int | None):
+    """Depths from the rows with no from_id, over the others, in one task."""
+
+    def run(a: list[str], b: list[str]) -> pa.RecordBatch:
+        near: dict[str, list[str]] = {}
+        depth: dict[str, int] = {}
+        for x, y in zip(a, b, strict=True):
+            if x is None:
+                depth[y] = 0
+            else:
+                near.setdefault(x, []).append(y)
+        front = list(depth)
+        for k in count(1) if hops is None else range(1, hops + 1):
+            front = [y for y in dict.fromkeys(y for x in front for y in near.get(x, ())) if y not in depth]
+            if not front:
+                break
+            depth.update(dict.fromkeys(front, k))
+            if hops is None and k == most_rounds:
+                raise RuntimeError("reachability did not settle")
+        return pa.RecordBatch.from_arrays([pa.array(list(depth), pa.string()), pa.array(list(depth.values()), pa.int32())], names=["id", "depth"])
+
+    return run
+
+
+def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, depth) of all nodes within hops of sources(id); hops None runs until nothing new is found, and raises beyond most_rounds.
+
+    Few edges and sources (counted) are one task's work; beyond, each hop is a join.
+    """
     pairs = {"out": edges.select("from_id", "to_id"), "in": edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), "both": undirected(edges)}[direction]
-    pairs = settled(pairs.distinct())
-    seen = settled(sources.select("id").distinct().withColumn("depth", F.lit(0)))
+    pairs = settled(pairs.where("from_id is not null").distinct())
+    starts = settled(sources.select("id").where("id is not null").distinct())
+    rows = pairs.union(starts.select(F.lit(None).cast("string"), "id"))
+    if few_edges(rows, local_edges):
+        return in_one_task(rows, _levels(hops, most_rounds), "id string, depth int")
+    seen = settled(starts.withColumn("depth", F.lit(0)))
     for depth in count(1) if hops is None else range(1, hops + 1):
         front = seen.where(F.col("depth") == depth - 1)
         new = pairs.join(front, pairs.from_id == front.id, "left_semi").select(F.col("to_id").alias("id")).distinct().join(seen, "id", "left_anti")

@@ -134,7 +134,7 @@ def _modules(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query("betweenness", _BC)
 def betweenness(t: Tables) -> DataFrame:
-    return rank.betweenness(*_modules(t), most_depth=8).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return rank.betweenness(*_modules(t)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query("top_betweenness", _BC + " ORDER BY betweenness DESC, id LIMIT 5")
@@ -144,7 +144,7 @@ def top_betweenness(t: Tables) -> DataFrame:
 
 @query("betweenness_sampled")
 def betweenness_sampled(t: Tables) -> DataFrame:
-    return rank.betweenness(t.fn, t.imports, pivots=16, most_depth=12).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return rank.betweenness(t.fn, t.imports, pivots=16).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 _SCC = ", i AS (SELECT DISTINCT from_id, to_id FROM imports WHERE from_id <> to_id), r(a, b) AS (SELECT from_id, to_id FROM i UNION SELECT r.a, i.to_id FROM r JOIN i ON i.from_id = r.b), s AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)"

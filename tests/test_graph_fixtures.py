@@ -135,8 +135,68 @@ def test_results_do_not_depend_on_partitions(spark, n):
     assert got == kept
 
 
+def brute_scc(nodes, pairs):
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+
+
+@pytest.mark.parametrize("local", [10**6, 3])
+def test_components_locally_and_distributed(spark, local):
+    import random
+
+    rng = random.Random(5)
+    names = [f"n{i:02}" for i in range(40)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(55)] + [("n01", "n02"), ("n02", "n03"), ("n03", "n01")]
+    e, nodes = edges(spark, pairs), ids(spark, *names)
+    assert {r.id: r.component for r in groups.strong_components(nodes, e, local).collect()} == brute_scc(names, pairs)
+    both = brute_scc(names, pairs + [(b, a) for a, b in pairs])
+    assert {r.id: r.component for r in groups.connected(nodes, e, local).collect()} == both
+
+
+def test_a_chain_of_ten_thousand_nodes(spark):
+    chain = [(f"c{i:05}", f"c{i + 1:05}") for i in range(9999)]
+    e, nodes = edges(spark, chain), ids(spark, *[f"c{i:05}" for i in range(10_000)])
+    assert groups.connected(nodes, e).select("component").distinct().count() == 1
+    assert groups.strong_components(nodes, e).select("component").distinct().count() == 10_000
+    assert groups.strong_components(nodes, edges(spark, [*chain, ("c09999", "c00000")])).select("component").distinct().count() == 1
+    assert traverse.bfs(e, ids(spark, "c00000"), None).count() == 10_000
+    assert traverse.unreached(nodes, e, ids(spark, "c00300")).count() == 300, "no live node of a long chain is dead"
+
+
+def test_a_long_chain_distributed(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(39)]
+    nodes = ids(spark, *[f"c{i:03}" for i in range(40)])
+    assert groups.connected(nodes, edges(spark, chain), 0).select("component").distinct().count() == 1
+    assert groups.strong_components(nodes, edges(spark, [*chain, ("c039", "c000")]), 10).select("component").distinct().count() == 1
+
+
+def test_betweenness_ways_agree_and_cut_no_path(spark):
+    import random
+
+    rng = random.Random(8)
+    pairs = [(f"b{rng.randrange(25)}", f"b{rng.randrange(25)}") for _ in range(50)] + [(f"d{i}", f"d{i + 1}") for i in range(20)]
+    e, nodes = edges(spark, pairs), ids(spark, *{x for p in pairs for x in p})
+    for pivots in (None, 9):
+        one, two = ({r.id: round(r.betweenness, 9) for r in rank.betweenness(nodes, e, pivots, local).collect()} for local in (10**6, 0))
+        assert one == two
+    assert {r.id: r.betweenness for r in rank.betweenness(nodes, e).collect()}["d10"] == 100, "10 before it, 10 after it"
+
+
+def test_small_communities_are_noise(spark):
+    pairs = [(f"{c}{i}", f"{c}{j}", 1) for c in "xy" for i in range(5) for j in range(i)] + [("z0", "z1", 1)]
+    nodes = ids(spark, *[f"{c}{i}" for c in "xy" for i in range(5)], "z0", "z1", "alone")
+    got = {r.id: r.community for r in groups.communities(nodes, spark.createDataFrame(pairs, "from_id string, to_id string, weight int"), least=3).collect()}
+    assert got["z0"] == got["z1"] == got["alone"] == "-1" and got["x3"] == "x0" and got["y4"] == "y0"
+
+
 def test_unbounded_search_never_stops_short(spark):
     chain = edges(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)])
     assert traverse.bfs(chain, ids(spark, "n0"), None).count() == 7
-    with pytest.raises(RuntimeError):
-        traverse.bfs(chain, ids(spark, "n0"), None, most_rounds=3)
+    assert traverse.bfs(chain, ids(spark, "n0"), None, local_edges=0).count() == 7
+    assert sorted(traverse.bfs(chain, ids(spark, "n0", "n5"), 2, local_edges=0).collect()) == sorted(traverse.bfs(chain, ids(spark, "n0", "n5"), 2).collect())
+    for local in (0, 100):
+        with pytest.raises(Exception, match="did not settle"):
+            traverse.bfs(chain, ids(spark, "n0"), None, most_rounds=3, local_edges=local).collect()
