@@ -162,3 +162,22 @@ def layer(path: Column) -> Column:
     for name, words in reversed(LAYERS):
         out = F.when(low.rlike(words), name).otherwise(out)
     return out
+
+
+def embed_text(name: Column, signature: Column, body: Column, most_bytes: int = 1200) -> Column:
+    """What is embedded of an entity: name, signature and body, cut to a number of bytes on a character's boundary."""
+    whole = F.concat_ws("\n", name, signature, body)
+    cut = F.make_valid_utf8(F.substring(whole.cast("binary"), 1, most_bytes).cast("string"))
+    return F.when(F.octet_length(whole) <= most_bytes, whole).otherwise(F.regexp_replace(cut, "\uFFFD+$", ""))
+
+
+def fnv1a(c: Column) -> Column:
+    """32-bit FNV-1a of a text's UTF-8 bytes, as a long."""
+    code = F.transform(F.regexp_extract_all(F.hex(c.cast("binary")), F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+    return F.aggregate(code, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296)
+
+
+def module_root(path: Column, default_depth: int = 2) -> Column:
+    """The first directories of a path, or _root for a file above them: what a path without a marker file belongs to."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > default_depth, F.array_join(F.slice(parts, 1, default_depth), "/")).otherwise("_root")

@@ -52,6 +52,32 @@ def literal_parity(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("key", F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").when(F.col("l") == F.col("r"), "equal").otherwise("mismatch").alias("status"))
 
 
+def separator(key: Column) -> Column:
+    """The naming convention of a key: the separator it uses, or camel, or plain."""
+    return F.when(key.contains("-"), "-").when(key.contains("_"), "_").when(key.contains("."), ".").when(key.rlike("[a-z0-9][A-Z]"), "camel").otherwise("plain")
+
+
+def separators(members: DataFrame) -> DataFrame:
+    """(side, key, convention, dominant): keys of members(side, key) that leave the convention most of their side follows; ties to the smaller one."""
+    each = members.select("side", "key").distinct().withColumn("convention", separator(F.col("key")))
+    n = each.groupBy("side", "convention").agg(F.count(F.lit(1)).alias("n"))
+    most = n.groupBy("side").agg(F.min_by("convention", F.struct(-F.col("n"), F.col("convention"))).alias("dominant"))
+    return each.join(most, "side").where("convention <> dominant").select("side", "key", "convention", "dominant")
+
+
+def unresolved_shapes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(endpoint, status, side): statuses(endpoint, status, resolved) of which one side is blind, where the other knows its fields."""
+    key = ["endpoint", "status"]
+    one = lambda df, name: df.groupBy(*key).agg(F.min("resolved").alias(name))
+    both = one(left, "l").join(one(right, "r"), key)
+    return both.select(*key, F.when(~F.col("l") & ~F.col("r"), "both").when(~F.col("l"), "left").when(~F.col("r"), "right").alias("side")).where("side is not null")
+
+
+def resolved_only(shapes: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """Shapes without the statuses that are unresolved: those are one record each, not drift of all their fields."""
+    return shapes.join(unresolved.select("endpoint", "status").distinct(), ["endpoint", "status"], "left_anti")
+
+
 def response_shapes(left: DataFrame, right: DataFrame) -> DataFrame:
     """(endpoint, status, field, drift) of (endpoint, status, field, type, optional); str and string are one type."""
     norm = lambda df, s: df.select("endpoint", "status", "field", F.when(F.col("type") == "str", "string").otherwise(F.col("type")).alias(f"t{s}"), F.col("optional").alias(f"o{s}"))

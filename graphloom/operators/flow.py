@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.loops import settled
+from graphloom.schema import bare_kind
 
 #: The effect lattice, and confidence bases and decays by source.
 EFFECTS = ("db_read", "db_write", "http_out", "fs_read", "fs_write", "mutation", "env_read")
@@ -44,6 +45,36 @@ def chains(starts: DataFrame, edges: DataFrame, most_steps: int, least_steps: in
     return done.select("path", F.size("path").alias("steps")).where(F.col("steps") >= least_steps)
 
 
+#: What an entry's kind says about how a process starts; others are functions.
+ENTRY_KINDS = {"http_endpoint_definition": "http", "http_endpoint": "http", "messageconsumer": "kafka_consumer", "scheduledjob": "scheduled"}
+
+
+def process_flows(entries: DataFrame, implements: DataFrame, calls: DataFrame, repos: DataFrame, most_steps: int = 5, least_steps: int = 3) -> DataFrame:
+    """(path, steps, label, entry_kind, cross_stack) of walks from entries(id, name, kind), handlers included.
+
+    implements(handler, endpoint) is walked backwards, so a flow roots at the endpoint, goes on at its handler and is named by the
+    route; the handler starts no flow of its own. Short flows go unless an endpoint is their root. cross_stack: the steps lie in
+    several of repos(id, repo). A call to what has no entity ends the walk there.
+    """
+    kind = F.lit("function")
+    for name, value in ENTRY_KINDS.items():
+        kind = F.when(bare_kind(F.col("kind")) == name, value).otherwise(kind)
+    handlers = implements.select(F.col("handler").alias("id")).distinct()
+    starts = entries.join(handlers, "id", "left_anti").select("id", "name", kind.alias("entry_kind"))
+    bridge = implements.select(F.col("endpoint").alias("from_id"), F.col("handler").alias("to_id"))
+    walks = chains(starts, calls.select("from_id", "to_id").union(bridge), most_steps, 2).withColumn("id", F.element_at("path", 1))
+    kept = walks.join(starts, "id").where((F.col("steps") >= least_steps) | (F.col("entry_kind") == "http"))
+    steps = kept.select("path", F.explode("path").alias("id")).join(repos.select("id", "repo"), "id").groupBy("path").agg(F.count_distinct("repo").alias("n"))
+    return kept.join(steps, "path", "left").select("path", "steps", F.col("name").alias("label"), "entry_kind", (F.coalesce("n", F.lit(0)) > 1).alias("cross_stack"))
+
+
+def effect_union(effects: DataFrame) -> DataFrame:
+    """(id, confidence, effects): an entity's effects(id, effect, confidence), the headline their largest, listed as effect=confidence by name."""
+    best = effects.groupBy("id", "effect").agg(F.max("confidence").alias("confidence"))
+    one = F.concat("effect", F.lit("="), F.format_number("confidence", 2))
+    return best.groupBy("id").agg(F.max("confidence").alias("confidence"), F.array_join(F.sort_array(F.collect_list(one)), ",").alias("effects"))
+
+
 def propagate(seeds: DataFrame, calls: DataFrame, hop: float = HOP, floor: float = FLOOR) -> DataFrame:
     """(id, effect, confidence): direct effects and, up CALLS, the largest product of confidences above the floor."""
     up = settled(calls.select("from_id", "to_id").distinct())

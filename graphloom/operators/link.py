@@ -17,19 +17,31 @@ def by_key(consumers: DataFrame, producers: DataFrame) -> DataFrame:
 
 
 def http_links(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """(source, target, strategy) of calls(id, repo, verb, path) and routes(id, repo, verb, path).
+    """(source, target, strategy, confidence) of calls(id, repo, verb, path) and routes(id, repo, verb, path).
 
-    exact: same verb and route shape; dynamic_suffix_match: the route's shape ends the call's, joined by the call's own suffixes.
+    exact: same verb and route shape (resolved); literal_param_fill: one literal segment of the call stands where the route has a
+    parameter; dynamic_suffix_match: the route's shape ends the call's, the longest such (both inferred). The last two must lead to one
+    target only: where several routes fit as well, the call stays unlinked. All are equi-joins on the call's own variants of its key.
     """
     c = calls.withColumn("key", text.join_path(F.col("path")))
     r = routes.withColumn("key", text.join_path(F.col("path"))).groupBy("repo", "verb", "key").agg(F.min("id").alias("target")).withColumnRenamed("repo", "target_repo")
-    exact = c.join(r, ["verb", "key"]).where("repo <> target_repo").select(F.col("id").alias("source"), "target", F.lit("exact").alias("strategy"))
     parts = F.split(F.col("key"), "/")
+
+    def join(left: DataFrame) -> DataFrame:
+        return left.join(r, ["verb", "key"]).where("repo <> target_repo")
+
+    def unique(found: DataFrame, strategy: str) -> DataFrame:
+        longest = found.groupBy("id", F.length("key").alias("size")).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
+        best = longest.groupBy("id").agg(F.max_by(F.struct("target", "n"), "size").alias("b")).where("b.n = 1")
+        return best.select(F.col("id").alias("source"), "b.target", F.lit(strategy).alias("strategy"), F.lit("inferred").alias("confidence"))
+
+    exact = join(c).select(F.col("id").alias("source"), "target", F.lit("exact").alias("strategy"), F.lit("resolved").alias("confidence"))
+    rest = c.join(exact.select(F.col("source").alias("id")), "id", "left_anti")
+    filled = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.when(F.get(parts, i) != "{*}", F.array_join(F.transform(parts, lambda x, j: F.when(j == i, "{*}").otherwise(x)), "/")))
+    literal = unique(join(rest.where(F.size(parts) >= 2).withColumn("key", F.explode(F.array_compact(filled)))), "literal_param_fill")
+    rest = rest.join(literal.select(F.col("source").alias("id")), "id", "left_anti").where(F.size(parts) >= 3)
     tails = F.transform(F.sequence(F.lit(3), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))
-    rest = c.join(exact.select(F.col("source").alias("id")), "id", "left_anti").where(F.size(parts) >= 3)
-    suffix = rest.withColumn("key", F.explode(tails)).join(r, ["verb", "key"]).where("repo <> target_repo")
-    best = suffix.groupBy("id").agg(F.min_by("target", F.struct(-F.length("key"), F.col("target"))).alias("target"))
-    return exact.union(best.select(F.col("id").alias("source"), "target", F.lit("dynamic_suffix_match").alias("strategy")))
+    return exact.union(literal).union(unique(join(rest.withColumn("key", F.explode(tails))), "dynamic_suffix_match"))
 
 
 def topic_links(publishers: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -86,14 +98,29 @@ def orphan_reason(url: Column) -> Column:
     return F.when(url.rlike(r"^(\$\{|[A-Z_]+\+|\{)"), "dynamic_baseurl").when(url.contains("${") | (F.instr(url, "{") > 2), "template_literal").otherwise("no_handler_found")
 
 
+def orphan_callers(fetches: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(caller, url, method, reason): fetches(caller, url, method, key) whose key no producer among endpoints(key, side) has; GET by default."""
+    served = endpoints.where("side = 'producer'").select("key").distinct()
+    gone = fetches.join(served, "key", "left_anti")
+    return gone.select("caller", "url", F.coalesce("method", F.lit("GET")).alias("method"), orphan_reason(F.col("url")).alias("reason")).dropDuplicates(["caller", "url"])
+
+
+#: Fixed value: what the key of an import from outside starts with.
+EXTERNAL = "scope:component:import:external:"
+
+
 def dependency_usage(declared: DataFrame, imported: DataFrame) -> DataFrame:
-    """(name, status): declared(name) against imported(target): equal, or under name/; phantom where never declared."""
-    root = F.split_part("target", F.lit("/"), F.lit(1))
-    used = imported.select(F.explode(F.array_distinct(F.array("target", root))).alias("name"), "target").distinct()
+    """(name, status): declared(name) against imported(target): equal, under name/, or a key that ends in :name.
+
+    Imports that nothing declares are phantoms only where their key says that they are external; one row a name.
+    """
+    parts = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), 1, i), "/"))
+    tail = F.substring_index("target", ":", -1)
+    used = imported.select("target", F.explode(F.array_distinct(F.concat(parts(F.col("target")), F.array(tail), F.when(F.col("target").startswith(EXTERNAL), parts(tail)).otherwise(F.array().cast("array<string>"))))).alias("name")).distinct()
     hit = declared.join(used.select("name").distinct().withColumn("hit", F.lit(1)), "name", "left")
     known = used.join(declared, "name", "left_semi").select("target").distinct()
-    phantom = imported.select("target").distinct().join(known, "target", "left_anti")
-    return hit.select("name", F.when(F.col("hit") == 1, "used").otherwise("unused").alias("status")).union(phantom.select(F.col("target").alias("name"), F.lit("phantom").alias("status")))
+    phantom = imported.select("target").distinct().where(F.col("target").startswith(EXTERNAL)).join(known, "target", "left_anti")
+    return hit.select("name", F.when(F.col("hit") == 1, "used").otherwise("unused").alias("status")).union(phantom.select(tail.alias("name"), F.lit("phantom").alias("status")).distinct())
 
 
 def tests_walkup(tests: DataFrame, calls: DataFrame, is_test: DataFrame, most_callers: int = 5) -> DataFrame:
@@ -108,11 +135,14 @@ def tests_walkup(tests: DataFrame, calls: DataFrame, is_test: DataFrame, most_ca
 def span_coverage(spans: DataFrame, lines: DataFrame, bin_lines: int = 50) -> DataFrame:
     """(id, covered, instrumented, pct) of spans(id, path, first, last) over lines(path, line, hits); spans without lines give no row.
 
-    A band join as an equi-join: spans visit the line bins they touch.
+    A band join as an equi-join: spans visit the line bins they touch. Without a usable span an entity stands for its whole file.
     """
-    s = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / bin_lines), F.floor(F.col("last") / bin_lines))))
+    usable = F.coalesce((F.col("first") > 0) & (F.col("last") >= F.col("first")), F.lit(False))
+    s = spans.where(usable).withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / bin_lines), F.floor(F.col("last") / bin_lines))))
     hit = s.join(lines.withColumn("bin", F.floor(F.col("line") / bin_lines)), ["path", "bin"]).where("line between first and last")
-    return hit.groupBy("id").agg(F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)).alias("covered"), F.count(F.lit(1)).alias("instrumented")).withColumn("pct", F.round(100.0 * F.col("covered") / F.col("instrumented"), 2))
+    count = [F.sum(F.when(F.col("hits") > 0, 1).otherwise(0)).alias("covered"), F.count(F.lit(1)).alias("instrumented")]
+    files = spans.where(~usable).select("id", "path").join(lines.groupBy("path").agg(*count), "path").select("id", "covered", "instrumented")
+    return hit.groupBy("id").agg(*count).union(files).withColumn("pct", F.round(100.0 * F.col("covered") / F.col("instrumented"), 2))
 
 
 def last_before(uses: DataFrame, defs: DataFrame, keys: list[str], at: str, value: str, order: str) -> DataFrame:
@@ -135,24 +165,54 @@ def mentions(sections: DataFrame, names: DataFrame, skip: tuple[str, ...] = ("th
 
 
 def resolve_names(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """(query, tier, matches, id): id, qualified name in any case, name in any case; the first tier with a hit; id only where it is one."""
+    """(query, tier, matches, id): the first tier with a hit, and the id only where it is one; queries(query), entities(id, qualified_name, name[, repo]).
+
+    Tiers: id; qualified name, name, dotted suffix of the qualified name, each in any case. ``repo::name`` looks in that repo only.
+    """
     q = queries.select("query").distinct()
-    hits = [q.join(entities.select(F.col("id").alias("query"), "id"), "query").select("query", F.lit(t).alias("tier"), "id") if t == 1 else q.withColumn("k", F.lower("query")).join(entities.select(F.lower(c).alias("k"), "id"), "k").select("query", F.lit(t).alias("tier"), "id") for t, c in ((1, "id"), (2, "qualified_name"), (3, "name"))]
-    every = hits[0].union(hits[1]).union(hits[2])
+    pinned = F.instr("query", "::") > 0
+    q = q.withColumn("pin", F.when(pinned, F.substring_index("query", "::", 1))).withColumn("k", F.lower(F.when(pinned, F.expr("substring(query, instr(query, '::') + 2)")).otherwise(F.col("query"))))
+    e = entities if "repo" in entities.columns else entities.withColumn("repo", F.lit(None).cast("string"))
+    parts = F.split(F.lower("qualified_name"), r"\.")
+    suffixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    keys = F.array(F.struct(F.lit(2).alias("tier"), F.lower("qualified_name").alias("k")), F.struct(F.lit(3).alias("tier"), F.lower("name").alias("k")))
+    named = e.select("id", "repo", F.explode(F.concat(keys, F.coalesce(F.transform(suffixes, lambda x: F.struct(F.lit(4).alias("tier"), x.alias("k"))), F.array().cast("array<struct<tier:int,k:string>>")))).alias("x")).select("id", "repo", "x.tier", "x.k")
+    by_id = q.where("pin is null").join(e.select(F.col("id").alias("query"), "id"), "query").select("query", F.lit(1).alias("tier"), "id")
+    every = by_id.union(q.join(named, "k").where("pin is null or pin = repo").select("query", "tier", "id"))
     best = every.join(every.groupBy("query").agg(F.min("tier").alias("tier")), ["query", "tier"]).groupBy("query", "tier").agg(F.count_distinct("id").alias("matches"), F.min("id").alias("id"))
     return best.select("query", "tier", "matches", F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
-def inherited(extends: DataFrame, members: DataFrame, depth: int = 8) -> DataFrame:
-    """(class, member, definer): where each class finds its members, nearest base first, then left to right; own ones win."""
+def find_callers(queries: DataFrame, entities: DataFrame, calls: DataFrame) -> DataFrame:
+    """(query, status, id): callers of what each query names; where several entities fit, the query is ambiguous and has no caller.
+
+    Callers without an entity count too: calls are joined, never looked up.
+    """
+    found = resolve_names(queries, entities)
+    hit = found.where("matches = 1").select("query", F.col("id").alias("to_id"))
+    callers = hit.join(calls.select("from_id", "to_id"), "to_id").select("query", F.lit("caller").alias("status"), F.col("from_id").alias("id")).distinct()
+    return callers.union(found.where("matches > 1").select("query", F.lit("ambiguous"), F.lit(None).cast("string")))
+
+
+def inherited(extends: DataFrame, members: DataFrame) -> DataFrame:
+    """(class, member, definer, depth): where each class finds its members, nearest base first, then left to right; own ones win.
+
+    Goes up until no class gains a member; a class already has its nearest definer, so a cycle of bases ends too.
+    """
     from graphloom.operators.loops import settled
 
-    own = members.select("class", "member", F.col("class").alias("definer"), F.lit(0).alias("depth"), F.lit(0).alias("ordinal"))
+    own = settled(members.select("class", "member", F.col("class").alias("definer"), F.lit(0).alias("depth"), F.lit(0).alias("ordinal")).dropDuplicates(["class", "member"]))
     found, front = own, own
-    for _ in range(depth):
+    while True:
         up = extends.join(front.withColumnRenamed("class", "base").drop("ordinal"), "base").select("class", "member", "definer", (F.col("depth") + 1).alias("depth"), F.col("ordinal"))
-        front = settled(up.groupBy("class", "member").agg(F.min(F.struct("depth", "ordinal", "definer")).alias("b")).select("class", "member", "b.definer", "b.depth", "b.ordinal"))
+        best = up.groupBy("class", "member").agg(F.min(F.struct("depth", "ordinal", "definer")).alias("b")).select("class", "member", "b.definer", "b.depth", "b.ordinal")
+        front = settled(best.join(found.select("class", "member"), ["class", "member"], "left_anti"))
         if front.isEmpty():
-            break
-        found = found.union(front)
-    return found.groupBy("class", "member").agg(F.min(F.struct("depth", "ordinal", "definer")).alias("b")).select("class", "member", "b.definer", "b.depth")
+            return found.select("class", "member", "definer", "depth")
+        found = settled(found.union(front))
+
+
+def precedes(migrations: DataFrame) -> DataFrame:
+    """(from_id, to_id): PRECEDES edges of migrations(revision, down_revision), from each one that exists to what builds on it."""
+    known = migrations.select(F.col("revision").alias("from_id")).distinct()
+    return migrations.where("down_revision is not null").select(F.col("down_revision").alias("from_id"), F.col("revision").alias("to_id")).join(known, "from_id", "left_semi").distinct()

@@ -118,6 +118,24 @@ def god_nodes(scores: DataFrame, share: float = 0.05) -> DataFrame:
     return by("pagerank").union(by("betweenness")).distinct()
 
 
+def key_entities(scores: DataFrame, k: int = 10) -> DataFrame:
+    """(id, degree, score): scores(id, degree, betweenness), each as a share of its largest, added; isolated entities have no rank."""
+    most = scores.agg(F.max("degree").alias("d"), F.max("betweenness").alias("b"))
+    part = lambda c, m: F.when(F.col(m) > 0, F.col(c) / F.col(m)).otherwise(0.0)
+    rows = scores.where("degree > 0").crossJoin(F.broadcast(most))  # one row
+    return rows.select("id", "degree", F.round(part("degree", "d") + part("betweenness", "b"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def questions(nodes: DataFrame, edges: DataFrame, communities: DataFrame, least: float = 0.5) -> DataFrame:
+    """(kind, id, other): what to ask about a graph: edges of low confidence, edges between communities, entities without any edge."""
+    unsure = edges.where(F.col("confidence") < least).select(F.lit("ambiguous_edge").alias("kind"), F.col("from_id").alias("id"), F.col("to_id").alias("other")).distinct()
+    a, b = communities.select(F.col("id").alias("from_id"), F.col("community").alias("a")), communities.select(F.col("id").alias("to_id"), F.col("community").alias("b"))
+    bridge = edges.join(a, "from_id").join(b, "to_id").where("a <> b").select(F.lit("bridge"), "from_id", "to_id").distinct()
+    ends = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id"))
+    alone = nodes.select("id").distinct().join(ends, "id", "left_anti").select(F.lit("isolated"), "id", F.lit(None).cast("string"))
+    return unsure.union(bridge).union(alone)
+
+
 def significant(c, digits: int = 6):
     """Rounded to significant figures, never to an absolute step."""
     return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), digits - 1) * F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))))

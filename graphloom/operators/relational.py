@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions import text
 from graphloom.schema import bare_kind, effective_confidence
@@ -86,20 +87,77 @@ def longest_prefix(records: DataFrame, modules: DataFrame) -> DataFrame:
     return records.join(hit.groupBy("path").agg(F.max_by("module", F.length("root")).alias("module")), "path", "left")
 
 
+#: Files that mark a package's directory.
+MARKERS = ("package.json", "index.ts", "index.js", "index.tsx", "index.jsx", "__init__.py", "go.mod", "Cargo.toml", "pom.xml", "build.gradle")
+
+
+def derived_modules(files: DataFrame, default_depth: int = 2, most_depth: int = 3) -> DataFrame:
+    """(path, module) of files(path): the deepest directory on the way that holds a marker file, at most most_depth down.
+
+    Without one, or with one at the root only, the first default_depth directories; a file above them belongs to _root.
+    Each path meets its own directories by equality.
+    """
+    rows = files.select("path").distinct().withColumn("parts", F.split("path", "/"))
+    upto = lambda n: F.array_join(F.slice("parts", 1, n), "/")
+    marks = rows.where(F.element_at("parts", -1).isin(*MARKERS) & F.size("parts").between(2, most_depth + 1)).select(upto(F.size("parts") - 1).alias("dir")).distinct()
+    dirs = F.transform(F.sequence(F.lit(1), F.least(F.size("parts") - 1, F.lit(most_depth))), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
+    asked = rows.where(F.size("parts") > 1).select("path", F.explode(dirs).alias("dir"))
+    best = asked.join(marks, "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("marked"))
+    return rows.join(best, "path", "left").select("path", F.coalesce("marked", text.module_root(F.col("path"), default_depth)).alias("module"))
+
+
+def fields(df: DataFrame, wanted: list[str], envelope: tuple[str, ...] = ()) -> DataFrame:
+    """df with the named fields only, at any depth: structs and arrays of structs are cut inside; envelope columns stay whole."""
+
+    def cut(c: Column, kind) -> Column | None:
+        if isinstance(kind, T.ArrayType):
+            inner = cut(F.col("x"), kind.elementType)
+            return c if inner is None else F.transform(c, lambda x: cut(x, kind.elementType))
+        if not isinstance(kind, T.StructType):
+            return None
+        kept = [(f.name, f.dataType) for f in kind.fields if f.name in wanted]
+        return F.struct(*[c[n].alias(n) if cut(c[n], k) is None else cut(c[n], k).alias(n) for n, k in kept])
+
+    out = []
+    for f in df.schema.fields:
+        if f.name in envelope:
+            out.append(F.col(f.name))
+        elif f.name in wanted:
+            inner = cut(F.col(f.name), f.dataType)
+            out.append(F.col(f.name) if inner is None else inner.alias(f.name))
+    return df.select(*out)
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree, degree) from one pass over both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
     return ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """(from_module, to_module, weight): edges between different modules(id, module); _external is left out."""
+def module_edges(edges: DataFrame, modules: DataFrame, prebaked: DataFrame | None = None) -> DataFrame:
+    """(from_module, to_module, weight): edges between different modules(id, module); _external is left out.
+
+    prebaked(from_module, to_module, weight): stored DEPENDS_ON edges, which are used with their weights if there are any.
+    """
+    apart = "from_module <> to_module and from_module <> '_external' and to_module <> '_external'"
+    if prebaked is not None and not prebaked.isEmpty():
+        return prebaked.where(apart).groupBy("from_module", "to_module").agg(F.sum("weight").cast("long").alias("weight"))
     a = modules.select(F.col("id").alias("from_id"), F.col("module").alias("from_module"))
     b = modules.select(F.col("id").alias("to_id"), F.col("module").alias("to_module"))
-    both = edges.join(a, "from_id").join(b, "to_id").where("from_module <> to_module and from_module <> '_external' and to_module <> '_external'")
+    both = edges.join(a, "from_id").join(b, "to_id").where(apart)
     return both.groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def module_table(modules: DataFrame, pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """(module, in_degree, out_degree, cycle): module pairs' degrees with the module's cycle, -1 outside any; components(id, component)."""
+    into = pairs.groupBy(F.col("to_module").alias("module")).agg(F.count(F.lit(1)).alias("in_degree"))
+    out = pairs.groupBy(F.col("from_module").alias("module")).agg(F.count(F.lit(1)).alias("out_degree"))
+    cycles = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    member = components.join(cycles, "component").select(F.col("id").alias("module"), F.col("component").alias("cycle"))
+    rows = modules.select("module").distinct().join(into, "module", "left").join(out, "module", "left").join(member, "module", "left")
+    return rows.select("module", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("cycle", F.lit("-1")).alias("cycle"))
+
+
 def coupling(pairs: DataFrame) -> DataFrame:
     """(module, ce, ca, instability) of distinct (from_module, to_module)."""
     p = pairs.select("from_module", "to_module").where("from_module <> to_module").distinct()

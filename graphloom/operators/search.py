@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.operators.loops import settled
+from graphloom.operators.traverse import bfs
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -29,6 +31,63 @@ def bm25(docs: DataFrame, query: list[str]) -> DataFrame:
     return part.groupBy("id").agg(F.sum(one).alias("score")).where("score > 0")
 
 
+def tokens_of(c: Column) -> Column:
+    """Search tokens of every identifier in a text: the whole in lower case, then its parts; single characters say nothing."""
+    words = F.filter(F.split(c, r"[^A-Za-z0-9_$]+"), lambda x: x != "")
+    return F.filter(F.flatten(F.transform(words, text.search_tokens)), lambda x: F.length(x) > 1)
+
+
+def postings(entities: DataFrame, *columns: str) -> DataFrame:
+    """(term, id, tf, len): how often each search token occurs in an entity's named columns, and the entity's number of tokens.
+
+    Discriminators (variable=literal) are a column like any other: both sides are indexed, one-digit numbers aren't.
+    """
+    rows = entities.select("id", tokens_of(F.concat_ws(" ", *columns)).alias("terms")).withColumn("len", F.size("terms"))
+    return rows.select(F.explode("terms").alias("term"), "id", "len").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+
+
+def write_index(entities: DataFrame, folder: str, *columns: str) -> None:
+    """Postings in ranges of terms, sorted, so that a query's filter on terms prunes files and row groups; and the two corpus numbers."""
+    p = postings(entities, *columns)
+    p.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    sized = entities.select(F.size(tokens_of(F.concat_ws(" ", *columns))).alias("len"))
+    sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def bm25_postings(post: DataFrame, stats: DataFrame, query: str) -> DataFrame:
+    """(id, score) of a query's tokens over postings and the one-row stats(n, mean); duplicate query tokens count twice."""
+    spark = post.sparkSession
+    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens_of(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    terms = [r.term for r in asked.collect()]  # a query's tokens
+    hit = post.where(F.col("term").isin(terms))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = hit.join(F.broadcast(df.join(asked, "term")), "term").crossJoin(F.broadcast(stats))  # a row per query term, and one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return part.groupBy("id").agg(F.sum(one).alias("score")).where("score > 0")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats")
+
+
+def find(hits: DataFrame, entities: DataFrame, edges: DataFrame, least: float = 0.15, hops: int = 1, tokens: int = 2000, top: int = 50) -> DataFrame:
+    """(id, score, depth, low_confidence, used): the best hits(id, score) over the floor, by tier and score, and what lies near them.
+
+    entities(id, name, tier). Hits below the floor go, even if none is left; then the best one comes back alone, marked, and nothing
+    is expanded. Neighbours of the hits follow by depth, while the running length of the names fits the budget of tokens.
+    """
+    best = top_scores(hits, top)
+    good = floored(best, least)
+    sure = settled(good)
+    near = bfs(edges, sure.where("not low_confidence").select("id"), hops, "both").where("depth > 0")
+    rows = sure.select("id", "score", F.lit(0).alias("depth"), "low_confidence").union(near.join(sure, "id", "left_anti").select("id", F.lit(0.0), "depth", F.lit(False)))
+    named = rows.join(entities.select("id", "name", "tier"), "id")
+    w = Window.orderBy("depth", "tier", F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    order = named.orderBy("depth", "tier", F.desc("score"), "id").limit(tokens)  # a name takes a token at least, so no more rows can fit
+    return order.withColumn("used", F.sum(F.greatest(F.lit(1), F.ceil(F.length("name") / 4))).over(w)).where(F.col("used") <= tokens).select("id", "score", "depth", "low_confidence", "used")
+
+
 def top_scores(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return scores.select("id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 

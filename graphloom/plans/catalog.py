@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import q_core, q_graph, q_links, q_more, q_search  # noqa: F401  they register their queries
+from graphloom.plans import q_core, q_graph, q_links, q_more, q_rules, q_search  # noqa: F401  they register their queries
 from graphloom.plans.registry import ORACLES, QUERIES
 
 

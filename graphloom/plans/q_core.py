@@ -73,10 +73,11 @@ def degree(t: Tables) -> DataFrame:
     return relational.degree(t.rel)
 
 
-@query("field_selection", "SELECT id, name, struct_pack(k := kind, m := module).k AS inner_kind FROM ent WHERE kind = 'SCOPE.Component'")
+@query("field_selection", "SELECT id, kind AS inner_kind, module AS item_module FROM ent WHERE kind = 'SCOPE.Component'")
 def field_selection(t: Tables) -> DataFrame:
-    packed = t.ent.where("kind = 'SCOPE.Component'").select("id", "name", F.struct("kind", "module", "repo").alias("inner"))
-    return packed.select("id", "name", F.col("inner").dropFields("module", "repo").getField("kind").alias("inner_kind"))
+    packed = t.ent.where("kind = 'SCOPE.Component'").select("id", "name", "repo", F.struct("kind", "module", "repo").alias("inner"), F.array(F.struct("module", "name")).alias("items"))
+    cut = relational.fields(packed, ["inner", "items", "kind", "module"], envelope=("id",))
+    return cut.select("id", F.col("inner.kind").alias("inner_kind"), F.col("items")[0]["module"].alias("item_module"))
 
 
 @query("kind_filter", "SELECT id, lower(regexp_replace(kind, '^SCOPE\\.', '')) AS bare FROM ent WHERE lower(regexp_replace(kind, '^SCOPE\\.', '')) = 'datastore'")
@@ -191,10 +192,17 @@ def coupling(t: Tables) -> DataFrame:
     return relational.coupling(relational.module_edges(t.calls, t.fn.select("id", "module")))
 
 
-@query("module_derivation", "SELECT DISTINCT source_file, CASE WHEN len(string_split(source_file, '/')) > 2 THEN array_to_string(string_split(source_file, '/')[1:2], '/') ELSE '_root' END AS module FROM fn")
+@query("module_derivation", """
+, p AS (SELECT DISTINCT source_file AS path FROM fn UNION SELECT DISTINCT 'src/' || lower(replace(module, '#', '')) || '/index.ts' FROM fn WHERE size % 2 = 0 UNION SELECT DISTINCT module || '.md' FROM fn UNION SELECT 'package.json'),
+x AS (SELECT path, string_split(path, '/') AS parts FROM p),
+m AS (SELECT DISTINCT array_to_string(parts[:-2], '/') AS dir FROM x WHERE parts[-1] IN ('package.json', 'index.ts') AND len(parts) BETWEEN 2 AND 4)
+SELECT path, coalesce((SELECT arg_max(dir, length(dir)) FROM m WHERE starts_with(path, dir || '/')),
+  CASE WHEN len(parts) > 2 THEN array_to_string(parts[1:2], '/') ELSE '_root' END) AS module FROM x""")
 def module_derivation(t: Tables) -> DataFrame:
-    parts = F.split("source_file", "/")
-    return t.fn.select("source_file", F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, 2), "/")).otherwise("_root").alias("module")).distinct()
+    low = F.lower(F.replace("module", F.lit("#"), F.lit("")))
+    markers = t.fn.where("size % 2 = 0").select(F.concat(F.lit("src/"), low, F.lit("/index.ts")).alias("path"))
+    paths = t.fn.select(F.col("source_file").alias("path")).union(markers).union(t.fn.select(F.concat("module", F.lit(".md")))).union(t.spark.createDataFrame([("package.json",)], "path string"))
+    return relational.derived_modules(paths)
 
 
 @query("histograms", "SELECT kind, count(*) AS n FROM ent GROUP BY kind ORDER BY n DESC, kind")
@@ -236,14 +244,21 @@ def cube_kinds(t: Tables) -> DataFrame:
     return t.ent.cube("kind", "repo").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("export_graphml", "SELECT part, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT 1 AS part, '<node id=\"' || id || '\"><data key=\"name\">' || name || '</data><data key=\"kind\">' || kind || '</data></node>' AS line FROM ent UNION ALL SELECT 2, '<edge source=\"' || from_id || '\" target=\"' || to_id || '\"><data key=\"rel\">' || kind || '</data></edge>' FROM rel) x GROUP BY part")
+@query("export_graphml", """
+SELECT part, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (
+  SELECT 1 AS part, '<node id="' || id || '"><data key="name">' || name || '</data><data key="kind">' || kind || '</data><data key="file">' || source_file
+    || '</data><data key="line">' || start_line || '</data></node>' AS line FROM ent
+  UNION ALL SELECT 2, '<edge id="' || substr(sha256(from_id || chr(0) || to_id || chr(0) || kind), 1, 16) || '" source="' || from_id || '" target="' || to_id
+    || '"><data key="ekind">' || kind || '</data></edge>' FROM rel) x GROUP BY part""")
 def export_graphml(t: Tables) -> DataFrame:
     return writers.graphml(t.ent, t.rel).where("part in (1, 2)").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("export_cypher", "SELECT 1 AS part, 'CREATE (:' || regexp_replace(kind, '^SCOPE\\.', '') || ' {id: ''' || id || ''', name: ''' || name || '''});' AS line FROM ent WHERE kind = 'SCOPE.Datastore' UNION ALL SELECT 2, 'MATCH (a {id: ''' || from_id || '''}), (b {id: ''' || to_id || '''}) CREATE (a)-[:' || kind || ']->(b);' FROM rel WHERE kind = 'IN_REGION'")
+@query("export_cypher", """
+SELECT 1 AS part, 'CREATE (:' || regexp_replace(kind, '^SCOPE\\.', '') || ' {id: ''' || id || ''', name: ''' || name || '''});' AS line FROM ent
+UNION ALL SELECT 2, 'MATCH (a {id: ''' || from_id || '''}), (b {id: ''' || to_id || '''}) CREATE (a)-[:' || kind || ']->(b);' FROM rel""")
 def export_cypher(t: Tables) -> DataFrame:
-    return writers.cypher(t.ent.where("kind = 'SCOPE.Datastore'"), t.rel.where("kind = 'IN_REGION'"))
+    return writers.cypher(t.ent, t.rel)
 
 
 @query("export_layout", ", d AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM rel UNION ALL SELECT to_id FROM rel) x GROUP BY id ORDER BY degree DESC, id LIMIT 200) SELECT id, degree, (i % 6) * 160 AS x, (i // 6) * 60 AS y FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, id) - 1 AS i FROM d) q")

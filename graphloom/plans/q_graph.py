@@ -59,30 +59,30 @@ def path_confidence(t: Tables) -> DataFrame:
     return both.select(F.col("a.to_id").alias("mid"), F.col("b.to_id").alias("id"), F.round(F.least("a.w", "b.w"), 6).alias("min_hop_confidence"), F.round(F.greatest("a.w", "b.w"), 6).alias("reference_conf"))
 
 
-@query("pr_impact", ", c AS (SELECT id FROM fn WHERE key % 400 = 7), r(id, depth) AS (SELECT id, 0 FROM c UNION SELECT from_id, depth + 1 FROM r JOIN calls ON to_id = id WHERE depth < 2), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT f.module, count(*) FILTER (depth = 0)::BIGINT AS changed, count(*) FILTER (depth > 0)::BIGINT AS hit FROM d JOIN fn f USING (id) GROUP BY 1")
+@query("pr_impact", ", c AS (SELECT id FROM fn WHERE size = 7), r(id, depth) AS (SELECT id, 0 FROM c UNION SELECT from_id, depth + 1 FROM r JOIN calls ON to_id = id WHERE depth < 2), d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT f.module, count(*) FILTER (depth = 0)::BIGINT AS changed, count(*) FILTER (depth > 0)::BIGINT AS hit FROM d JOIN fn f USING (id) GROUP BY 1")
 def pr_impact(t: Tables) -> DataFrame:
-    d = traverse.impact(t.calls, t.fn.where("key % 400 = 7"), 2)
+    d = traverse.impact(t.calls, t.fn.where("size = 7"), 2)
     return d.join(t.fn.select("id", "module"), "id").groupBy("module").agg(F.count_if(F.col("depth") == 0).alias("changed"), F.count_if(F.col("depth") > 0).alias("hit"))
 
 
-@query("merge_risk", ", x AS (SELECT DISTINCT 'ref' || (l_suppkey % 8) AS ref, CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_partkey % 40 END AS c FROM lineitem WHERE l_quantity > 49.5 AND l_partkey % 3 = 0) SELECT a.ref AS a, b.ref AS b, count(*) AS shared FROM x a JOIN x b ON a.c = b.c AND a.ref < b.ref WHERE a.c <> -1 GROUP BY 1, 2")
+@query("merge_risk", ", x AS (SELECT DISTINCT 'ref' || (l_suppkey % 8) AS ref, CASE WHEN l_partkey % 13 = 0 THEN -1 ELSE l_partkey % 40 END AS c FROM lineitem) SELECT a.ref AS a, b.ref AS b, count(*) AS shared FROM x a JOIN x b ON a.c = b.c AND a.ref < b.ref WHERE a.c <> -1 GROUP BY 1, 2")
 def merge_risk(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_quantity > 49.5 and l_partkey % 3 = 0").select(F.concat(F.lit("ref"), (F.col("l_suppkey") % 8).cast("string")).alias("ref"), F.when(F.col("l_partkey") % 13 == 0, -1).otherwise(F.col("l_partkey") % 40).alias("community"))
+    rows = t.lineitem.select(F.concat(F.lit("ref"), (F.col("l_suppkey") % 8).cast("string")).alias("ref"), F.when(F.col("l_partkey") % 13 == 0, -1).otherwise(F.col("l_partkey") % 40).alias("community"))
     return diff.merge_risk(rows)
 
 
-_REACH = ", r(id) AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition' AND key % 50 = 0 UNION SELECT to_id FROM r JOIN calls ON from_id = id)"
+_REACH = ", r(id) AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition' UNION SELECT to_id FROM r JOIN calls ON from_id = id)"
 
 
 @query("reachability", f"{_REACH} SELECT id, id IN (SELECT id FROM r) AS reachable FROM fn")
 def reachability(t: Tables) -> DataFrame:
-    live = traverse.bfs(t.calls, t.fn.where("kind = 'http_endpoint_definition' and key % 50 = 0"), None)
+    live = traverse.bfs(t.calls, t.fn.where("kind = 'http_endpoint_definition'"), None)
     return t.fn.select("id").join(live.select("id", F.lit(True).alias("r")), "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("reachable"))
 
 
 @query("dead_code", f"{_REACH} SELECT id FROM fn WHERE id NOT IN (SELECT id FROM r)")
 def dead_code(t: Tables) -> DataFrame:
-    return traverse.unreached(t.fn, t.calls, t.fn.where("kind = 'http_endpoint_definition' and key % 50 = 0"))
+    return traverse.unreached(t.fn, t.calls, t.fn.where("kind = 'http_endpoint_definition'"))
 
 
 @query("find_dead_code", ", e AS (SELECT from_id, to_id, 'CALLS' AS kind FROM calls UNION ALL SELECT DISTINCT from_id, to_id, 'IMPORTS' FROM imports UNION ALL SELECT from_id, to_id, 'TESTS' FROM tests), x AS (SELECT to_id AS id, count(*) AS n, count(*) FILTER (e.kind <> 'TESTS' AND NOT a.is_test) AS p FROM e JOIN fn a ON a.id = from_id GROUP BY 1) SELECT fn.id, CASE WHEN n IS NULL THEN 'isolated' ELSE 'test_only_referenced' END AS reason FROM fn LEFT JOIN x ON x.id = fn.id WHERE coalesce(p, 0) = 0 AND fn.kind <> 'http_endpoint_definition'")
@@ -123,12 +123,12 @@ def god_nodes(t: Tables) -> DataFrame:
     return rank.god_nodes(scores, 0.05)
 
 
-_MODULE_BC = ", m AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module AND a.key % 4 = 0), n AS (SELECT DISTINCT module AS id FROM fn), d(s, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT s, b, depth + 1 FROM d JOIN m ON a = id WHERE depth < 8), sp AS (SELECT s, id, min(depth) AS depth FROM d GROUP BY 1, 2), w(s, id, depth, paths) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL SELECT s, id, depth, sum(paths) FROM (SELECT w.s, sp.id, sp.depth, w.paths FROM w JOIN m ON a = w.id JOIN sp ON sp.s = w.s AND sp.id = m.b AND sp.depth = w.depth + 1) x GROUP BY 1, 2, 3)"
+_MODULE_BC = ", m AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module), n AS (SELECT DISTINCT module AS id FROM fn), d(s, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT s, b, depth + 1 FROM d JOIN m ON a = id WHERE depth < 8), sp AS (SELECT s, id, min(depth) AS depth FROM d GROUP BY 1, 2), w(s, id, depth, paths) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL SELECT s, id, depth, sum(paths) FROM (SELECT w.s, sp.id, sp.depth, w.paths FROM w JOIN m ON a = w.id JOIN sp ON sp.s = w.s AND sp.id = m.b AND sp.depth = w.depth + 1) x GROUP BY 1, 2, 3)"
 _BC = _MODULE_BC + ", v AS (SELECT v.id, v.s, t.id AS t, v.paths * u.paths / t.paths AS share FROM w t JOIN w v ON v.s = t.s AND v.depth < t.depth AND v.depth > 0 JOIN w u ON u.s = v.id AND u.id = t.id AND u.depth = t.depth - v.depth) SELECT n.id, round(coalesce(sum(share), 0), 6) AS betweenness FROM n LEFT JOIN v ON v.id = n.id GROUP BY n.id"
 
 
 def _modules(t: Tables) -> tuple[DataFrame, DataFrame]:
-    pairs = relational.module_edges(t.imports.join(t.fn.where("key % 4 = 0").select(F.col("id").alias("from_id")), "from_id", "left_semi"), t.fn.select("id", "module"))
+    pairs = relational.module_edges(t.imports, t.fn.select("id", "module"))
     return t.fn.select(F.col("module").alias("id")).distinct(), pairs.select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id"))
 
 
@@ -161,7 +161,7 @@ def import_cycles(t: Tables) -> DataFrame:
     return groups.cycles(comp, t.imports, t.fn.select("id", F.col("price").alias("pagerank")))
 
 
-@query("module_cycles", ", i AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module AND a.key % 4 = 0), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b), s AS (SELECT x.a AS id, least(x.a, min(x.b)) AS c FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a) SELECT n.id, coalesce(c, '-1') AS module_cycle_id FROM (SELECT DISTINCT module AS id FROM fn) n LEFT JOIN s ON s.id = n.id")
+@query("module_cycles", ", i AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b), s AS (SELECT x.a AS id, least(x.a, min(x.b)) AS c FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a) SELECT n.id, coalesce(c, '-1') AS module_cycle_id FROM (SELECT DISTINCT module AS id FROM fn) n LEFT JOIN s ON s.id = n.id")
 def module_cycles(t: Tables) -> DataFrame:
     comp = settled(groups.strong_components(*_modules(t)))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
@@ -208,10 +208,14 @@ def communities_list(t: Tables) -> DataFrame:
     return t.fn.groupBy("module").agg(F.count(F.lit(1)).alias("size")).where("size >= 20").join(top, "module").orderBy(F.desc("size"), "module")
 
 
-@query("articulation_points", ", e AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module AND a.key < 30), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u), r(cut, id, c) AS (SELECT x.id, n.id, n.id FROM n x JOIN n ON n.id <> x.id UNION SELECT cut, u.b, c FROM r JOIN u ON u.a = r.id WHERE u.b <> cut AND c < u.b), whole(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, c FROM whole JOIN u ON u.a = whole.id WHERE c < u.b), k AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM whole GROUP BY id) q) SELECT cut AS id FROM (SELECT cut, count(DISTINCT c) AS n FROM (SELECT cut, id, min(c) AS c FROM r GROUP BY 1, 2) z GROUP BY 1) v WHERE n > (SELECT n FROM k)")
+@query("articulation_points", """
+, e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM rel WHERE kind = 'IN_REGION' OR from_id LIKE 'supplier:%'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u),
+r(cut, id, c) AS (SELECT x.id, n.id, n.id FROM n x JOIN n ON n.id <> x.id UNION SELECT cut, u.b, c FROM r JOIN u ON u.a = r.id WHERE u.b <> cut AND c < u.b),
+whole(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, c FROM whole JOIN u ON u.a = whole.id WHERE c < u.b),
+k AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM whole GROUP BY id) q)
+SELECT cut AS id FROM (SELECT cut, count(DISTINCT c) AS n FROM (SELECT cut, id, min(c) AS c FROM r GROUP BY 1, 2) z GROUP BY 1) v WHERE n > (SELECT n FROM k)""")
 def articulation_points(t: Tables) -> DataFrame:
-    e = relational.module_edges(t.imports.join(t.fn.where("key < 30").select(F.col("id").alias("from_id")), "from_id", "left_semi"), t.fn.select("id", "module"))
-    pairs = e.select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id"))
+    pairs = t.rel.where("kind = 'IN_REGION' or from_id like 'supplier:%'").select("from_id", "to_id")
     return groups.articulation_points(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")), pairs)
 
 
@@ -242,9 +246,9 @@ def important_first_stream(t: Tables) -> DataFrame:
     return relational.chunk_stream(t.fn.select("id", F.col("price").alias("score")), t.calls, 750)[1]
 
 
-@query("process_flow", ", s AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition' AND key % 100 = 0), r(path, last) AS (SELECT [id], id FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN calls ON from_id = last WHERE len(path) < 5 AND NOT list_contains(path, to_id)) SELECT array_to_string(path, '>') AS path, len(path)::INT AS steps, path[1] || ' → ' || path[-1] AS label FROM r WHERE len(path) >= 3 AND (len(path) = 5 OR NOT EXISTS (SELECT 1 FROM calls WHERE from_id = last AND NOT list_contains(path, to_id)))")
+@query("process_flow", ", s AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition'), r(path, last) AS (SELECT [id], id FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN calls ON from_id = last WHERE len(path) < 5 AND NOT list_contains(path, to_id)) SELECT array_to_string(path, '>') AS path, len(path)::INT AS steps, path[1] || ' → ' || path[-1] AS label FROM r WHERE len(path) >= 3 AND (len(path) = 5 OR NOT EXISTS (SELECT 1 FROM calls WHERE from_id = last AND NOT list_contains(path, to_id)))")
 def process_flow(t: Tables) -> DataFrame:
-    out = flow.chains(t.fn.where("kind = 'http_endpoint_definition' and key % 100 = 0"), t.calls, 5, 3)
+    out = flow.chains(t.fn.where("kind = 'http_endpoint_definition'"), t.calls, 5, 3)
     return out.select(F.array_join("path", ">").alias("path"), "steps", F.concat(F.element_at("path", 1), F.lit(" → "), F.element_at("path", -1)).alias("label"))
 
 
@@ -261,12 +265,12 @@ def flow_dead_ends(t: Tables) -> DataFrame:
     return ends.join(t.calls.select(F.col("from_id").alias("id")), "id", "left_anti")
 
 
-_EFFECT = ", s AS (SELECT id, ['db_read', 'db_write', 'http_out'][size % 3 + 1] AS effect, 0.7 + 0.1 * (key % 4) AS confidence FROM fn WHERE key % 37 = 0), r(id, effect, confidence, n) AS (SELECT id, effect, confidence::DOUBLE, 0 FROM s UNION ALL SELECT id, effect, max(confidence), max(n) FROM (SELECT from_id AS id, effect, confidence * 0.95 AS confidence, n + 1 AS n FROM r JOIN calls ON to_id = id WHERE confidence * 0.95 >= 0.5 AND n < 15) x GROUP BY 1, 2), b AS (SELECT id, effect, round(max(confidence), 9) AS confidence FROM r GROUP BY 1, 2)"
+_EFFECT = ", s AS (SELECT id, ['db_read', 'db_write', 'http_out'][size % 3 + 1] AS effect, 0.7 + 0.1 * (key % 4) AS confidence FROM fn WHERE kind = 'SCOPE.Component'), r(id, effect, confidence, n) AS (SELECT id, effect, confidence::DOUBLE, 0 FROM s UNION ALL SELECT id, effect, max(confidence), max(n) FROM (SELECT from_id AS id, effect, confidence * 0.95 AS confidence, n + 1 AS n FROM r JOIN calls ON to_id = id WHERE confidence * 0.95 >= 0.5 AND n < 15) x GROUP BY 1, 2), b AS (SELECT id, effect, round(max(confidence), 9) AS confidence FROM r GROUP BY 1, 2)"
 
 
 def _effects(t: Tables) -> DataFrame:
     kinds = F.array(F.lit("db_read"), F.lit("db_write"), F.lit("http_out"))
-    seeds = t.fn.where("key % 37 = 0").select("id", F.element_at(kinds, (F.col("size") % 3 + 1).cast("int")).alias("effect"), (0.7 + 0.1 * (F.col("key") % 4)).alias("confidence"))
+    seeds = t.fn.where("kind = 'SCOPE.Component'").select("id", F.element_at(kinds, (F.col("size") % 3 + 1).cast("int")).alias("effect"), (0.7 + 0.1 * (F.col("key") % 4)).alias("confidence"))
     return flow.propagate(seeds, t.calls).select("id", "effect", F.round("confidence", 9).alias("confidence"))
 
 
@@ -280,18 +284,18 @@ def pure_functions(t: Tables) -> DataFrame:
     return flow.pure(t.fn, _effects(t))
 
 
-@query("taint_findings", ", so AS (SELECT id, CASE WHEN key % 2 = 0 THEN 'sql_injection' ELSE 'xss' END AS category FROM fn WHERE key % 41 = 0), si AS (SELECT id, CASE WHEN key % 2 = 0 THEN 'sql_injection' ELSE 'xss' END AS category FROM fn WHERE key % 43 = 0), sa AS (SELECT id, 'xss' AS category FROM fn WHERE key % 5 = 1), r(source, id, category, hops) AS (SELECT id, id, category, 0 FROM so WHERE NOT EXISTS (SELECT 1 FROM sa WHERE sa.id = so.id AND sa.category = so.category) UNION SELECT source, to_id, r.category, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 4 AND NOT EXISTS (SELECT 1 FROM sa WHERE sa.id = to_id AND sa.category = r.category)), m AS (SELECT source, id, category, min(hops) AS hops FROM r GROUP BY 1, 2, 3) SELECT source, m.id AS sink, m.category, hops::INT AS hops, round(0.9 ^ hops, 6) AS confidence FROM m JOIN si ON si.id = m.id AND si.category = m.category WHERE 0.9 ^ hops >= 0.5")
+@query("taint_findings", ", so AS (SELECT id, CASE WHEN size % 2 = 0 THEN 'sql_injection' ELSE 'xss' END AS category FROM fn WHERE kind = 'http_endpoint_definition'), si AS (SELECT id, CASE WHEN size % 2 = 0 THEN 'sql_injection' ELSE 'xss' END AS category FROM fn WHERE kind = 'SCOPE.Component'), sa AS (SELECT id, 'xss' AS category FROM fn WHERE is_test), r(source, id, category, hops) AS (SELECT id, id, category, 0 FROM so WHERE NOT EXISTS (SELECT 1 FROM sa WHERE sa.id = so.id AND sa.category = so.category) UNION SELECT source, to_id, r.category, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 4 AND NOT EXISTS (SELECT 1 FROM sa WHERE sa.id = to_id AND sa.category = r.category)), m AS (SELECT source, id, category, min(hops) AS hops FROM r GROUP BY 1, 2, 3) SELECT source, m.id AS sink, m.category, hops::INT AS hops, round(0.9 ^ hops, 6) AS confidence FROM m JOIN si ON si.id = m.id AND si.category = m.category WHERE 0.9 ^ hops >= 0.5")
 def taint_findings(t: Tables) -> DataFrame:
-    category = F.when(F.col("key") % 2 == 0, "sql_injection").otherwise("xss").alias("category")
-    sources, sinks = t.fn.where("key % 41 = 0").select("id", category), t.fn.where("key % 43 = 0").select("id", category)
-    return flow.taint(sources, sinks, t.fn.where("key % 5 = 1").select("id", F.lit("xss").alias("category")), t.calls)
+    category = F.when(F.col("size") % 2 == 0, "sql_injection").otherwise("xss").alias("category")
+    sources, sinks = t.fn.where("kind = 'http_endpoint_definition'").select("id", category), t.fn.where("kind = 'SCOPE.Component'").select("id", category)
+    return flow.taint(sources, sinks, t.fn.where("is_test").select("id", F.lit("xss").alias("category")), t.calls)
 
 
-@query("data_flows", ", so AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition'), r(field, id, hops) AS (SELECT id, id, 0 FROM so UNION SELECT field, to_id, hops + 1 FROM r JOIN calls ON from_id = id WHERE hops < 2) SELECT field, r.id AS sink, min(hops)::INT AS hops FROM r JOIN fn ON fn.id = r.id WHERE fn.key % 29 = 0 GROUP BY 1, 2")
+@query("data_flows", ", so AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition'), r(field, id, hops) AS (SELECT id, id, 0 FROM so UNION SELECT field, to_id, hops + 1 FROM r JOIN calls ON from_id = id WHERE hops < 2) SELECT field, r.id AS sink, min(hops)::INT AS hops FROM r JOIN fn ON fn.id = r.id WHERE fn.kind = 'SCOPE.Component' GROUP BY 1, 2")
 def data_flows(t: Tables) -> DataFrame:
     row = F.lit("f").alias("category")
     none = t.spark.createDataFrame([], "id string, category string")
-    found = flow.taint(t.fn.where("kind = 'http_endpoint_definition'").select("id", row), t.fn.where("key % 29 = 0").select("id", row), none, t.calls, hops=2, floor=0.0)
+    found = flow.taint(t.fn.where("kind = 'http_endpoint_definition'").select("id", row), t.fn.where("kind = 'SCOPE.Component'").select("id", row), none, t.calls, hops=2, floor=0.0)
     return found.select(F.col("source").alias("field"), "sink", "hops")
 
 
@@ -308,12 +312,12 @@ def topology_tiers(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.when(p & c, "both").when(p, "producer").when(c, "consumer").otherwise("idle").alias("tier"))
 
 
-@query("migration_order", ", f AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || '_change.rb' AS name FROM orders WHERE o_orderkey % 100 = 0) SELECT id, regexp_extract(name, '^([0-9]{14})_', 1) AS version, lag(id) OVER (ORDER BY name) AS precedes FROM f")
+@query("migration_order", ", f AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || '_change.rb' AS name FROM orders) SELECT id, regexp_extract(name, '^([0-9]{14})_', 1) AS version, lag(id) OVER (ORDER BY name) AS precedes FROM f")
 def migration_order(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("_change.rb"))
-    files = t.orders.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), name.alias("name"))
+    files = t.orders.select(F.col("o_orderkey").alias("id"), name.alias("name"))
     return files.select("id", F.regexp_extract("name", r"^([0-9]{14})_", 1).alias("version"), F.lag("id").over(Window.orderBy("name")).alias("precedes"))
 
 
@@ -327,13 +331,13 @@ def find_paths_cross_repo(t: Tables) -> DataFrame:
     return traverse.crosses(paths, t.fn).select(F.array_join("path", ">").alias("path"), "hops", "crosses_repos")
 
 
-@query("flow_list", ", s AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition' AND key % 100 = 0), r(path, last) AS (SELECT [id], id FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN calls ON from_id = last WHERE len(path) < 5 AND NOT list_contains(path, to_id)), w AS (SELECT path, len(path)::INT AS steps, path[1] || ' → ' || path[-1] AS label, (SELECT count(DISTINCT repo) FROM fn WHERE list_contains(path, id)) > 2 AS cross_stack FROM r WHERE len(path) = 5 OR NOT EXISTS (SELECT 1 FROM calls WHERE from_id = last AND NOT list_contains(path, to_id))) SELECT array_to_string(path, '>') AS path, steps, label, cross_stack, steps = 5 AS truncated FROM w WHERE steps >= 4 OR cross_stack ORDER BY steps DESC, label, path LIMIT 200")
+@query("flow_list", ", s AS (SELECT id FROM fn WHERE kind = 'http_endpoint_definition'), r(path, last) AS (SELECT [id], id FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN calls ON from_id = last WHERE len(path) < 5 AND NOT list_contains(path, to_id)), w AS (SELECT path, len(path)::INT AS steps, path[1] || ' → ' || path[-1] AS label, (SELECT count(DISTINCT repo) FROM fn WHERE list_contains(path, id)) > 2 AS cross_stack FROM r WHERE len(path) = 5 OR NOT EXISTS (SELECT 1 FROM calls WHERE from_id = last AND NOT list_contains(path, to_id))) SELECT array_to_string(path, '>') AS path, steps, label, cross_stack, steps = 5 AS truncated FROM w WHERE steps >= 4 OR cross_stack ORDER BY steps DESC, label, path")
 def flow_list(t: Tables) -> DataFrame:
-    flows = flow.chains(t.fn.where("kind = 'http_endpoint_definition' and key % 100 = 0"), t.calls, 5, 1)
+    flows = flow.chains(t.fn.where("kind = 'http_endpoint_definition'"), t.calls, 5, 1)
     counted = traverse.crosses(flows.withColumnRenamed("steps", "hops"), t.fn).withColumn("cross_stack", F.col("repos") > 2)
     label = F.concat(F.element_at("path", 1), F.lit(" → "), F.element_at("path", -1)).alias("label")
     shown = counted.where("hops >= 4 or cross_stack").select(F.array_join("path", ">").alias("path"), F.col("hops").alias("steps"), label, "cross_stack", (F.col("hops") == 5).alias("truncated"))
-    return shown.orderBy(F.desc("steps"), "label", "path").limit(200)
+    return shown
 
 
 @query("reachability_summary", "SELECT CASE WHEN count(*) FILTER (size % 7 <> 0) = 0 THEN 'not computed' ELSE 'computed' END AS state, count(*) FILTER (size % 7 <> 0 AND id IN (SELECT to_id FROM tests)) AS tested, count(*) FILTER (size % 7 <> 0 AND id NOT IN (SELECT to_id FROM tests)) AS orphan FROM fn WHERE kind = 'http_endpoint_definition'")
@@ -343,10 +347,10 @@ def reachability_summary(t: Tables) -> DataFrame:
     return rows.agg(F.when(F.max(F.col("reachable").isNotNull()), "computed").otherwise("not computed").alias("state"), F.count_if(F.col("reachable")).alias("tested"), F.count_if(~F.col("reachable")).alias("orphan"))
 
 
-@query("import_aware_resolution", ", a AS (SELECT source_file AS file, min('al' || (key % 9)) AS alias, min(qualified_name) AS target FROM fn WHERE key % 4 = 0 GROUP BY 1), x AS (SELECT DISTINCT source_file AS file, CASE key % 3 WHEN 0 THEN 'al' || (key % 9) WHEN 1 THEN qualified_name ELSE name END AS name FROM fn), b AS (SELECT name, min(id) AS id FROM fn GROUP BY name HAVING count(DISTINCT id) = 1) SELECT x.file, x.name, coalesce(f.id, q.id, b.id) AS id, CASE WHEN f.id IS NOT NULL THEN 'alias' WHEN q.id IS NOT NULL THEN 'qualified' WHEN b.id IS NOT NULL THEN 'bare' ELSE 'unresolved' END AS how FROM x LEFT JOIN a ON a.file = x.file AND a.alias = x.name LEFT JOIN fn f ON f.qualified_name = a.target LEFT JOIN fn q ON q.qualified_name = x.name LEFT JOIN b ON b.name = x.name")
+@query("import_aware_resolution", ", a AS (SELECT source_file AS file, min('al' || (key % 9)) AS alias, min(qualified_name) AS target FROM fn GROUP BY 1), x AS (SELECT DISTINCT source_file AS file, CASE key % 3 WHEN 0 THEN 'al' || (key % 9) WHEN 1 THEN qualified_name ELSE name END AS name FROM fn), b AS (SELECT name, min(id) AS id FROM fn GROUP BY name HAVING count(DISTINCT id) = 1) SELECT x.file, x.name, coalesce(f.id, q.id, b.id) AS id, CASE WHEN f.id IS NOT NULL THEN 'alias' WHEN q.id IS NOT NULL THEN 'qualified' WHEN b.id IS NOT NULL THEN 'bare' ELSE 'unresolved' END AS how FROM x LEFT JOIN a ON a.file = x.file AND a.alias = x.name LEFT JOIN fn f ON f.qualified_name = a.target LEFT JOIN fn q ON q.qualified_name = x.name LEFT JOIN b ON b.name = x.name")
 def import_aware_resolution(t: Tables) -> DataFrame:
     k = F.col("key")
     al = F.concat(F.lit("al"), (k % 9).cast("string"))
-    aliases = t.fn.where("key % 4 = 0").groupBy(F.col("source_file").alias("file")).agg(F.min(al).alias("alias"), F.min("qualified_name").alias("target"))
+    aliases = t.fn.groupBy(F.col("source_file").alias("file")).agg(F.min(al).alias("alias"), F.min("qualified_name").alias("target"))
     refs = t.fn.select(F.col("source_file").alias("file"), F.when(k % 3 == 0, al).when(k % 3 == 1, F.col("qualified_name")).otherwise(F.col("name")).alias("name")).distinct()
     return traverse.import_aware(refs, aliases, t.fn)

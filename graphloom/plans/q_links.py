@@ -37,6 +37,7 @@ def import_link(t: Tables) -> DataFrame:
 
 _PATHS = "SELECT 'o' || o_orderkey AS id, o_orderpriority AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, CASE o_orderkey % 4 WHEN 0 THEN '/api/v1/Items/' WHEN 1 THEN '/gateway/items/' WHEN 2 THEN '/v2/items/' ELSE '/none/' END || '{id' || (o_orderkey % 3) || '}' || CASE WHEN o_orderkey % 5 = 0 THEN '/' ELSE '/r' || (o_orderkey % 7) END AS path FROM orders"
 _ROUTES = "SELECT 'c' || c_custkey AS id, c_mktsegment AS repo, CASE WHEN c_custkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, '/items/:key' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '/r' || (c_custkey % 9) END AS path FROM customer"
+_MORE_ROUTES = "SELECT 'c' || c_custkey AS id, c_mktsegment AS repo, CASE WHEN c_custkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS verb, CASE c_custkey % 6 WHEN 1 THEN '/none/:key/' || c_custkey WHEN 2 THEN '/:a/:b/q' || c_custkey WHEN 5 THEN '/items/:key/:sub/x' ELSE '/items/:key' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '/r' || (c_custkey % 9) END END AS path FROM customer"
 _KEY = r"regexp_replace(regexp_replace(lower(regexp_replace(path, '\{[^}]+\}|:[a-zA-Z][a-zA-Z0-9_]*|<[^>]+>', '{*}', 'g')), '/+$', ''), '^/(?:api(?:/v[0-9]+)?|v[0-9]+)(/|$)', '\1')"
 
 
@@ -52,14 +53,23 @@ def _order_path() -> F.Column:
     return F.concat(head, F.lit("{id"), (k % 3).cast("string"), F.lit("}"), F.when(k % 5 == 0, F.lit("/")).otherwise(F.concat(F.lit("/r"), (k % 7).cast("string"))))
 
 
-@query("http_link", f""", c AS (SELECT *, {_KEY} AS key FROM ({_PATHS}) x), r AS (SELECT repo, verb, {_KEY} AS key, min(id) AS target FROM ({_ROUTES}) y GROUP BY 1, 2, 3),
-e AS (SELECT c.id AS source, r.target, 'exact' AS strategy FROM c JOIN r ON c.verb = r.verb AND c.key = r.key AND c.repo <> r.repo),
-s AS (SELECT c.id AS source, r.target, row_number() OVER (PARTITION BY c.id ORDER BY length(r.key) DESC, r.target) AS n FROM c JOIN r ON c.verb = r.verb AND c.repo <> r.repo AND ends_with(c.key, r.key) AND c.key <> r.key WHERE c.id NOT IN (SELECT source FROM e))
-SELECT * FROM e UNION ALL SELECT source, target, 'dynamic_suffix_match' FROM s WHERE n = 1""")
+@query("http_link", f"""
+, c AS (SELECT *, {_KEY} AS key FROM ({_PATHS}) x), r AS (SELECT repo, verb, {_KEY} AS key, min(id) AS target FROM ({_MORE_ROUTES}) y GROUP BY 1, 2, 3),
+e AS (SELECT c.id AS source, r.target, 'exact' AS strategy, 'resolved' AS confidence FROM c JOIN r ON c.verb = r.verb AND c.key = r.key AND c.repo <> r.repo),
+p AS (SELECT id, repo, verb, string_split(key, '/') AS p FROM c WHERE id NOT IN (SELECT source FROM e)),
+v AS (SELECT id, repo, verb, unnest(list_transform(list_filter(range(2, len(p) + 1), lambda i: p[i] <> '{{*}}'),
+  lambda i: array_to_string(list_transform(range(1, len(p) + 1), lambda j: CASE WHEN j = i THEN '{{*}}' ELSE p[j] END), '/'))) AS key FROM p),
+f AS (SELECT v.id, length(r.key) AS size, min(r.target) AS target, count(DISTINCT r.target) AS n FROM v JOIN r ON v.verb = r.verb AND v.key = r.key AND v.repo <> r.repo GROUP BY 1, 2),
+fl AS (SELECT id, arg_max(target, size) AS target, arg_max(n, size) AS n FROM f GROUP BY 1), fk AS (SELECT id AS source, target FROM fl WHERE n = 1),
+s AS (SELECT c.id, length(r.key) AS size, min(r.target) AS target, count(DISTINCT r.target) AS n FROM c JOIN r ON c.verb = r.verb AND c.repo <> r.repo AND ends_with(c.key, r.key) AND c.key <> r.key
+  WHERE c.id NOT IN (SELECT source FROM e) AND c.id NOT IN (SELECT source FROM fk) GROUP BY 1, 2),
+sl AS (SELECT id, arg_max(target, size) AS target, arg_max(n, size) AS n FROM s GROUP BY 1)
+SELECT * FROM e UNION ALL SELECT source, target, 'literal_param_fill', 'inferred' FROM fk UNION ALL SELECT id, target, 'dynamic_suffix_match', 'inferred' FROM sl WHERE n = 1""")
 def http_link(t: Tables) -> DataFrame:
     calls = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("repo"), F.when(F.col("o_orderkey") % 2 == 0, "GET").otherwise("POST").alias("verb"), _order_path().alias("path"))
     k = F.col("c_custkey")
-    routes = t.customer.select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.col("c_mktsegment").alias("repo"), F.when(k % 3 == 0, "GET").otherwise("POST").alias("verb"), F.concat(F.lit("/items/:key"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("/r"), (k % 9).cast("string")))).alias("path"))
+    route = F.when(k % 6 == 1, F.concat(F.lit("/none/:key/"), k.cast("string"))).when(k % 6 == 2, F.concat(F.lit("/:a/:b/q"), k.cast("string"))).when(k % 6 == 5, F.lit("/items/:key/:sub/x")).otherwise(F.concat(F.lit("/items/:key"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("/r"), (k % 9).cast("string")))))
+    routes = t.customer.select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.col("c_mktsegment").alias("repo"), F.when(k % 3 == 0, "GET").otherwise("POST").alias("verb"), route.alias("path"))
     return link.http_links(calls, routes)
 
 
@@ -86,25 +96,35 @@ def orphan_subscribers(t: Tables) -> DataFrame:
     return link.orphans(*reversed(_topics(t)))
 
 
-@query("orphan_callers", f""", c AS (SELECT *, {_KEY} AS key, CASE id[-1:] WHEN '1' THEN '${{BASE}}' || path WHEN '2' THEN path || '/${{x}}' ELSE replace(replace(path, '{{', ''), '}}', '') END AS url FROM ({_PATHS}) x), r AS (SELECT DISTINCT {_KEY} AS key FROM ({_ROUTES}) y)
-SELECT DISTINCT id AS caller, url, CASE WHEN starts_with(url, '${{') THEN 'dynamic_baseurl' WHEN contains(url, '${{') OR instr(url, '{{') > 2 THEN 'template_literal' ELSE 'no_handler_found' END AS reason FROM c WHERE key NOT IN (SELECT key FROM r)""")
+@query("orphan_callers", f"""
+, c AS (SELECT *, {_KEY} AS key, CASE id[-1:] WHEN '1' THEN '${{BASE}}' || path WHEN '2' THEN path || '/${{x}}' ELSE replace(replace(path, '{{', ''), '}}', '') END AS url FROM ({_PATHS}) x),
+r AS (SELECT DISTINCT {_KEY} AS key FROM ({_ROUTES}) y WHERE NOT ends_with(path, '/r1'))
+SELECT DISTINCT id AS caller, url, verb AS method,
+  CASE WHEN starts_with(url, '${{') THEN 'dynamic_baseurl' WHEN contains(url, '${{') OR instr(url, '{{') > 2 THEN 'template_literal' ELSE 'no_handler_found' END AS reason FROM c WHERE key NOT IN (SELECT key FROM r)""")
 def orphan_callers(t: Tables) -> DataFrame:
     path = _order_path()
-    k = F.col("o_orderkey") % 10
-    url = F.when(k == 1, F.concat(F.lit("${BASE}"), path)).when(k == 2, F.concat(path, F.lit("/${x}"))).otherwise(F.translate(path, "{}", ""))
-    calls = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("caller"), url.alias("url"), text.join_path(path).alias("key"))
-    c = F.col("c_custkey")
-    served = t.customer.select(text.join_path(F.concat(F.lit("/items/:key"), F.when(c % 4 == 0, "").otherwise(F.concat(F.lit("/r"), (c % 9).cast("string"))))).alias("key")).distinct()
-    return calls.join(served, "key", "left_anti").select("caller", "url", link.orphan_reason(F.col("url")).alias("reason")).dropDuplicates(["caller", "url"])
-
-
-@query("dependency_usage", """, d AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS name FROM part WHERE p_size > 10 UNION SELECT 'nothing'), i AS (SELECT DISTINCT split_part(lower(p_name), ' ', 2) || '/' || p_size AS target FROM part WHERE p_partkey % 2 = 0 UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) FROM part WHERE p_partkey % 2 = 1)
-SELECT name, CASE WHEN EXISTS (SELECT 1 FROM i WHERE target = name OR starts_with(target, name || '/')) THEN 'used' ELSE 'unused' END AS status FROM d UNION ALL SELECT target, 'phantom' FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE target = name OR starts_with(target, name || '/'))""")
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    url = F.when(k % 10 == 1, F.concat(F.lit("${BASE}"), path)).when(k % 10 == 2, F.concat(path, F.lit("/${x}"))).otherwise(F.translate(path, "{}", ""))
+    fetches = t.orders.select(F.concat(F.lit("o"), k.cast("string")).alias("caller"), url.alias("url"), F.when(k % 2 == 1, "POST").alias("method"), text.join_path(path).alias("key"))
+    route = F.concat(F.lit("/items/:key"), F.when(c % 4 == 0, "").otherwise(F.concat(F.lit("/r"), (c % 9).cast("string"))))
+    endpoints = t.customer.select(text.join_path(route).alias("key"), F.when(route.endswith("/r1"), "consumer").otherwise("producer").alias("side"))
+    return link.orphan_callers(fetches, endpoints)
+
+
+@query("dependency_usage", """
+, d AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS name FROM part WHERE p_size > 10 UNION SELECT 'nothing'),
+i AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN split_part(lower(p_name), ' ', 2) || '/' || p_size WHEN 1 THEN split_part(lower(p_name), ' ', 1) || '/sub/' || p_size
+  WHEN 2 THEN 'scope:component:import:external:' || split_part(lower(p_name), ' ', 2) || 'x' || (p_size % 3) ELSE 'scope:component:import:external:' || split_part(lower(p_name), ' ', 1) END AS target FROM part),
+u AS (SELECT target, name FROM i JOIN d ON target = name OR starts_with(target, name || '/') OR ends_with(target, ':' || name))
+SELECT name, CASE WHEN name IN (SELECT name FROM u) THEN 'used' ELSE 'unused' END AS status FROM d
+UNION ALL SELECT DISTINCT split_part(target, ':', -1), 'phantom' FROM i WHERE starts_with(target, 'scope:') AND target NOT IN (SELECT target FROM u)""")
 def dependency_usage(t: Tables) -> DataFrame:
-    low = F.lower("p_name")
-    declared = t.part.where("p_size > 10").select(F.split_part(low, F.lit(" "), F.lit(1)).alias("name")).union(t.spark.createDataFrame([("nothing",)], "name string")).distinct()
-    a = t.part.where("p_partkey % 2 = 0").select(F.concat(F.split_part(low, F.lit(" "), F.lit(2)), F.lit("/"), F.col("p_size").cast("string")).alias("target"))
-    return link.dependency_usage(declared, a.union(t.part.where("p_partkey % 2 = 1").select(F.split_part(low, F.lit(" "), F.lit(1)))).distinct())
+    first, second = (F.split_part(F.lower("p_name"), F.lit(" "), F.lit(i)) for i in (1, 2))
+    size, k = F.col("p_size").cast("string"), F.col("p_size") % 4
+    declared = t.part.where("p_size > 10").select(first.alias("name")).union(t.spark.createDataFrame([("nothing",)], "name string")).distinct()
+    external = F.lit(link.EXTERNAL)
+    target = F.when(k == 0, F.concat(second, F.lit("/"), size)).when(k == 1, F.concat(first, F.lit("/sub/"), size)).when(k == 2, F.concat(external, second, F.lit("x"), (F.col("p_size") % 3).cast("string"))).otherwise(F.concat(external, first))
+    return link.dependency_usage(declared, t.part.select(target.alias("target")).distinct())
 
 
 @query("lib_boundary", "SELECT i.from_id, i.to_id, CASE WHEN a.repo = b.repo THEN 'first_party' WHEN b.repo = 'SMALL' THEN 'first_party' WHEN b.key % 2 = 0 THEN 'third_party' ELSE 'unannotated' END AS boundary FROM (SELECT DISTINCT from_id, to_id FROM imports) i JOIN fn a ON a.id = i.from_id JOIN fn b ON b.id = i.to_id")
@@ -121,10 +141,10 @@ def tests_walkup(t: Tables) -> DataFrame:
 
 
 _LINES = "SELECT DISTINCT 'src/b' || (l_suppkey % 20) AS path, CAST(l_partkey % 600 AS INT) AS line, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END AS hits FROM lineitem WHERE l_quantity > 25"
-_SPANS = "SELECT p_partkey AS id, 'src/b' || (p_partkey % 20) AS path, p_size * 10 AS first, p_size * 10 + p_partkey % 90 AS last FROM part"
+_SPANS = "SELECT p_partkey AS id, 'src/b' || (p_partkey % 20) AS path, CASE WHEN p_size % 9 = 0 THEN 0 ELSE p_size * 10 END AS first, CASE WHEN p_size % 9 = 0 THEN 0 ELSE p_size * 10 + p_partkey % 90 END AS last FROM part"
 
 
-@query("span_coverage", f"SELECT id, sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END)::BIGINT AS covered, count(*) AS instrumented, round(100.0 * sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) / count(*), 2) AS pct FROM ({_SPANS}) s JOIN ({_LINES}) l ON s.path = l.path AND l.line BETWEEN s.first AND s.last GROUP BY id")
+@query("span_coverage", f"SELECT id, sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END)::BIGINT AS covered, count(*) AS instrumented, round(100.0 * sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) / count(*), 2) AS pct FROM ({_SPANS}) s JOIN ({_LINES}) l ON s.path = l.path AND (s.first = 0 OR l.line BETWEEN s.first AND s.last) GROUP BY id")
 def span_coverage(t: Tables) -> DataFrame:
     spans, lines = t.sql(_SPANS.replace("FROM part", "FROM {part}")), t.sql(_LINES.replace("FROM lineitem", "FROM {lineitem}"))
     return link.span_coverage(spans, lines)
@@ -158,22 +178,30 @@ def mention_link(t: Tables) -> DataFrame:
     return link.mentions(t.documents.select(F.col("doc_id").alias("section"), "text"), names)
 
 
-@query("name_resolution", """, q AS (SELECT DISTINCT CASE WHEN key % 3 = 0 THEN id WHEN key % 3 = 1 THEN upper(qualified_name) ELSE upper(label) END AS query FROM fn WHERE key < 300),
-h AS (SELECT query, 1 AS tier, id FROM q JOIN fn ON id = query UNION SELECT query, 2, id FROM q JOIN fn ON lower(qualified_name) = lower(query) UNION SELECT query, 3, id FROM q JOIN fn ON lower(label) = lower(query))
-SELECT query, tier, count(DISTINCT id) AS matches, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM h WHERE tier = (SELECT min(tier) FROM h g WHERE g.query = h.query) GROUP BY 1, 2""")
+@query("name_resolution", """
+, q AS (SELECT DISTINCT CASE key % 5 WHEN 0 THEN id WHEN 1 THEN upper(qualified_name) WHEN 2 THEN upper(label) WHEN 3 THEN upper(name) ELSE repo || '::' || label END AS query FROM fn),
+k AS (SELECT query, lower(CASE WHEN contains(query, '::') THEN substr(query, instr(query, '::') + 2) ELSE query END) AS k, CASE WHEN contains(query, '::') THEN split_part(query, '::', 1) END AS pin FROM q),
+h AS (SELECT query, 1 AS tier, id FROM q JOIN fn ON id = query
+  UNION SELECT query, 2, id FROM k JOIN fn ON lower(qualified_name) = k AND (pin IS NULL OR pin = repo)
+  UNION SELECT query, 3, id FROM k JOIN fn ON lower(label) = k AND (pin IS NULL OR pin = repo)
+  UNION SELECT query, 4, id FROM k JOIN fn ON substr(lower(qualified_name), instr(qualified_name, '.') + 1) = k AND (pin IS NULL OR pin = repo)),
+b AS (SELECT query, min(tier) AS tier FROM h GROUP BY 1)
+SELECT query, tier, count(DISTINCT id) AS matches, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM h JOIN b USING (query, tier) GROUP BY 1, 2""")
 def name_resolution(t: Tables) -> DataFrame:
-    q = t.fn.where("key < 300").select(F.when(F.col("key") % 3 == 0, F.col("id")).when(F.col("key") % 3 == 1, F.upper("qualified_name")).otherwise(F.upper("label")).alias("query"))
-    return link.resolve_names(q, t.fn.select("id", "qualified_name", F.col("label").alias("name")))
+    k = F.col("key") % 5
+    name = F.when(k == 0, F.col("id")).when(k == 1, F.upper("qualified_name")).when(k == 2, F.upper("label")).when(k == 3, F.upper("name")).otherwise(F.concat("repo", F.lit("::"), "label"))
+    return link.resolve_names(t.fn.select(name.alias("query")), t.fn.select("id", "qualified_name", F.col("label").alias("name"), "repo"))
 
 
-@query("mro", """, e AS (SELECT 'K' || p_partkey AS c, 'K' || (p_partkey // 2) AS base, (p_partkey % 2)::INT AS ordinal FROM part WHERE p_partkey BETWEEN 2 AND 500), m AS (SELECT 'K' || p_partkey AS c, 'm' || (p_size % 6) AS member FROM part WHERE p_partkey BETWEEN 1 AND 60),
-r(c, member, definer, depth) AS (SELECT c, member, c, 0 FROM m UNION SELECT e.c, r.member, r.definer, r.depth + 1 FROM e JOIN r ON r.c = e.base WHERE r.depth < 8) SELECT c AS class, member, arg_min(definer, depth) AS definer, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
+@query("mro", """
+, e AS (SELECT 'K' || p_partkey AS c, 'K' || (p_partkey // 2) AS base FROM part WHERE p_partkey > 1), m AS (SELECT DISTINCT 'K' || p_partkey AS c, 'm' || (p_size % 6) AS member FROM part),
+r(c, member, definer, depth) AS (SELECT c, member, c, 0 FROM m UNION SELECT e.c, r.member, r.definer, r.depth + 1 FROM e JOIN r ON r.c = e.base)
+SELECT c AS class, member, arg_min(definer, depth) AS definer, min(depth)::INT AS depth FROM r GROUP BY 1, 2""")
 def mro(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     name = lambda c: F.concat(F.lit("K"), c.cast("string"))
-    extends = t.part.where("p_partkey between 2 and 500").select(name(k).alias("class"), name(F.floor(k / 2)).alias("base"), (k % 2).cast("int").alias("ordinal"))
-    members = t.part.where("p_partkey between 1 and 60").select(name(k).alias("class"), F.concat(F.lit("m"), (F.col("p_size") % 6).cast("string")).alias("member"))
-    return link.inherited(extends, members)
+    extends = t.part.where("p_partkey > 1").select(name(k).alias("class"), name(F.floor(k / 2)).alias("base"), (k % 2).cast("int").alias("ordinal"))
+    return link.inherited(extends, t.part.select(name(k).alias("class"), F.concat(F.lit("m"), (F.col("p_size") % 6).cast("string")).alias("member")))
 
 
 @query("label_link", """, f AS (SELECT id, repo, regexp_replace(lower(label), 'service$', '') AS l FROM fn WHERE length(label) > 3), df AS (SELECT l, count(DISTINCT repo) AS d FROM f GROUP BY l), n AS (SELECT count(DISTINCT repo) AS n FROM f), s AS (SELECT f.l, min(id) AS id, repo FROM f GROUP BY f.l, repo),
@@ -192,13 +220,13 @@ def string_link(t: Tables) -> DataFrame:
     return y.alias("a").join(y.alias("b"), "lit").where("a.repo < b.repo").select("lit", F.col("a.repo").alias("source_repo"), F.col("b.repo").alias("target_repo"), F.lit(0.55).alias("confidence"))
 
 
-_MODELS = "SELECT p_partkey AS id, p_type AS repo, replace(p_name, ' ', '_') AS name, ['f_' || (p_size % 4), 'F' || (p_size % 3), 'common', 'x' || (p_partkey % 5)] AS fields FROM part WHERE p_partkey < 400"
+_MODELS = "SELECT p_partkey AS id, p_type AS repo, replace(p_name, ' ', '_') AS name, ['f_' || (p_size % 4), 'F' || (p_size % 3), 'common', 'x' || (p_partkey % 5)] AS fields FROM part"
 
 
 @query("same_as", f", m AS (SELECT id, repo, name, list_distinct(list_transform(fields, lambda f: lower(regexp_replace(f, '[^A-Za-z0-9]', '', 'g')))) AS f FROM ({_MODELS}) x), p AS (SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS overlap FROM m a JOIN m b ON a.name = b.name AND a.id < b.id AND a.repo <> b.repo) SELECT a, b, overlap, round(CASE WHEN overlap >= 1 THEN 0.98 ELSE greatest(0.7, least(0.98, 0.7 + (overlap - 0.5) / 0.5 * 0.28)) END, 6) AS confidence FROM p WHERE overlap >= 0.5")
 def same_as(t: Tables) -> DataFrame:
     s = lambda c, n: (F.col(c) % n).cast("string")
-    models = t.part.where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("repo"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.array(F.concat(F.lit("f_"), s("p_size", 4)), F.concat(F.lit("F"), s("p_size", 3)), F.lit("common"), F.concat(F.lit("x"), s("p_partkey", 5))).alias("fields"))
+    models = t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("repo"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.array(F.concat(F.lit("f_"), s("p_size", 4)), F.concat(F.lit("F"), s("p_size", 3)), F.lit("common"), F.concat(F.lit("x"), s("p_partkey", 5))).alias("fields"))
     return link.same_as(models, 0.5)
 
 
@@ -223,24 +251,28 @@ def payload_drift(t: Tables) -> DataFrame:
     return diff.payload_drift(t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderpriority").alias("key"), f(7)), t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderpriority").alias("key"), f(9)))
 
 
-@query("literal_parity", """, l AS (SELECT lower(p_brand) || '_x' AS key, list_sort(list(p_size::VARCHAR)) AS v FROM part WHERE p_partkey < 60 GROUP BY 1), r AS (SELECT lower(p_brand) || '_x' AS key, list_sort(list(CASE WHEN p_partkey = 50 THEN '0' ELSE p_size::VARCHAR END)) AS v FROM part WHERE p_partkey BETWEEN 12 AND 80 OR p_partkey < 3 GROUP BY 1)
-SELECT replace(replace(coalesce(l.key, r.key), '#', '_'), '__', '_') AS key, CASE WHEN l.key IS NULL THEN 'only_right' WHEN r.key IS NULL THEN 'only_left' WHEN l.v = r.v THEN 'equal' ELSE 'mismatch' END AS status FROM l FULL JOIN r ON l.key = r.key""")
+@query("literal_parity", """
+, l AS (SELECT lower(p_brand) || '_x_' || (p_partkey // 9) AS key, list_sort(list(p_size::VARCHAR)) AS v FROM part WHERE p_size > 2 GROUP BY 1),
+r AS (SELECT lower(p_brand) || '_x_' || (p_partkey // 9) AS key, list_sort(list(CASE WHEN p_size = 50 THEN '0' ELSE p_size::VARCHAR END)) AS v FROM part WHERE p_size < 49 OR p_type = 'PROMO' GROUP BY 1)
+SELECT replace(replace(coalesce(l.key, r.key), '#', '_'), '__', '_') AS key,
+  CASE WHEN l.key IS NULL THEN 'only_right' WHEN r.key IS NULL THEN 'only_left' WHEN l.v = r.v THEN 'equal' ELSE 'mismatch' END AS status FROM l FULL JOIN r ON l.key = r.key""")
 def literal_parity(t: Tables) -> DataFrame:
-    left = t.part.where("p_partkey < 60").select(F.concat(F.upper("p_brand"), F.lit("-X")).alias("key"), F.col("p_size").cast("string").alias("value"))
-    right = t.part.where("p_partkey between 12 and 80 or p_partkey < 3").select(F.concat(F.lower("p_brand"), F.lit("_x")).alias("key"), F.when(F.col("p_partkey") == 50, "0").otherwise(F.col("p_size").cast("string")).alias("value"))
+    nine = F.floor(F.col("p_partkey") / 9).cast("string")
+    left = t.part.where("p_size > 2").select(F.concat(F.upper("p_brand"), F.lit("-X-"), nine).alias("key"), F.col("p_size").cast("string").alias("value"))
+    right = t.part.where("p_size < 49 or p_type = 'PROMO'").select(F.concat(F.lower("p_brand"), F.lit("_x_"), nine).alias("key"), F.when(F.col("p_size") == 50, "0").otherwise(F.col("p_size").cast("string")).alias("value"))
     return diff.literal_parity(left, right)
 
 
-@query("response_shape_diff", """, l AS (SELECT DISTINCT 'e' || (p_partkey % 20) AS endpoint, 200 + p_partkey % 2 AS status, 'f' || (p_partkey % 5) AS field FROM part WHERE p_partkey < 60), r AS (SELECT DISTINCT 'e' || (p_partkey % 20) AS endpoint, 200 + p_partkey % 2 AS status, 'f' || (p_partkey % 5) AS field FROM part WHERE p_partkey BETWEEN 10 AND 70 AND p_partkey % 3 > 0)
+@query("response_shape_diff", """, l AS (SELECT DISTINCT 'e' || (p_partkey // 4) AS endpoint, 200 + p_partkey % 2 AS status, 'f' || (p_partkey % 5) AS field FROM part WHERE p_size > 3), r AS (SELECT DISTINCT 'e' || (p_partkey // 4) AS endpoint, 200 + p_partkey % 2 AS status, 'f' || (p_partkey % 5) AS field FROM part WHERE p_size < 48)
 SELECT coalesce(l.endpoint, r.endpoint) AS endpoint, coalesce(l.status, r.status) AS status, coalesce(l.field, r.field) AS field, CASE WHEN l.field IS NULL THEN 'only_right' WHEN r.field IS NULL THEN 'only_left' WHEN l.field = 'f1' THEN 'type_mismatch' ELSE 'optional_mismatch' END AS drift FROM l FULL JOIN r ON l.endpoint = r.endpoint AND l.status = r.status AND l.field = r.field WHERE l.field IS NULL OR r.field IS NULL OR l.field IN ('f1', 'f2')""")
 def response_shape_diff(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
 
     def shape(df: DataFrame, kind: str, other: str, optional: bool) -> DataFrame:
         field = F.concat(F.lit("f"), (k % 5).cast("string"))
-        return df.select(F.concat(F.lit("e"), (k % 20).cast("string")).alias("endpoint"), (200 + k % 2).alias("status"), field.alias("field"), F.when(field == "f1", other).otherwise(kind).alias("type"), F.when(field == "f2", F.lit(optional)).otherwise(False).alias("optional")).distinct()
+        return df.select(F.concat(F.lit("e"), F.floor(k / 4).cast("string")).alias("endpoint"), (200 + k % 2).alias("status"), field.alias("field"), F.when(field == "f1", other).otherwise(kind).alias("type"), F.when(field == "f2", F.lit(optional)).otherwise(False).alias("optional")).distinct()
 
-    return diff.response_shapes(shape(t.part.where("p_partkey < 60"), "str", "int", True), shape(t.part.where("p_partkey between 10 and 70 and p_partkey % 3 > 0"), "string", "bool", False))
+    return diff.response_shapes(shape(t.part.where("p_size > 3"), "str", "int", True), shape(t.part.where("p_size < 48"), "string", "bool", False))
 
 
 @query("auth_posture_diff", """, x AS (SELECT p_partkey AS id, ['public', 'authenticated', 'role', 'page', 'superuser', 'unknown'][p_size % 6 + 1] AS l, ['public', 'authenticated', 'scope', 'page', 'superuser', 'role'][p_partkey % 6 + 1] AS r, p_size % 2 AS a, p_partkey % 2 AS b FROM part), y AS (SELECT *, [-1, 0, 1, 2, 2, 3, 4][list_position(['unknown', 'public', 'authenticated', 'scope', 'role', 'page', 'superuser'], l)] AS sl, [-1, 0, 1, 2, 2, 3, 4][list_position(['unknown', 'public', 'authenticated', 'scope', 'role', 'page', 'superuser'], r)] AS sr FROM x)

@@ -62,10 +62,10 @@ def properties_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k int").getField("k").alias("k"))
 
 
-@query("endpoint_effects", ", r(root, id, depth) AS (SELECT id, id, 0 FROM fn WHERE kind = 'http_endpoint_definition' AND key % 20 = 0 UNION SELECT root, to_id, depth + 1 FROM r JOIN calls ON from_id = id WHERE depth < 2) SELECT root AS endpoint, count(DISTINCT CASE WHEN f.key % 3 = 0 THEN f.id END) AS effectful, count(DISTINCT f.id) AS reached FROM r JOIN fn f ON f.id = r.id GROUP BY 1")
+@query("endpoint_effects", ", r(root, id, depth) AS (SELECT id, id, 0 FROM fn WHERE kind = 'http_endpoint_definition' UNION SELECT root, to_id, depth + 1 FROM r JOIN calls ON from_id = id WHERE depth < 2) SELECT root AS endpoint, count(DISTINCT CASE WHEN f.key % 3 = 0 THEN f.id END) AS effectful, count(DISTINCT f.id) AS reached FROM r JOIN fn f ON f.id = r.id GROUP BY 1")
 def endpoint_effects(t: Tables) -> DataFrame:
     calls = t.calls
-    one = t.fn.where("kind = 'http_endpoint_definition' and key % 20 = 0").select(F.col("id").alias("endpoint"), "id")
+    one = t.fn.where("kind = 'http_endpoint_definition'").select(F.col("id").alias("endpoint"), "id")
     two = one.join(calls, one.id == calls.from_id).select("endpoint", F.col("to_id").alias("id")).distinct()
     three = two.join(calls, two.id == calls.from_id).select("endpoint", F.col("to_id").alias("id")).distinct()
     every = one.union(two).union(three).distinct().join(t.fn.select("id", "key"), "id")

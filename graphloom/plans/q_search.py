@@ -12,6 +12,7 @@ from graphloom.functions import text
 from graphloom.operators import flow, quality, search
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
+from graphloom.schema import entity_id
 from graphloom.streaming import debounce, incremental, windows
 
 # A camel-cased name for each part: "small ring" 12 -> smallRing12Part
@@ -79,20 +80,26 @@ def anonymise(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("id"), text.scrubbed(F.col("c_name"), "salt").alias("name"))
 
 
-@query("entity_ids", "SELECT id, substr(sha256(repo || chr(1) || kind || chr(1) || name), 1, 16) AS hash FROM ent")
+@query("entity_ids", "SELECT id, substr(sha256(repo || chr(0) || kind || chr(0) || name || chr(0) || source_file), 1, 16) AS hash FROM ent")
 def entity_ids(t: Tables) -> DataFrame:
-    return t.ent.select("id", F.substring(F.sha2(F.concat_ws("\1", "repo", "kind", "name"), 256), 1, 16).alias("hash"))
+    return t.ent.select("id", entity_id(F.col("repo"), F.col("kind"), F.col("name"), F.col("source_file")).alias("hash"))
 
 
-@query("license_compat", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(a?gpl)') THEN 'error' WHEN regexp_matches(text, '(?i)\\blgpl|\\bmpl') THEN 'warn' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'info' ELSE 'unknown' END AS severity FROM documents")
+@query("license_compat", """
+, n AS (SELECT p_partkey AS id, ['MIT', ' Apache 2.0 ', 'GPLv3', 'lgpl', 'ISC', 'no license', 'MPL-2.0'][p_size % 7 + 1] AS name FROM part),
+s AS (SELECT id, CASE lower(trim(name)) WHEN 'mit' THEN 'MIT' WHEN 'apache 2.0' THEN 'Apache-2.0' WHEN 'gplv3' THEN 'GPL-3.0' WHEN 'lgpl' THEN 'LGPL-3.0' WHEN 'isc' THEN 'ISC' WHEN 'mpl-2.0' THEN 'MPL-2.0' END AS spdx FROM n)
+SELECT id, spdx, CASE WHEN spdx LIKE 'GPL%' THEN 'error' WHEN spdx LIKE 'LGPL%' OR spdx LIKE 'MPL%' THEN 'warn' WHEN spdx IS NOT NULL THEN 'info' ELSE 'unknown' END AS severity FROM s""")
 def license_compat(t: Tables) -> DataFrame:
-    c = F.col("text")
-    return t.documents.select("doc_id", F.when(c.rlike(r"(?i)\b(a?gpl)"), "error").when(c.rlike(r"(?i)\blgpl|\bmpl"), "warn").when(c.rlike("(?i)licen[sc]e"), "info").otherwise("unknown").alias("severity"))
+    names = F.array(*[F.lit(x) for x in ("MIT", " Apache 2.0 ", "GPLv3", "lgpl", "ISC", "no license", "MPL-2.0")])
+    rows = t.part.select(F.col("p_partkey").alias("id"), text.spdx(F.element_at(names, (F.col("p_size") % 7 + 1).cast("int"))).alias("spdx"))
+    return rows.select("id", "spdx", text.license_severity(F.col("spdx")).alias("severity"))
 
 
-@query("embed_text", "SELECT doc_id, left(lang || ' ' || source || ' ' || text, 300) AS chunk FROM documents")
+@query("embed_text", """
+SELECT doc_id, CASE WHEN strlen(w) <= 1200 THEN w ELSE w[1:list_max(list_filter(range(300, 1201), lambda k: strlen(w[1:k]) <= 1200))] END AS chunk
+FROM (SELECT doc_id, concat_ws(chr(10), lang, source, text) AS w FROM documents) x""")
 def embed_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.left(F.concat_ws(" ", "lang", "source", "text"), F.lit(300)).alias("chunk"))
+    return t.documents.select("doc_id", text.embed_text(F.col("lang"), F.col("source"), F.col("text")).alias("chunk"))
 
 
 _TERMS = ["the", "thing", "and", "the", "whst"]
@@ -164,11 +171,11 @@ def fallback_scope(t: Tables) -> DataFrame:
     return t.documents.where(F.lower("text").contains("license")).groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "repo").limit(1)
 
 
-@query("search_metrics", f"{_BM25}, r AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM b), k AS (SELECT doc_id AS id FROM labels WHERE quality = 1 AND doc_id % 25 = 0), h AS (SELECT k.id, rank FROM k LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r ON r.id = k.id) SELECT round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_10, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr FROM h")
+@query("search_metrics", f"{_BM25}, r AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM b), k AS (SELECT doc_id AS id FROM labels WHERE quality = 1), h AS (SELECT k.id, rank FROM k LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r ON r.id = k.id) SELECT round(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_10, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr FROM h")
 def search_metrics(t: Tables) -> DataFrame:
     hits = search.top_scores(_bm25(t), 50)
     ranked = hits.select(F.lit("q").alias("query"), "id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))  # at most 50 rows
-    return quality.search_metrics(ranked, t.labels.where("quality = 1 and doc_id % 25 = 0").select(F.lit("q").alias("query"), F.col("doc_id").alias("id")))
+    return quality.search_metrics(ranked, t.labels.where("quality = 1").select(F.lit("q").alias("query"), F.col("doc_id").alias("id")))
 
 
 @query("test_coverage", "SELECT regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS directory, count(*) AS total, count(*) FILTER (id IN (SELECT to_id FROM tests)) AS covered, round(100.0 * count(*) FILTER (id IN (SELECT to_id FROM tests)) / count(*), 2) AS pct FROM fn WHERE NOT is_test GROUP BY 1")
@@ -227,9 +234,11 @@ def cost_estimate(t: Tables) -> DataFrame:
     return quality.cost(t.ent, t.spark.createDataFrame([("SCOPE.Operation", 500), ("SCOPE.Component", 800)], "kind string, per int"))
 
 
-@query("effect_union", "SELECT user_id, event_type AS effect, max(value) AS confidence FROM events GROUP BY 1, 2")
+@query("effect_union", """
+, b AS (SELECT user_id, event_type, max(value) AS c FROM events GROUP BY 1, 2)
+SELECT user_id AS id, max(c) AS confidence, string_agg(event_type || '=' || printf('%.2f', c), ',' ORDER BY event_type) AS effects FROM b GROUP BY 1""")
 def effect_union(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.col("event_type").alias("effect")).agg(F.max("value").alias("confidence"))
+    return flow.effect_union(t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("effect"), F.col("value").alias("confidence")))
 
 
 @query("n_plus_one", "SELECT l_orderkey AS o_orderkey, l_partkey AS part, count(*) AS n FROM lineitem WHERE l_quantity > 5 GROUP BY 1, 2 HAVING count(*) > 1")
@@ -296,10 +305,9 @@ def incremental_merge(t: Tables) -> DataFrame:
     return incremental.merge_entities(old, new, changed).select("id", F.col("real").alias("source_file"), "start_line")
 
 
-@query("incremental_flows", "SELECT count(*) AS n, count(*) FILTER (kind IN ('CALLS', 'CONTAINS')) > 0 AS affected FROM rel WHERE from_id = 'orders:7'")
+@query("incremental_flows", "SELECT count(*) AS n, count(*) FILTER (kind IN ('CALLS', 'CONTAINS')) > 0 AS affected FROM rel")
 def incremental_flows(t: Tables) -> DataFrame:
-    delta = t.rel.where("from_id = 'orders:7'")
-    return delta.agg(F.count(F.lit(1)).alias("n")).withColumn("affected", F.lit(incremental.flows_affected(delta)))
+    return t.rel.agg(F.count(F.lit(1)).alias("n")).withColumn("affected", F.lit(incremental.flows_affected(t.rel)))
 
 
 @query("tumbling_window", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

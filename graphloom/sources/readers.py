@@ -32,6 +32,32 @@ def lcov(text: str) -> list[tuple[str, int, int]]:
     return [(p, n, h) for (p, n), h in sorted(out.items())]
 
 
+def lcov_totals(text: str) -> list[tuple[str, int, int]]:
+    """(path, found, hit) of each file of an LCOV report: LF and LH where it states them, or else counted from its lines."""
+    counted: dict[str, list[int]] = {}
+    for path, _, hits in lcov(text):
+        got = counted.setdefault(path, [0, 0])
+        got[0] += 1
+        got[1] += hits > 0
+    path = ""
+    for row in text.splitlines():
+        if row.startswith("SF:"):
+            path = row[3:].strip()
+            counted.setdefault(path, [0, 0])
+        elif row[:3] in ("LF:", "LH:") and path and row[3:].strip().isdigit():
+            counted[path][row.startswith("LH:")] = int(row[3:])
+        elif row.startswith("end_of_record"):
+            path = ""
+    return [(p, *n) for p, n in sorted(counted.items())]
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(grp, repo, path) of a JSON file of groups, each with its repositories: what a caller may name."""
+    rows = spark.read.option("multiLine", True).schema("groups array<struct<name: string, repos: array<struct<name: string, path: string>>>>").json(path)
+    each = rows.select(F.explode("groups").alias("g")).select(F.col("g.name").alias("grp"), F.explode("g.repos").alias("r"))
+    return each.select("grp", F.col("r.name").alias("repo"), "r.path")
+
+
 def cobertura(text: str) -> list[tuple[str, int, int]]:
     out: dict[tuple[str, int], int] = {}
     for cls in _root(text).iter("class"):
@@ -102,8 +128,8 @@ def sections(text: str) -> list[tuple[int, int, str, str, int, int]]:
 SECTIONS = "path string, idx int, depth int, title string, body string, first int, last int"
 
 
-def read_markdown(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes).select("path", F.col("content").cast("string").alias("content"))
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

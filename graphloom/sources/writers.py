@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.schema import relationship_id
 
 
 def write_graph(entities: DataFrame, relationships: DataFrame, folder: str, form: str = "parquet") -> None:
@@ -15,15 +18,38 @@ def write_graph(entities: DataFrame, relationships: DataFrame, folder: str, form
 
 
 def graphml(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines (part, line) of a GraphML document: nodes, then edges, dangling ones too; parts 0 and 3 are its frame."""
+    """Lines (part, line) of a GraphML document: nodes, then edges, dangling ones too; parts 0 and 3 are its frame.
+
+    Nodes carry name, kind, file and line; an edge without an id of its own gets the hash of its ends and kind.
+    """
     spark = entities.sparkSession
     x = text.escape_xml
-    node = F.concat(F.lit('<node id="'), x(F.col("id")), F.lit('"><data key="name">'), x(F.col("name")), F.lit('</data><data key="kind">'), x(F.col("kind")), F.lit("</data></node>"))
-    edge = F.concat(F.lit('<edge source="'), x(F.col("from_id")), F.lit('" target="'), x(F.col("to_id")), F.lit('"><data key="rel">'), x(F.col("kind")), F.lit("</data></edge>"))
-    frame = spark.createDataFrame([(0, '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="name" for="node" attr.name="name" attr.type="string"/><key id="kind" for="node" attr.name="kind" attr.type="string"/><key id="rel" for="edge" attr.name="rel" attr.type="string"/><graph edgedefault="directed">'), (3, "</graph></graphml>")], "part int, line string")
+    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), x(c), F.lit("</data>"))
+    file = F.coalesce("source_file", F.lit("")) if "source_file" in entities.columns else F.lit("")
+    line = F.coalesce("start_line", F.lit(0)) if "start_line" in entities.columns else F.lit(0)
+    node = F.concat(F.lit('<node id="'), x(F.col("id")), F.lit('">'), data("name", F.col("name")), data("kind", F.col("kind")), data("file", file), data("line", line.cast("string")), F.lit("</node>"))
+    own = relationship_id(F.col("from_id"), F.col("to_id"), F.col("kind"))
+    edge_id = F.coalesce("id", own) if "id" in edges.columns else own
+    edge = F.concat(F.lit('<edge id="'), x(edge_id), F.lit('" source="'), x(F.col("from_id")), F.lit('" target="'), x(F.col("to_id")), F.lit('">'), data("ekind", F.col("kind")), F.lit("</edge>"))
+    keys = "".join(f'<key id="{k}" for="{of}" attr.name="{k}" attr.type="{kind}"/>' for k, of, kind in (("name", "node", "string"), ("kind", "node", "string"), ("file", "node", "string"), ("line", "node", "int"), ("ekind", "edge", "string")))
+    frame = spark.createDataFrame([(0, f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">'), (3, "</graph></graphml>")], "part int, line string")
     return frame.union(entities.select(F.lit(1), node)).union(edges.select(F.lit(2), edge))
 
 
+def write_stats(entities: DataFrame, relationships: DataFrame, folder: str) -> None:
+    """A sidecar of one JSON row beside a graph: its numbers of entities and relationships, and how many there are of each kind."""
+    kinds = lambda df: df.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))  # noqa: E731  a row per kind
+    e, r = kinds(entities), kinds(relationships)
+    one = e.select(F.col("n").alias("entities"), F.col("kinds").alias("entity_kinds")).crossJoin(r.select(F.col("n").alias("relationships"), F.col("kinds").alias("relationship_kinds")))  # one row each
+    one.coalesce(1).write.mode("overwrite").json(f"{folder}/stats.json")
+
+
+def save_finding(spark: SparkSession, log: str, finding: dict) -> None:
+    """Append a finding to a log of JSON lines; its type is note where none is given."""
+    row = {"type": "note"} | {k: v for k, v in finding.items() if v not in (None, "")}
+    spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").write.mode("append").text(log)
+
+
 def cypher_name(c):
     """Letters, digits and underscores only; a leading digit gets an underscore."""
     s = F.regexp_replace(F.regexp_replace(c, r"^SCOPE\.", ""), "[^A-Za-z0-9_]", "_")
