@@ -94,9 +94,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for ``df``, once nothing reads it any more: a round of a loop whose successor is written."""
+    _delete(df.sparkSession, df._graphloom_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that materialize() wrote in this application. For its end: results that weren't written elsewhere can't be read after it."""
+    _delete(spark, scratch_dir(spark))
 
 
 def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:

@@ -360,10 +360,10 @@ def candidate_pairs(part: np.ndarray, key: np.ndarray, node: np.ndarray, check:
     yield a, b
 
 
-def pairs_across(node: np.ndarray, label: np.ndarray, check: np.ndarray, loose: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of one group's nodes within loose whose labels differ, smaller node first, in lots of about ``most``."""
+def pairs_across(node: np.ndarray, label: np.ndarray, check: np.ndarray, own: np.ndarray, across: bool, loose: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one group's nodes within loose whose labels differ, smaller node first, in lots of about ``most``; across: of different blocks only."""
     order = np.lexsort((node, label))
-    node, label, check = node[order], label[order], check[order]
+    node, label, check, own = node[order], label[order], check[order], own[order]
     a, b, n = [], [], 0
     for i in range(0, len(node), BLOCK // 2):
         x = slice(i, i + BLOCK // 2)
@@ -371,7 +371,7 @@ def pairs_across(node: np.ndarray, label: np.ndarray, check: np.ndarray, loose:
             y = slice(j, j + BLOCK // 2)
             if label[x][0] == label[y][-1]:  # sorted: one label throughout
                 continue
-            p, q = np.nonzero((label[x][:, None] < label[y][None, :]) & (bit_distance(check[x][:, None, :], check[y][None, :, :]) <= loose))
+            p, q = np.nonzero((label[x][:, None] < label[y][None, :]) & (not across or own[x][:, None] != own[y][None, :]) & (bit_distance(check[x][:, None, :], check[y][None, :, :]) <= loose))
             a.append(np.minimum(node[x][p], node[y][q]))
             b.append(np.maximum(node[x][p], node[y][q]))
             n += len(p)
@@ -472,7 +472,6 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     prints = -(-parts // per_word) + CHECKS
     p = agreement(similarity)
     strict, loose = (int(64 * CHECKS * (1 - p) + x * np.sqrt(64 * CHECKS * p * (1 - p))) for x in (STRICT, LOOSE))
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("simhash", _WORDS.clear)
@@ -518,12 +517,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), group)), pa.array(own)], names=["group", "node"])
 
     def rematch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(*(c.to_numpy(zero_copy_only=False) for c in b.columns[:3]), np.frombuffer(b"".join(x[: 8 * CHECKS] for x in b.column(3).to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
+        got = [(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("group", "node", "label", "own", "i", "j")), np.frombuffer(b"".join(x[: 8 * CHECKS] for x in b.column("prints").to_pylist()), np.uint64).reshape(-1, CHECKS)) for b in batches if b.num_rows]
         if got:
-            group, node, label, check = (np.concatenate(c) for c in zip(*got, strict=True))
-            order = np.argsort(group, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                for a, b in pairs_across(node[at], label[at], check[at], loose):
+            group, node, label, part, i, j, check = (np.concatenate(c) for c in zip(*got, strict=True))
+            order, starts, _, size = buckets_of(j, i, group)
+            for low, n in zip(starts.tolist(), size.tolist(), strict=True):
+                at = order[low : low + n]
+                for a, b in pairs_across(node[at], label[at], check[at], part[at], bool(i[at[0]] != j[at[0]]), loose):
                     yield packed(a, b)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,7 +547,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     named = materialize(held.mapInArrow(members, "group long, node long").join(joined, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")))
     split = named.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("group")
     again = named.join(split, "group", "left_semi").join(rows, "node").select("group", "node", "label", "prints")
-    packs = materialize(again.repartition(shuffles, "group").mapInArrow(tidied(rematch), "block int, us binary, vs binary, held binary").select("block", "us", "vs"))
+    packs = materialize(dealt_in_blocks(again, ("group",), "node", BUCKET).mapInArrow(tidied(rematch), "block int, us binary, vs binary, held binary").select("block", "us", "vs"))
     if not packs.isEmpty():
         joined = components(verify(packs).union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     classes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -147,6 +147,62 @@ def test_each_stage_takes_effect(spark, table_dir):
     assert corpus_pipeline.run(spark, table_dir).agg(F.countDistinct("doc_id")).first()[0] == len(before)
 
 
+def brute_cut(rows, window=50):
+    """Texts without the bytes of windows that also start in a document with a smaller id."""
+    first, out = {}, {}
+    for d, t in rows:
+        raw = t.encode()
+        for i in range(len(raw) - window + 1):
+            first[raw[i : i + window]] = min(d, first.get(raw[i : i + window], d))
+    for d, t in rows:
+        raw = t.encode()
+        gone = set()
+        for i in range(len(raw) - window + 1):
+            if first[raw[i : i + window]] < d:
+                gone.update(range(i, i + window))
+        out[d] = bytes(c for i, c in enumerate(raw) if i not in gone).decode(errors="ignore")
+    return out
+
+
+def test_stages_equal_brute_force(spark, table_dir):
+    """Quality by the scores of the operator (tested against counting by hand), repeats, personal data and packing by plain Python."""
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{table_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    cut = corpus_pipeline.cut_repeats(spark, docs, table_dir)
+    assert {r.doc_id: r.text for r in cut.collect()} == brute_cut(rows)
+    mail, phone = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"\+[0-9][\x20().0-9-]+[0-9]"
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask_pii(spark, docs, table_dir).collect()}
+    assert masked == {d: re.sub(phone, "[PHONE]", re.sub(mail, "[EMAIL]", t)) for d, t in rows}, "these texts hold nothing that only resembles personal data"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in rows}
+    pieces = corpus_pipeline.pack(spark, docs, table_dir).collect()
+    assert {d: sum(p.length for p in pieces if p.doc_id == d) for d in ids} == {d: len(x) for d, x in ids.items()}
+    import zlib
+
+    import numpy as np
+
+    assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
+    filled = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    assert all(b[:2] == ((a[0], a[1] + a[2]) if a[1] + a[2] < 2048 else (a[0] + 1, 0)) for a, b in zip(filled, filled[1:], strict=False)), "gapless windows"
+
+
+def test_scratch_is_swept(spark, table_dir):
+    import os
+
+    from graphloom.llm import common
+
+    df = common.materialize(spark.range(5))
+    path = df._graphloom_path
+    assert os.path.exists(path) and common.scratch_dir(spark) in path
+    common.discard(df)
+    assert not os.path.exists(path)
+
+
 def test_empty_documents(spark, table_dir, tmp_path):
     docs = spark.read.parquet(f"{table_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
