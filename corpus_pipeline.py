@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the stages; tests compare each with a brute-force version.
+#: SQL can't express the stages; tests compare each with a brute-force version on small tables.
 ORACLE_SQL = None
 
 
