@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.plans import catalog
 
 ROUTES: dict[str, dict[str, str]] = {
-    "orient": {"overview": "orientation", "me": "repo_filter", "clusters": "communities_list", "topology": "topology_tiers", "modules": "module_aggregate", "stats": "graph_stats"},
-    "find": {"bm25": "find", "substring": "search_entities"},
-    "related": {"callers": "callers", "callees": "callees", "neighbors": "neighbors", "uses": "callees", "used_by": "callers"},
+    "orient": {"overview": "orientation", "key_entities": "key_entities", "questions": "orientation_questions", "me": "repo_filter", "clusters": "communities_list", "topology": "topology_tiers", "modules": "module_aggregate", "stats": "graph_stats"},
+    "find": {"bm25": "find", "entities": "find_entities", "substring": "search_entities"},
+    "related": {"callers": "callers", "resolve": "find_callers", "callees": "callees", "neighbors": "neighbors", "uses": "callees", "used_by": "callers"},
     "subgraph": {"hops": "subgraph", "expand": "bfs"},
-    "trace": {"path": "find_paths", "data": "data_flows", "control": "complexity", "def_use": "def_use", "effects": "effect_propagation", "flows": "event_flow", "process": "process_flow"},
+    "trace": {"path": "find_paths", "data": "data_flows", "control": "complexity", "def_use": "def_use", "effects": "effect_propagation", "flows": "event_flow", "process": "process_flows"},
     "endpoints": {"list": "http_link", "contract": "response_shape_diff", "posture": "auth_posture_diff"},
     "impact_radius": {"entity": "impact_radius", "changeset": "pr_impact"},
     "debt": {"dead_code": "dead_code", "find_dead_code": "find_dead_code", "cycles": "service_cycles", "import_cycles": "import_cycles", "stubs": "stub_detection", "impure": "pure_functions", "license": "license_compat"},
     "security": {"findings": "taint_findings", "secrets": "secrets", "auth_coverage": "auth_coverage"},
     "test": {"coverage": "test_coverage", "reachability": "test_reachability", "contract_effectiveness": "tautology", "coverage_effectiveness": "effectiveness"},
-    "patterns": {"code": "code_patterns", "graph": "histograms", "template": "rule_pack"},
+    "patterns": {"code": "code_patterns", "graph": "module_table", "template": "rule_pack"},
     "findings": {"list": "findings_list"},
     "diff": {"response_shape": "response_shape_diff", "payload": "payload_drift", "auth": "auth_posture_diff", "literals": "literal_parity", "refs": "diff_join"},
 }

@@ -151,3 +151,15 @@ def kept_vectors(cache: DataFrame, active: DataFrame, now, ttl_days: int) -> Dat
     """Cache rows(hash, touched) that are active, or not older than the time to live."""
     old = F.col("touched") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_days} DAYS")
     return cache.join(cache.where(old).join(active, "hash", "left_anti").select("hash"), "hash", "left_anti")
+
+
+def write_vectors(vectors: DataFrame, folder: str, model: str, dims: int) -> None:
+    """Vectors(id, embedding) beside a header of one row that says which model and length they have."""
+    vectors.select("id", "embedding").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/vectors")
+    vectors.sparkSession.createDataFrame([(model, dims)], "model string, dims int").write.mode("overwrite").parquet(f"{folder}/header")
+
+
+def read_vectors(spark: SparkSession, folder: str, model: str, dims: int) -> DataFrame | None:
+    """The stored vectors, or None where their header tells of another model or length: the store is to be rebuilt."""
+    header = spark.read.parquet(f"{folder}/header").first()
+    return spark.read.parquet(f"{folder}/vectors") if (header.model, header.dims) == (model, dims) else None

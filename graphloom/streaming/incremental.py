@@ -51,3 +51,12 @@ def upsert_method(existing: DataFrame, incoming: DataFrame, rejected: DataFrame,
 def stale(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Repos whose inputs(repo, version) are gone or changed since an overlay was stored; a repo that is only new isn't among them."""
     return stored.join(current, ["repo", "version"], "left_anti").select("repo")
+
+
+def reused(spark, folder: str, digest: str, build) -> DataFrame:
+    """The result of an algorithm over inputs with that hash: read if it was written before, built and written if not."""
+    path = f"{folder}/{digest}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
