@@ -190,7 +190,7 @@ def _nations(t: Tables) -> DataFrame:
 
 @query("communities")
 def communities(t: Tables) -> DataFrame:
-    return groups.communities(t.nation.select(F.col("n_nationkey").cast("string").alias("id")), _nations(t))
+    return groups.communities(t.fn, t.calls.withColumn("weight", F.lit(1)), least=3)
 
 
 @query("modularity", ", e AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*)::DOUBLE AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 45 AND c_nationkey <> s_nationkey GROUP BY 1, 2), k AS (SELECT n_regionkey AS c, sum(w) AS k FROM (SELECT a AS id, w FROM e UNION ALL SELECT b, w FROM e) x JOIN nation ON n_nationkey = id GROUP BY 1) SELECT round((SELECT sum(w) FROM e JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b WHERE x.n_regionkey = y.n_regionkey) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM k) / (4 * (SELECT sum(w) FROM e) ^ 2), 9) AS modularity")

@@ -185,6 +185,16 @@ def test_betweenness_ways_agree_and_cut_no_path(spark):
     assert {r.id: r.betweenness for r in rank.betweenness(nodes, e).collect()}["d10"] == 100, "10 before it, 10 after it"
 
 
+def test_community_rounds_agree_locally_and_distributed(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(f"m{rng.randrange(4)}{a}", f"m{rng.randrange(4)}{rng.randrange(5)}", 1) for a in range(5) for _ in range(5)] + [(f"m{c}{a}", f"m{c}{b}", 2) for c in range(4) for a in range(5) for b in range(a)]
+    e, nodes = spark.createDataFrame(pairs, "from_id string, to_id string, weight int"), ids(spark, *[f"m{c}{a}" for c in range(4) for a in range(5)])
+    one, two = ({r.id: r.community for r in groups.communities(nodes, e, patience=2, local_edges=n).collect()} for n in (10**6, 0))
+    assert one == two and len(set(one.values())) == 4
+
+
 def test_small_communities_are_noise(spark):
     pairs = [(f"{c}{i}", f"{c}{j}", 1) for c in "xy" for i in range(5) for j in range(i)] + [("z0", "z1", 1)]
     nodes = ids(spark, *[f"{c}{i}" for c in "xy" for i in range(5)], "z0", "z1", "alone")
