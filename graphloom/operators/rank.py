@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.loops import LOCAL_EDGES, few_edges, settled
+from graphloom.operators.relational import numbered
 
 DAMPING, ITERATIONS = 0.85, 20
 
@@ -148,6 +149,7 @@ def top(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def rank_shift(whole: DataFrame, parts: DataFrame) -> DataFrame:
     """(id, group_rank, repo_rank, repo): ranks of (id, score) overall against (id, repo, score) inside each repository."""
-    a = whole.withColumn("group_rank", F.rank().over(Window.orderBy(F.desc("score"))))
+    first = numbered(whole.select("id", "score"), F.desc("score"), F.col("id")).groupBy("score").agg((F.min("number") + 1).alias("group_rank"))  # equal scores share the first's rank
+    a = whole.join(first, "score")
     b = parts.withColumn("repo_rank", F.rank().over(Window.partitionBy("repo").orderBy(F.desc("score"))))
     return a.select("id", "group_rank").join(b.select("id", "repo", "repo_rank"), "id")

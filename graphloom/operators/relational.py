@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions import text
+from graphloom.operators.loops import settled
 from graphloom.schema import bare_kind, effective_confidence
 
 #: Kinds that have no source line by nature, and array or string built-ins.
@@ -171,8 +172,26 @@ def lib_boundary(target_repo: Column, source_repo: Column, declared: Column, int
     return F.when(target_repo == source_repo, "first_party").when(internal, "first_party").when(declared, "third_party").otherwise("unannotated")
 
 
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """df with each row's place (from 0) in a total order, without one task that sorts all rows.
+
+    Rows are dealt in ranges of the order and written once, so partitions stay as they are; a range's first place is the sum of the
+    counts before it (one number per range), and a row's place in its range is its place in the partition.
+    """
+    ranges = settled(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = ranges.withColumn("_at", F.monotonically_increasing_id())  # the partition's number above 33 bits of places in it
+    counts = sorted((r.p, r.n) for r in at.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per range
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_p long, _start long")
+    placed = at.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p")  # a row per range
+    return placed.select(*df.columns, (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def chunk_stream(ranked: DataFrame, edges: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Nodes(id, score) in chunks of that many by score, and edges in the first chunk after both their ends."""
-    nodes = ranked.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1) / size))
+    nodes = numbered(ranked, F.desc("score"), F.col("id")).withColumn("chunk", F.floor(F.col("number") / size)).drop("number")
     a, b = nodes.select(F.col("id").alias("from_id"), F.col("chunk").alias("ca")), nodes.select(F.col("id").alias("to_id"), F.col("chunk").alias("cb"))
     return nodes, edges.join(a, "from_id").join(b, "to_id").select("from_id", "to_id", F.greatest("ca", "cb").alias("chunk"))

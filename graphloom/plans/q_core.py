@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
@@ -146,7 +146,7 @@ def token_budget(t: Tables) -> DataFrame:
 @query("id_interning", "SELECT dense_rank() OVER (ORDER BY to_id) AS ref, to_id, n FROM (SELECT to_id, count(*) AS n FROM rel WHERE kind = 'IN_NATION' GROUP BY to_id HAVING count(*) > 1) x")
 def id_interning(t: Tables) -> DataFrame:
     often = t.rel.where("kind = 'IN_NATION'").groupBy("to_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return often.select(F.dense_rank().over(Window.orderBy("to_id")).alias("ref"), "to_id", "n")
+    return relational.numbered(often, F.col("to_id")).select((F.col("number") + 1).alias("ref"), "to_id", "n")
 
 
 @query("null_slices", "SELECT id, coalesce(len(tags), 0)::INT AS n FROM (SELECT id, CASE WHEN start_line > 0 THEN [kind, module] END AS tags FROM ent) x")

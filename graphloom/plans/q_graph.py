@@ -314,11 +314,10 @@ def topology_tiers(t: Tables) -> DataFrame:
 
 @query("migration_order", ", f AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y%m%d') || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || '_change.rb' AS name FROM orders) SELECT id, regexp_extract(name, '^([0-9]{14})_', 1) AS version, lag(id) OVER (ORDER BY name) AS precedes FROM f")
 def migration_order(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("_change.rb"))
-    files = t.orders.select(F.col("o_orderkey").alias("id"), name.alias("name"))
-    return files.select("id", F.regexp_extract("name", r"^([0-9]{14})_", 1).alias("version"), F.lag("id").over(Window.orderBy("name")).alias("precedes"))
+    files = settled(relational.numbered(t.orders.select(F.col("o_orderkey").alias("id"), name.alias("name")), F.col("name")))
+    before = files.select(F.col("id").alias("precedes"), (F.col("number") + 1).alias("number"))
+    return files.join(before, "number", "left").select("id", F.regexp_extract("name", r"^([0-9]{14})_", 1).alias("version"), "precedes")
 
 
 @query("find_paths_cross_repo", ", e AS (SELECT from_id, to_id FROM calls UNION SELECT to_id, from_id FROM imports), s AS (SELECT from_id AS a FROM e WHERE from_id <> to_id ORDER BY from_id LIMIT 1), z AS (SELECT max(to_id) AS b FROM e WHERE from_id = (SELECT a FROM s) AND to_id <> from_id), r(path, last) AS (SELECT [a], a FROM s UNION ALL SELECT list_append(path, to_id), to_id FROM r JOIN e ON from_id = last WHERE len(path) < 4 AND NOT list_contains(path, to_id) AND last <> (SELECT b FROM z)) SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops, (SELECT count(DISTINCT repo) FROM fn WHERE list_contains(path, id)) > 1 AS crosses_repos FROM r WHERE last = (SELECT b FROM z)")

@@ -172,6 +172,13 @@ def test_fields_at_any_depth(spark):
     assert got.first().asDict(True) == {"a": {"x": 1}, "items": [{"x": 3}], "total": 9}
 
 
+def test_places_in_a_total_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("v")).repartition(7)
+    got = relational.numbered(df, F.desc("k"), F.col("v")).collect()
+    assert sorted((r.number, r.k) for r in got) == [(i, 999 - i) for i in range(1000)]
+    assert relational.numbered(df.limit(0), F.col("k")).count() == 0
+
+
 def test_plug_ins(spark, tmp_path):
     files = table(spark, "path string, content string", ("a.txt", "one two"), ("b.txt", "boom"), ("c.txt", None))
 
