@@ -203,7 +203,7 @@ def paired(starts, group, size, short: int = 64, block: int = 512):
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and the text's length in bytes into chunks of about ``chunk_bytes``.
+    """(doc_id, text, the named columns, chunk): documents dealt by a hash of doc_id and text into chunks of about ``chunk_bytes``.
 
     The number of chunks follows the input's bytes, so a chunk fits in one Python worker at any scale
     and a frequent item has at most one entry per chunk in whatever the chunks exchange.
@@ -211,4 +211,4 @@ def chunked(docs: DataFrame, chunk_bytes: int = 4 << 20, least: int = 64, keep:
     texts = whole_texts(docs, *keep)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(max(least, -(-total // chunk_bytes)))
-    return texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")), n
+    return texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
