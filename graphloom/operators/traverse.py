@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from graphloom.operators.loops import LOCAL_EDGES, few_edges, in_one_task, settled
 
 
+#: Over more edges than these, a search of a given number of hops is cheaper by joins.
+FEW_HOPS_EDGES = 100_000
+
+
 def neighbors(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
     """(id, kind, direction) of a node's edges; endpoints without an entity stay."""
     incoming = edges.where(F.col("to_id") == node).select(F.col("from_id").alias("id"), "kind", F.lit("in").alias("direction"))
@@ -60,7 +64,7 @@ def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str =
     pairs = settled(pairs.where("from_id is not null").distinct())
     starts = settled(sources.select("id").where("id is not null").distinct())
     rows = pairs.union(starts.select(F.lit(None).cast("string"), "id"))
-    if few_edges(rows, local_edges):
+    if few_edges(rows, local_edges if hops is None else min(local_edges, FEW_HOPS_EDGES)):
         return in_one_task(rows, _levels(hops, most_rounds), "id string, depth int")
     seen = settled(starts.withColumn("depth", F.lit(0)))
     for depth in count(1) if hops is None else range(1, hops + 1):
