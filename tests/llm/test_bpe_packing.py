@@ -126,6 +126,16 @@ def test_pack_against_brute_force(docs, monkeypatch):
     assert seen == {d: len(x) * (2 if d == 3 else 1) for d, x in want.items()}
 
 
+def test_columns_named_like_the_operators_own(docs):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumns({c: F.lit("x") for c in ("part", "local_start", "doc_tokens", "key", "k", "start", "first", "last", "low", "high", "end", "n_tokens")})
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(byte_bpe.encode(docs, P.path(RANKS), P.PATTERN, chunk=128, overlap=32), byte_bpe.encode(clash, P.path(RANKS), P.PATTERN, chunk=128, overlap=32))
+    one, two = (packing.pack(d.coalesce(1), P.path("word_bpe_49k.json")).select("doc_id", "start", "length", "ids_crc32") for d in (docs, clash))
+    assert same(one, two)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0

@@ -103,3 +103,13 @@ def test_dedup_against_brute_force(spark, bucket):
 def test_blocks_agree(spark):
     df = vectors(spark)
     assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == sorted(map(tuple, vector_dedup.near_duplicates(df, bucket=25).collect()))
+
+
+def test_columns_named_like_the_operators_own(spark):
+    from pyspark.sql import functions as F
+
+    df = vectors(spark, 800)
+    clash = df.withColumns({c: F.lit("x") for c in ("block", "bound", "uid", "least", "own", "i", "j", "ids", "key", "t", "query_id", "rank", "score", "dim")})
+    assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == sorted(map(tuple, vector_dedup.near_duplicates(clash).collect()))
+    near = lambda d: sorted(map(tuple, ann.nearest(d, d.where("vec_id % 100 = 0")).collect()))
+    assert near(df) == near(clash)
