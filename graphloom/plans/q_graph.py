@@ -115,14 +115,6 @@ def top_pagerank(t: Tables) -> DataFrame:
     return rank.top(r, "p", 20).select("id", F.round("p", 7).alias("pagerank"))
 
 
-@query("god_nodes")
-def god_nodes(t: Tables) -> DataFrame:
-    m = relational.module_edges(t.calls, t.fn.select("id", "module")).where("weight >= 3").select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id"))
-    nodes = t.fn.select(F.col("module").alias("id")).distinct()
-    scores = rank.pagerank(nodes, m, 10).withColumn("pagerank", F.round("pagerank", 9)).join(rank.betweenness(nodes, m).withColumn("betweenness", F.round("betweenness", 6)), "id")
-    return rank.god_nodes(scores, 0.05)
-
-
 _MODULE_BC = ", m AS (SELECT DISTINCT a.module AS a, b.module AS b FROM imports JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module), n AS (SELECT DISTINCT module AS id FROM fn), d(s, id, depth) AS (SELECT id, id, 0 FROM n UNION SELECT s, b, depth + 1 FROM d JOIN m ON a = id WHERE depth < 8), sp AS (SELECT s, id, min(depth) AS depth FROM d GROUP BY 1, 2), w(s, id, depth, paths) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL SELECT s, id, depth, sum(paths) FROM (SELECT w.s, sp.id, sp.depth, w.paths FROM w JOIN m ON a = w.id JOIN sp ON sp.s = w.s AND sp.id = m.b AND sp.depth = w.depth + 1) x GROUP BY 1, 2, 3)"
 _BC = _MODULE_BC + ", v AS (SELECT v.id, v.s, t.id AS t, v.paths * u.paths / t.paths AS share FROM w t JOIN w v ON v.s = t.s AND v.depth < t.depth AND v.depth > 0 JOIN w u ON u.s = v.id AND u.id = t.id AND u.depth = t.depth - v.depth) SELECT n.id, round(coalesce(sum(share), 0), 6) AS betweenness FROM n LEFT JOIN v ON v.id = n.id GROUP BY n.id"
 
@@ -147,6 +139,28 @@ def betweenness_sampled(t: Tables) -> DataFrame:
     return rank.betweenness(t.fn, t.imports, pivots=16).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
+def _module_pagerank_sql(rounds: int) -> str:
+    """p<rounds>(id, pr) over the module pairs m(a, b) and modules n(id) of _MODULE_BC."""
+    out = ", pc AS (SELECT count(*) AS n FROM n), po AS (SELECT a, count(*) AS k FROM m GROUP BY 1), p0 AS (SELECT id, 1.0::DOUBLE / (SELECT n FROM pc) AS pr FROM n)"
+    for i in range(1, rounds + 1):
+        out += (
+            f", g{i} AS (SELECT b, sum(pr / k) AS got FROM m JOIN po USING (a) JOIN p{i - 1} ON id = a GROUP BY 1), p{i} AS MATERIALIZED (SELECT n.id, 0.15 / (SELECT n FROM pc)"
+            f" + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(pr), 0) FROM p{i - 1} WHERE id NOT IN (SELECT a FROM po)) / (SELECT n FROM pc)) AS pr FROM n LEFT JOIN g{i} ON b = n.id)"
+        )
+    return out
+
+
+_GOD = _BC.replace("SELECT n.id, round", ", bc AS (SELECT n.id, round") + ")" + _module_pagerank_sql(10)
+
+
+@query("god_nodes", f"""{_GOD}, k AS (SELECT greatest(1, ceil(n * 0.05))::BIGINT AS k FROM pc)
+SELECT id FROM (SELECT id FROM p10 ORDER BY round(pr, 9) DESC, id LIMIT (SELECT k FROM k)) UNION SELECT id FROM (SELECT id FROM bc ORDER BY betweenness DESC, id LIMIT (SELECT k FROM k))""")
+def god_nodes(t: Tables) -> DataFrame:
+    nodes, pairs = _modules(t)
+    scores = rank.pagerank(nodes, pairs, 10).withColumn("pagerank", F.round("pagerank", 9)).join(rank.betweenness(nodes, pairs).withColumn("betweenness", F.round("betweenness", 6)), "id")
+    return rank.god_nodes(scores, 0.05)
+
+
 _SCC = ", i AS (SELECT DISTINCT from_id, to_id FROM imports WHERE from_id <> to_id), r(a, b) AS (SELECT from_id, to_id FROM i UNION SELECT r.a, i.to_id FROM r JOIN i ON i.from_id = r.b), s AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)"
 
 
