@@ -31,8 +31,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     return rank.select("id", F.col("pr").alias("pagerank"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, betweenness): Brandes over all sources, or scaled over pivots (the smallest hashes of ids). Directed, unweighted; paths of any length count.
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, local_edges: int = LOCAL_EDGES, sources: DataFrame | None = None) -> DataFrame:
+    """(id, betweenness): Brandes over all sources, or scaled over pivots: a number of them (the smallest hashes of ids) or sources(id) themselves.
+
+    Directed, unweighted; paths of any length count.
 
     Few edges (counted) are broadcast, and sources are dealt over tasks, which add up their shares. Beyond, state is one row per
     (source, node), aggregated each level: with all sources that is the square of the nodes, so large graphs ask for pivots.
@@ -40,8 +42,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None, l
     ids = settled(nodes.select("id").distinct())
     n = ids.count()
     pairs = settled(edges.select("from_id", "to_id").where("from_id <> to_id").distinct())
-    sources = ids if pivots is None or pivots >= n else ids.orderBy(F.xxhash64("id"), "id").limit(pivots)
-    scale = 1.0 if pivots is None or pivots >= n else n / pivots
+    if sources is not None:
+        sources = settled(sources.select("id").join(ids, "id", "left_semi").distinct())
+        scale = n / max(1, sources.count())
+    elif pivots is None or pivots >= n:
+        sources, scale = ids, 1.0
+    else:
+        sources, scale = ids.orderBy(F.xxhash64("id"), "id").limit(pivots), n / pivots
     if few_edges(pairs, local_edges):
         parts = _broadcast_shares(sources, pairs)
         total = parts.groupBy("id").agg((F.sum("delta") * scale).alias("betweenness"))

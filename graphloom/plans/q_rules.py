@@ -103,6 +103,14 @@ def key_entities(t: Tables) -> DataFrame:
     return rank.key_entities(relational.degree(pairs).select("id", "degree").join(bc, "id"))
 
 
+@query("betweenness_pivots", f"""{_BC[: _BC.index(' SELECT n.id, round')]}, pv AS (SELECT id FROM n ORDER BY id LIMIT 6)
+SELECT n.id, round(coalesce(sum(share), 0) * (SELECT count(*) FROM n) / (SELECT count(*) FROM pv), 6) AS betweenness FROM n LEFT JOIN v ON v.id = n.id AND v.s IN (SELECT id FROM pv) GROUP BY n.id""")
+def betweenness_pivots(t: Tables) -> DataFrame:
+    pairs = relational.module_edges(t.imports, t.fn.select("id", "module")).select(F.col("from_module").alias("from_id"), F.col("to_module").alias("to_id"))
+    nodes = t.fn.select(F.col("module").alias("id")).distinct()
+    return rank.betweenness(nodes, pairs, sources=nodes.orderBy("id").limit(6)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
 @query("orientation_questions", """
 , e AS (SELECT from_id, to_id, a.module AS ma, b.module AS mb, 0.3 + 0.1 * (a.size % 7) AS confidence FROM calls JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id)
 SELECT DISTINCT 'ambiguous_edge' AS kind, from_id AS id, to_id AS other FROM e WHERE confidence < 0.45 UNION ALL SELECT DISTINCT 'bridge', from_id, to_id FROM e WHERE ma <> mb
