@@ -89,6 +89,12 @@ def budget(value: Column, limit: Column, inverted: Column) -> Column:
     return F.when(over <= 0, "green").when(over <= 0.1, "yellow").otherwise("red")
 
 
+def regressed(value: Column, baseline: Column, inverted: Column, tolerance: float = 0.2) -> Column:
+    """warning where a metric is over a fifth worse than its baseline, else ok; no baseline, no verdict."""
+    worse = F.when(inverted, (baseline - value) / baseline).otherwise((value - baseline) / baseline)
+    return F.when(baseline > 0, F.when(worse > tolerance, "warning").otherwise("ok"))
+
+
 def time_decayed(confidence: Column, days: Column) -> Column:
     """Less 0.05 for every 30 whole days, not under 0.2."""
     return F.greatest(F.lit(0.2), confidence - 0.05 * F.floor(days / 30))

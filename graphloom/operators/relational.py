@@ -27,16 +27,18 @@ def confident(df: DataFrame, least: float) -> DataFrame:
     return df.where(effective_confidence(F.col("confidence")) >= least)
 
 
-def noise(name: Column, kind: Column, subtype: Column, source_file: Column, start_line: Column, qualified_name: Column, local_scope: Column) -> Column:
-    """Noise bucket by ordered predicates; 'none' is a real result."""
+def noise(name: Column, kind: Column, subtype: Column, source_file: Column, start_line: Column, qualified_name: Column, local_scope: Column, entity_id: Column | None = None, provenance: Column | None = None) -> Column:
+    """Noise bucket by ordered predicates; 'none' is a real result. An id with proc: in it marks a process, too, and an inferred hierarchy a shadow."""
     bare = bare_kind(kind)
+    process = (bare == "process") | (F.coalesce(entity_id.contains("proc:"), F.lit(False)) if entity_id is not None else F.lit(False))
+    inferred = F.coalesce(provenance == "INFERRED_FROM_CLASS_HIERARCHY", F.lit(False)) if provenance is not None else F.lit(False)
     callee = F.trim(F.regexp_extract(name, r"(?:→|->)(.*)$", 1))
     return (
-        F.when((bare == "process") & callee.isin(*BUILTINS), "process")
+        F.when(process & callee.isin(*BUILTINS), "process")
         .when(bare == "pattern", "pattern")
         .when((bare == "component") & subtype.isin("file", "module"), "container")
         .when((bare == "component") & (start_line == 0) & (source_file != "") & (name == source_file), "container")
-        .when((start_line == 0) & (F.coalesce(qualified_name, F.lit("")) == "") & ~bare.isin(*LINELESS), "shadow")
+        .when(inferred | (start_line == 0) & (F.coalesce(qualified_name, F.lit("")) == "") & ~bare.isin(*LINELESS), "shadow")
         .when((bare == "schema") & (subtype == "field"), "schema_field")
         .when(local_scope == "true", "local_scope")
         .otherwise("none")

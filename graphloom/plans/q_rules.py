@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import diff, flow, groups, link, rank, relational, search
+from graphloom.operators import diff, flow, groups, link, quality, rank, relational, search
 from graphloom.plans.projection import Tables
 from graphloom.plans.q_graph import _BC
 from graphloom.plans.registry import query
@@ -160,6 +160,15 @@ def response_unresolved(t: Tables) -> DataFrame:
     return diff.unresolved_shapes(shape(t.part.where("p_size > 3"), 9), shape(t.part.where("p_size < 48"), 11))
 
 
+@query("perf_regressions", """
+, m AS (SELECT event_type, avg(value) FILTER (ts < TIMESTAMP '2024-01-15 00:00:00') AS b, avg(value) FILTER (ts >= TIMESTAMP '2024-01-15 00:00:00' AND user_id < 20) AS v FROM events GROUP BY 1)
+SELECT event_type, CASE WHEN b > 0 THEN CASE WHEN (v - b) / b > 0.05 THEN 'warning' ELSE 'ok' END END AS status, CASE WHEN b > 0 THEN CASE WHEN (b - v) / b > 0.05 THEN 'warning' ELSE 'ok' END END AS inverted FROM m""")
+def perf_regressions(t: Tables) -> DataFrame:
+    late = F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp")
+    m = t.events.groupBy("event_type").agg(F.avg(F.when(~late, F.col("value"))).alias("b"), F.avg(F.when(late & (F.col("user_id") < 20), F.col("value"))).alias("v"))
+    return m.select("event_type", *[quality.regressed(F.col("v"), F.col("b"), F.lit(i), 0.05).alias(n) for i, n in ((False, "status"), (True, "inverted"))])
+
+
 @query("content_hashes", "SELECT doc_id, sha1(text) AS content, sha256(text[1:200]) AS source_window FROM documents")
 def content_hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha1(F.col("text").cast("binary")).alias("content"), F.sha2(F.left("text", F.lit(200)).cast("binary"), 256).alias("source_window"))

@@ -179,6 +179,12 @@ def test_places_in_a_total_order(spark):
     assert relational.numbered(df.limit(0), F.col("k")).count() == 0
 
 
+def test_noise_by_id_and_provenance(spark):
+    df = table(spark, "id string, name string, kind string, line int, provenance string", ("x:proc:1", "Login → map", "SCOPE.Operation", 5, None), ("y", "Login → map", "SCOPE.Operation", 5, None), ("z", "Base.run", "SCOPE.Operation", 5, "INFERRED_FROM_CLASS_HIERARCHY"))
+    kind = relational.noise(F.col("name"), F.col("kind"), F.lit(""), F.lit("a.py"), F.col("line"), F.lit("q"), F.lit("false"), F.col("id"), F.col("provenance"))
+    assert [r.k for r in df.select(kind.alias("k")).collect()] == ["process", "none", "shadow"]
+
+
 def test_plug_ins(spark, tmp_path):
     files = table(spark, "path string, content string", ("a.txt", "one two"), ("b.txt", "boom"), ("c.txt", None))
 
