@@ -7,13 +7,14 @@ retained suffix's, on the training counts, is at least ``PRUNE`` nats per listed
 count after it reaches another floor; it is smoothed with its suffix's distribution by ``KAPPA`` pseudo-counts, and what it doesn't list
 shares the remaining mass in proportion to that suffix's. A text is scored from its longest suffix states, word by word.
 
-The floors are multiples of the square root of the training tokens, ``CONTEXT`` and ``PAIR``, so the tree grows with the corpus, as
-its root; they rise in proportion only where the tree would have over ``MOST_CONTEXTS`` nodes or ``MOST_PAIRS`` listed symbols a length.
+The floors are multiples of the square root of the training tokens, ``CONTEXT`` and ``PAIR``: one rule for every size, without a least
+or a greatest floor. So the tree grows with the corpus, as its root: for n training tokens a length has at most
+sqrt(n) / ``CONTEXT`` nodes and sqrt(n) / ``PAIR`` listed symbols.
 
 Exact counts: documents are dealt into chunks; a chunk sends each distinct token once per bucket, as a 64-bit hash and a
 count, and gets the corpus counts back in the same order. So they grow with the input and no token's rows meet in one task
-beyond one per chunk. What is broadcast is bounded: at most MOST_PAIRS frequent words and, for each length, MOST_CONTEXTS nodes and
-MOST_PAIRS listed symbols of 16 bytes. Each length is counted in one pass over the training texts.
+beyond one per chunk. What is broadcast is the tree, whole at any size: frequent words, nodes and listed symbols (16 bytes each) within the square
+roots above. Each length is counted in one pass over the training texts.
 
 Defined results: null texts are empty (one end); null doc_ids are training rows; repeated rows count and are scored each;
 an empty table gives an empty result; columns other than doc_id and text are ignored. Different tokens with equal 64-bit
@@ -33,6 +34,7 @@ from graphloom.llm.common import chunked, materialize, tidied, tidy, whole_texts
 
 DEPTH = 3
 CONTEXT, PAIR = 0.5, 0.03
+# bounds that tests pass to least(); the tree has none
 MOST_CONTEXTS, MOST_PAIRS = 1 << 18, 1 << 21
 LEAST_CONTEXT, LEAST_PAIR = 16, 3
 PRUNE, KAPPA = 3.0, 20.0
@@ -78,8 +80,8 @@ def find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == want, at, -1)
 
 
-def least(total: int, root: float, most: int, floor: int) -> float:
-    """A floor on counts among ``total`` tokens; at most ``most`` disjoint events reach it."""
+def least(total: int, root: float, most: float = np.inf, floor: float = 0) -> float:
+    """A floor on counts among ``total`` tokens. The tree gives no bounds: any would make scores switch rules at some size."""
     return max(floor, root * total**0.5, total / most)
 
 
@@ -101,7 +103,7 @@ class SuffixTree:
         self.root = self.base(counts)
         self.size = len(self.order)
         self.end = int(find(self.order, np.array([END_HASH], np.uint64))[0]) if self.size else -1
-        ok = np.flatnonzero((counts >= least(total, CONTEXT, MOST_CONTEXTS, LEAST_CONTEXT)) & (np.arange(self.size) != self.end))
+        ok = np.flatnonzero((counts >= least(total, CONTEXT)) & (np.arange(self.size) != self.end))
         self.levels.append(Level(ok[:, None], np.zeros(len(ok), np.int64), counts[ok], ok))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
@@ -159,7 +161,7 @@ class SuffixTree:
         gain = np.bincount(context, counts * np.log(p / parent), n) + (total - listed) * np.log(np.maximum(level.alpha, 1e-300))
         level.keep = gain >= PRUNE * (np.bincount(context, minlength=n) + 1)
         level.codes, level.p = codes, p
-        deeper = np.flatnonzero((counts >= least(self.total, CONTEXT, MOST_CONTEXTS, LEAST_CONTEXT)) & (sym != self.end))
+        deeper = np.flatnonzero((counts >= least(self.total, CONTEXT)) & (sym != self.end))
         if k >= DEPTH or not len(deeper):
             return False
         words = np.concatenate([level.words[context[deeper]], sym[deeper, None]], axis=1)
@@ -217,7 +219,7 @@ def corpus_counts(texts: DataFrame, buckets: int) -> DataFrame:
         known, flat = np.unique(hashes, return_inverse=True)
         sums = np.bincount(flat, np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<u4"), len(known)).astype("<i8")
         cuts = np.cumsum([0] + [len(x) // 8 for x in raw])
-        often = sums >= LEAST_PAIR
+        often = (sums > 0) & (sums >= least(int(sums.sum()), PAIR))  # a bucket's floor is never above the corpus's
         out = [(COUNTS, c, b, b"", sums[flat[s:e]].tobytes(), 0, 0) for c, s, e in zip(chunk, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return rows_of(BACK_SCHEMA, [*out, (STATS, -1, b, b"", b"", int(sums.sum()), int((sums > 0).sum())), (FREQUENT, -1, b, known[often].tobytes(), sums[often].tobytes(), 0, 0)])
 
@@ -226,7 +228,7 @@ def corpus_counts(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def frequent_tokens(back: DataFrame, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of tokens with at least that count; at most MOST_PAIRS of them."""
+    """(hashes, counts) of tokens with at least that count."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +271,8 @@ def pair_counts(texts: DataFrame, tree: SuffixTree) -> tuple[np.ndarray, np.ndar
         merge()
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    floor = least(tree.total, PAIR, MOST_PAIRS, LEAST_PAIR)
-    rows = texts.select("text").mapInArrow(tidied(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()  # at most MOST_PAIRS rows
+    floor = least(tree.total, PAIR)
+    rows = texts.select("text").mapInArrow(tidied(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()  # at most total / floor rows
     return rows.column("code").to_numpy(), rows.column("n").to_numpy()
 
 
@@ -286,7 +288,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     back = corpus_counts(texts, buckets)
     stats = back.where(F.col("kind") == STATS).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total, distinct = stats.n or 0, stats.v or 0
-    tree = SuffixTree(*frequent_tokens(back, least(total, PAIR, MOST_PAIRS, LEAST_PAIR)), total, distinct)
+    tree = SuffixTree(*frequent_tokens(back, least(total, PAIR)), total, distinct)
     train = whole_texts(docs).where(~held_out())
     while len(tree.levels[-1].words) and tree.grow(*pair_counts(train, tree)):
         pass

@@ -154,3 +154,36 @@ def test_the_tree_grows_with_the_corpus():
     floors = [suffix_lm.least(n, suffix_lm.PAIR, suffix_lm.MOST_PAIRS, 3) for n in (10**6, 10**8, 10**10, 10**13)]
     sizes = [n / f for n, f in zip((10**6, 10**8, 10**10, 10**13), floors, strict=True)]
     assert sizes[0] < sizes[1] < sizes[2] <= sizes[3] <= suffix_lm.MOST_PAIRS
+
+
+def test_small_corpora_follow_the_same_floors(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["a b c", "a b c", "d b e", "d b e", "f g", f"r{i}"]) for _ in range(6))) for i in range(50)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    train = [t for d, t in rows if not held(d)]
+    assert sum(len(toks(t)) for t in train) < 1024
+    with monkeypatch.context() as m:  # the brute force's floors: nothing but the square root
+        for name, bound in {"MOST_PAIRS": math.inf, "MOST_CONTEXTS": math.inf, "LEAST_PAIR": 0, "LEAST_CONTEXT": 0}.items():
+            m.setattr(suffix_lm, name, bound)
+        p, nodes = brute_tree(train)
+    assert nodes
+    got = {r.doc_id: r.score for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for d, t in rows:
+        words, want = [*t.encode().lower().split(), b""], 0.0
+        for i, w in enumerate(words):
+            want += math.log10(p(w, next((tuple(words[i - k : i]) for k in (3, 2, 1) if i >= k and tuple(words[i - k : i]) in nodes), ())))
+        assert abs(got[d] - want) < 1e-6, d
+
+
+def test_large_corpora_follow_the_same_floors(spark):
+    total = 40_000_000_000  # floors: 100,000 a context and 6,000 a pair
+    hashes = suffix_lm.tokens(["a b"])[2]  # the end, a, b
+    tree = suffix_lm.SuffixTree(hashes, np.array([200_000, 120_000, 120_000]), total, 3)
+    assert sorted(tree.levels[0].words[:, 0]) == sorted(tree.symbols(hashes[1:]))
+    _, n = suffix_lm.pair_counts(spark.createDataFrame([("a b " * 10_000,)], "text string"), tree)
+    assert sorted(n) == [9_999, 10_000]
+
+
+def test_one_floor_at_every_size():
+    for root in (suffix_lm.CONTEXT, suffix_lm.PAIR):
+        assert all(math.isclose(suffix_lm.least(4 * 10**k, root), 2 * suffix_lm.least(10**k, root)) for k in range(16))
