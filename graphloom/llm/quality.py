@@ -4,9 +4,9 @@ Tokens are runs of word characters or of other visible characters; features are
 bigrams, and hashed class bigrams, in which each token is replaced by its class (case of its letters, digits, or the
 punctuation itself) with a mark for tokens that recur at once; each is weighted by its share of the document. Training uses at
 most ``TRAIN_ROWS`` labelled documents (the smallest hashes of doc_id; repeated labels of a document are
-averaged, 0.5 and more is 1) and of these, in that order, as many as ``TRAIN_BYTES`` of sparse features hold. It visits them in a
-fixed order and updates one document at a time. Scoring reads every whole text once where it lies, with the weights (a fixed
-``1 << BITS`` floats) broadcast. No shuffle.
+averaged, 0.5 and more is 1) and of these, in that order, as many as ``TRAIN_BYTES`` of sparse features hold. One task visits
+them in a fixed order and updates one document at a time; the driver gets the weights, never the features. Scoring reads every
+whole text once where it lies, with the weights (a fixed ``1 << BITS`` floats) broadcast. No shuffle.
 
 Defined results: null and blank texts have no features and get the bias's score; without labels of both
 kinds every weight is zero and the score 0.5; repeated rows are scored each; of rows that share a labelled doc_id the one with
@@ -136,14 +136,26 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, train_rows: int = TR
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([total[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["doc_id", "y", "ids", "vals"])
 
     sparse_rows = picked.select("doc_id", "text", "y").mapInArrow(tidied(sparse), "doc_id long, y int, ids binary, vals binary")
-    rows = materialize(sparse_rows.groupBy("doc_id", "y").agg(F.min(F.struct("ids", "vals")).alias("x")).select("doc_id", "y", "x.ids", "x.vals"))
-    order = lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)
-    sizes = sorted(rows.select("doc_id", F.octet_length("ids").alias("n")).collect(), key=order)  # at most train_rows pairs of numbers
+    place = F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("place")
+    rows = materialize(sparse_rows.groupBy("doc_id", "y").agg(F.min(F.struct("ids", "vals")).alias("x")).select(place, "doc_id", "y", "x.ids", "x.vals"))
+    sizes = sorted(rows.select("place", "doc_id", F.octet_length("ids").alias("n")).collect())  # at most train_rows triples of numbers
     fits = int(np.searchsorted(np.cumsum([2 * r.n for r in sizes]), train_bytes, "right"))
     if fits < len(sizes):
-        rows = rows.where(F.col("doc_id").isin([r.doc_id for r in sizes[:fits]]))
-    found = sorted(rows.collect(), key=order)  # at most train_rows sparse rows and train_bytes
-    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in found], bits)
+        stop = sizes[fits]  # the first that doesn't fit
+        rows = rows.where((F.col("place") < stop.place) | ((F.col("place") == stop.place) & (F.col("doc_id") < stop.doc_id)))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("quality", _SEEN.clear)
+        held = []  # at most train_rows sparse rows and train_bytes, where they lie in the batches
+        for batch in batches:
+            place, doc_id, y, ids, vals = batch.columns
+            held += zip(place.to_pylist(), doc_id.to_pylist(), y.to_pylist(), (np.frombuffer(x.as_buffer(), np.int32) for x in ids), (np.frombuffer(x.as_buffer(), np.float32) for x in vals), strict=True)
+        held.sort(key=lambda r: r[:2])
+        weights, bias = train([(ids, vals, y) for _, _, y, ids, vals in held], bits)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+    [found] = rows.coalesce(1).mapInArrow(tidied(learn), "weights binary, bias double").collect()  # one task's single row
+    return np.frombuffer(found.weights, np.float32), found.bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, bits: int = BITS) -> DataFrame:

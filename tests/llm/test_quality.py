@@ -101,6 +101,40 @@ def test_repeated_ids_and_the_byte_bound(spark):
     assert 0 < np.count_nonzero(few[0]) < np.count_nonzero(quality.fit(docs, labels)[0])
 
 
+def sparse_rows(texts, order, bits):
+    """What the model is trained from: (ids, values, label) of each document."""
+    out = []
+    for d in order:
+        _, index, value = quality.features([texts[d]], bits)
+        ids, inverse = np.unique(index, return_inverse=True)
+        out.append((ids.astype(np.int32), np.bincount(inverse, value, len(ids)).astype(np.float32), int(d % 3 > 0)))
+    return out
+
+
+def test_the_driver_gets_the_weights_but_no_features(spark):
+    bits, rng = 14, random.Random(6)
+    texts = {i: " ".join(f"{'abc'[i % 3]}{rng.randrange(10**6)}" for _ in range(2000)) for i in range(400)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in texts], "doc_id long, quality int")
+    order = sorted((d for d in texts if zlib.crc32(str(d).encode()) % 5), key=lambda d: (zlib.crc32(str(d).encode()), d))
+    rows = sparse_rows(texts, order, bits)
+    sizes = np.cumsum([ids.nbytes + vals.nbytes for ids, vals, _ in rows])
+    assert sizes[-1] > 8e6
+    limits = spark.sparkContext._jsc.sc().conf()  # read anew by each job
+    before = limits.get("spark.driver.maxResultSize", "1g")
+    limits.set("spark.driver.maxResultSize", "2m")
+    try:
+        weights, bias = quality.fit(docs, labels, bits=bits)
+    finally:
+        limits.set("spark.driver.maxResultSize", before)
+    want = quality.train(rows, bits)
+    assert np.array_equal(weights, want[0]) and bias == want[1]
+    for n in (0, 1, 100):  # the byte bound keeps a prefix of that order
+        weights, bias = quality.fit(docs, labels, train_bytes=int(sizes[n]) - 1, bits=bits)
+        want = quality.train(rows[:n], bits)
+        assert np.array_equal(weights, want[0]) and bias == want[1]
+
+
 def test_no_labels_and_empty(spark):
     docs, labels = corpus(spark, 10)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
