@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -91,6 +92,62 @@ def test_other_tokenizers_encode_whole_texts():
     assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def plain_texts(n: int):
+    """Made-up words of Latin-1 letters with marks, digits and contractions: most are new to the cache."""
+    rng = random.Random(23)
+    bits = ["the", "tion", "é", "ñ", "ß", "ä", "í", "&&&", ".$$$", "?!", ",", "42", "'s", "'ll", "'", "</w>", "|", "<|endoftext|>", " ", " ", "\n"]
+    return ["".join(rng.choices(bits, k=rng.randint(0, 60))) for _ in range(n)]
+
+
+class CountedLookups(dict):
+    asked = 0
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_plain_words_cost_no_normaliser_and_repeated_words_one_look_up(monkeypatch):
+    raw = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    own, tok = packing.WordEncoder(raw), Tokenizer.from_str(raw)
+    tok.encode_special_tokens = True
+    texts = plain_texts(2000)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def whole_tokenizer(*args):
+        raise AssertionError("a plain word went through the normaliser and the pattern")
+
+    monkeypatch.setattr(own, "_ids", whole_tokenizer)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(texts)] == want
+    own.known = CountedLookups(own.known)
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(texts * 5)] == want * 5
+    assert own.known.asked <= len({w for t in texts for w in t.replace("\n", " ").split(" ")})
+
+
+def test_words_whose_ends_do_not_show():
+    """Where ends don't come out one by one words are encoded singly; without marked ends texts are encoded whole."""
+    raw = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
+    rules = json.loads(raw)
+    rules["model"]["vocab"]["\u2400"] = rules["model"]["vocab"].pop("$</w>")  # the library drops a last $
+    rules["model"]["merges"] = [m for m in rules["model"]["merges"] if "$</w>" not in m]
+    unmarked = json.loads(raw)
+    unmarked["model"]["end_of_word_suffix"] = None
+    texts = plain_texts(300) + ["$", "a $ b", "$ $", ""]
+    for changed, splits in ((rules, True), (unmarked, False)):
+        own, tok = packing.WordEncoder(json.dumps(changed)), Tokenizer.from_str(json.dumps(changed))
+        tok.encode_special_tokens = True
+        assert own.by_words == splits
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode_all(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encode_equals_the_library_and_round_trips(docs):
     path = P.path(RANKS)
     enc = byte_bpe.encoding(open(path, "rb").read(), P.PATTERN)
