@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import ann, byte_bpe, centroids, html_text, packing, pii, quality, repeats, simhash, suffix_lm, url_filter, vector_dedup
+from graphloom.llm import ann, byte_bpe, centroids, html_text, packing, phrases, pii, quality, repeats, simhash, suffix_lm, url_filter, vector_dedup
 from graphloom.llm.common import load
 
 
@@ -67,9 +67,13 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.mine(pages, load(spark, sf_dir, "labels"), bad))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     all_ten = (op1_ann, op2_pii, op3_quality, op4_vector_dedup, op5_suffix_tree_lm, op6_suffix_array, op7_simhash, op8_byte_bpe, op9_html_text, op10_packing)
-    return {f.__name__: f for f in (*all_ten, op11_centroids, op12_url_filter)}
+    return {f.__name__: f for f in (*all_ten, op11_centroids, op12_url_filter, op13_phrases)}
 
 
 #: All pairs and a closure: fit for the smallest tables only, and exact there.
@@ -132,5 +136,28 @@ FROM t LEFT JOIN m ON m.r = t.r AND m.place = 1 LEFT JOIN hit ON hit.tokens = t.
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS words FROM p),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+g AS (SELECT lang, words, i, unnest(range(1, 6)) AS m FROM s),
+f AS (SELECT lang, words[i:i + m - 1] AS ids, count(*) AS f FROM g WHERE i + m - 1 <= len(words) GROUP BY 1, 2 HAVING count(*) >= 100),
+c AS (SELECT lang, ids, f AS a, len(ids) AS m FROM f WHERE len(ids) > 1),
+longer AS (SELECT lang, ids, a, m, unnest(range(2, m)) AS size FROM c WHERE m > 2),
+inner_ AS (SELECT lang, a, ids, size, m, unnest(range(1, m - size + 2)) AS i FROM longer),
+sup AS (SELECT lang, ids[i:i + size - 1] AS ids, max(a) AS sup FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT c.* FROM c LEFT JOIN sup USING (lang, ids) WHERE sup IS NULL OR 100 * sup < 100 * a),
+k AS (SELECT lang, ids, a, m, unnest(range(1, m)) AS k FROM kept),
+x AS (SELECT k.lang, k.ids, k.a, k.k, l.f AS l, r.f AS r, n.n, CAST((CAST(1000 AS HUGEINT) * k.a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.ids = k.ids[1:k.k] JOIN f r ON r.lang = k.lang AND r.ids = k.ids[k.k + 1:] JOIN n ON n.lang = k.lang),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, ids ORDER BY score, k) AS place FROM x),
+z AS (SELECT *, array_to_string(ids, ' ') AS phrase FROM y WHERE place = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_dedup": OP4_SQL, "op11_centroids": _op11_sql(), "op12_url_filter": OP12_SQL}
+    return {"op4_vector_dedup": OP4_SQL, "op11_centroids": _op11_sql(), "op12_url_filter": OP12_SQL, "op13_phrases": OP13_SQL}
