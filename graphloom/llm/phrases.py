@@ -30,9 +30,9 @@ from graphloom.llm.common import HEAVY_ROWS, bounded_batches, materialize, tidie
 from graphloom.operators.relational import numbered
 
 #: Tokens of a shard, trie nodes of a range, words whose numbers are broadcast.
-SHARD, RANGE, WORDS = 2_000_000, 4_000_000, 500_000
+SHARD, RANGE, WORDS = 1_000_000, 4_000_000, 500_000
 #: Words of a slice of a text, bytes that are split into words at once, words that a task counts before it hands counts on.
-SLICE, BYTES, COUNTED = 1 << 16, 1 << 20, 500_000
+SLICE, BYTES, COUNTED = 1 << 16, 1 << 20, 200_000
 #: Trie nodes sampled for each range, and tokens that the sample reads for each.
 SAMPLES, SAMPLE_TOKENS = 64, 2_000
 #: Marks between pieces; a word can't hold it.
