@@ -90,7 +90,8 @@ def test_mined_rules_equal_brute_force(spark):
     got = {r[0]: r[4] for r in judged(spark, pages, labels, [])}
     assert got == {i: "block" if want[t] else "allow" for i, t in tokens}
     blocked = {u for i, u in pages if got[i] == "block"}
-    assert all("spam.b.net/win/" in u for _, u in pages if u in blocked) and len(blocked) > 20
+    right = sum("spam.b.net/win/" in u for u in blocked)
+    assert right == sum("spam.b.net/win/" in u for _, u in pages) and right > 20 and len(blocked) - right < right  # rules hold at half confidence
 
 
 def test_a_url_outside_the_labels_is_blocked_by_its_tokens(spark):
