@@ -1,17 +1,15 @@
-"""Strong components and cycles, communities, modularity, articulation points, surprising edges."""
+"""Strong components and cycles, modularity, surprising edges; communities over levels are in louvain.py, articulation points in blocks.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.loops import LOCAL_EDGES, few_edges, in_one_task, settled
+from graphloom.operators.louvain import communities, named  # noqa: F401
 
 
 def _tarjan(a: list[str], b: list[str]) -> pa.RecordBatch:
@@ -159,97 +157,6 @@ def connected(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _moved_locally(und: DataFrame, degree: DataFrame, patience: int) -> DataFrame:
-    """(id, community): the rounds of communities() in one task, for few edges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        near: dict[str, dict[str, float]] = {}
-        k: dict[str, float] = {}
-        for batch in batches:
-            for a, b, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if b is None:
-                    k[a] = w
-                else:
-                    near.setdefault(a, {})[b] = w
-        two_m = sum(k.values()) or 1.0
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        own = {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in k}
-        label = best = {x: x for x in k}
-        top, stale = float("-inf"), 0
-        for r in count():
-            total: dict[str, float] = {}
-            for x, c in label.items():
-                total[c] = total.get(c, 0.0) + k[x]
-            nxt = dict(label)
-            for x, links in near.items():
-                if signed(xxhash.xxh64_intdigest(r.to_bytes(4, "little"), own[x])) % 2:
-                    continue
-                inside: dict[str, float] = {}
-                for y, w in links.items():
-                    inside[label[y]] = inside.get(label[y], 0.0) + w
-                mine = label[x]
-                gain = {c: round(v - k[x] * (total[c] - (k[x] if c == mine else 0.0)) / two_m, 9) for c, v in inside.items()}
-                to = max(gain, key=lambda c: (gain[c], c == mine, -signed(own[c])))
-                if gain[to] > gain.get(mine, 0.0):
-                    nxt[x] = to
-            label, sums, within = nxt, {}, 0.0
-            for x, c in label.items():
-                sums[c] = sums.get(c, 0.0) + k[x]
-                within += sum(w for y, w in near.get(x, {}).items() if label[y] == c)
-            q = round(within / two_m - sum(v * v for v in sums.values()) / two_m**2, 12)
-            best, top, stale = (label, q, 0) if q > top else (best, top, stale + 1)
-            if stale == patience:
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(list(best.values()), pa.string())], names=["id", "community"])
-
-    rows = und.select("from_id", "to_id", "w").union(degree.select("id", F.lit(None).cast("string"), F.col("k")))
-    return rows.coalesce(1).mapInArrow(run, "id string, community string")
-
-
-def communities(nodes: DataFrame, edges: DataFrame, least: int = 1, patience: int = 4, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, community): synchronous local moving on weighted undirected edges (from_id, to_id, weight).
-
-    Half of the nodes may move in a round (by a hash of id and round), each to the neighbouring community with the highest modularity
-    gain, ties to the smallest label; labels start as ids. Nodes that move at once can spoil each other's gains, so every round's
-    modularity is measured: rounds go on until none of ``patience`` in a row has bettered it, and the best labels count.
-    Deterministic whatever the partitions. Communities of under ``least`` members are noise and become -1. Few edges (counted) are
-    one task's work, by the same rounds.
-    """
-    und = edges.where("from_id <> to_id").select("from_id", "to_id", F.col("weight").cast("double").alias("w"))
-    und = settled(und.union(und.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "w")).groupBy("from_id", "to_id").agg(F.sum("w").alias("w")))
-    degree = settled(nodes.select("id").distinct().join(und.groupBy(F.col("from_id").alias("id")).agg(F.sum("w").alias("k")), "id", "left").fillna(0.0))
-    if few_edges(und.select("from_id").union(degree.select("id")), local_edges):
-        return _named(settled(_moved_locally(und, degree, patience)), least)
-    two_m = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = best = settled(degree.select("id", F.col("id").alias("community"), "k"))
-    top, stale = float("-inf"), 0
-    for r in count():
-        total = label.groupBy("community").agg(F.sum("k").alias("total"))
-        to = und.join(label.select(F.col("id").alias("to_id"), "community"), "to_id").groupBy(F.col("from_id").alias("id"), "community").agg(F.sum("w").alias("inside"))
-        own = label.select("id", "k", F.col("community").alias("mine"))
-        gain = to.join(own, "id").join(total, "community").withColumn("gain", F.round(F.col("inside") - F.col("k") * (F.col("total") - F.when(F.col("community") == F.col("mine"), F.col("k")).otherwise(0.0)) / two_m, 9))
-        stay = F.max(F.when(F.col("community") == F.col("mine"), F.col("gain")))
-        pick = gain.groupBy("id").agg(F.max_by("community", F.struct("gain", F.col("community") == F.col("mine"), -F.xxhash64("community"))).alias("to"), F.max("gain").alias("best"), stay.alias("stay"))
-        moves = pick.where((F.col("best") > F.coalesce("stay", F.lit(0.0))) & (F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)).select("id", "to")
-        label = settled(label.join(moves, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k"))
-        a, b = label.select(F.col("id").alias("from_id"), F.col("community").alias("a")), label.select(F.col("id").alias("to_id"), F.col("community").alias("b"))
-        inside = und.join(a, "from_id").join(b, "to_id").where("a = b").agg(F.sum("w")).first()[0] or 0.0
-        squares = label.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
-        q = round(inside / two_m - squares / two_m**2, 12)
-        best, top, stale = (label, q, 0) if q > top else (best, top, stale + 1)
-        if stale == patience:
-            break
-    return _named(best, least)
-
-
-def _named(labels: DataFrame, least: int) -> DataFrame:
-    """Communities named by their smallest member; those of under least members are -1."""
-    name = labels.groupBy("community").agg(F.min("id").alias("name"), F.count(F.lit(1)).alias("n"))
-    return labels.join(name, "community").select("id", F.when(F.col("n") >= least, F.col("name")).otherwise("-1").alias("community"))
-
-
 def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: Q of (id, community) over weighted undirected edges."""
     e = edges.where("from_id <> to_id").select("from_id", "to_id", F.col("weight").cast("double").alias("w"))
@@ -261,47 +168,6 @@ def modularity(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return by.agg(F.sum(F.col("k") * F.col("k")).alias("k2")).crossJoin(m).crossJoin(part).select((F.col("inside") / F.col("m") - F.col("k2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))  # one row each
 
 
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids whose removal splits their component; linear time and memory per connected component, one component a task."""
-    parts = connected(nodes, edges)
-    rows = edges.select("from_id", "to_id").where("from_id <> to_id").distinct().join(parts.withColumnRenamed("id", "from_id"), "from_id").select("component", "from_id", "to_id")
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(pdf.from_id, pdf.to_id, strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        depth: dict[str, int] = {}
-        low: dict[str, int] = {}
-        out: set[str] = set()
-        root = min(near)
-        depth[root] = low[root] = 0
-        branches = 0
-        stack: list[tuple[str, str, Iterator[str]]] = [(root, "", iter(near[root]))]
-        while stack:
-            v, parent, it = stack[-1]
-            w = next(it, None)
-            if w is None:
-                stack.pop()
-                if stack:
-                    u = stack[-1][0]
-                    low[u] = min(low[u], low[v])
-                    if u == root:
-                        branches += 1
-                    elif low[v] >= depth[u]:
-                        out.add(u)
-            elif w not in depth:
-                depth[w] = low[w] = depth[v] + 1
-                stack.append((w, v, iter(near[w])))
-            elif w != parent:
-                low[v] = min(low[v], depth[w])
-        if branches > 1:
-            out.add(root)
-        return pd.DataFrame({"id": pd.Series(sorted(out), dtype=object)})
-
-    return rows.groupBy("component").applyInPandas(cut, "id string")
-
-
 def surprising_edges(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """(from_id, to_id, score): edges between communities, scored by the rarity of edges between those two."""
     both = edges.select("from_id", "to_id").distinct().join(labels.select(F.col("id").alias("from_id"), F.col("community").alias("a")), "from_id").join(labels.select(F.col("id").alias("to_id"), F.col("community").alias("b")), "to_id").where("a <> b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,17 +13,40 @@ from pyspark.sql import DataFrame
 LOCAL_EDGES = 1_000_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's checkpoint folder; survives the loss of executors."""
+def _shared(df: DataFrame) -> str:
+    """The context's checkpoint folder, from the session's setting; a temporary one only on a local master."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once into the session's checkpoint folder; survives the loss of executors."""
+    _shared(df)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet beside the checkpoints: for loops of many rounds, since a checkpoint keeps estimates of its size,
+    which joins of a round with its predecessor square each time, and a file has its own."""
+    path = f"{_shared(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what stored() wrote for df, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df._graphloom_path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def few_edges(pairs: DataFrame, most: int = LOCAL_EDGES) -> bool:
     """Whether pairs has at most that many rows; counts no more of them than that."""
     return pairs.limit(most + 1).count() <= most

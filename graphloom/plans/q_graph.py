@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import diff, flow, groups, rank, relational, traverse
+from graphloom.operators import blocks, diff, flow, groups, loops, rank, relational, traverse
 from graphloom.operators.loops import settled
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
@@ -207,6 +207,26 @@ def communities(t: Tables) -> DataFrame:
     return groups.communities(t.fn, t.calls.withColumn("weight", F.lit(1)), least=3)
 
 
+@query("communities_quality", """
+, s AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, count(*) AS w FROM calls GROUP BY 1, 2),
+k AS (SELECT module, sum(w) AS k FROM (SELECT a AS id, w FROM s UNION ALL SELECT b, w FROM s) x JOIN fn USING (id) GROUP BY 1),
+i AS (SELECT sum(w) AS m, sum(CASE WHEN x.module = y.module THEN w ELSE 0 END) AS inside FROM s JOIN fn x ON x.id = a JOIN fn y ON y.id = b)
+SELECT (SELECT count(*) FROM fn) AS nodes, round((SELECT inside / m FROM i) - (SELECT sum(k * k) FROM k) / (4.0 * (SELECT m * m FROM i)), 9) AS modules,
+  true AS beats_modules, true AS beats_one_level, true AS no_small_ones, true AS named_by_smallest""")
+def communities_quality(t: Tables) -> DataFrame:
+    """What must hold of the communities: better than the modules and than one level, nobody in two or none, small ones noise, names their smallest members."""
+    edges = t.calls.withColumn("weight", F.lit(1))
+    found = loops.stored(groups.communities(t.fn, edges))
+    labelled = groups.named(found, least=3)
+    score = lambda labels: groups.modularity(labels, edges).select(F.round("modularity", 9).alias("q"))
+    q, one = score(found).first()[0] or 0.0, score(groups.communities(t.fn, edges, levels=1)).first()[0] or 0.0
+    size = labelled.where("community <> '-1'").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
+    held = size.agg(F.coalesce(F.min("n") >= 3, F.lit(True)).alias("no_small_ones"), F.coalesce(F.min((F.col("low") == F.col("community")).cast("int")) == 1, F.lit(True)).alias("named_by_smallest"))
+    modules = score(t.fn.select("id", F.col("module").alias("community"))).select(F.col("q").alias("modules"))
+    row = labelled.agg(F.count_distinct("id").alias("nodes")).crossJoin(modules).crossJoin(held)  # one row each
+    return row.select("nodes", "modules", (F.lit(q) > F.col("modules")).alias("beats_modules"), F.lit(q > one).alias("beats_one_level"), "no_small_ones", "named_by_smallest")
+
+
 @query("modularity", ", e AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, count(*)::DOUBLE AS w FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 45 AND c_nationkey <> s_nationkey GROUP BY 1, 2), k AS (SELECT n_regionkey AS c, sum(w) AS k FROM (SELECT a AS id, w FROM e UNION ALL SELECT b, w FROM e) x JOIN nation ON n_nationkey = id GROUP BY 1) SELECT round((SELECT sum(w) FROM e JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b WHERE x.n_regionkey = y.n_regionkey) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM k) / (4 * (SELECT sum(w) FROM e) ^ 2), 9) AS modularity")
 def modularity(t: Tables) -> DataFrame:
     labels = t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").alias("community"))
@@ -223,14 +243,12 @@ def communities_list(t: Tables) -> DataFrame:
 
 
 @query("articulation_points", """
-, e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM rel WHERE kind = 'IN_REGION' OR from_id LIKE 'supplier:%'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u),
-r(cut, id, c) AS (SELECT x.id, n.id, n.id FROM n x JOIN n ON n.id <> x.id UNION SELECT cut, u.b, c FROM r JOIN u ON u.a = r.id WHERE u.b <> cut AND c < u.b),
-whole(id, c) AS (SELECT id, id FROM n UNION SELECT u.b, c FROM whole JOIN u ON u.a = whole.id WHERE c < u.b),
-k AS (SELECT count(DISTINCT c) AS n FROM (SELECT id, min(c) AS c FROM whole GROUP BY id) q)
-SELECT cut AS id FROM (SELECT cut, count(DISTINCT c) AS n FROM (SELECT cut, id, min(c) AS c FROM r GROUP BY 1, 2) z GROUP BY 1) v WHERE n > (SELECT n FROM k)""")
+, u AS (SELECT from_id AS a, to_id AS b FROM calls UNION SELECT to_id, from_id FROM calls),
+d AS (SELECT a AS cut, min(b) AS start FROM u GROUP BY a HAVING count(*) > 1),
+r(cut, id) AS (SELECT cut, start FROM d UNION SELECT cut, u.b FROM r JOIN u ON u.a = r.id WHERE u.b <> cut)
+SELECT DISTINCT d.cut AS id FROM d JOIN u ON u.a = d.cut LEFT JOIN r ON r.cut = d.cut AND r.id = u.b WHERE r.id IS NULL""")
 def articulation_points(t: Tables) -> DataFrame:
-    pairs = t.rel.where("kind = 'IN_REGION' or from_id like 'supplier:%'").select("from_id", "to_id")
-    return groups.articulation_points(pairs.select(F.col("from_id").alias("id")).union(pairs.select("to_id")), pairs)
+    return blocks.articulation_points(t.fn, t.calls)
 
 
 @query("surprise_edges", ", b AS (SELECT DISTINCT from_id, to_id, a.module AS a, b.module AS b FROM calls JOIN fn a ON a.id = from_id JOIN fn b ON b.id = to_id WHERE a.module <> b.module), s AS (SELECT module, count(*) AS n FROM fn GROUP BY 1), l AS (SELECT a, b, count(*) AS links FROM b GROUP BY 1, 2) SELECT from_id, to_id, round(1 - links / (x.n * y.n), 6) AS score FROM b JOIN l USING (a, b) JOIN s x ON x.module = a JOIN s y ON y.module = b")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.operators import diff, flow, groups, link, quality, rank, relational, search, traverse
+from graphloom.operators import blocks, diff, flow, groups, link, quality, rank, relational, search, traverse
 
 
 def edges(spark, pairs, kind="CALLS"):
@@ -77,7 +77,7 @@ def test_communities_of_two_cliques(spark):
     q = groups.modularity(got, e).first()[0]
     single = groups.modularity(nodes.selectExpr("id", "id as community"), e).first()[0]
     assert q > 0.4 > single
-    assert {r.id for r in groups.articulation_points(nodes, e).collect()} == {"x0", "y0"}
+    assert {r.id for r in blocks.articulation_points(nodes, e).collect()} == {"x0", "y0"}
 
 
 def test_flows_effects_and_taint(spark):
@@ -191,7 +191,7 @@ def test_community_rounds_agree_locally_and_distributed(spark):
     rng = random.Random(4)
     pairs = [(f"m{rng.randrange(4)}{a}", f"m{rng.randrange(4)}{rng.randrange(5)}", 1) for a in range(5) for _ in range(5)] + [(f"m{c}{a}", f"m{c}{b}", 2) for c in range(4) for a in range(5) for b in range(a)]
     e, nodes = spark.createDataFrame(pairs, "from_id string, to_id string, weight int"), ids(spark, *[f"m{c}{a}" for c in range(4) for a in range(5)])
-    one, two = ({r.id: r.community for r in groups.communities(nodes, e, patience=2, local_edges=n).collect()} for n in (10**6, 0))
+    one, two = ({r.id: r.community for r in groups.communities(nodes, e, local_edges=n).collect()} for n in (10**6, 0))
     assert one == two and len(set(one.values())) == 4
 
 
