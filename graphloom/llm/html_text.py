@@ -7,8 +7,11 @@ keeps the path with most votes. Pass two re-extracts every page from the contain
 best container where the page lacks that path.
 
 Menus, footers, asides, forms and the like go by their element or role, other blocks by a whole class or id token: a listed
-word, or listed words joined with others that only say what kind of box it is (``comments-list``). A token that merely
-holds such a word (``related-work``) says nothing. A page is read in linear time, however broken: an unclosed script, style,
+word, or listed words joined with others that only say what kind of box it is (``comments-list``), or a token that ends in a word for
+readers' comments (``user-comments``). A token that merely holds such a word (``related-work``) says nothing. Inside an article names speak of
+generic boxes only (``div``, lists, tables): its sections, headings and paragraphs are its text whatever they are called, but for sections of comments.
+An ``article`` or ``main`` counts four times what other containers do, so that a longer block beside it doesn't take its place. A page of which
+names leave nothing (a forum, say) is read without regard to them. A page is read in linear time, however broken: an unclosed script, style,
 title or textarea takes the rest, as in browsers; any other unclosed element that holds no text ends at the next block.
 
 Defined results: null and empty pages, and pages without text, give an empty string; pages without a readable host
@@ -32,6 +35,8 @@ from graphloom.llm.common import bounded_batches, materialize, small_slices, tid
 
 #: Hosts whose winning paths may be broadcast: at most this many short rows.
 BROADCAST_HOSTS = 20_000
+#: What the text of an article or main element counts.
+WHOLE = 4.0
 #: A path longer than this goes on from its hash.
 MAX_PATH = 400
 
@@ -46,6 +51,11 @@ CONTAINER = frozenset("article main section div td body blockquote".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 JUNK_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos related replies share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
 BOX_WORDS = frozenset("area bar block box btn button buttons consent container content div form global group holder inner item items left link links list main outer page panel post posts right row section site slot thread top bottom unit wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentary commenters disqus replies".split())
+#: Also an article's own words; they mean comments outside an article and on generic boxes.
+REPLY_WORDS = frozenset("discussion discussions respond responses reviews".split())
+GENERIC = frozenset("div ul ol dl table td tr li".split())
+COMMENT_BOXES = GENERIC | {"section", "article"}
 
 ATTRIBUTES = r"""((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>"""
 TOKEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>]*+)(?:" + ATTRIBUTES + ")?)")
@@ -66,6 +76,21 @@ def is_junk(token: str) -> bool:
     return any(p in JUNK_WORDS for p in parts) and all(p in JUNK_WORDS or p in BOX_WORDS or p.isdigit() for p in parts)
 
 
+def is_comments(token: str, replies: bool) -> bool:
+    """Whether a token ends in a word for readers' comments; ``replies``: also in one that an article may use itself."""
+    parts = [p for p in token.replace("_", "-").split("-") if p and not p.isdigit()]
+    return bool(parts) and (parts[-1] in COMMENT_WORDS or replies and parts[-1] in REPLY_WORDS)
+
+
+def is_aside(tag: str, tokens: list[str], inside: bool) -> bool:
+    """Whether an element's class and id tokens say that it isn't the article's text."""
+    if tag in ("html", "body", "main") or tag == "article" and not inside and not any(is_comments(x, False) for x in tokens):
+        return False
+    if tag in COMMENT_BOXES and any(is_comments(x, not inside or tag in GENERIC) for x in tokens):
+        return True
+    return (not inside or tag in GENERIC) and any(is_junk(x) for x in tokens)
+
+
 class Ends:
     """Where the tags of a page end, in time linear in the page altogether."""
 
@@ -130,10 +155,10 @@ class Ends:
 class Box:
     """A container: its path, score, and the pieces of text in it, in page order."""
 
-    __slots__ = ("path", "score", "first", "last", "up", "inside")
+    __slots__ = ("path", "score", "first", "last", "up", "inside", "whole")
 
     def __init__(self, path: str, up: Box | None, first: int, inside: bool):
-        self.path, self.up, self.score, self.first, self.last, self.inside = path, up, 0.0, first, -1, inside
+        self.path, self.up, self.score, self.first, self.last, self.inside, self.whole = path, up, 0.0, first, -1, inside, False
 
 
 def credit(boxes: list[Box]) -> None:
@@ -143,10 +168,13 @@ def credit(boxes: list[Box]) -> None:
     for b, value in zip(reversed(boxes), reversed(own), strict=True):
         if b.up is not None:
             b.up.score += b.score if b.inside else value if alike[id(b.up), b.path] > 1 else value / 4
+    for b in boxes:
+        if b.whole:
+            b.score *= WHOLE
 
 
-def parse(page: str) -> tuple[list[Box], list[str]]:
-    """(containers in order, pieces of text): a container's text is pieces[first:last]."""
+def parse(page: str, names_count: bool = True) -> tuple[list[Box], list[str]]:
+    """(containers in order, pieces of text): a container's text is pieces[first:last]. Without names_count class and id mark nothing."""
     pieces: list[str] = []
     boxes: list[Box] = []
     stack: list[tuple[str, str, bool, bool, Box | None]] = [("", "", False, False, None)]  # tag, path, inside an article, junk, container
@@ -219,13 +247,14 @@ def parse(page: str) -> tuple[list[Box], list[str]]:
         _, path, inside, junk, box = stack[-1]
         marks = {k.lower(): (a or b or c).lower() for k, a, b, c in MARK.findall(attributes)} if "=" in attributes else {}
         names = marks.get("class", "").split()
-        junk = junk or tag in JUNK or (tag == "header" and not inside) or marks.get("role") in JUNK_ROLES or (tag not in ("html", "body", "article", "main") and any(is_junk(x) for x in (*names, *marks.get("id", "").split())))
+        junk = junk or tag in JUNK or (tag == "header" and not inside) or marks.get("role") in JUNK_ROLES or (names_count and is_aside(tag, [*names, *marks.get("id", "").split()], inside))
         style = DIGITS.sub("", " ".join(sorted(names)[:2]))
         here = f"{path}>{tag}" + (f".{style}" if style else "")
         if len(here) > MAX_PATH:
             here = "#" + hashlib.md5(here.encode("utf-8", "replace")).hexdigest()
         if tag in CONTAINER and not junk:
             box = Box(here, box, len(pieces), inside)
+            box.whole = tag in ("article", "main")
             boxes.append(box)
         open_[tag] += 1
         stack.append((tag, here, inside or tag in ("article", "main"), junk, box))
@@ -236,6 +265,12 @@ def parse(page: str) -> tuple[list[Box], list[str]]:
     return boxes, pieces
 
 
+def read(page: str) -> tuple[list[Box], list[str]]:
+    """parse() by names, or without them where they leave no text."""
+    boxes, pieces = parse(page)
+    return (boxes, pieces) if any(p.strip() for p in pieces) else parse(page, False)
+
+
 def best_paths(boxes: list[Box]) -> list[tuple[str, float]]:
     """A page's paths, best first, each with its share of the page's score."""
     total: dict[str, float] = {}
@@ -247,7 +282,7 @@ def best_paths(boxes: list[Box]) -> list[tuple[str, float]]:
 
 def extract(page: str, path: str | None) -> str:
     """The text of the containers on the path, or of the page's best one."""
-    boxes, pieces = parse(page)
+    boxes, pieces = read(page)
     if path is None or not any(b.path == path and b.score > 0 for b in boxes):
         own = best_paths(boxes)
         path = own[0][0] if own else None
@@ -268,7 +303,7 @@ def votes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             sums: dict[tuple[str, str], float] = {}
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, share in best_paths(parse(page or "")[0]):
+                for path, share in best_paths(read(page or "")[0]):
                     sums[name, path] = sums.get((name, path), 0.0) + share
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], names=["host", "path", "votes"])
 

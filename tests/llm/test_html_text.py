@@ -69,6 +69,37 @@ def test_generated_pages_give_back_their_article(seed):
     assert html_text.extract(page(body, f'<div class="sidebar">{words(40)}</div>'), None) == " ".join(" ".join(want).split())
 
 
+COMMENT_NAMES = ["user-comments", "reader-comments", "fb-comments", "commentlist", "discussion", "responses", "respond", "article_comments-3", "site-comment"]
+
+
+@pytest.mark.parametrize("name", COMMENT_NAMES)
+@pytest.mark.parametrize("tag", ["div", "section", "ol"])
+def test_longer_comments_never_take_the_articles_place(name, tag):
+    talk = f'<{tag} class="{name}">' + "<p>A reader writes, with many words, many more, and still more, than the article has.</p>" * 6 + f"</{tag}>"
+    assert html_text.extract(page(ARTICLE, talk), None) == WANT
+    assert html_text.extract(page(talk + ARTICLE), None) == WANT
+    if tag != "section" or name not in ("discussion", "responses", "respond"):  # those may be an article's own sections
+        assert html_text.extract(page(ARTICLE.replace("</article>", talk + "</article>")), None) == WANT
+
+
+def test_comments_on_every_page_of_a_host(spark):
+    talk = '<div class="user-comments">' + "<p>A reader writes, with many words, many more, and still more.</p>" * 9 + "</div>"
+    other = '<div class="zone-7">' + "<p>Words, beside it, nobody named, some of them.</p>" * 3 + "</div>"
+    rows = [(i, f"https://a.example.com/{i}", page(ARTICLE.replace("Second", f"Second {i}"), talk + (other if i % 2 else "")), "", 0) for i in range(12)]
+    got = html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert all(r.text == WANT.replace("Second", f"Second {r.page_id}") for r in got)
+
+
+@pytest.mark.parametrize("name", ["social-group", "related-links", "share-link", "newsletter-content", "comment-content", "discussion", "notice", "menu-list", "widget"])
+@pytest.mark.parametrize("form", ['<section class="{}"><p>Kept, text.</p></section>', '<section id="{}">Kept, text.</section>', '<h2 id="{}">Kept, text.</h2>', '<p class="{}">Kept, text.</p>', '<blockquote class="{}">Kept, text.</blockquote>'])
+def test_an_articles_own_elements_stay_whatever_their_names(name, form):
+    assert html_text.extract(page(ARTICLE.replace("</article>", form.format(name) + "</article>")), None) == WANT + " Kept, text."
+
+
+def test_a_page_that_is_all_discussion_is_read():
+    assert html_text.extract('<html><body><div class="discussion"><p>All there is, on this page, of text.</p></div></body></html>', None) == "All there is, on this page, of text."
+
+
 @pytest.mark.parametrize("unit", ['<a "', '<a ">"', "<a '\">", "<svg>", "<svg><p>", "<!", "<!--", "<a<a", "<div></section>", "</p>", "<div class='a", '<p class=" x="', "<script", "<title><", "< <a b=c d", "&amp"])
 def test_a_malformed_megabyte_is_read_in_linear_time(unit):
     text = unit * (1_000_000 // len(unit))  # a megabyte
