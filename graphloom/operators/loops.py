@@ -7,33 +7,40 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: A graph of at most so many edges may be held by one task, or broadcast: ids are told apart by 64-bit numbers there.
 LOCAL_EDGES = 1_000_000
 
 
-def _shared(df: DataFrame) -> str:
-    """The context's checkpoint folder, from the session's setting; a temporary one only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared scratch folder; a temporary one only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+    return folder.rstrip("/")
+
+
+def _checkpoints(df: DataFrame) -> str:
+    """The context's checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once into the session's checkpoint folder; survives the loss of executors."""
-    _shared(df)
+    _checkpoints(df)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, written once as Parquet beside the checkpoints: for loops of many rounds, since a checkpoint keeps estimates of its size,
     which joins of a round with its predecessor square each time, and a file has its own."""
-    path = f"{_shared(df)}/{uuid.uuid4().hex}"
+    path = f"{_checkpoints(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._graphloom_path = path

@@ -57,7 +57,9 @@ def assemble_group_graph(t: Tables) -> DataFrame:
     return whole.groupBy("repo").agg(F.count(F.lit(1)).alias("entities"), F.count_distinct("kind").alias("kinds"), F.min("id").alias("first_id"))
 
 
-@query("content_input_hash", "SELECT sum(('0x' || substr(md5(from_id || '|' || to_id), 1, 8))::BIGINT)::BIGINT AS digest, count(*) AS n FROM (SELECT DISTINCT from_id, to_id FROM calls) x")
+@query("content_input_hash", """
+, h AS (SELECT sha256('{"from_id":"' || from_id || '","to_id":"' || to_id || '"}') AS h FROM (SELECT DISTINCT from_id, to_id FROM calls) x)
+SELECT coalesce(sum(CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) AS HUGEINT)), 0)::VARCHAR || ':' || coalesce(sum(CAST(CAST('0x' || substr(h, 17, 16) AS UBIGINT) AS HUGEINT)), 0)::VARCHAR AS digest, count(*) AS n FROM h""")
 def content_input_hash(t: Tables) -> DataFrame:
     return incremental.content_hash(t.calls, ["from_id", "to_id"])
 

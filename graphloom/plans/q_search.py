@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import flow, quality, search
+from graphloom.operators import flow, loops, quality, search
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
 from graphloom.schema import entity_id
@@ -334,9 +333,9 @@ def stream_dedup(t: Tables) -> DataFrame:
 def stream_tumbling(t: Tables) -> DataFrame:
     """The same windows, from a stream of files drained in complete mode."""
     name = f"tumbling_{uuid.uuid4().hex}"
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
+    folder = loops.shared_folder(t.spark)
     stream = windows.event_stream(t.spark, f"{t.sf_dir}/events.parque[t]")
-    windows.run_once(windows.tumbling(stream, "1 day"), name, f"{folder.rstrip('/')}/{name}", "complete")
+    windows.run_once(windows.tumbling(stream, "1 day"), name, f"{folder}/{name}", "complete")
     return t.spark.table(name)
 
 

@@ -32,9 +32,14 @@ def full_rebuild(changed_files: DataFrame, most: int = 50) -> bool:
 
 
 def content_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row that identifies the set of rows whatever their order: the sum of 32-bit row digests, and the count."""
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
-    return rows.select(*columns).distinct().agg(F.sum(digest).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """One row (digest, n) that identifies the set of rows whatever their order: two sums of 64 bits of the rows' SHA-256, and their count.
+
+    A row is hashed as JSON with its nulls, so neither separators inside values nor nulls make two rows alike.
+    """
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    whole = F.concat_ws(":", F.coalesce(part(1), F.lit(0)).cast("string"), F.coalesce(part(17), F.lit(0)).cast("string"))
+    return rows.select(*columns).distinct().agg(whole.alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 def tier(idle_hours: Column, pinned: Column) -> Column:

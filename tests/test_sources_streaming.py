@@ -121,5 +121,24 @@ def test_incremental(spark):
     assert sorted(map(tuple, incremental.merge_edges(old, old.limit(0), merged).collect())) == [("a", "b", "CALLS")]
     h = incremental.content_hash(e, ["id", "v"]).first()
     assert h == incremental.content_hash(e.repartition(3).union(e), ["id", "v"]).first() != incremental.content_hash(new, ["id", "v"]).first()
+    assert incremental.content_hash(e.limit(0), ["id", "v"]).first() == ("0:0", 0)
+    alike = [[("a|b", "c")], [("a", "b|c")], [("a", None)], [(None, "a")], [("a", "")], [("a", "null")], [('a","t":"b', "c")], [("a", "b"), ("c", "d")], [("a", "d"), ("c", "b")]]
+    assert len({incremental.content_hash(spark.createDataFrame(r, "s string, t string"), ["s", "t"]).first() for r in alike}) == len(alike)
     assert incremental.flows_affected(old) and not incremental.flows_affected(old.withColumn("kind", F.lit("MENTIONS")))
     assert incremental.full_rebuild(spark.range(60), 50) and not incremental.full_rebuild(spark.range(50), 50)
+
+
+def test_a_stream_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from graphloom.operators import loops
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(RuntimeError, match="shared|share"):
+            loops.shared_folder(Session())
+    assert loops.shared_folder(spark)
