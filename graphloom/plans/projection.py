@@ -1,16 +1,20 @@
 """The typed graph that the driver's tables project to.
 
 Each projection is one SELECT that both Spark SQL and an oracle can run; nothing is collected and every filter and column
-choice reaches the Parquet scans. Two graphs: the business graph (ent, rel) and a call graph over parts (fn, calls, imports, tests).
+choice reaches the Parquet scans. The call graph's relationships are read from a stored graph, which is written once. Two graphs: the business graph (ent, rel) and a call graph over parts (fn, calls, imports, tests).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators import loops
+from graphloom.sources import store
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ENT = """
@@ -66,9 +70,41 @@ class Tables:
         used = {t: self.table(t) for t in re.findall(r"\{(\w+)\}", text) if t in TABLES and t not in more}
         return self.spark.sql(text, **used, **more)
 
+    def stored(self, name: str, entities: str, relationships: str) -> store.GraphStore:
+        """The store of a projected graph: written once for this session's tables and kept in the shared folder, then only read.
+
+        It is known by the tables' files, so changed tables are another graph.
+        """
+        files = sorted(f for t in set(re.findall(r"\{(\w+)\}", entities + relationships)) & set(TABLES) for f in self.table(t).inputFiles())
+        changed = [self.changed(f) for f in files]
+        key = (name, *files, *changed)
+        known = self.spark.__dict__.setdefault("_graphloom_stores", {})
+        if key not in known:
+            folder = f"{loops.shared_folder(self.spark)}/graph-{uuid.uuid4().hex}"
+            known[key] = store.write(self.sql(entities), self.sql(relationships), folder, buckets=int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return known[key]
+
+    def changed(self, file: str) -> int:
+        """When a file was written."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+
+    @property
+    def business(self) -> store.GraphStore:
+        """The stored business graph (ent, rel)."""
+        return self.stored("business", ENT, REL)
+
+    @property
+    def code(self) -> store.GraphStore:
+        """The stored call graph: fn, and calls, imports and tests as kinds of relationships."""
+        kinds = (("CALLS", CALLS), ("IMPORTS", IMPORTS), ("TESTS", TESTS))
+        return self.stored("code", FN, " UNION ALL ".join(f"SELECT from_id, to_id, '{k}' AS kind FROM ({q})" for k, q in kinds))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
+        if name in ("calls", "imports", "tests"):
+            return self.code.scan(name.upper()).select("from_id", "to_id")
         if name in PROJECTIONS:
             return self.sql(PROJECTIONS[name])
         raise AttributeError(name)

@@ -45,6 +45,34 @@ def find_references(t: Tables) -> DataFrame:
     return t.rel.where("to_id = 'part:7'").select("from_id", "kind")
 
 
+@query("store_entity", "SELECT id, name, kind, module, confidence FROM ent WHERE id = 'part:7'")
+def store_entity(t: Tables) -> DataFrame:
+    """A point look-up in the stored graph: one bucket."""
+    return t.business.entity("part:7").select("id", "name", "kind", "module", "confidence")
+
+
+@query("store_references", "SELECT from_id, kind, weight FROM rel WHERE to_id = 'part:7'")
+def store_references(t: Tables) -> DataFrame:
+    return t.business.references("part:7").select("from_id", "kind", "weight")
+
+
+@query("store_endpoint_kinds", """
+SELECT 'out' AS direction, r.kind, e.kind AS entity_kind, count(*) AS n, sum(r.weight) AS weight FROM rel r LEFT JOIN ent e ON e.id = r.from_id GROUP BY 2, 3
+UNION ALL SELECT 'in', r.kind, e.kind, count(*), sum(r.weight) FROM rel r LEFT JOIN ent e ON e.id = r.to_id GROUP BY 2, 3""")
+def store_endpoint_kinds(t: Tables) -> DataFrame:
+    """All relationships with the entities at both ends, joined bucket by bucket."""
+    ends = ((direction, df.withColumnRenamed(f"{side}_kind", "entity_kind")) for direction, side, df in (("out", "from", t.business.with_source("kind")), ("in", "to", t.business.with_target("kind"))))
+    a, b = (df.groupBy(F.lit(d).alias("direction"), "kind", "entity_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")) for d, df in ends)
+    return a.union(b)
+
+
+@query("store_neighborhood", "SELECT from_id, to_id, 'CALLS' AS kind, 'out' AS direction FROM calls WHERE from_id = 'f7' UNION ALL SELECT from_id, to_id, 'TESTS', 'in' FROM tests WHERE to_id = 'f7'")
+def store_neighborhood(t: Tables) -> DataFrame:
+    columns = ("from_id", "to_id", "kind")
+    out, into = t.code.edges_of("f7", "CALLS").select(*columns), t.code.references("f7", "TESTS").select(*columns)
+    return out.withColumn("direction", F.lit("out")).union(into.withColumn("direction", F.lit("in")))
+
+
 @query("entities_by_kind", "SELECT id, name FROM ent WHERE lower(replace(kind, 'SCOPE.', '')) = 'component'")
 def entities_by_kind(t: Tables) -> DataFrame:
     return relational.of_kind(t.ent, "scope.component".replace("scope.", "SCOPE.")).select("id", "name")
