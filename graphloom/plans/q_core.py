@@ -10,7 +10,7 @@ from graphloom.operators import diff, quality, relational, traverse
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
 from graphloom.schema import bare_kind, effective_confidence
-from graphloom.sources import readers, writers
+from graphloom.sources import readers, rules, writers
 from graphloom.streaming import incremental
 
 
@@ -333,10 +333,39 @@ def log_tail(t: Tables) -> DataFrame:
     return readers.tail(t.events, 20).select("event_id")
 
 
-@query("rule_pack", "SELECT doc_id AS line, 'license' AS rule FROM documents WHERE regexp_matches(text, 'Licen[sc]e') UNION ALL SELECT doc_id, 'secret' FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]+\"')")
+#: (rule, pattern, kind): what the training texts and web pages hold.
+TEXT_RULES = [
+    ("license", "Licen[sc]e", "text"), ("secret", 'token = "[0-9a-f]+"', "text"), ("email", "[a-z0-9.]+@[a-z0-9-]+[.](com|org|net)", "contact"), ("url", "https?://[a-z.]+", "link"),
+    ("copyright", "(?i)copyright [(]c[)]", "text"), ("address", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "contact"), ("phone", "[+][0-9]{1,3} [0-9]", "contact"), ("key", "(AKIA|sk_live_|ghp_)[0-9A-Za-z]+", "text"),
+    ("code", "(def|function|return|import) [a-z_]+", "code"), ("article", "(?i)the .*and", "text"),
+]
+
+
+def _rules_sql() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id AS line, '{rule}' AS rule, '{kind}' AS kind, regexp_extract(text, '{pattern}') AS match FROM documents WHERE regexp_matches(text, '{pattern}')" for rule, pattern, kind in TEXT_RULES)
+
+
+@query("rule_pack", _rules_sql())
 def rule_pack(t: Tables) -> DataFrame:
-    rules = t.spark.createDataFrame([("license", "Licen[sc]e", "text"), ("secret", 'token = "[0-9a-f]+"', "text")], "rule string, pattern string, kind string")
-    return readers.apply_rules(t.documents.select(F.lit("documents").alias("path"), F.col("doc_id").alias("line"), "text"), rules).select("line", "rule")
+    rules = t.spark.createDataFrame(TEXT_RULES, "rule string, pattern string, kind string")
+    return readers.apply_rules(t.documents.select(F.lit("documents").alias("path"), F.col("doc_id").alias("line"), "text"), rules).select("line", "rule", "kind", "match")
+
+
+@query("rule_edges", """
+, a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"<>]+)">([^<]+)</a>', 1)) AS target, unnest(regexp_extract_all(html, '<a href="/([^"<>]+)">([^<]+)</a>', 2)) AS label FROM pages),
+h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)) AS title FROM pages)
+SELECT 'edge' AS type, page_id, 'LINKS_TO' AS kind, 'Label:' || label AS name, 'Page:' || target AS target FROM a UNION ALL SELECT 'entity', page_id, 'Title', title, NULL FROM h
+UNION ALL SELECT 'entity', page_id, 'Host', CAST(page_id AS VARCHAR), NULL FROM pages""")
+def rule_edges(t: Tables) -> DataFrame:
+    """Entities and edges that a pack finds in web pages."""
+    pack = rules.Pack(
+        "html/frameworks/links", (".html",), ({"glob": "pages/*.html", "entity_type": "Host", "name_from": "filename"},),
+        ({"pattern": "<h1>([^<]+)</h1>", "entity_type": "Title", "name_group": 1, "scope": "file"},),
+        ({"pattern": '<a href="/([^"<>]+)">([^<]+)</a>', "source_type": "Label", "target_type": "Page", "relationship": "LINKS_TO", "source_group": 2, "target_group": 1},),
+    )
+    files = t.pages.select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    found = rules.extract(files, [pack])
+    return found.select("type", F.regexp_extract("path", "([0-9]+)[.]html$", 1).cast("bigint").alias("page_id"), "kind", "name", "target")
 
 
 @query("diff_join", """, a AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 10 <> 3)

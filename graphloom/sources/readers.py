@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.rules import first_matches
 from graphloom.schema import ENTITY, RELATIONSHIP
 
 LINES = "path string, line int, hits long, source string"
@@ -157,15 +158,11 @@ def read_records(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def apply_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, line, rule, kind, match) of text lines(path, line, text) under rules(rule, pattern, kind).
+    """(path, line, rule, kind, match) of text lines(path, line, text) under rules(rule, pattern, kind), in one pass over the lines.
 
-    Rules are a small reviewed table (their number doesn't grow with the data); each becomes one native regular expression.
+    Rules are a reviewed table: their number doesn't grow with the data.
     """
-    out = None
-    for r in rules.collect():
-        hit = lines.where(F.col("text").rlike(r.pattern)).select("path", "line", F.lit(r.rule).alias("rule"), F.lit(r.kind).alias("kind"), F.regexp_extract("text", r.pattern, 0).alias("match"))
-        out = hit if out is None else out.union(hit)
-    return out
+    return first_matches(lines, [tuple(r) for r in rules.select("rule", "pattern", "kind").collect()])
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
