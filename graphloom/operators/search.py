@@ -46,24 +46,41 @@ def postings(entities: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.explode("terms").alias("term"), "id", "len").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
 
 
+def words_of(c: Column) -> Column:
+    """Words of a text: runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+
+
 def write_index(entities: DataFrame, folder: str, *columns: str) -> None:
-    """Postings in ranges of terms, sorted, so that a query's filter on terms prunes files and row groups; and the two corpus numbers."""
-    p = postings(entities, *columns)
-    p.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
-    sized = entities.select(F.size(tokens_of(F.concat_ws(" ", *columns))).alias("len"))
+    """The index of the search tokens in an entity's named columns."""
+    write_postings(entities.select("id", tokens_of(F.concat_ws(" ", *columns)).alias("terms")), folder)
+
+
+def write_postings(rows: DataFrame, folder: str) -> None:
+    """Postings of rows(id, terms) in ranges of terms, sorted, so that a query's filter on terms prunes files and row groups; and the two corpus numbers."""
+    sized = rows.withColumn("len", F.size("terms"))
+    post = sized.select(F.explode("terms").alias("term"), "id", "len").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+    post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
     sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def bm25_postings(post: DataFrame, stats: DataFrame, query: str) -> DataFrame:
     """(id, score) of a query's tokens over postings and the one-row stats(n, mean); duplicate query tokens count twice."""
-    spark = post.sparkSession
-    asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens_of(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    terms = [r.term for r in asked.collect()]  # a query's tokens
-    hit = post.where(F.col("term").isin(terms))
+    asked = post.sparkSession.range(1).select(F.explode(tokens_of(F.lit(query))).alias("term"))
+    return bm25_terms(post, stats, [r.term for r in asked.collect()])  # a query's tokens
+
+
+def bm25_terms(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, score) of terms over postings and the one-row stats(n, mean), only scores above 0; repeated terms count as often.
+
+    A term's document frequency is its number of postings, counted while they are scored.
+    """
+    hit = post.where(F.col("term").isin(sorted(set(terms))))
+    times = F.create_map(*(F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t)))) if terms else F.create_map(F.lit(""), F.lit(0))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = hit.join(F.broadcast(df.join(asked, "term")), "term").crossJoin(F.broadcast(stats))  # a row per query term, and one row
+    part = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row per query term, and one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    one = F.element_at(times, F.col("term")) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return part.groupBy("id").agg(F.sum(one).alias("score")).where("score > 0")
 
 
@@ -88,6 +105,18 @@ def find(hits: DataFrame, entities: DataFrame, edges: DataFrame, least: float =
     return order.withColumn("used", F.sum(F.greatest(F.lit(1), F.ceil(F.length("name") / 4))).over(w)).where(F.col("used") <= tokens).select("id", "score", "depth", "low_confidence", "used")
 
 
+def find_fused(index: str, vectors: DataFrame, entities: DataFrame, edges: DataFrame, query: str, vector: list[float], least: float = 0.3, hops: int = 1, tokens: int = 2000, top: int = 50) -> DataFrame:
+    """find() in one call: BM25 over the stored index and cosines over vectors(id, embedding), fused by rank; then floor, tiers, neighbours and budget.
+
+    Fused scores are scaled so that the first of both rankings has 1. A query without tokens is ranked by its vector alone, one without a vector by its tokens.
+    """
+    post, stats = read_index(vectors.sparkSession, index)
+    lexical = top_scores(bm25_postings(post, stats, query), top)
+    near = semantic(vectors, vector, top) if vector else lexical.limit(0)
+    fused = fuse(lexical, near, top=top).select("id", F.round(F.col("score") * (RRF + 1) / 2, 6).alias("score"))
+    return find(settled(fused), entities, edges, least, hops, tokens, top)
+
+
 def top_scores(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return scores.select("id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
@@ -120,13 +149,6 @@ def floored(scores: DataFrame, least: float = 0.15) -> DataFrame:
     return good.union(best)
 
 
-def prefix(names: DataFrame, query: str, k: int) -> DataFrame:
-    """(id, name, score): exact 3, prefix 2, substring of a name token 1; then name and id."""
-    q, low = query.lower(), F.lower("name")
-    score = F.when(low == q, 3).when(low.startswith(q), 2).when(F.exists(text.prefix_tokens(F.col("name")), lambda t: t.contains(q)), 1)
-    return names.select("id", "name", score.alias("score")).where("score is not null").orderBy(F.desc("score"), "name", "id").limit(k)
-
-
 def community_names(members: DataFrame, top: int = 3) -> DataFrame:
     """(community, name): members(community, name, qualified_name, source_file); the community is a document of name tokens.
 

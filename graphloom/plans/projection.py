@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,20 +71,29 @@ class Tables:
         used = {t: self.table(t) for t in re.findall(r"\{(\w+)\}", text) if t in TABLES and t not in more}
         return self.spark.sql(text, **used, **more)
 
-    def stored(self, name: str, entities: str, relationships: str) -> store.GraphStore:
-        """The store of a projected graph: written once for this session's tables and kept in the shared folder, then only read.
+    def kept(self, name: str, sources: str, build: Callable[[str], None]) -> str:
+        """A folder that ``build`` wrote once for this session's tables, in the shared folder; read from then on.
 
-        It is known by the tables' files, so changed tables are another graph.
+        It is known by a name and the files of the tables that ``sources`` names, so changed tables are built anew.
         """
-        files = sorted(f for t in set(re.findall(r"\{(\w+)\}", entities + relationships)) & set(TABLES) for f in self.table(t).inputFiles())
-        changed = [self.changed(f) for f in files]
-        key = (name, *files, *changed)
-        known = self.spark.__dict__.setdefault("_graphloom_stores", {})
+        files = sorted(f for t in set(re.findall(r"\{(\w+)\}", sources)) & set(TABLES) for f in self.table(t).inputFiles())
+        key = (name, *files, *(self.changed(f) for f in files))
+        known = self.spark.__dict__.setdefault("_graphloom_kept", {})
         if key not in known:
-            folder = f"{loops.shared_folder(self.spark)}/graph-{uuid.uuid4().hex}"
-            known[key] = store.write(self.sql(entities), self.sql(relationships), folder, buckets=int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            folder = f"{loops.shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+            build(folder)
+            known[key] = folder
         return known[key]
 
+    def stored(self, name: str, entities: str, relationships: str) -> store.GraphStore:
+        """The store of a projected graph, written once."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folder = self.kept(name, entities + relationships, lambda to: store.write(self.sql(entities), self.sql(relationships), to, buckets))
+        opened = self.spark.__dict__.setdefault("_graphloom_stores", {})
+        if folder not in opened:
+            opened[folder] = store.GraphStore(self.spark, folder)
+        return opened[folder]
+
     def changed(self, file: str) -> int:
         """When a file was written."""
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)

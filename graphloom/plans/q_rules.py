@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.operators import diff, flow, groups, link, quality, rank, relational, search
-from graphloom.plans.projection import Tables
+from graphloom.plans.projection import FN, Tables
 from graphloom.plans.q_graph import _BC
 from graphloom.plans.registry import query
 
@@ -30,11 +30,13 @@ def _entities(t: Tables) -> DataFrame:
     return t.fn.select("*", F.when(F.col("is_test"), "testedKind=promo").otherwise("").alias("discriminators"), F.replace("module", F.lit("#"), F.lit("")).alias("brand"))
 
 
+def _index(t: Tables) -> str:
+    """The postings of all functions, written once."""
+    return t.kept("entity_postings", FN, lambda to: search.write_index(_entities(t), to, "name", "discriminators", "brand"))
+
+
 def _hits(t: Tables) -> DataFrame:
-    e = _entities(t)
-    columns = ("name", "discriminators", "brand")
-    stats = e.select(F.size(search.tokens_of(F.concat_ws(" ", *columns))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    return search.bm25_postings(search.postings(e, *columns), stats, _QUERY)
+    return search.bm25_postings(*search.read_index(t.spark, _index(t)), _QUERY)
 
 
 @query("bm25_entities", f"{_POSTINGS} SELECT id, round(score, 6) AS score FROM b")
@@ -53,6 +55,24 @@ def find_entities(t: Tables) -> DataFrame:
     return search.find(_hits(t), e, t.calls, least=4, tokens=300)
 
 
+@query("find_fused", f"""{_POSTINGS}, tn AS (SELECT id, name, CASE WHEN start_line > 0 THEN 0 ELSE 1 END AS tier FROM fn),
+v AS (SELECT 'f' || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), qv AS (SELECT e AS qe FROM v WHERE id = 'f7'),
+c AS (SELECT id, round(list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))), 6) AS score FROM v, qv),
+r1 AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r FROM b ORDER BY r LIMIT 50), r2 AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM c ORDER BY r LIMIT 50),
+h AS (SELECT coalesce(r1.id, r2.id) AS id, round(round(coalesce(1.0::DOUBLE / (60 + r1.r), 0) + coalesce(1.0::DOUBLE / (60 + r2.r), 0), 8) * 61 / 2, 6) AS score FROM r1 FULL JOIN r2 ON r1.id = r2.id),
+top AS (SELECT * FROM h ORDER BY score DESC, id LIMIT 50), g AS (SELECT * FROM top WHERE score >= 0.4),
+x AS (SELECT from_id AS a, to_id AS b FROM calls UNION SELECT to_id, from_id FROM calls), nb AS (SELECT DISTINCT x.b AS id FROM g JOIN x ON x.a = g.id WHERE x.b NOT IN (SELECT id FROM g)),
+z AS (SELECT id, score, 0 AS depth FROM g UNION ALL SELECT id, 0.0, 1 FROM nb),
+o AS (SELECT z.id, z.score, z.depth, sum(greatest(1, ceil(length(name) / 4.0))) OVER (ORDER BY depth, tier, z.score DESC, z.id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM z JOIN tn USING (id))
+SELECT id, score::DOUBLE AS score, depth, false AS low_confidence, used FROM o WHERE used <= 500""")
+def find_fused(t: Tables) -> DataFrame:
+    """Words and vectors, fused, floored, expanded along calls and cut to a budget, from the stored index and graph."""
+    vectors = t.embeddings.select(F.concat(F.lit("f"), "vec_id").alias("id"), "embedding")
+    asked = vectors.where("id = 'f7'").select("embedding").first()[0]
+    e = t.fn.select("id", "name", relational.rank_tier(F.lit("none"), F.col("start_line")).alias("tier"))
+    return search.find_fused(_index(t), vectors, e, t.calls, _QUERY, asked, least=0.4, tokens=500)
+
+
 @query("find_nothing", f"""{_POSTINGS}, h AS (SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 1)
 SELECT id, score, 0 AS depth, true AS low_confidence, greatest(1, ceil(length(name) / 4.0))::BIGINT AS used FROM h JOIN fn USING (id)""")
 def find_nothing(t: Tables) -> DataFrame:

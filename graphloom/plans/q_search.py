@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import flow, loops, quality, search
-from graphloom.plans.projection import Tables
+from graphloom.operators import flow, loops, name_index, quality, search
+from graphloom.plans.projection import FN, Tables
 from graphloom.plans.registry import query
 from graphloom.schema import entity_id
 from graphloom.streaming import debounce, incremental, windows
@@ -108,7 +108,9 @@ b AS (SELECT id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (t
 
 
 def _bm25(t: Tables) -> DataFrame:
-    return search.bm25(t.documents.select(F.col("doc_id").alias("id"), "text"), _TERMS)
+    rows = t.documents.select(F.col("doc_id").alias("id"), search.words_of(F.coalesce("text", F.lit(""))).alias("terms"))
+    folder = t.kept("document_postings", "{documents}", lambda to: search.write_postings(rows, to))
+    return search.bm25_terms(*search.read_index(t.spark, folder), _TERMS)
 
 
 @query("bm25_search", f"{_BM25} SELECT id, round(score, 6) AS score FROM b ORDER BY round(score, 6) DESC, id LIMIT 50")
@@ -148,14 +150,25 @@ def min_score_fallback(t: Tables) -> DataFrame:
     return search.floored(rrf_fusion(t).select("id", "score"), 0.9)
 
 
+def _names(t: Tables) -> str:
+    """The name index of all functions, written once."""
+    return t.kept("name_index", FN, lambda to: name_index.write(t.fn, to))
+
+
 @query("search_entities", "SELECT id, name FROM fn WHERE contains(lower(name), 'ring_1')")
 def search_entities(t: Tables) -> DataFrame:
-    return t.fn.where(F.lower("name").contains("ring_1")).select("id", "name")
+    return name_index.containing(t.spark, _names(t), "ring_1")
 
 
 @query("prefix_search", "SELECT id, name, score FROM (SELECT id, name, CASE WHEN lower(name) = 'red' THEN 3 WHEN starts_with(lower(name), 'red') THEN 2 WHEN contains(lower(name), 'red') THEN 1 END AS score FROM fn) x WHERE score IS NOT NULL ORDER BY score DESC, name, id LIMIT 40")
 def prefix_search(t: Tables) -> DataFrame:
-    return search.prefix(t.fn, "red", 40)
+    return name_index.search(t.spark, _names(t), "red", 40)
+
+
+@query("prefix_search_mid_name", "SELECT id, name, score FROM (SELECT id, name, CASE WHEN lower(name) = 'ing_17' THEN 3 WHEN starts_with(lower(name), 'ing_17') THEN 2 WHEN contains(lower(name), 'ing_17') THEN 1 END AS score FROM fn) x WHERE score IS NOT NULL ORDER BY score DESC, name, id LIMIT 40")
+def prefix_search_mid_name(t: Tables) -> DataFrame:
+    """A query that begins no name, so the second phase runs."""
+    return name_index.search(t.spark, _names(t), "ING_17", 40)
 
 
 @query("community_names", """, b AS (SELECT module AS community, unnest(string_split_regex(lower(regexp_replace(name || '_' || replace(qualified_name, '.', '_') || '_' || regexp_extract(source_file, '([^/]*)$', 1), '([A-Za-z])([0-9])', '\\1_\\2', 'g')), '[^a-z0-9]+')) AS token FROM fn),
