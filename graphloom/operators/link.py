@@ -51,11 +51,15 @@ def topic_links(publishers: DataFrame, subscribers: DataFrame) -> DataFrame:
     return p.join(s, "topic").where("source_repo <> target_repo")
 
 
+# Labels that say nothing about an architecture.
+STOP_LABELS = ("buf", "ctx", "err", "fd", "fs", "req", "res", "xhr", "ch", "ok", "map", "filter", "socket", "csv", "inactive", "pending", "footer", "body", "content", "data", "error")
+
+
 def normal_label(c: Column) -> Column:
-    """Lower case without a Service suffix; empty where too short, destructured or a line reference."""
+    """Lower case without a Service suffix; empty where too short, destructured, a line reference or a word of the stop-list."""
     low = F.lower(c)
     bare = F.regexp_replace(low, "service$", "")
-    bad = low.rlike(r"^[\(\[\{]|:[0-9]+$") | (F.length(F.regexp_replace(low, "^[^a-z]+", "")) <= 3)
+    bad = low.rlike(r"^[\(\[\{]|:[0-9]+$") | (F.length(F.regexp_replace(low, "^[^a-z]+", "")) <= 3) | low.isin(*STOP_LABELS)
     return F.when(bad, "").otherwise(bare)
 
 
@@ -70,13 +74,20 @@ def same_as_score(overlap: Column, least: float, low: float = 0.7, high: float =
     return F.when(overlap >= 1, high).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), scaled)))
 
 
-def same_as(models: DataFrame, least: float = 0.5) -> DataFrame:
-    """(a, b, overlap, confidence): models(id, repo, name, fields) of one canonical name in different repos with enough equal fields."""
-    m = models.withColumn("key", text.canonical_key(F.col("name"))).withColumn("norm", F.array_distinct(F.transform("fields", text.field_name)))
-    a, b = m.select("key", F.col("id").alias("a"), F.col("repo").alias("ra"), F.col("norm").alias("fa")), m.select("key", F.col("id").alias("b"), F.col("repo").alias("rb"), F.col("norm").alias("fb"))
-    both = a.join(b, "key").where("a < b and ra <> rb")
-    overlap = F.size(F.array_intersect("fa", "fb")) / F.size(F.array_union("fa", "fb"))
-    return both.withColumn("overlap", F.round(overlap, 6)).where(F.col("overlap") >= least).select("a", "b", "overlap", F.round(same_as_score(F.col("overlap"), least), 6).alias("confidence"))
+def same_as(models: DataFrame, least: float = 0.5, gate: str | None = None, most: int = 2_000) -> DataFrame:
+    """(a, b, overlap, confidence): models(id, repo, name, fields) of one canonical name in different repos with enough equal fields.
+
+    ``gate`` names a boolean column: only models for which it is true (those in a shared library) take part. A name of over ``most`` models
+    is paired in blocks.
+    """
+    from graphloom.operators.similarity import self_pairs
+
+    m = models.where(F.col(gate)) if gate else models
+    m = m.select(text.canonical_key(F.col("name")).alias("key"), "id", "repo", F.array_distinct(F.transform("fields", text.field_name)).alias("fields"))
+    both = self_pairs(m, "key", "id", most).where("a_repo <> b_repo")
+    overlap = F.size(F.array_intersect("a_fields", "b_fields")) / F.size(F.array_union("a_fields", "b_fields"))
+    found = both.withColumn("overlap", F.round(overlap, 6)).where(F.col("overlap") >= least)
+    return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "overlap", F.round(same_as_score(F.col("overlap"), least), 6).alias("confidence"))
 
 
 def phantom_edges(links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import diff, link, quality, relational
+from graphloom.operators import diff, link, quality, relational, similarity
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
 
@@ -204,14 +204,22 @@ def mro(t: Tables) -> DataFrame:
     return link.inherited(extends, t.part.select(name(k).alias("class"), F.concat(F.lit("m"), (F.col("p_size") % 6).cast("string")).alias("member")))
 
 
-@query("label_link", """, f AS (SELECT id, repo, regexp_replace(lower(label), 'service$', '') AS l FROM fn WHERE length(label) > 3), df AS (SELECT l, count(DISTINCT repo) AS d FROM f GROUP BY l), n AS (SELECT count(DISTINCT repo) AS n FROM f), s AS (SELECT f.l, min(id) AS id, repo FROM f GROUP BY f.l, repo),
-p AS (SELECT a.id AS source, b.id AS target, round(1.0 / df.d + 0.3, 6) AS raw FROM s a JOIN s b ON a.l = b.l AND a.repo < b.repo JOIN df ON df.l = a.l) SELECT source, target, round(CASE WHEN raw < 0.5 THEN raw ELSE greatest(0.6, least(0.8, 0.6 + (raw - 0.5) / 0.5 * 0.2)) END, 6) AS score FROM p""")
+@query("label_link", """
+, m AS (SELECT id, repo, kind, list_sort(list_distinct(list_filter(string_split(lower(replace(label || ' brand ' || substr(module, 7), ' ', '_')), '_'), lambda x: length(x) > 1 AND x <> 'new'))) AS t FROM fn),
+s AS (SELECT DISTINCT t FROM m), n AS (SELECT count(*) AS n FROM s), e AS (SELECT t, unnest(t) AS token FROM s), d AS (SELECT token, count(*) AS df FROM e GROUP BY 1),
+w AS (SELECT token, CAST(round(ln(1 + n::DOUBLE / df) * 1000000) AS BIGINT) AS w FROM d, n), f AS (SELECT CAST(round(ln(1 + n::DOUBLE) * 1000000) AS BIGINT) AS most FROM n),
+k AS (SELECT t, sum(w) AS whole, max(w) AS top FROM e JOIN w USING (token) GROUP BY 1),
+i AS (SELECT a.t AS a, b.t AS b, sum(w.w) AS shared, max(w.w) AS top FROM e a JOIN e b ON a.token = b.token AND a.t < b.t JOIN w ON w.token = a.token GROUP BY 1, 2),
+p AS (SELECT a, b, shared / (x.whole + y.whole - shared) AS sim, i.top / most AS heaviest FROM i JOIN k x ON x.t = a JOIN k y ON y.t = b, f WHERE shared / (x.whole + y.whole - shared) >= 0.6
+  UNION ALL SELECT t, t, 1.0, top / most FROM k, f),
+h AS (SELECT t, repo, kind, min(id) AS id FROM m GROUP BY 1, 2, 3),
+r AS (SELECT x.id AS s, y.id AS t, sim, round(sim * heaviest * CASE WHEN x.kind = y.kind THEN 1.0 WHEN (x.kind = 'SCOPE.Operation' AND y.kind = 'http_endpoint_definition') OR (y.kind = 'SCOPE.Operation' AND x.kind = 'http_endpoint_definition') THEN 0.8 ELSE 0 END, 6) AS raw
+  FROM p JOIN h x ON x.t = p.a JOIN h y ON y.t = p.b WHERE x.repo <> y.repo AND (p.a <> p.b OR x.repo < y.repo))
+SELECT least(s, t) AS source, greatest(s, t) AS target, round(sim, 6) AS similarity, round(CASE WHEN raw < 0.5 THEN raw ELSE greatest(0.6, least(0.8, 0.6 + (raw - 0.5) / 0.5 * 0.2)) END, 6) AS score FROM r WHERE raw > 0""")
 def label_link(t: Tables) -> DataFrame:
-    f = t.fn.select("id", "repo", link.normal_label(F.col("label")).alias("l")).where("l <> ''")
-    df = f.groupBy("l").agg(F.count_distinct("repo").alias("d"))
-    s = f.groupBy("l", "repo").agg(F.min("id").alias("id"))
-    both = s.alias("a").join(s.alias("b"), "l").where("a.repo < b.repo").join(df, "l")
-    return both.select(F.col("a.id").alias("source"), F.col("b.id").alias("target"), F.round(link.label_score(F.round(1.0 / F.col("d") + 0.3, 6)), 6).alias("score"))
+    """Labels of names and brands, by weighted sets of tokens."""
+    label = F.concat(F.col("label"), F.lit(" brand "), F.substring("module", 7, 100))
+    return similarity.label_links(t.fn.select("id", "repo", "kind", label.alias("label")), {("SCOPE.Operation", "http_endpoint_definition"): 0.8}, 0.6)
 
 
 @query("string_link", """, x AS (SELECT DISTINCT regexp_extract(text, 'Licen[sc]e[a-z]*') AS lit, source AS repo FROM documents), y AS (SELECT lit, repo FROM x WHERE lit <> '') SELECT a.lit, a.repo AS source_repo, b.repo AS target_repo, 0.55::DOUBLE AS confidence FROM y a JOIN y b ON a.lit = b.lit AND a.repo < b.repo""")
