@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import blocks, diff, flow, groups, loops, rank, relational, traverse
+from graphloom.operators import blocks, diff, event_flow, flow, groups, loops, rank, relational, traverse
 from graphloom.operators.loops import settled
 from graphloom.plans.projection import Tables
 from graphloom.plans.registry import query
@@ -285,12 +285,28 @@ def process_flow(t: Tables) -> DataFrame:
 
 
 @query("event_flow", ", g AS (SELECT event_type AS a, next_type AS b, count(*) AS n FROM steps WHERE next_type IS NOT NULL AND event_type <> next_type AND value > 50 GROUP BY 1, 2), k AS (SELECT a, b FROM g WHERE n >= (SELECT avg(n) FROM g)), r(path, last) AS (SELECT [t], t FROM (SELECT DISTINCT event_type AS t FROM events) x UNION ALL SELECT list_append(path, b), b FROM r JOIN k ON a = last WHERE len(path) < 4 AND NOT list_contains(path, b)) SELECT array_to_string(path, ',') AS chain, len(path)::INT AS channels FROM r WHERE len(path) >= 2 AND (len(path) = 4 OR NOT EXISTS (SELECT 1 FROM k WHERE a = last AND NOT list_contains(path, b)))")
-def event_flow(t: Tables) -> DataFrame:
+def event_type_flow(t: Tables) -> DataFrame:
     g = t.steps.where("next_type is not null and event_type <> next_type and value > 50").groupBy(F.col("event_type").alias("from_id"), F.col("next_type").alias("to_id")).agg(F.count(F.lit(1)).alias("n"))
     k = g.crossJoin(F.broadcast(g.agg(F.avg("n").alias("mean")))).where("n >= mean")  # one row
     return flow.chains(t.events.select(F.col("event_type").alias("id")).distinct(), k, 4, 2).select(F.array_join("path", ",").alias("chain"), F.col("steps").alias("channels"))
 
 
+#: Every event makes a function subscribe to a channel of its type, or publish to one.
+_CHANNELS = "SELECT DISTINCT 'f' || user_id AS function, event_type || ':' || (event_id % 12) AS channel, event_id % 2 = 0 AS sends FROM {events}"
+
+
+@query("event_flow_calls", f"""
+, ev AS ({_CHANNELS.replace("{events}", "events")}),
+r(channel, fn, hops) AS (SELECT channel, function, 0 FROM ev WHERE NOT sends UNION SELECT channel, to_id, hops + 1 FROM r JOIN calls ON from_id = fn WHERE hops < 2),
+b AS (SELECT channel, fn, min(hops) AS hops FROM r GROUP BY 1, 2)
+SELECT b.channel AS source, ev.channel AS target, (min(hops) + 1)::INT AS functions, count(*) AS publishers FROM b JOIN ev ON ev.function = b.fn AND ev.sends GROUP BY 1, 2""")
+def event_flow_calls(t: Tables) -> DataFrame:
+    """From channel to channel through subscribers and two calls of theirs at most."""
+    events = loops.stored(t.sql(_CHANNELS))
+    hops = event_flow.channel_hops(events.where("NOT sends"), events.where("sends"), t.calls, 2)
+    return hops.select("source", "target", F.size("way").alias("functions"), "publishers")
+
+
 @query("flow_dead_ends", "SELECT DISTINCT to_id AS id FROM calls WHERE to_id NOT IN (SELECT from_id FROM calls)")
 def flow_dead_ends(t: Tables) -> DataFrame:
     ends = t.calls.select(F.col("to_id").alias("id")).distinct()
