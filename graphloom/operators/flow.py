@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import settled
+from graphloom.operators.loops import settled, stored
 from graphloom.schema import bare_kind
 
 #: The effect lattice, and confidence bases and decays by source.
@@ -109,3 +109,37 @@ def taint(sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, calls: Da
         seen = settled(seen.union(new.select("source", "id", "category", F.lit(k).alias("hops"))))
     hit = seen.join(sinks, ["id", "category"], "left_semi").withColumn("confidence", F.round(F.pow(F.lit(hop), F.col("hops")), 6))
     return hit.where(F.col("confidence") >= floor).select("source", F.col("id").alias("sink"), "category", "hops", "confidence")
+
+
+#: Kinds of relationships that reach a database, and what they do there.
+DB_EDGES = {"JOINS_COLLECTION": "db_read", "READS_FROM": "db_read", "WRITES_TO": "db_write", "QUERIES": "db_read", "ACCESSES_TABLE": "db_read", "MODIFIES_TABLE": "db_write", "GRAPH_RELATES": "db_read"}
+
+
+def db_sinks(edges: DataFrame) -> DataFrame:
+    """(function, sink, sink_kind, relation): relationships(from_id, to_id, kind) of kinds that reach a database, as sinks of whatever their source holds."""
+    kind = F.lit(None).cast("string")
+    for name, value in DB_EDGES.items():
+        kind = F.when(F.col("kind") == name, value).otherwise(kind)
+    return edges.where(F.col("kind").isin(*DB_EDGES)).select(F.col("from_id").alias("function"), F.col("to_id").alias("sink"), kind.alias("sink_kind"), F.col("kind").alias("relation")).distinct()
+
+
+def data_flows(sources: DataFrame, passes: DataFrame, sinks: DataFrame, edges: DataFrame, hops: int = 3, sink_kind: str | None = None) -> DataFrame:
+    """(function, field, at, held, sink, sink_kind, relation, hops): which request fields reach which sinks, in at most ``hops`` calls.
+
+    sources(function, field) hold a field; passes(from_id, to_id, field, renamed) hand a field to a callee under another name; sinks(function, field, sink,
+    sink_kind) take that field. Relationships that reach a database are sinks of every field that their function holds. Only what holds the
+    field goes on: a state is (source, its field, function, the field's name there), kept once with its fewest hops. ``sink_kind`` leaves those
+    of that kind, or of its family (db: db_read and db_write).
+    """
+    links = stored(passes.select("from_id", "to_id", "field", "renamed").distinct())
+    seen = front = stored(sources.select("function", "field", F.col("function").alias("at"), F.col("field").alias("held"), F.lit(0).alias("hops")).distinct())
+    for k in range(1, hops + 1):
+        step = front.join(links.select(F.col("from_id").alias("at"), "to_id", F.col("field").alias("held"), "renamed"), ["at", "held"])
+        new = step.select("function", "field", F.col("to_id").alias("at"), F.col("renamed").alias("held")).distinct()
+        front = stored(new.join(seen, ["function", "field", "at", "held"], "left_anti").withColumn("hops", F.lit(k)))
+        seen = seen.union(front)
+    told = sinks.select(F.col("function").alias("at"), F.col("field").alias("held"), "sink", "sink_kind", F.lit("sink").alias("relation")).distinct()
+    out = seen.join(told, ["at", "held"]).unionByName(seen.join(db_sinks(edges).withColumnRenamed("function", "at"), "at"))
+    if sink_kind is not None:
+        out = out.where((F.col("sink_kind") == sink_kind) | F.col("sink_kind").startswith(f"{sink_kind}_"))
+    return out.select("function", "field", "at", "held", "sink", "sink_kind", "relation", "hops")

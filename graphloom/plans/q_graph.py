@@ -347,6 +347,25 @@ def data_flows(t: Tables) -> DataFrame:
     return found.select(F.col("source").alias("field"), "sink", "hops")
 
 
+_PASSES = "SELECT c.from_id, c.to_id, 'p' || (b.key % 3) AS field, 'p' || (a.key % 3) AS renamed FROM {calls} AS c JOIN {fn} AS a ON a.id = c.from_id JOIN {fn} AS b ON b.id = c.to_id"
+_DB = "SELECT DISTINCT i.from_id, i.to_id, CASE WHEN a.key % 3 = 0 THEN 'QUERIES' WHEN a.key % 3 = 1 THEN 'WRITES_TO' ELSE 'THROWS' END AS kind FROM {imports} AS i JOIN {fn} AS a ON a.id = i.from_id"
+_HELD = "SELECT id AS function, field FROM {fn} AS f CROSS JOIN (SELECT 'p0' AS field UNION ALL SELECT 'p1' UNION ALL SELECT 'p2') AS x WHERE kind = 'http_endpoint_definition'"
+_TAKEN = "SELECT id AS function, 'p' || (size % 3) AS field, name AS sink, 'http' AS sink_kind FROM {fn} AS f WHERE kind = 'SCOPE.Component'"
+
+
+@query("data_flows_fields", f"""
+, ps AS ({_PASSES.replace("{", "").replace("}", "")}), db AS ({_DB.replace("{", "").replace("}", "")}), so AS ({_HELD.replace("{", "").replace("}", "")}), si AS ({_TAKEN.replace("{", "").replace("}", "")}),
+r(function, field, spot, held, hops) AS (SELECT function, field, function, field, 0 FROM so
+  UNION SELECT r.function, r.field, ps.to_id, ps.renamed, r.hops + 1 FROM r JOIN ps ON ps.from_id = r.spot AND ps.field = r.held WHERE r.hops < 3),
+b AS (SELECT function, field, spot, held, min(hops) AS hops FROM r GROUP BY 1, 2, 3, 4)
+SELECT b.function, b.field, b.spot AS at, b.held, si.sink, si.sink_kind, 'sink' AS relation, b.hops::INT AS hops FROM b JOIN si ON si.function = b.spot AND si.field = b.held
+UNION ALL SELECT b.function, b.field, b.spot, b.held, db.to_id, CASE WHEN db.kind = 'QUERIES' THEN 'db_read' ELSE 'db_write' END, db.kind, b.hops::INT FROM b JOIN db ON db.from_id = b.spot WHERE db.kind <> 'THROWS'""")
+def data_flows_fields(t: Tables) -> DataFrame:
+    """Request fields of all endpoints, renamed from call to call, to components that take them and to databases."""
+    held, taken = t.sql(_HELD, fn=t.fn), t.sql(_TAKEN, fn=t.fn)
+    return flow.data_flows(held, t.sql(_PASSES, fn=t.fn, calls=t.calls), taken, t.sql(_DB, fn=t.fn, imports=t.imports))
+
+
 @query("confidence_decay", "SELECT s.source, h.hops::INT AS hops, round(base * rate ^ hops, 9) AS confidence FROM (VALUES ('direct_ast', 1.0, 0.95), ('import_hop', 0.9, 0.9), ('constant_prop', 0.85, 0.85), ('odd', 0.4, 0.95)) s(source, base, rate), (SELECT DISTINCT p_size % 5 AS hops FROM part) h")
 def confidence_decay(t: Tables) -> DataFrame:
     sources = F.explode(F.array(*[F.lit(s) for s in ("direct_ast", "import_hop", "constant_prop", "odd")]))
