@@ -148,12 +148,13 @@ def dealt_in_blocks(entries: DataFrame, keys: tuple[str, ...], node: str, most:
 
     A bucket of over ``most`` rows is cut into blocks by a hash of ``node``, and each pair of blocks (i, j) is a group of its own;
     a row goes once to every pair that has its block (own). Other buckets are the pair (0, 0). Buckets are counted first, with
-    partial aggregation. Tasks are as many as the rows ask for.
+    partial aggregation. Tasks are as many as the rows ask for, each counted as often as it is sent.
     """
     spark = entries.sparkSession
     counts = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     heavy = materialize(counts.groupBy((F.col("rows") > most).alias("heavy"), *(F.when(F.col("rows") > most, F.col(k)).alias(k) for k in keys)).agg(F.sum("rows").alias("rows")))
-    total = heavy.agg(F.sum("rows")).first()[0] or 0
+    sent = F.col("rows") * F.when(F.col("heavy"), F.ceil(F.col("rows") / most)).otherwise(1)  # a heavy bucket's row goes to each pair of its block
+    total = heavy.agg(F.sum(sent)).first()[0] or 0
     heavy = heavy.where("heavy").select(*keys, F.ceil(F.col("rows") / most).cast("int").alias("blocks"))
     many = heavy.count()
     if many:

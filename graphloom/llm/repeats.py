@@ -13,7 +13,7 @@ Before that, suffixes are routed, so that those that can be equal meet and few b
 A byte is removed when a window over it also starts in a document with a smaller doc_id. Documents are dealt into chunks of
 bounded bytes; a chunk sends each distinct entry once (packed arrays per bucket), so a passage in a third of all documents
 costs one entry per chunk. What the buckets find goes back to the chunks, which read the same shuffled text again. Sorting
-compares bytes; anchors and contexts are compared by hash (48 + 16 and 48 bits), with odds below 1e-14 of a false match per pair.
+compares bytes; anchors and contexts are compared by hash (48 bits each; anchors inside their bucket), with odds below 1e-14 of a false match per pair.
 
 Defined results: null texts are empty; texts shorter than a window keep all bytes; equal doc_ids never remove
 each other's bytes; a null doc_id counts as larger than all others; repeated rows each give a row; an empty
@@ -119,6 +119,11 @@ def unsix(b: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor, from all 64 bits of its hash: any number of buckets fills."""
+    return (mix(grams) % np.uint64(buckets)).astype(np.int64)
+
+
 class Chunk:
     """A chunk's documents, its anchors and its distinct entries (bucket, anchor, context), in a fixed order."""
 
@@ -134,7 +139,7 @@ class Chunk:
         order = np.array([LAST if i is None else i for i in self.ids], np.int64)
         doc, self.lo, self.hi, grams, context = anchors(self.buf, self.first, self.last, window, gram)
         self.doc = order[doc]
-        bucket, h = ((grams >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64), grams & LOW48
+        bucket, h = bucket_of(grams, buckets), grams & LOW48
         by = np.lexsort((self.doc, context, h, bucket))
         new = np.ones(len(by), bool)
         if len(by):

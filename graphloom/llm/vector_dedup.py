@@ -33,6 +33,8 @@ from graphloom.llm.vectors import doubles, hyperplanes, matrix, usable
 THRESHOLD = 0.9
 MISS = 0.005
 BUCKET = 4096
+#: Hyperplanes of a table at most: enough for 2^44 distinct vectors, and with a vector's length above them a key still has 64 bits.
+MOST_BITS = 40
 BLOCK = 1024
 SEED = 29
 #: Bits of the longer signature, and how far beyond the expected distance at the threshold a partner may be.
@@ -44,7 +46,7 @@ BROADCAST_IDS = 1_000_000
 
 def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """(hyperplanes in a table, tables) for n distinct vectors."""
-    bits = int(min(16, max(6, ceil(log2(max(2, n)) - 4))))
+    bits = int(min(MOST_BITS, max(6, ceil(log2(max(2, n)) - 4))))
     meet = (1 - acos(threshold) / pi) ** bits
     return bits, int(ceil(log(miss) / log(1 - meet)))
 
@@ -52,7 +54,11 @@ def layout(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
 def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """rows x tables."""
     signs = (x @ hyperplanes(x.shape[1], bits * tables, SEED) >= 0).reshape(len(x), tables, bits)
-    return (signs << np.arange(bits)).sum(2).astype(np.uint16)
+    return (signs << np.arange(bits)).sum(2).astype(signature_type(bits))
+
+
+def signature_type(bits: int) -> type[np.unsignedinteger]:
+    return np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
 
 
 def with_partner(t: np.ndarray, key: np.ndarray, check: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
@@ -133,7 +139,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
                     yield dim, own, matrix(own.column(column))
 
     def keys(dim: int, sig: np.ndarray, t: int) -> pa.Array:
-        return pa.array((dim << 16) + sig[:, t].astype(np.int64))
+        return pa.array((dim << max(16, bits)) + sig[:, t].astype(np.int64))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, own, x in by_length(batches, 1):
@@ -182,7 +188,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, bucket: in
             at = pa.array(rows)
             x = np.frombuffer(b"".join(data.take(at).to_pylist()), raw).reshape(len(rows), -1).astype(np.float64)
             x /= np.linalg.norm(x, axis=1)[:, None]
-            sig = np.frombuffer(b"".join(sigs.take(at).to_pylist()), np.uint16).reshape(len(rows), -1)
+            sig = np.frombuffer(b"".join(sigs.take(at).to_pylist()), signature_type(bits)).reshape(len(rows), -1)
             uid, n, own = num["uid"][rows], num["n"][rows], num["own"][rows]
             table, i, j = int(num["t"][rows[0]]), int(num["i"][rows[0]]), int(num["j"][rows[0]])
             half = int(np.searchsorted(own, j)) if i != j else 0  # block i's rows, then block j's

@@ -106,3 +106,12 @@ def test_radix_groups_are_the_equal_prefixes():
         assert sorted(sorted(v) for v in got.values()) == want
         keys = [(group[i], raw[at[i] : at[i] + depth].tobytes()) for i in live]
         assert keys == sorted(keys), "suffixes come out in order"
+
+
+def test_buckets_beyond_sixteen_bits_fill_evenly():
+    import numpy as np
+
+    grams = np.random.default_rng(1).integers(0, 1 << 64, 400_000, dtype=np.uint64)
+    bucket = repeats.bucket_of(grams, 6_250_000)
+    assert len(np.unique(bucket)) > 300_000 and bucket.max() < 6_250_000
+    assert np.bincount(repeats.bucket_of(grams, 64)).max() < 1.1 * len(grams) / 64

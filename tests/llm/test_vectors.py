@@ -113,3 +113,27 @@ def test_columns_named_like_the_operators_own(spark):
     assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == sorted(map(tuple, vector_dedup.near_duplicates(clash).collect()))
     near = lambda d: sorted(map(tuple, ann.nearest(d, d.where("vec_id % 100 = 0")).collect()))
     assert near(df) == near(clash)
+
+
+def test_hyperplanes_grow_with_the_rows_and_keys_keep_their_bits():
+    from graphloom.llm import vector_dedup
+
+    bits = [vector_dedup.layout(n, 0.9)[0] for n in (10, 10**4, 10**6, 10**9, 10**12)]
+    assert bits == sorted(bits) and bits[-1] > 30, "rows of a bucket stay about as many"
+    for n in (18, 30, 38):
+        x = np.random.default_rng(n).standard_normal((50, 8))
+        sig = vector_dedup.signatures(x, n, 3)
+        planes = (x @ vector_dedup.hyperplanes(8, n * 3, vector_dedup.SEED) >= 0).reshape(50, 3, n)
+        assert [[int("".join("01"[b] for b in row[::-1]), 2) for row in one] for one in planes.tolist()] == sig.astype(np.int64).tolist()
+
+
+def test_links_with_wide_signatures(spark, monkeypatch):
+    from graphloom.llm import vector_dedup
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((20, 6))
+    rows = [(i * 3 + k, [float(v) for v in base[i] + 0.01 * k * rng.standard_normal(6)]) for i in range(20) for k in range(3)] + [(900, [1.0, 2.0]), (901, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vector_dedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(vector_dedup, "layout", lambda n, threshold: (34, 40))
+    assert sorted(map(tuple, vector_dedup.near_duplicates(df).collect())) == want
