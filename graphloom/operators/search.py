@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators.loops import settled
+from graphloom.operators.loops import settled, stored
 from graphloom.operators.traverse import bfs
 
 K1, B = 1.2, 0.75
@@ -53,12 +53,13 @@ def words_of(c: Column) -> Column:
 
 def write_index(entities: DataFrame, folder: str, *columns: str) -> None:
     """The index of the search tokens in an entity's named columns."""
-    write_postings(entities.select("id", tokens_of(F.concat_ws(" ", *columns)).alias("terms")), folder)
+    whole = entities.select("id", F.concat_ws(" ", *columns).alias("whole")).repartition("id")  # small files would be one task's regular expressions
+    write_postings(whole.select("id", tokens_of(F.col("whole")).alias("terms")), folder)
 
 
 def write_postings(rows: DataFrame, folder: str) -> None:
     """Postings of rows(id, terms) in ranges of terms, sorted, so that a query's filter on terms prunes files and row groups; and the two corpus numbers."""
-    sized = rows.withColumn("len", F.size("terms"))
+    sized = stored(rows.withColumn("len", F.size("terms")))  # tokens once: for the ranges' sample, the postings and the corpus numbers
     post = sized.select(F.explode("terms").alias("term"), "id", "len").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
     post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
     sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{folder}/stats")
