@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.operators.loops import dropped, stored
+
 VERSION = 1
 #: Fixed value: what stands for no community in a stored graph.
 NO_COMMUNITY = -2
@@ -58,9 +60,9 @@ def _dealt(df: DataFrame, key: str, other: str | None, buckets: int, most: int)
 def write(entities: DataFrame, relationships: DataFrame, folder: str, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS) -> "GraphStore":
     """Write a graph and open it. entities has id, relationships from_id, to_id and kind; other columns stay as they are."""
     spark, folder = entities.sparkSession, folder.rstrip("/")
-    rows = {"entities": canonical(entities), "out": canonical(relationships)}
+    rows = {"entities": stored(canonical(entities)), "out": stored(canonical(relationships))}  # computed once, read for counts and each order
     rows["in"] = rows["out"]
-    counts = {"entities": entities.count(), "out": relationships.count()}
+    counts = {part: rows[part].count() for part in ("entities", "out")}
     buckets = buckets or max(1, -(-max(counts.values()) // bucket_rows))
     for part, (key, order, by) in LAYOUT.items():
         name = _name(folder, part)
@@ -74,6 +76,8 @@ def write(entities: DataFrame, relationships: DataFrame, folder: str, buckets: i
         out.option("path", f"{folder}/{part}").saveAsTable(name)
     meta = spark.range(1).select(F.lit(VERSION).alias("version"), F.lit(buckets).alias("buckets"), F.lit(counts["entities"]).alias("entities"), F.lit(counts["out"]).alias("relationships"))
     meta.coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+    dropped(rows["entities"])
+    dropped(rows["out"])
     return GraphStore(spark, folder)
 
 
