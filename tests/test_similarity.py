@@ -90,3 +90,22 @@ def test_models_of_shared_libraries_only(spark):
     for most in (1, 2000):
         assert sorted(tuple(r) for r in link.same_as(models, 0.5, "shared", most).collect()) == [(1, 2, 1.0, 0.98), (2, 6, 1.0, 0.98)]
     assert len(link.same_as(models).collect()) == 5, "without the gate services take part"
+
+
+@pytest.mark.parametrize("most", [1, 3, 2000])
+def test_copies_of_a_model_meet_all_models_of_other_repositories(spark, tmp_path, most):
+    rng = random.Random(3)
+    rows = [(i, f"r{rng.randrange(3)}", rng.choice(["Order", "User"]), [rng.choice("abc") for _ in range(3)] + ["id"]) for i in range(60)]
+    rows += [(100, None, "Order", ["id"]), (101, "r0", None, ["id"]), (102, "r0", "Order", None), (7, "r9", "Order", ["id", "a"])]
+    spark.createDataFrame(rows, "id long, repo string, name string, fields array<string>").coalesce(1).write.parquet(f"{tmp_path}/models")
+    got = link.same_as(spark.read.parquet(f"{tmp_path}/models"), 0.5, most=most)
+    usable = [r for r in rows if None not in r]
+    jaccard = lambda x, y: round(len(set(x) & set(y)) / len(set(x) | set(y)), 6)
+    want = sorted((a, b, jaccard(f, g)) for a, r, n, f in usable for b, s, m, g in usable if n == m and r != s and a < b and jaccard(f, g) >= 0.5)
+    assert sorted((r.a, r.b, r.overlap) for r in got.collect()) == want
+
+
+def test_rows_dealt_in_blocks_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(i, "hot") for i in range(40)], "id int, k string").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    plan = similarity.self_pairs(spark.read.parquet(f"{tmp_path}/rows"), "k", "id", 2)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [_key" in plan
