@@ -37,3 +37,13 @@ def test_aggregates_combine_before_the_shuffle(spark, name):
 def test_native_queries_run_no_python(spark):
     for name in ("bm25_search", "semantic_search", "http_link", "def_use", "community_names", "tokenize", "coupling"):
         assert "Python" not in plan(spark, name) and "Arrow" not in plan(spark, name)
+
+
+def test_migrations_of_equal_names_come_in_order_of_id(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(k * 1_000_000 + j, datetime(2024, 1, 1 + j)) for k in (5, 4, 3, 2, 1) for j in (2, 1, 3)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.id: r.precedes for r in catalog.queries()["migration_order"](spark, str(tmp_path)).collect()}
+    order = [i for _, _, i in sorted((d, k % 1_000_000, k) for k, d in rows)]
+    assert got == dict(zip(order, [None, *order[:-1]], strict=True))
