@@ -130,3 +130,30 @@ def test_modularity_is_that_of_the_definition(spark):
     got = found(spark, pairs)
     labels = spark.createDataFrame(list(got.items()), "id string, community string")
     assert round(groups.modularity(labels, spark.createDataFrame(pairs, EDGES)).first()[0], 9) == round(modularity(got, pairs), 9)
+
+
+def test_hashes_that_ids_share_are_not_used(spark):
+    from pyspark.sql import functions as F
+
+    pairs = cliques(4, 4, [(0, 1, 1), (2, 3, 1)])
+    e = spark.createDataFrame(pairs, EDGES)
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for a, b, _ in pairs for x in (a, b)})], "id string")
+    clash = lambda seed, id: F.xxhash64(F.substring(id, 1, 2)) if seed == 0 else louvain._code(seed, id)
+    labels = groups.named(louvain.by_level(nodes, e, code=clash)[1], 1).collect()
+    assert {(r.id, r.community) for r in labels} == {(r.id, f"{r.id[:3]}0") for r in labels} and len(labels) == 16
+
+
+def test_a_round_sends_the_edges_twice_and_no_names(spark):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    keep, louvain.stored = louvain.stored, seen
+    try:
+        found(spark, cliques(3, 4, [(0, 1, 1), (1, 2, 1)]))
+    finally:
+        louvain.stored = keep
+    rounds = [p for p in plans if "max_by" in p]
+    assert rounds and all("string" not in p and p.count("Exchange hashpartitioning") <= 7 for p in rounds)
