@@ -131,10 +131,16 @@ def fields(df: DataFrame, wanted: list[str], envelope: tuple[str, ...] = ()) ->
     return df.select(*out)
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    """(id, in_degree, out_degree, degree) from one pass over both ends."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
-    return ends.groupBy("e.id").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
+def degree(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(id, in_degree, out_degree, degree) from one pass over both ends; ``tasks``: over how many tasks the ids are dealt.
+
+    Without it ends are counted before they are shuffled and a shuffle's usual number of tasks holds all ids. With it each task holds its share of the
+    ids; a hub's ends are one task's rows then, but one entry there.
+    """
+    ends = edges.select(F.explode(F.array(F.struct(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    if tasks:
+        ends = ends.repartition(tasks, "id")
+    return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
 def module_edges(edges: DataFrame, modules: DataFrame, prebaked: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,6 @@
 """Work is dealt over more tasks as tables grow: what one task holds, and what comes to the driver, doesn't follow the input."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from graphloom.plans import projection
 from graphloom.plans.projection import Tables
@@ -36,3 +35,43 @@ def test_lineitem_is_dealt_by_its_rows(spark, small_tasks):
     assert rows(t.rel) == rows(t.sql(projection.REL))
     for name in ("calls", "imports", "tests"):
         assert rows(t.sql(projection.PROJECTIONS[name], lineitem=t.dealt("lineitem", "l_orderkey"))) == rows(t.sql(projection.PROJECTIONS[name]))
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_degrees_are_dealt_over_more_tasks(spark, small_tasks):
+    from graphloom.operators import relational
+
+    t = Tables(spark, SF)
+    dealt = relational.degree(t.rel, t.tasks("lineitem"))
+    assert any("(id#" in line and f", {t.tasks('lineitem')})" in line for line in exchanges(dealt))
+    assert rows(dealt) == rows(relational.degree(t.sql(projection.REL)))
+
+
+def test_edges_of_a_search_are_dealt_over_more_tasks(spark, small_tasks):
+    from graphloom.operators import traverse
+
+    t = Tables(spark, SF)
+    start = spark.createDataFrame([("region:1",)], "id string")
+    assert rows(traverse.bfs(t.rel, start, 3, "in", local_edges=0, tasks=t.tasks("lineitem", 3))) == rows(traverse.impact(t.sql(projection.REL), start, 3))
+
+
+@pytest.mark.parametrize("name", ["name_resolution"])
+def test_names_are_not_broadcast(spark, name):
+    from graphloom.plans import catalog
+
+    assert not any("BroadcastExchange" in line for line in exchanges(catalog.queries()[name](spark, SF)))
+
+
+def test_rounds_of_inheritance_are_not_broadcast(spark, monkeypatch):
+    from graphloom.operators import link, loops
+
+    plans, settled = [], loops.settled
+    monkeypatch.setattr(loops, "settled", lambda df: plans.append(exchanges(df)) or settled(df))
+    extends = spark.createDataFrame([("b", "a", 0), ("c", "b", 0), ("c", "a", 1)], "class string, base string, ordinal int")
+    members = spark.createDataFrame([("a", "m"), ("a", "n"), ("b", "m")], "class string, member string")
+    found = rows(link.inherited(extends, members))
+    assert found == [("a", "m", "a", 0), ("a", "n", "a", 0), ("b", "m", "b", 0), ("b", "n", "a", 1), ("c", "m", "b", 1), ("c", "n", "a", 1)]
+    assert len(plans) > 2 and not any("BroadcastExchange" in line for p in plans for line in p)
