@@ -55,13 +55,15 @@ def _levels(hops: int | None, most_rounds: int | None):
     return run
 
 
-def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, hops: int | None, direction: str = "out", most_rounds: int | None = None, local_edges: int = LOCAL_EDGES, tasks: int | None = None) -> DataFrame:
     """(id, depth) of all nodes within hops of sources(id); hops None runs until nothing new is found, and raises beyond most_rounds.
 
-    Few edges and sources (counted) are one task's work; beyond, each hop is a join.
+    Few edges and sources (counted) are one task's work; beyond, each hop is a join. ``tasks``: over how many tasks edges are dealt, by the end that a
+    hop starts from, so that no task sorts more of them than its share and no hop deals them again.
     """
     pairs = {"out": edges.select("from_id", "to_id"), "in": edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), "both": undirected(edges)}[direction]
-    pairs = settled(pairs.where("from_id is not null").distinct())
+    pairs = pairs.where("from_id is not null")
+    pairs = settled((pairs.repartition(tasks, "from_id") if tasks else pairs).distinct())
     starts = settled(sources.select("id").where("id is not null").distinct())
     rows = pairs.union(starts.select(F.lit(None).cast("string"), "id"))
     if few_edges(rows, local_edges if hops is None else min(local_edges, FEW_HOPS_EDGES)):
@@ -116,9 +118,9 @@ def cheapest(edges: DataFrame, source: str, most_hops: int) -> DataFrame:
     return best.select("id", "cost", "path")
 
 
-def impact(edges: DataFrame, changed: DataFrame, hops: int = 3) -> DataFrame:
-    """(id, depth): inbound dependents of the changed entities, nearest first; hops is held to 1..6."""
-    return bfs(edges, changed, max(1, min(6, hops)), "in")
+def impact(edges: DataFrame, changed: DataFrame, hops: int = 3, tasks: int | None = None) -> DataFrame:
+    """(id, depth): inbound dependents of the changed entities, nearest first; hops is held to 1..6; tasks as in bfs."""
+    return bfs(edges, changed, max(1, min(6, hops)), "in", tasks=tasks)
 
 
 def unreached(nodes: DataFrame, edges: DataFrame, entry_points: DataFrame) -> DataFrame:
