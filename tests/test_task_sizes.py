@@ -85,3 +85,34 @@ def test_orphans_are_one_join_over_more_tasks(spark, small_tasks, monkeypatch):
     assert "LeftAnti" not in plan and plan.count("LeftOuter") == 1 and "RepartitionByExpression" in plan
     monkeypatch.setattr(projection, "TASK_ROWS", 10**9)
     assert rows(dealt) == rows(catalog.queries()["orphan_audit"](spark, SF))
+
+
+def test_scans_of_links_read_one_pass_and_no_store(spark, monkeypatch):
+    import uuid
+
+    from graphloom.plans import catalog
+
+    monkeypatch.setattr(store, "write", lambda *a, **k: pytest.fail("a scan needs no buckets"))
+    spark.__dict__.pop("_graphloom_kept", None)
+    t = Tables(spark, SF)
+    plan = t.sql(projection.LINKS, pairs=t.sql(projection.PAIRS), promo=t.sql(projection.PROMO))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    for name in ("calls", "imports", "tests"):
+        assert rows(getattr(t, name)) == rows(t.sql(projection.PROJECTIONS[name])) != []
+    monkeypatch.setattr(projection, "TASK_ROWS", 500)
+    spark.__dict__.pop("_graphloom_kept", None)
+    assert all(rows(getattr(t, name)) == rows(t.sql(projection.PROJECTIONS[name])) for name in ("calls", "imports", "tests"))
+    for name in ("intersect", "flow_dead_ends", "find_dead_code"):
+        assert catalog.queries()[name](spark, SF).columns
+    # a pair that IMPORTS repeats stays as often, in lots as well; CALLS and TESTS have it once, whatever part holds twice
+    items = [(o, k, n, 1, q, 1.0, 0.0) for o in range(7) for n, (k, q) in enumerate([(1, 50.0), (2, 31.0), (3, 40.0), (1, 48.5), (3, 33.5), (1, None), (2, 49.0)])] + [(99, None, 0, 1, 50.0, 1.0, 0.0), (99, 2, 1, 1, 30.0, 1.0, 0.0), (99, 2, 2, 1, 50.0, 1.0, 0.0), (99, 2, 3, 1, 50.0, 1.0, 0.0)]
+    lineitem = spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double")
+    part = spark.createDataFrame([(1, "PROMO"), (3, "PROMO"), (3, "PROMO"), (2, "STANDARD")], "p_partkey long, p_type string")
+    monkeypatch.setattr(Tables, "table", lambda self, name: {"lineitem": lineitem, "part": part}[name])
+    monkeypatch.setattr(projection, "REPEATS", 3)
+    folder = f"{projection.loops.shared_folder(spark)}/links-{uuid.uuid4().hex}"
+    t._write_links(folder)
+    found = spark.read.parquet(folder)
+    for name in ("calls", "imports", "tests"):
+        want = [tuple(r) for r in t.sql(projection.PROJECTIONS[name]).collect()]
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.where(f"kind = '{name.upper()}'").select("from_id", "to_id").collect())
