@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.operators.loops import few_edges, stored
 from graphloom.schema import relationship_id
 
 
@@ -21,25 +22,46 @@ def http_links(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
     exact: same verb and route shape (resolved); literal_param_fill: one literal segment of the call stands where the route has a
     parameter; dynamic_suffix_match: the route's shape ends the call's, the longest such (both inferred). The last two must lead to one
-    target only: where several routes fit as well, the call stays unlinked. All are equi-joins on the call's own variants of its key.
+    target only: where several routes fit as well, the call stays unlinked. All are equi-joins on variants of the key.
+
+    What a call links to follows from its repo, verb and path, so each combination of them is a class that is linked once; calls meet
+    the links of their class at the end. Ids that occur more than once are linked one by one, over all their rows.
     """
-    c = calls.withColumn("key", text.join_path(F.col("path")))
-    r = routes.withColumn("key", text.join_path(F.col("path"))).groupBy("repo", "verb", "key").agg(F.min("id").alias("target")).withColumnRenamed("repo", "target_repo")
+    r = routes.groupBy("repo", "verb", "path").agg(F.min("id").alias("id")).withColumn("key", text.join_path(F.col("path")))
+    r = stored(r.groupBy("repo", "verb", "key").agg(F.min("id").alias("target")).withColumnRenamed("repo", "target_repo"))
+    found = [F.col("id").alias("source"), "target", "strategy", "confidence"]
+    many = stored(calls.groupBy("id").count().where("count > 1").select("id"))
+    again = not many.isEmpty()
+    once = calls.join(many.hint("merge"), "id", "left_anti") if again else calls
+    same = ["repo", "verb", "path"]
+    classes = stored(once.select(*same).distinct().withColumn("class", F.monotonically_increasing_id()))
+    linked = stored(classes.join(_linked(classes, r, "class").hint("merge"), "class").select(*same, "target", "strategy", "confidence"))
+    out = once.join(F.broadcast(linked) if few_edges(linked, LOCAL_LINKS) else linked.hint("merge"), same).select(*found)  # counted
+    return out.union(_linked(calls.join(many.hint("merge"), "id", "left_semi"), r, "id").select(*found)) if again else out
+
+
+#: Links of classes that are broadcast to their calls; more are merged.
+LOCAL_LINKS = 100_000
+
+
+def _linked(calls: DataFrame, r: DataFrame, by: str) -> DataFrame:
+    """(by, target, strategy, confidence) of calls(by, repo, verb, path) to the first targets r(target_repo, verb, key, target)."""
+    c = stored(calls.withColumn("key", text.join_path(F.col("path"))))
     parts = F.split(F.col("key"), "/")
 
     def join(left: DataFrame) -> DataFrame:
-        return left.join(r, ["verb", "key"]).where("repo <> target_repo")
+        return left.join(r.hint("merge"), ["verb", "key"]).where("repo <> target_repo")
 
     def unique(found: DataFrame, strategy: str) -> DataFrame:
-        longest = found.groupBy("id", F.length("key").alias("size")).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
-        best = longest.groupBy("id").agg(F.max_by(F.struct("target", "n"), "size").alias("b")).where("b.n = 1")
-        return best.select(F.col("id").alias("source"), "b.target", F.lit(strategy).alias("strategy"), F.lit("inferred").alias("confidence"))
+        longest = found.groupBy(by, F.length("key").alias("size")).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n"))
+        best = longest.groupBy(by).agg(F.max_by(F.struct("target", "n"), "size").alias("b")).where("b.n = 1")
+        return best.select(by, "b.target", F.lit(strategy).alias("strategy"), F.lit("inferred").alias("confidence"))
 
-    exact = join(c).select(F.col("id").alias("source"), "target", F.lit("exact").alias("strategy"), F.lit("resolved").alias("confidence"))
-    rest = c.join(exact.select(F.col("source").alias("id")), "id", "left_anti")
+    exact = stored(join(c).select(by, "target", F.lit("exact").alias("strategy"), F.lit("resolved").alias("confidence")))
+    rest = c.join(exact.select(by).hint("merge"), by, "left_anti")
     filled = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.when(F.get(parts, i) != "{*}", F.array_join(F.transform(parts, lambda x, j: F.when(j == i, "{*}").otherwise(x)), "/")))
-    literal = unique(join(rest.where(F.size(parts) >= 2).withColumn("key", F.explode(F.array_compact(filled)))), "literal_param_fill")
-    rest = rest.join(literal.select(F.col("source").alias("id")), "id", "left_anti").where(F.size(parts) >= 3)
+    literal = stored(unique(join(rest.where(F.size(parts) >= 2).withColumn("key", F.explode(F.array_compact(filled)))), "literal_param_fill"))
+    rest = rest.join(literal.select(by).hint("merge"), by, "left_anti").where(F.size(parts) >= 3)
     tails = F.transform(F.sequence(F.lit(3), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))
     return exact.union(literal).union(unique(join(rest.withColumn("key", F.explode(tails))), "dynamic_suffix_match"))
 

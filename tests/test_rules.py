@@ -70,6 +70,19 @@ def test_http_strategies(spark):
     assert got == {"exact": ("u", "exact", "resolved"), "literal": ("u", "literal_param_fill", "inferred"), "suffix": ("s", "dynamic_suffix_match", "inferred")}, "two routes fit 'twice': no guess"
 
 
+def test_http_links_of_equal_calls_are_found_once(spark, monkeypatch):
+    keys = []
+    monkeypatch.setattr(link, "_linked", lambda c, r, by, f=link._linked: keys.append((by, c.count())) or f(c, r, by))
+    call = lambda *rows: table(spark, "id string, repo string, verb string, path string", *rows)
+    calls = call(*((f"c{i:02d}", "web", "GET", "/users/42" if i % 2 else "/users/{id}") for i in range(40)), ("c00", "web", "GET", "/users/42"), ("d", "web", "GET", "/users/7"), ("d", "web", "GET", "/users/7"), ("n", "web", "GET", None))
+    routes = call(("u", "api", "GET", "/api/v1/users/:id"), ("v", "api", "GET", "/users/:id"), ("w", "other", "GET", "/users/7/x"))
+    want = sorted([(f"c{i:02d}", "u", "literal_param_fill" if i % 2 else "exact") for i in range(40)] + [("d", "u", "literal_param_fill")])
+    for most in (100, 0):
+        monkeypatch.setattr(link, "LOCAL_LINKS", most)
+        assert sorted((r.source, r.target, r.strategy) for r in link.http_links(calls, routes).collect()) == want
+    assert keys[:2] == [("class", 3), ("id", 4)]
+
+
 def test_dependency_usage_and_orphans(spark):
     declared = table(spark, "name string", ("react",), ("@org/ui",), ("left",), ("unused",))
     imported = table(spark, "target string", ("react/dom",), ("@org/ui/button",), ("pkg:left",), ("scope:component:import:external:ghost",), ("local/file",))
