@@ -1,6 +1,7 @@
-"""Biconnected blocks and articulation points, without a task that holds a component.
+"""Biconnected blocks and articulation points, without a task that holds a large component.
 
-Every step is joins, groupings and ranges whose rounds grow with the logarithm of the nodes: a spanning forest by rounds of smallest outgoing
+For articulation points, components of few edges (counted) are dealt over tasks, each of which goes through its own depth first. For the others, and for blocks,
+every step is joins, groupings and ranges whose rounds grow with the logarithm of the nodes: a spanning forest by rounds of smallest outgoing
 edges, an Euler tour of it ranked by pointer doubling, preorder numbers and subtree sizes from the tour's places, the extremes of each subtree's other
 edges over dyadic cells of the preorder, and the components of an auxiliary graph over tree edges, which are the blocks.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +23,8 @@ from graphloom.operators.relational import numbered
 
 def _joined(nodes: DataFrame, pairs: DataFrame, local_edges: int) -> DataFrame:
     """(v, c): components of numbered nodes(v) over pairs(a, b); c is one of a component's nodes."""
-    text = lambda c: F.col(c).cast("string")
-    found = connected(nodes.select(text("v").alias("id")), pairs.select(text("a").alias("from_id"), text("b").alias("to_id")), local_edges)
-    return found.select(F.col("id").cast("bigint").alias("v"), F.col("component").cast("bigint").alias("c"))
+    found = connected(nodes.select(F.col("v").alias("id")), pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")), local_edges)
+    return found.select(F.col("id").alias("v"), F.col("component").alias("c"))
 
 
 def _forest_in_one_task(crossing: DataFrame) -> DataFrame:
@@ -130,19 +131,94 @@ def blocks(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame,
     return tree, stored(found.select("v", F.col("c").alias("block")))
 
 
+def _cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The articulation points of distinct pairs of numbers, by one depth-first pass with an explicit stack; it may hold several components."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends, np.concatenate([ends[len(a) :], ends[: len(a)]])
+    near = y[np.argsort(x, kind="stable")].tolist()
+    stop = np.cumsum(np.bincount(x, minlength=len(ids))).tolist()
+    at = [0, *stop[:-1]]
+    order, low, parent, cut = [0] * len(ids), [0] * len(ids), [-1] * len(ids), [False] * len(ids)
+    step = 0
+    for root in range(len(ids)):
+        if order[root]:
+            continue
+        step += 1
+        order[root] = low[root] = step
+        v, children = root, 0
+        while True:
+            if at[v] < stop[v]:
+                w = near[at[v]]
+                at[v] += 1
+                if not order[w]:
+                    parent[w], step = v, step + 1
+                    order[w] = low[w] = step
+                    children += v == root
+                    v = w
+                elif w != parent[v] and order[w] < low[v]:
+                    low[v] = order[w]
+            else:
+                up = parent[v]
+                if up < 0:
+                    break
+                low[up] = min(low[up], low[v])
+                cut[up] |= up != root and low[v] >= order[up]
+                v = up
+        cut[root] = children > 1
+    return ids[np.array(cut, bool)]
+
+
+def _lots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of lots of whole components, from rows (c, a, b) with a component's rows together; a lot ends with the component that brings it to ``most`` edges."""
+    lot, n, last = [], 0, None
+    joined = lambda: tuple(np.concatenate(x) for x in zip(*lot, strict=True))
+    for batch in batches:
+        c, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        starts = np.flatnonzero(c[1:] != c[:-1]) + 1
+        i = 0
+        while i < len(c):
+            if n >= most and c[i] != last:
+                yield joined()
+                lot, n = [], 0
+            k = np.searchsorted(starts, max(i + most - n, i + 1))
+            j = int(starts[k]) if k < len(starts) else len(c)
+            lot.append((a[i:j], b[i:j]))
+            n, last, i = n + j - i, c[j - 1], j
+    if lot:
+        yield joined()
+
+
+def _cuts_by_component(pairs: DataFrame, tasks: int, most: int) -> DataFrame:
+    """(v): articulation points of pairs(c, a, b), dealt by component c; a task holds one lot of components of about ``most`` edges at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _lots(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(_cuts(a, b), pa.int64())], names=["v"])
+
+    return pairs.select("c", "a", "b").repartition(tasks, "c").sortWithinPartitions("c").mapInArrow(run, "v bigint")
+
+
 def articulation_points(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Ids of nodes whose removal splits their component: those on two blocks and more. Direction, loops and parallel edges don't count.
 
-    ``local_edges`` bounds the residues that a spanning forest and components finish in one task; the result is the same for any.
+    ``local_edges`` bounds the components that are one task's work, and the residues that a spanning forest and components finish in one; the result is the same for any.
     """
-    pairs = edges.where("from_id <> to_id").select(F.least("from_id", "to_id").alias("s"), F.greatest("from_id", "to_id").alias("t")).distinct()
-    pairs = pairs.join(nodes.select(F.col("id").alias("s")), "s", "left_semi").join(nodes.select(F.col("id").alias("t")), "t", "left_semi")
-    names = stored(numbered(pairs.select(F.col("s").alias("id")).union(pairs.select("t")).distinct(), F.col("id"), name="v"))
-    ends = pairs.join(names.select(F.col("id").alias("s"), F.col("v").alias("a")), "s").join(names.select(F.col("id").alias("t"), F.col("v").alias("b")), "t")
-    ends = stored(ends.select("a", "b"))
+    names = stored(nodes.select("id").where("id IS NOT NULL").distinct().withColumn("v", F.monotonically_increasing_id()))  # written once, so numbers stay
+    end = lambda id, v: names.select(F.col("id").alias(id), F.col("v").alias(v)).hint("merge")
+    ends = edges.where("from_id <> to_id").select(F.col("from_id").alias("s"), F.col("to_id").alias("t")).join(end("s", "x"), "s").join(end("t", "y"), "t")
+    ends = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if ends.isEmpty():
-        return names.select("id")
-    tree, found = blocks(ends, local_edges)
-    each = found.join(tree.select("v", "parent"), "v")
-    on = each.select("v", "block").union(each.select("parent", "block")).groupBy("v").agg(F.min("block").alias("one"), F.max("block").alias("other")).where("one <> other")
-    return on.join(names, "v").select("id")
+        return names.select("id").limit(0)
+    label = _joined(ends.select(F.col("a").alias("v")), ends, local_edges).withColumnRenamed("v", "a")
+    parts = stored(ends.join(label.hint("merge"), "a").select("c", "a", "b"))
+    size = parts.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    large = stored(size.where(F.col("n") > local_edges).select("c"))
+    found = []
+    if not large.isEmpty():
+        tree, block = blocks(stored(parts.join(large, "c", "left_semi").select("a", "b")), local_edges)
+        each = block.join(tree.select("v", "parent"), "v")
+        on = each.select("v", "block").union(each.select("parent", "block")).groupBy("v").agg(F.min("block").alias("one"), F.max("block").alias("other")).where("one <> other")
+        found.append(on.select("v"))
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // LOCAL_EDGES))
+    found.append(_cuts_by_component(parts.join(large, "c", "left_anti"), tasks, max(1, local_edges)))
+    return reduce(DataFrame.union, found).join(names, "v").select("id")

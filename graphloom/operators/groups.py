@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import LOCAL_EDGES, few_edges, in_one_task, settled
+from graphloom.operators.loops import LOCAL_EDGES, dropped, few_edges, in_one_task, settled, stored
 from graphloom.operators.louvain import communities, named  # noqa: F401
 
 
@@ -127,28 +127,32 @@ def _union_find(a: list[str], b: list[str]) -> pa.RecordBatch:
         x, y = find(x), find(y)
         root[max(x, y)] = min(x, y)
     ids = list(root)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([find(x) for x in ids], pa.string())], names=["id", "component"])
+    kind = pa.int64() if ids and isinstance(ids[0], int) else pa.string()
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([find(x) for x in ids], kind)], names=["id", "component"])
 
 
 def connected(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, component = smallest member), ignoring direction.
+    """(id, component = smallest member), ignoring direction; ids are strings or bigints.
 
     Alternating large and small stars: each round joins a node's larger neighbours, then its smaller ones, to its smallest, so rounds
     grow with the logarithm of the nodes. A hub's rows are aggregated before the shuffle. Few edges (counted) are one task's work.
     """
     pairs = edges.where("from_id <> to_id").select(F.greatest("from_id", "to_id").alias("u"), F.least("from_id", "to_id").alias("v"))
-    pairs = settled(pairs.distinct())
+    pairs = stored(pairs.distinct())
     if few_edges(pairs, local_edges):
-        found = in_one_task(pairs.select(F.col("u").alias("from_id"), F.col("v").alias("to_id")), _union_find, "id string, component string")
+        kind = pairs.schema["u"].dataType.simpleString()
+        found = in_one_task(pairs.select(F.col("u").alias("from_id"), F.col("v").alias("to_id")), _union_find, f"id {kind}, component {kind}")
     else:
         last = None
         while True:
             both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
             low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
             down = large.groupBy("u").agg(F.min("v").alias("m"))
             ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")
-            pairs = settled(large.join(down, "u").select(ends).select("x.u", "x.v").where("u <> v").distinct())
+            new = stored(large.join(down.hint("merge"), "u").select(ends).select("x.u", "x.v").where("u <> v").distinct())
+            dropped(pairs)
+            pairs = new
             state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if state == last:
                 break

@@ -114,6 +114,26 @@ def test_articulation_points_of_plain_shapes(spark):
     assert points(spark, [("only", "only")]) == [] == points(spark, [])
 
 
+def test_small_components_are_dealt_and_large_ones_are_not(spark, monkeypatch):
+    rng = random.Random(4)
+    small = [(f"{c}{i}", f"{c}{rng.randrange(i)}") for c in "abcdef" for i in range(1, 9)] + [(f"{c}{rng.randrange(9)}", f"{c}{rng.randrange(9)}") for c in "abcdef" for _ in range(3)]
+    large = [(f"x{i}", f"x{rng.randrange(i)}") for i in range(1, 20)] + [("x0", "x19"), ("x3", "x17")]
+    whole, seen = blocks.blocks, []
+    monkeypatch.setattr(blocks, "blocks", lambda pairs, local: seen.append(pairs.count()) or whole(pairs, local))
+    assert points(spark, small) == cut_points(small) and seen == []
+    assert points(spark, small + large, local_edges=15) == cut_points(small + large) and 19 <= seen.pop() <= 21
+
+
+def test_a_task_takes_lots_of_whole_components():
+    import pyarrow as pa
+
+    rows = [(c, 100 * c + i, 100 * c + i + 1) for c in range(6) for i in range(c + 1)] + [(9, 900 + i, 900 + (i + 1) % 5) for i in range(5)]
+    batches = pa.table(dict(zip("cab", map(list, zip(*rows)), strict=True))).to_batches(max_chunksize=4)
+    lots = list(blocks._lots(iter(batches), 4))
+    assert [len(a) for a, _ in lots] == [6, 4, 5, 6, 5] and len(batches) > 5
+    assert [v for lot in lots for v in blocks._cuts(*lot)] == [100 * c + i for c in range(6) for i in range(1, c + 1)]
+
+
 def test_one_block_is_one_name(spark):
     pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (2, 4), (4, 5)], "a bigint, b bigint")
     tree, found = blocks.blocks(pairs)
