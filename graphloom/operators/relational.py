@@ -143,6 +143,19 @@ def degree(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
+def endpoint_kinds(edges: DataFrame, entities: DataFrame, end: str, tasks: int | None = None) -> DataFrame:
+    """(kind, entity_kind, n, weight) of edges by their kind and that of the entity at an end, null where there is none.
+
+    An end's edges of a kind are added up before they meet the entity, so the join has a row per end and kind. ``tasks``: over how many tasks the ends
+    are dealt, as in ``degree``; without it they are added up before they are shuffled, too.
+    """
+    ids = entities.select(F.col("id").alias(end), F.col("kind").alias("entity_kind"))
+    if tasks:
+        edges, ids = edges.select(end, "kind", "weight").repartition(tasks, end), ids.repartition(tasks, end)
+    sums = edges.groupBy(end, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return sums.join(ids.hint("merge"), end, "left").groupBy("kind", "entity_kind").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
 def module_edges(edges: DataFrame, modules: DataFrame, prebaked: DataFrame | None = None) -> DataFrame:
     """(from_module, to_module, weight): edges between different modules(id, module); _external is left out.
 

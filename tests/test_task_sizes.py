@@ -116,3 +116,20 @@ def test_scans_of_links_read_one_pass_and_no_store(spark, monkeypatch):
     for name in ("calls", "imports", "tests"):
         want = [tuple(r) for r in t.sql(projection.PROJECTIONS[name]).collect()]
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found.where(f"kind = '{name.upper()}'").select("from_id", "to_id").collect())
+
+
+def test_kinds_at_both_ends_are_a_scan_and_no_store(spark, monkeypatch):
+    from graphloom.operators import relational
+    from graphloom.plans import catalog
+
+    spark.__dict__.pop("_graphloom_kept", None)
+    monkeypatch.setattr(store, "write", lambda *a, **k: pytest.fail("a scan needs no buckets"))
+    few = rows(catalog.queries()["store_endpoint_kinds"](spark, SF))
+    monkeypatch.setattr(projection, "TASK_ROWS", 500)
+    assert few == rows(catalog.queries()["store_endpoint_kinds"](spark, SF)) != []
+    edges = spark.createDataFrame([("a", "b", "K", 1), ("a", "b", "K", 2), ("a", None, "K", None), (None, "a", "L", None), ("gone", "twice", "L", 4)], "from_id string, to_id string, kind string, weight int")
+    entities = spark.createDataFrame([("a", "A"), ("b", None), ("twice", "T"), ("twice", "T"), (None, "N")], "id string, kind string")
+    for end in ("from_id", "to_id"):
+        want = spark.sql("SELECT r.kind, e.kind AS entity_kind, count(*) AS n, sum(r.weight) AS weight FROM {r} r LEFT JOIN {e} e ON e.id = r." + end + " GROUP BY 1, 2", r=edges, e=entities)
+        for tasks in (None, 7):
+            assert sorted(map(str, want.collect())) == sorted(map(str, relational.endpoint_kinds(edges, entities, end, tasks).collect()))
