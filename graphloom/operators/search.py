@@ -57,10 +57,18 @@ def write_index(entities: DataFrame, folder: str, *columns: str) -> None:
     write_postings(whole.select("id", tokens_of(F.col("whole")).alias("terms")), folder)
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """rows(id, terms) as (id, len, counts): a row's distinct terms with how often each occurs, from runs in its sorted terms, without a shuffle."""
+    ordered = rows.select("id", F.size("terms").alias("len"), F.sort_array("terms").alias("s"))
+    last = F.filter(F.sequence(F.lit(1), F.col("len")), lambda i: (i == F.col("len")) | (F.get("s", i - 1) != F.get("s", i)))
+    ends = ordered.select("id", "len", "s", F.when(F.col("len") > 0, last).alias("ends"))
+    return ends.select("id", "len", F.transform("ends", lambda e, k: F.struct(F.get("s", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("bigint").alias("tf"))).alias("counts"))
+
+
 def write_postings(rows: DataFrame, folder: str) -> None:
     """Postings of rows(id, terms) in ranges of terms, sorted, so that a query's filter on terms prunes files and row groups; and the two corpus numbers."""
-    sized = stored(rows.withColumn("len", F.size("terms")))  # tokens once: for the ranges' sample, the postings and the corpus numbers
-    post = sized.select(F.explode("terms").alias("term"), "id", "len").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+    sized = stored(counted(rows))  # tokens once: for the ranges' sample, the postings and the corpus numbers
+    post = sized.select(F.explode("counts").alias("x"), "id", "len").select("x.term", "id", "x.tf", "len")
     post.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
     sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{folder}/stats")
 

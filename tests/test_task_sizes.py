@@ -133,3 +133,17 @@ def test_kinds_at_both_ends_are_a_scan_and_no_store(spark, monkeypatch):
         want = spark.sql("SELECT r.kind, e.kind AS entity_kind, count(*) AS n, sum(r.weight) AS weight FROM {r} r LEFT JOIN {e} e ON e.id = r." + end + " GROUP BY 1, 2", r=edges, e=entities)
         for tasks in (None, 7):
             assert sorted(map(str, want.collect())) == sorted(map(str, relational.endpoint_kinds(edges, entities, end, tasks).collect()))
+
+
+def test_terms_are_counted_without_a_shuffle(spark, tmp_path):
+    from collections import Counter
+
+    from graphloom.operators import search
+
+    docs = [(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["x"]), (4, ["x", "x"]), (5, ["é", "z", "é", "Z"] * 3)]
+    df = spark.createDataFrame(docs, "id long, terms array<string>")
+    assert not exchanges(search.counted(df))
+    search.write_postings(df, str(tmp_path))
+    want = sorted((t, i, n, len(terms)) for i, terms in docs for t, n in Counter(terms or []).items())
+    assert rows(spark.read.parquet(f"{tmp_path}/postings").select("term", "id", "tf", "len")) == want
+    assert spark.read.parquet(f"{tmp_path}/postings").schema["tf"].dataType.simpleString() == "bigint"
