@@ -177,3 +177,20 @@ def test_a_round_sends_the_edges_twice_and_no_names(spark):
         louvain.stored = keep
     rounds = [p for p in plans if "max_by" in p]
     assert rounds and all("string" not in p and p.count("Exchange hashpartitioning") <= 7 for p in rounds)
+
+
+def test_parts_give_the_labels_of_joins(spark):
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.randrange(1, 4)) for _ in range(110)] + [("n1", "n1", 2)]
+    assert found(spark, pairs) == found(spark, pairs, part_edges=20) == found(spark, pairs, part_edges=10**6, local_edges=0)
+
+
+def test_the_registered_rounds_are_not_joins_and_no_part_has_the_graph(spark, monkeypatch):
+    from graphloom.plans import catalog
+
+    kept, keep = [], louvain._dealt
+    monkeypatch.setattr(louvain, "_moved", lambda *how: pytest.fail("a round of joins"))
+    monkeypatch.setattr(louvain, "_dealt", lambda und, parts: kept.append((und.count(), [len(r.w) // 8 for r in keep(und, parts).collect()])) or keep(und, parts))
+    assert catalog.queries()["communities"](spark, "/root/testdata/sf0.001").count() > 0
+    edges, parts = kept[0]
+    assert sum(parts) == edges and len(parts) == 4 and max(parts) < edges / 2
