@@ -194,3 +194,11 @@ def test_the_registered_rounds_are_not_joins_and_no_part_has_the_graph(spark, mo
     assert catalog.queries()["communities"](spark, "/root/testdata/sf0.001").count() > 0
     edges, parts = kept[0]
     assert sum(parts) == edges and len(parts) == 4 and max(parts) < edges / 2
+
+
+def test_quality_goes_over_parts_too(spark, monkeypatch):
+    from graphloom.plans import catalog
+
+    monkeypatch.setattr(louvain, "_moved", lambda *how: pytest.fail("a round of joins"))
+    row = catalog.queries()["communities_quality"](spark, "/root/testdata/sf0.001").first()
+    assert row.beats_modules and row.beats_one_level and row.no_small_ones and row.named_by_smallest
